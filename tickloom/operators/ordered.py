@@ -104,9 +104,9 @@ class Ordered:
     def running(self, df: DataFrame, **spec: tuple[str, Column]) -> DataFrame:
         """Add unbounded-preceding values to chunked rows; drops the halo.
 
-        ``spec`` maps a name to (kind, value) with kind one of sum, max, min, last, before.
+        ``spec`` maps a name to (kind, value) with kind one of sum, max, min, last, before, next.
         ``last`` is the latest non-null value; ``before`` the latest non-null one of strictly
-        earlier rows.
+        earlier rows; ``next`` the first non-null value at or after the row.
         """
         own = df.where("_own")
         for name, (_, value) in spec.items():
@@ -117,13 +117,17 @@ class Ordered:
             totals.append(_total(kind, v).alias(f"_t_{name}"))
         earlier = (Window.partitionBy("_key").orderBy("_chunk")
                    .rowsBetween(Window.unboundedPreceding, -1))
+        later = (Window.partitionBy("_key").orderBy("_chunk")
+                 .rowsBetween(1, Window.unboundedFollowing))
         carry = own.groupBy("_key", "_chunk").agg(*totals).select(
             F.col("_key").alias("_ckey"), F.col("_chunk").alias("_cchunk"),
-            *[_over(kind, F.col(f"_t_{n}"), earlier).alias(f"_c_{n}") for n, (kind, _) in spec.items()])
+            *[_over(kind, F.col(f"_t_{n}"), later if kind == "next" else earlier).alias(f"_c_{n}")
+              for n, (kind, _) in spec.items()])
         upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
-        past = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        frames = {"before": self.window.rowsBetween(Window.unboundedPreceding, -1),
+                  "next": self.window.rowsBetween(0, Window.unboundedFollowing)}
         local = own.select("*", *[
-            _over(kind, F.col(f"_v_{n}"), past if kind == "before" else upto).alias(f"_l_{n}")
+            _over(kind, F.col(f"_v_{n}"), frames.get(kind, upto)).alias(f"_l_{n}")
             for n, (kind, _) in spec.items()])
         out = local.join(
             carry, (F.col("_key") == F.col("_ckey")) & (F.col("_chunk") == F.col("_cchunk")), "left")
@@ -148,12 +152,16 @@ class Ordered:
 
 
 def _total(kind: str, v: Column) -> Column:
+    if kind == "next":
+        return F.min_by(v, F.when(v.isNotNull(), F.col("_rn")))
     if kind in ("last", "before"):
         return F.max_by(v, F.when(v.isNotNull(), F.col("_rn")))
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](v)
 
 
 def _over(kind: str, v: Column, w: WindowSpec) -> Column:
+    if kind == "next":
+        return F.first(v, ignorenulls=True).over(w)
     if kind in ("last", "before"):
         return F.last(v, ignorenulls=True).over(w)
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](v).over(w)

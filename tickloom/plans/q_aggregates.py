@@ -325,8 +325,8 @@ def _(spark, sf):
 
 @query("a30_daily_by_regime", f"""
 SELECT regime, CAST(exit_ts AS DATE) AS day, count(*) AS trades, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
- {r("sum(pnl)", 2)} AS pnl FROM closed_trades GROUP BY 1, 2""")
+ {r("sum(pnl)", 4)} AS pnl FROM closed_trades GROUP BY 1, 2""")
 def _(spark, sf):
     return v.closed_trades(spark, sf).groupBy("regime", F.to_date("exit_ts").alias("day")).agg(
         F.count(F.lit(1)).alias("trades"), F.sum((F.col("pnl") > 0).cast("int")).alias("wins"),
-        rd(F.sum("pnl"), 2).alias("pnl"))
+        rd(F.sum("pnl"), 4).alias("pnl"))

@@ -89,7 +89,7 @@ def source_a(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_b(spark: SparkSession, sf: str) -> DataFrame:
     return ticks(spark, sf).where((F.col("seq") % 2 == 1) | (F.col("seq") % 5 == 0)).withColumn(
-        "price", F.round(F.col("price") * 1.0005, 4))
+        "price", F.round(F.col("price") * 1.0005, 6))
 
 
 def closed_trades(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(
         "symbol", "ts", "seq", (F.col("quantity") % 3).alias("predicted"),
         F.when(F.col("seq") % 4 == 0, F.col("quantity") % 3).otherwise(F.col("buy_agent") % 3).alias("actual"),
-        F.round(F.lit(0.3) + F.col("quantity") / 200.0, 4).alias("confidence"))
+        (F.lit(0.3) + F.col("quantity") / 203.0).alias("confidence"))
 
 
 def agent_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +174,7 @@ SQL: dict[str, str] = {
         FROM ticks, (SELECT unnest([0, 1])::BIGINT AS c) WHERE c = 0 OR seq % 37 = 0""",
     "source_a": "SELECT * FROM ticks WHERE seq % 2 = 0 OR seq % 5 = 0",
     "source_b": """
-        SELECT * REPLACE (round(price * 1.0005::DOUBLE, 4) AS price) FROM ticks WHERE seq % 2 = 1 OR seq % 5 = 0""",
+        SELECT * REPLACE (round(price * 1.0005::DOUBLE, 6) AS price) FROM ticks WHERE seq % 2 = 1 OR seq % 5 = 0""",
     "closed_trades": """
         SELECT l_orderkey AS trade_id, l_linenumber AS leg,
                CASE WHEN l_orderkey % 2 = 0 THEN 'long' ELSE 'short' END AS side, o_orderpriority AS regime,
@@ -188,7 +188,7 @@ SQL: dict[str, str] = {
     "predictions": """
         SELECT symbol, ts, seq, quantity % 3 AS predicted,
                CASE WHEN seq % 4 = 0 THEN quantity % 3 ELSE buy_agent % 3 END AS actual,
-               round(0.3::DOUBLE + quantity / 200.0::DOUBLE, 4) AS confidence FROM ticks""",
+               0.3::DOUBLE + quantity / 203.0::DOUBLE AS confidence FROM ticks""",
     "agent_signals": """
         SELECT event_type AS agent, ts, event_id AS seq,
                CASE event_id % 3 WHEN 0 THEN 'buy' WHEN 1 THEN 'sell' ELSE 'hold' END AS action,
