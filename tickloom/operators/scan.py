@@ -7,6 +7,8 @@ and every chunk then runs on its own from its carried value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,13 +17,12 @@ from pyspark.sql import types as T
 
 from tickloom.operators.ordered import Ordered
 
-#: (output, source column or pandas expression, kind, parameter)
-Step = tuple[str, str, str, float]
+#: (output, source column or function of the key's rows, kind, parameter)
+Step = tuple[str, "str | Callable[[pd.DataFrame], pd.Series]", str, float]
 
 
-def _step(pdf: pd.DataFrame, source: str, kind: str, p: float) -> pd.Series:
-    x = pdf.eval(source) if source not in pdf.columns else pdf[source]
-    x = x.astype("float64")
+def _step(pdf: pd.DataFrame, source, kind: str, p: float) -> pd.Series:
+    x = (source(pdf) if callable(source) else pdf[source]).astype("float64")
     if kind == "expr":
         return x
     if kind == "ema":
@@ -30,9 +31,21 @@ def _step(pdf: pd.DataFrame, source: str, kind: str, p: float) -> pd.Series:
         return x.ewm(span=p, min_periods=int(p)).mean()
     if kind == "wilder":
         return _wilder(x, int(p))
+    if kind == "wilder_late":
+        return _wilder_late(x, int(p))
     raise ValueError(f"unknown step {kind}")
 
 
+def _wilder_late(x: pd.Series, p: int) -> pd.Series:
+    """Rolling mean of up to p values until row 2p, Wilder smoothing after it."""
+    out = x.rolling(p, min_periods=1).mean()
+    if len(x) > 2 * p:
+        tail = x.iloc[2 * p - 1:].copy()
+        tail.iloc[0] = out.iloc[2 * p - 1]
+        out.iloc[2 * p - 1:] = tail.ewm(alpha=1 / p, adjust=False).mean()
+    return out
+
+
 def _wilder(x: pd.Series, p: int) -> pd.Series:
     """Mean of the first p values as seed, then y = y + (x - y) / p."""
     valid = x.dropna()

@@ -199,7 +199,7 @@ WITH a AS (SELECT seq, ts, extract(hour FROM ts) AS h, extract(minute FROM ts) A
   (epoch_us(ts) - epoch_us(date_trunc('day', ts)::TIMESTAMP) - 32400000000) AS us FROM ticks)
 SELECT seq, h AS hour, m AS minute, extract(isodow FROM ts) - 1 AS weekday, CAST(h = 9 AND m < 30 AS INT) AS is_opening,
  CAST(h >= 9 AND h < 12 AS INT) AS is_morning, CAST(h >= 12 AND h < 14 AS INT) AS is_lunch, CAST(h >= 14 AND h < 16 AS INT) AS is_afternoon,
- CAST(h >= 16 AND h < 17 AS INT) AS is_closing, {r("us / 1e6")} AS seconds_since_open, {r("greatest(us / 6e7, 0)")} AS minutes_since_open,
+ CAST(h >= 16 AND h < 17 AS INT) AS is_closing, {r("us / 1e6")} AS seconds_since_open, {r("greatest(us / 6e7, 0)", 3)} AS minutes_since_open,
  {r("least(greatest(us / 6e7, 0), 480) / 480")} AS session_share, {r("sin(2 * pi() * h / 24)")} AS hour_sin,
  {r("cos(2 * pi() * h / 24)")} AS hour_cos, {r("sin(2 * pi() * m / 60)")} AS minute_sin, {r("cos(2 * pi() * m / 60)")} AS minute_cos FROM a""")
 def _(spark, sf):
@@ -207,7 +207,8 @@ def _(spark, sf):
     hs, hc = fc.cyclic(F.hour(ts), 24)
     ms, mc = fc.cyclic(F.minute(ts), 60)
     cal = fc.calendar(ts)
-    rounded = {k: (rd(c) if k in ("seconds_since_open", "minutes_since_open", "session_share") else c) for k, c in cal.items()}
+    digits = {"seconds_since_open": 6, "minutes_since_open": 3, "session_share": 6}
+    rounded = {k: (rd(c, digits[k]) if k in digits else c) for k, c in cal.items()}
     return v.ticks(spark, sf).select("seq", *[c.alias(k) for k, c in rounded.items()], rd(hs).alias("hour_sin"),
                                      rd(hc).alias("hour_cos"), rd(ms).alias("minute_sin"), rd(mc).alias("minute_cos"))
 

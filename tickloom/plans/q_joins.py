@@ -151,14 +151,14 @@ def _(spark, sf):
 
 @query("j17_d12_decision_execution", f"""
 SELECT o_orderkey AS id, o_orderpriority AS priority, count(*) AS fills, CAST(sum(l_quantity) AS BIGINT) AS quantity,
- {r("sum(l_extendedprice) / sum(l_quantity)")} AS price, min(l_shipdate) AS first_fill
+ {r("sum(l_extendedprice)", 2)} AS notional, min(l_shipdate) AS first_fill
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def _(spark, sf):
     li = v.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.count(F.lit(1)).alias("fills"), F.sum("l_quantity").cast("long").alias("quantity"),
-        rd(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.min("l_shipdate").alias("first_fill"))
+        rd(F.sum("l_extendedprice"), 2).alias("notional"), F.min("l_shipdate").alias("first_fill"))
     o = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
-    return o.join(li, "id").select("id", "priority", "fills", "quantity", "price", "first_fill")
+    return o.join(li, "id").select("id", "priority", "fills", "quantity", "notional", "first_fill")
 
 
 @query("j18_flow_context", """

@@ -145,6 +145,14 @@ SQL: dict[str, str] = {
                CAST(sum(CASE WHEN side = 'sell' THEN 1 ELSE 0 END) AS BIGINT) AS sell_trades,
                sum(price * quantity) AS turnover
         FROM (SELECT *, (ts, seq) AS seq_ts FROM ticks) GROUP BY 1, 2""",
+    "barx": """
+        SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS pc, close - lag(close) OVER w AS delta,
+               CASE WHEN close > lag(close) OVER w THEN close - lag(close) OVER w ELSE 0.0::DOUBLE END AS gain,
+               CASE WHEN close < lag(close) OVER w THEN lag(close) OVER w - close ELSE 0.0::DOUBLE END AS loss,
+               close / lag(close) OVER w - 1 AS ret,
+               greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr,
+               high - lag(high) OVER w AS hd, lag(low) OVER w - low AS ld
+        FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
     "quotes": """
         SELECT user_id % 10 AS k, ts, event_id AS seq,
                CASE WHEN event_type = 'view' THEN 'bid' ELSE 'ask' END AS side,
