@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import joins
 from tickloom.operators.ordered import lay_out
-from tickloom.operators.windows import div, last_rows, pct_change, rmean, rstd, rsum
+from tickloom.operators.windows import clip, div, last_rows, pct_change, rmean, rstd, rsum
 
 # Weights of the first three levels in the weighted imbalance.
 LEVEL_WEIGHTS = [0.5, 0.3, 0.2]
@@ -166,7 +166,7 @@ def price_impact_measures(ticks: DataFrame, n: int, chunk_rows: int | None = Non
     return o.finish(rows.withColumns({
         "kyle": F.try_divide(rstd(F.col("_dp"), w, n), rstd(F.col("_sv"), w, n)),
         "amihud": rmean(F.col("_il"), w, n),
-        "kyle_flow": F.abs("_ret5") / F.greatest(F.abs(rsum(F.col("_fl"), w, n)), F.lit(1.0))}),
+        "kyle_flow": F.abs("_ret5") / clip(F.abs(rsum(F.col("_fl"), w, n)), 1.0)}),
         "symbol", "seq", "kyle", "amihud", "kyle_flow")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.ordered import lay_out
 from tickloom.operators.scan import smooth
 from tickloom.operators.windows import (
-    div, last_rows, pct_change, percentile_rank, rmax, rmean, rmedian, rmin, roll, rstd, rsum)
+    clip, div, last_rows, pct_change, percentile_rank, rmax, rmean, rmedian, rmin, roll, rstd, rsum)
 
 
 def _bar() -> tuple:
@@ -51,8 +51,7 @@ def bands(bars: DataFrame) -> DataFrame:
     b = b.withColumns({
         "sma_10_open": rmean(C, W, 10, 1), "bb_width": width, "bb_width_10": 4 * F.col("std_10"),
         "bb_upper": F.col("sma_20") + 2 * F.col("std_20"), "bb_lower": F.col("sma_20") - 2 * F.col("std_20"),
-        "bb_position": F.least(F.greatest(
-            (C - (F.col("sma_20") - 2 * F.col("std_20"))) / F.when(width == 0, 1.0).otherwise(width), F.lit(0.0)), F.lit(1.0)),
+        "bb_position": clip((C - (F.col("sma_20") - 2 * F.col("std_20"))) / F.when(width == 0, 1.0).otherwise(width), 0.0, 1.0),
         "stoch_k": 100 * (C - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo),
         "ichimoku": (rmax(H, W, 9) + rmin(L, W, 9)) / 2})
     b = b.withColumn("stoch_d", rmean(F.col("stoch_k"), W, 3)).withColumn("slow_d", rmean(F.col("stoch_d"), W, 3))
@@ -156,7 +155,7 @@ def composite(bars: DataFrame) -> DataFrame:
     b = base(bars).withColumns({
         "range_pct": (H - L) / C * 100, "volume_ratio": div(V, rmean(V, W, 20)),
         "vol_ratio": div(rstd(F.col("ret"), W, 5), rstd(F.col("ret"), W, 20)),
-        "adx_substitute": F.least(F.greatest(rstd(F.col("ret"), W, 14) * 100, F.lit(0.0)), F.lit(100.0))})
+        "adx_substitute": clip(rstd(F.col("ret"), W, 14) * 100, 0.0, 100.0)})
     b = smooth(b.select("symbol", "ts", "close", "range_pct", "volume_ratio", "vol_ratio", "adx_substitute"),
                ["symbol"], "ts", [(f"e{s}", "close", "ema", s) for s in (5, 9, 20)])
     return b.withColumns({"ema_diff": F.col("e9") - F.col("e20"), "ema_diff_fast": F.col("e5") - F.col("e9")})
@@ -220,7 +219,7 @@ def volatility(bars: DataFrame, n: int = 20) -> DataFrame:
     top, bottom = rmax(H, W, n), rmin(L, W, n)
     b = b.withColumns({
         "vol_cc": rstd(ret, W, n) * year, "vol_parkinson": F.sqrt(rmean(F.col("hl2"), W, n) / (4 * math.log(2)) * 252),
-        "vol_gk": F.sqrt(rmean(F.col("gk"), W, n) * 252), "vol_rs": F.sqrt(F.greatest(rmean(F.col("rs"), W, n), F.lit(0.0))) * year,
+        "vol_gk": F.sqrt(rmean(F.col("gk"), W, n) * 252), "vol_rs": F.sqrt(clip(rmean(F.col("rs"), W, n), 0.0)) * year,
         "vol_range": rstd(F.col("hl"), W, n) * year, "vol_up": rstd(F.col("up"), W, n) * year,
         "vol_down": rstd(F.col("down"), W, n) * year,
         "vol_imbalance": rstd(ret, W, n) * F.col("imb") / (rmean(F.col("imb"), W, n) + 1e-10) * year,

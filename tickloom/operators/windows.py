@@ -87,3 +87,13 @@ def trend_slope(y: Column, position: Column, frame: WindowSpec, n: int) -> Colum
 
 def div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """Bounded value; stays null where x is null (``greatest``/``least`` alone would skip nulls)."""
+    y = x
+    if low is not None:
+        y = F.greatest(y, F.lit(low))
+    if high is not None:
+        y = F.least(y, F.lit(high))
+    return F.when(x.isNotNull(), y)

@@ -82,7 +82,7 @@ SELECT symbol, seq, {r(f"{std('dp', 100, part=TP)} / nullif({std('sv', 100, part
 def _(spark, sf):
     x = bk.price_impact_measures(v.ticks(spark, sf), 100)
     return x.select("symbol", "seq", rd("kyle").alias("kyle"), rd("amihud").alias("amihud"),
-                    rd(F.when(F.col("amihud").isNotNull() | F.col("kyle").isNotNull(), F.col("kyle_flow"))).alias("kyle_flow"))
+                    rd("kyle_flow").alias("kyle_flow"))
 
 
 @query("b08_effective_spread", f"""
@@ -119,7 +119,7 @@ a AS (SELECT *, sum(CASE WHEN side = 'bid' THEN coalesce(rq, 0) ELSE 0 END) OVER
  WINDOW w AS ({K} RANGE BETWEEN INTERVAL 7200 SECONDS PRECEDING AND CURRENT ROW))
 SELECT k, seq, {r("(buy - sell) / (buy + sell + 1)")} AS ofi, {r("lo / (lo + hi + 1)")} AS at_bid_share, {r("hi / (lo + 1)")} AS aggressiveness FROM a""")
 def _(spark, sf):
-    x = bk.book_trade_flow(v.quotes(spark, sf), v.trades_k(spark, sf).withColumn("quantity", F.col("quantity")), 7200)
+    x = bk.book_trade_flow(v.quotes(spark, sf), v.trades_k(spark, sf), 7200)
     return x.select("k", "seq", *[rd(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("ofi", "at_bid_share", "aggressiveness")])
 
 

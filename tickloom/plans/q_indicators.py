@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as ti
-from tickloom.operators.windows import by_time
 from tickloom.plans import emasql as es
 from tickloom.plans import views as v
 from tickloom.plans.registry import query, rd, rsql as r
@@ -36,7 +35,6 @@ SELECT symbol, ts, {r(mean("close", 10))} AS sma_10, {r("sma_20")} AS sma_20, {r
  {flag(f"bw < {mean('bw', 50)}")} AS bb_squeeze, {flag("k < 20")} AS stoch_oversold, {flag("k > 80")} AS stoch_overbought FROM c""")
 def _(spark, sf):
     b = ti.bands(v.bars(spark, sf))
-    b = b.withColumn("bb_position", F.when(F.col("bb_width").isNotNull(), F.col("bb_position")))
     return out(b, ["sma_10", "sma_20", "sma_50", "sma_10_open", "bb_upper", "bb_lower", "bb_width", "bb_width_10", "bb_position",
                    "stoch_k", "stoch_d", "slow_d", "ichimoku"], ["bb_squeeze", "stoch_oversold", "stoch_overbought"])
 
@@ -108,7 +106,7 @@ SELECT symbol, ts, {r("(high - low) / close * 100")} AS range_pct, {r("volume /
  {r(f"{es.ema('close', 9)} - {es.ema('close', 20)}")} AS ema_diff, {r(f"{es.ema('close', 5)} - {es.ema('close', 9)}")} AS ema_diff_fast FROM barx""")
 def _(spark, sf):
     b = ti.composite(v.bars(spark, sf))
-    return out(b.withColumn("adx_substitute", F.when(F.row_number().over(by_time("symbol")) >= 15, F.col("adx_substitute"))),
+    return out(b,
                ["range_pct", "volume_ratio", "vol_ratio", "adx_substitute", "ema_diff", "ema_diff_fast"])
 
 
@@ -164,7 +162,6 @@ SELECT symbol, ts, {r(f"{std('ret', 20)} * {Y}")} AS vol_cc, {r(f"sqrt({mean('hl
  {r("(close - bt) / close * 100")} AS to_low, {r("(close - bt) / (t - bt + 1e-10)")} AS price_position FROM b""")
 def _(spark, sf):
     b = ti.volatility(v.bars(spark, sf))
-    b = b.withColumn("vol_rs", F.when(F.col("vol_parkinson").isNotNull(), F.col("vol_rs")))
     return out(b, ["vol_cc", "vol_parkinson", "vol_gk", "vol_rs", "vol_range", "vol_up", "vol_down", "vol_ratio", "vol_imbalance",
                    "high_low_range", "range_pct", "to_high", "to_low", "price_position"])
 
