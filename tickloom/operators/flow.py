@@ -202,7 +202,7 @@ def tape_momentum(ticks: DataFrame, periods: tuple[int, ...] = (10, 30, 60), chu
     for n in periods:
         f, half = o.last(n), n // 2
         ok = F.count(q).over(f) >= n
-        first, second = F.avg(q).over(o.frame(-(n - 1), -half)), F.avg(q).over(o.frame(-half + 1, 0))
+        first, second = F.sum(q).over(o.frame(-(n - 1), -half)), F.sum(q).over(o.frame(-half + 1, 0))
         cols |= {
             f"price_{n}": F.when(ok, F.regr_slope("price", "_rn").over(f) / F.avg("price").over(f) * 100),
             f"volume_{n}": F.when(ok, (second - first) / first),

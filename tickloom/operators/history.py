@@ -1,7 +1,7 @@
 """Comparison of a clock window with the same window of earlier days.
 
-Bars are put on a full time grid, so "the same hour k days ago" is a fixed number of rows back and
-needs no self join: every feature is a window over one exchange by symbol.
+Bars are put on a full time grid, so "the same hour k days ago" is a fixed number of rows back in
+the symbol, or k rows back in (symbol, clock time), and needs no self join.
 """
 
 from __future__ import annotations
@@ -38,11 +38,19 @@ def _add(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def _share_below(x: Column, past: list[Column]) -> Column:
-    """Share of the non-null past values below x; null without any."""
-    below = _add([F.coalesce((p < x).cast("int"), F.lit(0)) for p in past])
-    seen = _add([(p.isNotNull() & x.isNotNull()).cast("int") for p in past])
-    return F.when(seen > 0, below / seen)
+def _share_below(g: DataFrame, col: str, days: int) -> Column:
+    """Share of the values at the same clock time of up to ``days`` earlier days that lie below.
+
+    On a full grid those are the preceding rows of (symbol, clock time).  Null without any.
+    """
+    w = Window.partitionBy("symbol", "_clock").orderBy("ts").rowsBetween(-days, -1)
+    past = F.collect_list(col).over(w)
+    x = F.col(col)
+    return F.when(x.isNotNull() & (F.size(past) > 0), F.size(F.filter(past, lambda v: v < x)) / F.size(past))
+
+
+def _clocked(g: DataFrame) -> DataFrame:
+    return g.withColumn("_clock", F.unix_seconds("ts") % 86_400)
 
 
 def volume_pattern(g: DataFrame, n: int, per_day: int, days: int = 7) -> DataFrame:
@@ -63,25 +71,25 @@ def volume_pattern(g: DataFrame, n: int, per_day: int, days: int = 7) -> DataFra
         *[f"_{a}{k}" for a in "pc" for k in range(1, days + 1)])
 
 
-def momentum_rank(g: DataFrame, n: int, per_day: int, days: int = 30) -> DataFrame:
+def momentum_rank(g: DataFrame, n: int, days: int = 30) -> DataFrame:
     """Share of earlier days whose move over the same window was smaller."""
     w = Window.partitionBy("symbol").orderBy("ts")
     g = g.withColumn("_m", F.round((F.col("close") / F.lag("close", n).over(w) - 1) * 100, 9))
-    past = [F.lag("_m", per_day * k).over(w) for k in range(1, days + 1)]
-    return g.withColumn("momentum_rank", F.coalesce(_share_below(F.col("_m"), past), F.lit(0.5))).drop("_m")
+    share = _share_below(g, "_m", days)
+    return _clocked(g).withColumn("momentum_rank", F.coalesce(share, F.lit(0.5))).drop("_m", "_clock")
 
 
-def momentum_percentile(g: DataFrame, periods: list[int], per_day: int, days: int = 14) -> DataFrame:
+def momentum_percentile(g: DataFrame, periods: list[int], days: int = 14) -> DataFrame:
     """Mean over several periods of the share of earlier days with a smaller move."""
     w = Window.partitionBy("symbol").orderBy("ts")
     for n in periods:
         g = g.withColumn(f"_m{n}", F.round((F.col("close") / F.lag("close", n).over(w) - 1) * 100, 9))
-    for n in periods:
-        g = g.withColumn(f"_s{n}", _share_below(F.col(f"_m{n}"), [F.lag(f"_m{n}", per_day * k).over(w) for k in range(1, days + 1)]))
+    g = _clocked(g)
+    g = g.withColumns({f"_s{n}": _share_below(g, f"_m{n}", days) for n in periods})
     seen = _add([F.col(f"_s{n}").isNotNull().cast("int") for n in periods])
     total = _add([F.coalesce(f"_s{n}", F.lit(0.0)) for n in periods])
     return g.withColumn("momentum_percentile", F.when(seen > 0, total / seen).otherwise(0.5)).drop(
-        *[f"_{a}{n}" for a in "ms" for n in periods])
+        "_clock", *[f"_{a}{n}" for a in "ms" for n in periods])
 
 
 def volatility_regime(g: DataFrame, per_day: int, days: int = 30) -> DataFrame:
@@ -89,12 +97,13 @@ def volatility_regime(g: DataFrame, per_day: int, days: int = 30) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts")
     g = g.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
     g = g.withColumn("volatility", F.round(rstd(F.col("_r"), w, per_day), 12))
-    past = [F.lag("volatility", per_day * k).over(w) for k in range(1, days + 1)]
-    p = _share_below(F.col("volatility"), past)
-    g = g.withColumn("volatility_percentile", F.coalesce(p, F.lit(0.5)))
-    q = F.col("volatility_percentile")
-    return g.withColumn("volatility_regime", F.when(p.isNull(), "UNKNOWN").when(q > 0.8, "HIGH_VOL").when(
-        q < 0.2, "LOW_VOL").otherwise("NORMAL_VOL")).drop("_r")
+    g = _clocked(g)
+    g = g.withColumn("_p", _share_below(g, "volatility", days))
+    q = F.col("_p")
+    return g.withColumns({
+        "volatility_percentile": F.coalesce(q, F.lit(0.5)),
+        "volatility_regime": F.when(q.isNull(), "UNKNOWN").when(q > 0.8, "HIGH_VOL").when(q < 0.2, "LOW_VOL").otherwise("NORMAL_VOL"),
+    }).drop("_r", "_p", "_clock")
 
 
 def coverage(g: DataFrame, n: int) -> DataFrame:
@@ -110,7 +119,7 @@ def enhanced(bars: DataFrame, minutes: int = 60, n: int = 6) -> DataFrame:
     per_day = 24 * 60 // minutes
     g = dense(bars, minutes)
     g = volume_pattern(g, n, per_day)
-    g = momentum_rank(g, n, per_day)
-    g = momentum_percentile(g, [1, 3, n], per_day)
+    g = momentum_rank(g, n)
+    g = momentum_percentile(g, [1, 3, n])
     g = volatility_regime(g, per_day)
     return coverage(g, per_day).where("real = 1")

@@ -150,7 +150,7 @@ def _(spark, sf):
 
 @query("f03_f13_tape_momentum", f"WITH a AS (SELECT *, row_number() OVER ({TP}) AS rn FROM ticks), b AS (SELECT symbol, seq, " + ", ".join(
     f"CASE WHEN rn >= {n} THEN regr_slope(price, rn) OVER {rows(n)} / avg(price) OVER {rows(n)} * 100 END AS p{n}, "
-    f"CASE WHEN rn >= {n} THEN avg(quantity) OVER {rows(n // 2)} / avg(quantity) OVER {_half(n - 1, n // 2)} - 1 END AS v{n}, "
+    f"CASE WHEN rn >= {n} THEN (sum(quantity) OVER {rows(n // 2)} - sum(quantity) OVER {_half(n - 1, n // 2)}) / sum(quantity) OVER {_half(n - 1, n // 2)} END AS v{n}, "
     f"CASE WHEN rn >= {n} THEN {bal(f'sum({BUY}) OVER {rows(n)}', f'sum({SELL}) OVER {rows(n)}')} END AS d{n}" for n in (10, 30, 60)) + f""" FROM a)
 SELECT symbol, seq, """ + ", ".join(f"{r(f'p{n}')} AS price_{n}, {r(f'v{n}', 7)} AS volume_{n}, {r(f'd{n}')} AS direction_{n}" for n in (10, 30, 60)) + f""",
  {r("CASE WHEN p10 * p30 < 0 AND abs(p10) > 0.5 AND abs(p30) > 0.5 THEN abs(p10 - p30) ELSE 0 END")} AS divergence FROM b""")

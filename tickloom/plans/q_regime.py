@@ -112,7 +112,7 @@ def _(spark, sf):
 
 @query("h02_momentum_rank", HIST + f"SELECT symbol, ts, {r('momentum_rank')} AS momentum_rank FROM h")
 def _(spark, sf):
-    return hi.momentum_rank(hi.dense(v.bars(spark, sf)), 6, 24).select("symbol", "ts", rd("momentum_rank").alias("momentum_rank"))
+    return hi.momentum_rank(hi.dense(v.bars(spark, sf)), 6).select("symbol", "ts", rd("momentum_rank").alias("momentum_rank"))
 
 
 PCT = "coalesce((coalesce(s1, 0) + coalesce(s3, 0) + coalesce(s6, 0)) / nullif(CAST(s1 IS NOT NULL AS INT) + CAST(s3 IS NOT NULL AS INT) + CAST(s6 IS NOT NULL AS INT), 0), 0.5)"
@@ -121,7 +121,7 @@ VREG = "CASE WHEN vp IS NULL THEN 'UNKNOWN' WHEN vp > 0.8 THEN 'HIGH_VOL' WHEN v
 
 @query("h03_momentum_percentile", HIST + f"SELECT symbol, ts, {r(PCT)} AS momentum_percentile FROM h")
 def _(spark, sf):
-    return hi.momentum_percentile(hi.dense(v.bars(spark, sf)), [1, 3, 6], 24).select("symbol", "ts", rd("momentum_percentile").alias("momentum_percentile"))
+    return hi.momentum_percentile(hi.dense(v.bars(spark, sf)), [1, 3, 6]).select("symbol", "ts", rd("momentum_percentile").alias("momentum_percentile"))
 
 
 @query("r05_volatility_regime", HIST + f"SELECT symbol, ts, {r('vol', 8)} AS volatility, {r('coalesce(vp, 0.5)')} AS volatility_percentile, {VREG} AS volatility_regime FROM h")
