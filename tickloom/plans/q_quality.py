@@ -70,9 +70,9 @@ def _(spark, sf):
 WITH t AS (SELECT *, CAST(ts AS DATE) AS day FROM dirty_ticks), q AS (SELECT symbol AS s, day AS d, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM t GROUP BY 1, 2),
 m AS (SELECT symbol, day, count(*) AS n, avg(CASE WHEN price IS NULL THEN 1.0 ELSE 0 END) AS missing, (count(*) - count(DISTINCT ts)) / count(*) AS dup,
  avg(CASE WHEN price < q1 - 3 * (q3 - q1) OR price > q3 + 3 * (q3 - q1) THEN 1.0 ELSE 0 END) AS outl, (max(epoch_us(ts)) - min(epoch_us(ts))) / 3.6e9 AS h FROM t JOIN q ON symbol = s AND day = d GROUP BY 1, 2)
-SELECT symbol, day, n, {r("CASE WHEN missing > 0.01 THEN 1 - missing ELSE 1 END * (1 - dup * 2) * CASE WHEN outl > 0.001 THEN 0.9 ELSE 1 END * CASE WHEN n < 100 THEN 0.5 ELSE 1 END * CASE WHEN h < 6 THEN 0.8 ELSE 1 END")} AS score FROM m""")
+SELECT symbol, day, n, {r("CASE WHEN missing > 0.01 THEN 1 - missing ELSE 1 END * (1 - dup * 2) * CASE WHEN outl > 0.001 THEN 0.9 ELSE 1 END * CASE WHEN n < 100 THEN 0.5 ELSE 1 END * CASE WHEN h < 6 THEN 0.8 ELSE 1 END", 8)} AS score FROM m""")
 def _(spark, sf):
-    return qa.partition_score(v.dirty_ticks(spark, sf)).select("symbol", "day", "n", rd("score").alias("score"))
+    return qa.partition_score(v.dirty_ticks(spark, sf)).select("symbol", "day", "n", rd("score", 8).alias("score"))
 
 
 @query("q06_partition_continuity", f"""
