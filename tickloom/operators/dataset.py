@@ -145,12 +145,11 @@ def combinatorial_folds(o: Ordered, groups: int, held_out: int, purge: int, emba
 def fit_scaler(train: DataFrame, cols: list[str], kind: str) -> DataFrame:
     """One row with centre and scale per column, from the training rows only."""
     if kind == "robust":
-        parts = [exact_quantiles(train, [], c, {f"{c}_c": 0.5, f"{c}_q1": 0.25, f"{c}_q3": 0.75}).select(
-            f"{c}_c", (F.col(f"{c}_q3") - F.col(f"{c}_q1")).alias(f"{c}_s")) for c in cols]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.crossJoin(F.broadcast(p))
-        return out
+        long = train.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("r.*")
+        q = exact_quantiles(long, ["feature"], "x", {"c": 0.5, "q1": 0.25, "q3": 0.75})
+        pick = lambda c, x: F.max(F.when(F.col("feature") == c, x))
+        return q.agg(*[f for c in cols for f in (pick(c, F.col("c")).alias(f"{c}_c"), pick(c, F.col("q3") - F.col("q1")).alias(f"{c}_s"))])
     centre, scale = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}[kind]
     return train.agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("c", centre), ("s", scale))])
 

@@ -151,15 +151,14 @@ def retrain_due(preds: DataFrame, hours: float, rows: int, last_n: int, minimum:
 def feature_scores(df: DataFrame, cols: list[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information (binned), ANOVA F and chi-square of each column against the label.
 
-    One pass of exact bin edges per column, then one grouped count over (column, bin, label).
+    One pass of exact bin edges for all columns, then one grouped count over (column, bin, label).
     """
-    wide = df
-    for c in cols:
-        q = exact_quantiles(df, [], c, {f"_{c}_{i}": i / bins for i in range(1, bins)})
-        wide = wide.crossJoin(F.broadcast(q)).withColumn(
-            f"_b_{c}", sum(((F.col(c) > F.col(f"_{c}_{i}")).cast("int") for i in range(1, bins)), F.lit(0))).drop(*[f"_{c}_{i}" for i in range(1, bins)])
-    long = wide.select(label, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_b_{c}").alias("bin"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")
-                       ).select(F.col(label).alias("y"), "r.feature", "r.bin", "r.x")
+    long = df.select(F.col(label).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("y", "r.feature", "r.x")
+    edges = [f"_e{i}" for i in range(1, bins)]
+    q = exact_quantiles(long, ["feature"], "x", {e: (i + 1) / bins for i, e in enumerate(edges)})
+    long = long.join(small_side(q), "feature").withColumn(
+        "bin", sum(((F.col("x") > F.col(e)).cast("int") for e in edges), F.lit(0))).drop(*edges)
     cell = long.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
     wb, wy, wf = Window.partitionBy("feature", "bin"), Window.partitionBy("feature", "y"), Window.partitionBy("feature")
     c = cell.withColumns({"nb": F.sum("n").over(wb), "ny": F.sum("n").over(wy), "t": F.sum("n").over(wf)})

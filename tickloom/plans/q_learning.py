@@ -84,9 +84,9 @@ def _(spark, sf):
 
 
 def _periods(bounds):
-    return f"""WITH n AS (SELECT symbol, ts, row_number() OVER ({TP}) - 1 AS i FROM ticks), s AS (SELECT symbol, count(*) AS n FROM ticks GROUP BY 1), f AS ({bounds})
-SELECT f.symbol, f.fold, f.train_from, f.train_to, f.test_from, f.test_to, a.ts AS train_start, b.ts AS train_end, c.ts AS test_start, d.ts AS test_end, {flag("b.ts >= c.ts")} AS leak FROM f
-JOIN n a ON a.symbol = f.symbol AND a.i = f.train_from JOIN n b ON b.symbol = f.symbol AND b.i = f.train_to - 1 JOIN n c ON c.symbol = f.symbol AND c.i = f.test_from JOIN n d ON d.symbol = f.symbol AND d.i = f.test_to - 1"""
+    return f"""WITH s AS (SELECT symbol, count(*) AS n, list(ts ORDER BY ts, seq) AS l FROM ticks GROUP BY 1), f AS ({bounds})
+SELECT symbol, fold, train_from, train_to, test_from, test_to, l[train_from + 1] AS train_start, l[train_to] AS train_end, l[test_from + 1] AS test_start, l[test_to] AS test_end,
+ {flag("l[train_to] >= l[test_from + 1]")} AS leak FROM f"""
 
 
 def _folds(spark, sf, kind, **p):
@@ -95,7 +95,7 @@ def _folds(spark, sf, kind, **p):
         F.col("_key.symbol").alias("symbol"), "fold", "train_from", "train_to", "test_from", "test_to", "train_start", "train_end", "test_start", "test_end", "leak")
 
 
-WALK = "SELECT symbol, k AS fold, {start} AS train_from, 100 + k * 20 AS train_to, 100 + k * 20 AS test_from, 120 + k * 20 AS test_to FROM s, range(0, 100000) t(k) WHERE 120 + k * 20 <= n"
+WALK = "SELECT symbol, l, k AS fold, {start} AS train_from, 100 + k * 20 AS train_to, 100 + k * 20 AS test_from, 120 + k * 20 AS test_to FROM s, range(0, 1000) t(k) WHERE 120 + k * 20 <= n"
 
 
 @query("m09_walk_forward_folds", _periods(WALK.format(start="k * 20")))
@@ -108,8 +108,8 @@ def _(spark, sf):
     return _folds(spark, sf, "expanding", initial=100, step=20, test=20)
 
 
-@query("m11_m12_series_folds", _periods("""SELECT symbol, k AS fold, 0::BIGINT AS train_from, n - t + k * e AS train_to, n - t + k * e AS test_from, least(n - t + k * e + e, n) AS test_to
- FROM (SELECT symbol, n, CAST(floor(n * 20 / 100) AS BIGINT) AS t, CAST(floor(floor(n * 20 / 100) / 5) AS BIGINT) AS e FROM s), range(0, 5) r(k)"""))
+@query("m11_m12_series_folds", _periods("""SELECT symbol, l, k AS fold, 0::BIGINT AS train_from, n - t + k * e AS train_to, n - t + k * e AS test_from, least(n - t + k * e + e, n) AS test_to
+ FROM (SELECT symbol, l, n, CAST(floor(n * 20 / 100) AS BIGINT) AS t, CAST(floor(floor(n * 20 / 100) / 5) AS BIGINT) AS e FROM s), range(0, 5) r(k)"""))
 def _(spark, sf):
     return _folds(spark, sf, "series", folds=5, test_pct=20)
 
