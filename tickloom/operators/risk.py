@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.history import grid
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out
 from tickloom.operators.windows import div, last_rows, pct_change, rmean, rstd
 from tickloom.session import small_side
@@ -207,18 +208,32 @@ def streaks(trades: DataFrame, key: str, chunk_rows: int | None = None) -> DataF
     return out.groupBy(key).agg(F.max(F.when(F.col("win") == 1, n)).alias("longest_wins"), F.max(F.when(F.col("win") == 0, n)).alias("longest_losses"))
 
 
-def excursions(trades: DataFrame, day_bars: DataFrame) -> DataFrame:
+def excursions(trades: DataFrame, day_bars: DataFrame, levels: int = 13) -> DataFrame:
     """Worst and best price of the key's daily bars during each trade.
 
-    Daily bars per key are bounded by the calendar, so a key's extremes travel as one array and a
-    trade reads its slice; trades and days are never paired.
+    Daily bars per key are bounded by the calendar.  For each power of two the extremes of the
+    following 2^k days are kept per day, so two look-ups answer any holding period and trades are
+    never paired with days.  ``levels`` covers 2^(levels - 1) days.
     """
-    packed = day_bars.groupBy("symbol").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "high", "low"))).alias("_b"))
+    g = grid(day_bars.select("symbol", "ts", "high", "low"), 24 * 60)
+    w = Window.partitionBy("symbol").orderBy("ts")
+    for k in range(levels):
+        f = w.rowsBetween(0, 2 ** k - 1)
+        g = g.withColumns({f"_h{k}": F.max("high").over(f), f"_l{k}": F.min("low").over(f)})
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ts", F.col(c).alias("v")))), lambda x: x.v)
+    packed = g.groupBy("symbol").agg(
+        F.min("ts").alias("_first"), F.count(F.lit(1)).alias("_days"),
+        F.array(*[ordered(f"_h{k}") for k in range(levels)]).alias("_hi"), F.array(*[ordered(f"_l{k}") for k in range(levels)]).alias("_lo"))
     t = trades.join(small_side(packed), F.col("regime") == F.col("symbol"), "left")
-    inside = F.filter("_b", lambda b: (b.ts >= F.col("entry_ts")) & (b.ts <= F.col("exit_ts")))
-    t = t.withColumn("_in", inside)
-    return t.withColumns({"low": F.array_min(F.transform("_in", lambda b: b.low)), "high": F.array_max(F.transform("_in", lambda b: b.high))}).drop("_b", "_in", "symbol")
+    a = F.datediff("entry_ts", "_first") + (F.col("entry_ts") > F.date_trunc("day", "entry_ts")).cast("int")
+    t = t.withColumns({"_a": F.greatest(a, F.lit(0)), "_b": F.least(F.datediff("exit_ts", "_first"), (F.col("_days") - 1).cast("int"))})
+    n = F.col("_b") - F.col("_a") + 1
+    k = F.floor(F.log2(n.cast("double"))).cast("int")
+    t = t.withColumn("_k", F.when(n >= 1, k))
+    second = F.col("_b") - F.expr("shiftleft(1, _k)") + 1
+    at = lambda table, i: F.get(F.get(table, F.col("_k")), i)
+    return t.withColumns({"high": F.greatest(at("_hi", F.col("_a")), at("_hi", second)), "low": F.least(at("_lo", F.col("_a")), at("_lo", second))}).drop(
+        "_hi", "_lo", "_first", "_days", "_a", "_b", "_k", "symbol")
 
 
 def roll_up(fills: DataFrame, chunk_rows: int | None = None) -> DataFrame:

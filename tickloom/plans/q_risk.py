@@ -29,9 +29,9 @@ f AS (SELECT *, CASE reason WHEN 'stop' THEN sp WHEN 'target' THEN tp ELSE close
 """
 
 
-@query("k01_barrier_outcomes", OUT + f"SELECT symbol, ts, pos AS position, stop, target, {r('entry')} AS entry, bts AS exit_ts, reason, {r('px')} AS exit, {r('pos * (px / entry - 1) - 0.0005')} AS ret FROM f")
+@query("k01_barrier_outcomes", OUT + f"SELECT symbol, ts, pos AS position, stop, target, {r('entry', 8)} AS entry, bts AS exit_ts, reason, {r('px', 8)} AS exit, {r('pos * (px / entry - 1) - 0.0005', 8)} AS ret FROM f")
 def _(spark, sf):
-    return rk.outcomes(signals(spark, sf), [(0.05, 0.1), (0.2, 0.4)], 12, 0.0005).withColumns({c: rd(c) for c in ("entry", "exit", "ret")})
+    return rk.outcomes(signals(spark, sf), [(0.05, 0.1), (0.2, 0.4)], 12, 0.0005).withColumns({c: rd(c, 8) for c in ("entry", "exit", "ret")})
 
 
 @query("k01_trades_per_day", OUT + f"SELECT symbol, ts, stop, reason, {r('pos * (px / entry - 1) - 0.0005')} AS ret FROM f QUALIFY row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE), stop ORDER BY ts) <= 3")
@@ -57,24 +57,24 @@ def _(spark, sf):
 EQ = f"WITH e0 AS (SELECT *, 1e6 + sum(pnl) OVER ({EX} ROWS UNBOUNDED PRECEDING) AS eq, row_number() OVER ({EX}) AS rn FROM closed_trades), e AS (SELECT *, max(eq) OVER ({EX} ROWS UNBOUNDED PRECEDING) AS peak FROM e0)"
 
 
-@query("k04_equity_curve", EQ + f" SELECT regime, trade_id, leg, {r('pnl', 4)} AS pnl, {r('eq', 3)} AS equity, {r('eq - peak', 3)} AS drawdown FROM e")
+@query("k04_equity_curve", EQ + f" SELECT regime, trade_id, leg, {r('pnl', 4)} AS pnl, {r('eq', 4)} AS equity, {r('eq - peak', 4)} AS drawdown FROM e")
 def _(spark, sf):
     _, e = rk.equity(v.closed_trades(spark, sf), "regime", 1e6)
-    return e.select("regime", "trade_id", "leg", rd("pnl", 4).alias("pnl"), rd("equity", 3).alias("equity"), rd("drawdown", 3).alias("drawdown"))
+    return e.select("regime", "trade_id", "leg", rd("pnl", 4).alias("pnl"), rd("equity", 4).alias("equity"), rd("drawdown", 4).alias("drawdown"))
 
 
-@query("k06_drawdown_metrics", EQ + f""" SELECT regime, {r("min(eq - peak)", 3)} AS max_drawdown, {r("min((eq - peak) / peak)")} AS max_drawdown_pct, {r("arg_max(eq - peak, rn)", 3)} AS current_drawdown,
- {r("arg_max(eq, rn)", 3)} AS final_equity, CAST(sum(CASE WHEN eq < peak THEN 1 ELSE 0 END) AS BIGINT) AS trades_below_peak FROM e GROUP BY 1""")
+@query("k06_drawdown_metrics", EQ + f""" SELECT regime, {r("min(eq - peak)", 4)} AS max_drawdown, {r("min((eq - peak) / peak)")} AS max_drawdown_pct, {r("arg_max(eq - peak, rn)", 4)} AS current_drawdown,
+ {r("arg_max(eq, rn)", 4)} AS final_equity, CAST(sum(CASE WHEN eq < peak THEN 1 ELSE 0 END) AS BIGINT) AS trades_below_peak FROM e GROUP BY 1""")
 def _(spark, sf):
     return rk.drawdown_metrics(v.closed_trades(spark, sf), "regime", 1e6).select("regime", "trades_below_peak", rd("max_drawdown_pct").alias("max_drawdown_pct"),
-        *[rd(c, 3).alias(c) for c in ("max_drawdown", "current_drawdown", "final_equity")])
+        *[rd(c, 4).alias(c) for c in ("max_drawdown", "current_drawdown", "final_equity")])
 
 
 @query("k06_drawdown_periods", EQ + f""", p AS (SELECT *, sum(CASE WHEN eq >= peak THEN 1 ELSE 0 END) OVER ({EX} ROWS UNBOUNDED PRECEDING) AS period FROM e)
-SELECT regime, CAST(period AS BIGINT) AS period, min(exit_ts) AS start, max(exit_ts) AS "end", {r("min(eq - peak)", 3)} AS depth, count(*) AS trades, {flag("period < max(t)")} AS recovered
-FROM p JOIN (SELECT regime AS rg, max(period) AS t FROM p GROUP BY 1) ON regime = rg WHERE eq < peak GROUP BY 1, 2""")
+SELECT regime, CAST(p.period AS BIGINT) AS period, min(exit_ts) AS start, max(exit_ts) AS "end", {r("min(eq - peak)", 4)} AS depth, count(*) AS trades, {flag("max(p.period) < max(t)")} AS recovered
+FROM p JOIN (SELECT regime AS rg, max(period) AS t FROM p GROUP BY 1) ON regime = rg WHERE eq < peak GROUP BY regime, p.period""")
 def _(spark, sf):
-    return rk.drawdown_periods(v.closed_trades(spark, sf), "regime", 1e6).withColumn("depth", rd("depth", 3))
+    return rk.drawdown_periods(v.closed_trades(spark, sf), "regime", 1e6).withColumn("depth", rd("depth", 4))
 
 
 RET = """WITH a AS (SELECT symbol, ts, (close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1) / 10 AS ret FROM day_bars), b AS (SELECT ts AS bt, avg(ret) AS bm FROM a WHERE ret IS NOT NULL GROUP BY 1),
@@ -191,10 +191,10 @@ def _(spark, sf):
 
 
 @query("k19_rolling_trades", f"""
-SELECT regime, trade_id, leg, exit_ts, {r("pnl", 4)} AS pnl, count(*) OVER w AS n, {r("avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER w")} AS win_rate, {r("sum(pnl) OVER w", 3)} AS total,
+SELECT regime, trade_id, leg, exit_ts, {r("pnl", 4)} AS pnl, count(*) OVER w AS n, {r("avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER w")} AS win_rate, {r("sum(pnl) OVER w", 4)} AS total,
  {r("CASE WHEN count(*) OVER w >= 2 THEN avg(pnl) OVER w / stddev_samp(pnl) OVER w END")} AS sharpe FROM closed_trades WINDOW w AS (PARTITION BY regime ORDER BY exit_ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
 def _(spark, sf):
-    return rk.rolling_trades(v.closed_trades(spark, sf), "regime", 30).select("regime", "trade_id", "leg", "exit_ts", rd("pnl", 4).alias("pnl"), "n", rd("win_rate").alias("win_rate"), rd("total", 3).alias("total"), rd("sharpe").alias("sharpe"))
+    return rk.rolling_trades(v.closed_trades(spark, sf), "regime", 30).select("regime", "trade_id", "leg", "exit_ts", rd("pnl", 4).alias("pnl"), "n", rd("win_rate").alias("win_rate"), rd("total", 4).alias("total"), rd("sharpe").alias("sharpe"))
 
 
 @query("d16_trailing_stops", f"""
