@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import exact_quantiles, lay_out
+from tickloom.operators.ordered import exact_quantiles, lay_out, time_values
 from tickloom.operators.windows import div, last_rows, pct_change, rmean
 from tickloom.session import small_side
 
@@ -167,9 +167,8 @@ def trade_buffer(ticks: DataFrame, n: int, seconds: int, chunk_rows: int | None
     rows = o.chunked(before=n - 1).withColumn("vwap", pv / F.sum("quantity").over(f)).withColumn(
         "aggressor_ratio", F.avg((F.col("side") == "buy").cast("double")).over(f))
     left = o.finish(rows, "symbol", "seq", "vwap", "aggressor_ratio")
-    timed = o.chunked_by_time("ts", seconds)
-    right = o.finish(timed.withColumn("intensity", F.count(F.lit(1)).over(o.time_frame(seconds)) / float(seconds)),
-                     "symbol", "seq", "intensity")
+    right = time_values(ticks, ["symbol"], "ts", {"_n": ("sum", F.lit(1), seconds)}, chunk_rows=chunk_rows).select(
+        "symbol", "seq", (F.col("_n") / float(seconds)).alias("intensity"))
     return left.join(right, ["symbol", "seq"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import joins
-from tickloom.operators.ordered import lay_out
+from tickloom.operators.ordered import lay_out, time_values
 from tickloom.operators.windows import clip, div, last_rows, pct_change, rmean, rstd, rsum
 
 # Weights of the first three levels in the weighted imbalance.
@@ -179,14 +179,12 @@ def effective_spread(trades: DataFrame, tops: DataFrame) -> DataFrame:
 def book_trade_flow(quotes: DataFrame, trades: DataFrame, seconds: int, chunk_rows: int | None = None) -> DataFrame:
     """Order-flow imbalance and share of volume at or below the quote, from the as-of trade of each quote."""
     j = joins.asof(quotes, trades, ["k"], ["price", "quantity"], chunk_rows=chunk_rows)
-    o = lay_out(j, ["k"], ["ts", "seq"], chunk_rows)
-    f = o.time_frame(seconds)
-    part = lambda c: F.sum(F.when(c, F.col("r_quantity")).otherwise(0)).over(f)
-    buy, sell = part(F.col("side") == "bid"), part(F.col("side") == "ask")
-    low, high = part(F.col("r_price") <= F.col("price")), part(F.col("r_price") > F.col("price"))
-    rows = o.chunked_by_time("ts", seconds).withColumns({
-        "ofi": (buy - sell) / (buy + sell + 1), "at_bid_share": low / (low + high + 1), "aggressiveness": high / (low + 1)})
-    return o.finish(rows, "k", "seq", "ofi", "at_bid_share", "aggressiveness")
+    part = lambda c: F.when(c, F.col("r_quantity")).otherwise(0)
+    sums = {"_b": F.col("side") == "bid", "_a": F.col("side") == "ask", "_l": F.col("r_price") <= F.col("price"), "_h": F.col("r_price") > F.col("price")}
+    t = time_values(j, ["k"], "ts", {n: ("sum", part(c), seconds) for n, c in sums.items()}, chunk_rows=chunk_rows)
+    buy, sell, low, high = (F.coalesce(n, F.lit(0)) for n in sums)
+    return t.select("k", "seq", ((buy - sell) / (buy + sell + 1)).alias("ofi"), (low / (low + high + 1)).alias("at_bid_share"),
+                    (high / (low + 1)).alias("aggressiveness"))
 
 
 def combine(offer: DataFrame, price: DataFrame, keys: list[str]) -> DataFrame:

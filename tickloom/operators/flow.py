@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.aggregates import top_values
 from tickloom.operators.joins import flag_members
-from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out
+from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
 from tickloom.operators.scan import recurrence
 from tickloom.operators.windows import (
     clip, distinct_in, div, last_rows, pct_change, percentile_rank, rmean, rmedian, rstd, rsum)
@@ -40,10 +40,10 @@ def _balance(buy: Column, sell: Column) -> Column:
 
 def ofi_time(ticks: DataFrame, seconds: list[int], chunk_rows: int | None = None) -> DataFrame:
     """Order-flow imbalance of the last s seconds, for each s."""
-    o = _layout(ticks, chunk_rows)
     q = F.col("quantity")
-    cols = {f"ofi_{s}s": _balance(F.sum(_buy(q)).over(o.time_frame(s)), F.sum(_sell(q)).over(o.time_frame(s))) for s in seconds}
-    return o.finish(o.chunked_by_time("ts", max(seconds)).withColumns(cols), "symbol", "seq", *cols)
+    spec = {f"_{n}{s}": ("sum", part(q), s) for s in seconds for n, part in (("b", _buy), ("s", _sell))}
+    t = time_values(ticks, ["symbol"], "ts", spec, chunk_rows=chunk_rows)
+    return t.select("symbol", "seq", *[_balance(F.col(f"_b{s}"), F.col(f"_s{s}")).alias(f"ofi_{s}s") for s in seconds])
 
 
 def flow_counts(ticks: DataFrame, chunk_rows: int | None = None) -> DataFrame:
@@ -119,21 +119,20 @@ def intensity(ticks: DataFrame, n: int, long_n: int, chunk_rows: int | None = No
 
 def tape_speed(ticks: DataFrame, short: int, long: int, chunk_rows: int | None = None) -> DataFrame:
     """Trades and volume per second and share of large trades in two time windows, with patterns."""
-    o = _layout(ticks, chunk_rows)
-    q = F.col("quantity")
-    rows = o.chunked_by_time("ts", 2 * long)
-    rows = rows.withColumns({f"_big_{s}": (q > 2 * F.avg(q).over(o.time_frame(s))).cast("int") for s in (short, long)})
+    q, one, us = F.col("quantity"), F.lit(1), F.unix_micros("ts")
+    spec = {f"_{n}{s}": (k, x, s) for s in (short, long) for n, k, x in (("n", "sum", one), ("q", "sum", q), ("t", "min", us))}
+    t = time_values(ticks, ["symbol"], "ts", spec, chunk_rows=chunk_rows)
+    t = t.withColumns({f"_big{s}": (q > 2 * F.col(f"_q{s}") / F.col(f"_n{s}")).cast("int") for s in (short, long)})
+    t = time_values(t, ["symbol"], "ts", {f"_k{s}": ("sum", F.col(f"_big{s}"), s) for s in (short, long)}, chunk_rows=chunk_rows)
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
     for s in (short, long):
-        f = o.time_frame(s)
-        span = (F.col("_us") - F.min("_us").over(f)) / 1e6
-        rows = rows.withColumns({
-            f"speed_{s}": F.coalesce(F.try_divide(F.count(F.lit(1)).over(f), span), F.lit(0.0)),
-            f"velocity_{s}": F.coalesce(F.try_divide(F.sum(q).over(f), span), F.lit(0.0)),
-            f"large_share_{s}": F.avg(f"_big_{s}").over(f)})
+        span = (us - F.col(f"_t{s}")) / 1e6
+        t = t.withColumns({f"speed_{s}": zero(F.try_divide(F.col(f"_n{s}"), span)), f"velocity_{s}": zero(F.try_divide(F.col(f"_q{s}"), span)),
+                           f"large_share_{s}": F.col(f"_k{s}") / F.col(f"_n{s}")})
     a, b = F.col(f"speed_{short}"), F.col(f"speed_{long}")
-    rows = rows.withColumn("acceleration", F.coalesce(F.try_divide(a - b, b), F.lit(0.0)))
-    return o.finish(rows.withColumn("pattern", F.when((b > 0) & (a / F.nullif(b, F.lit(0.0)) > 2), "sudden_acceleration").when(
-        F.col(f"large_share_{long}") > 0.3, "high_intensity")))
+    return t.withColumns({
+        "acceleration": zero(F.try_divide(a - b, b)),
+        "pattern": F.when((b > 0) & (a / F.nullif(b, F.lit(0.0)) > 2), "sudden_acceleration").when(F.col(f"large_share_{long}") > 0.3, "high_intensity")})
 
 
 def tape_patterns(ticks: DataFrame, chunk_rows: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import Ordered, lay_out
+from tickloom.operators.ordered import Ordered, lay_out, time_values
 from tickloom.session import small_side
 
 
@@ -49,15 +49,11 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
 
 
 def recent(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, sums: dict[str, Column],
-           ts: str = "ts", seq: str = "seq", chunk_rows: int | None = None) -> DataFrame:
+           ts: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     """Sums over the right rows in the ``seconds`` up to each left row (range join without pairs)."""
-    o = _stacked(left, right, keys, ts, seq, chunk_rows)
-    f = o.time_frame(seconds)
-    rows = o.chunked_by_time(ts, seconds)
-    right_row = F.col("_r").isNotNull()
-    return rows.select("_own", "_side", "_l", *[
-        F.sum(F.when(right_row, F.coalesce(value, F.lit(0)))).over(f).alias(name) for name, value in sums.items()
-    ]).where("_own AND _side = 1").select("_l.*", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in sums])
+    spec = {n: ("sum", v, seconds) for n, v in sums.items()}
+    out = time_values(right, keys, ts, spec, extra=left, chunk_rows=chunk_rows)
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in sums})
 
 
 def near_marked(df: DataFrame, keys: list[str], order: list[str], marked: Column, half: int,

@@ -67,7 +67,8 @@ class Ordered:
     def chunked_by_time(self, time: str, seconds: float) -> DataFrame:
         """Rows in chunks, each with the earlier rows at most ``seconds`` before its first row.
 
-        Window frames over the result order by ``_us`` (microseconds).
+        Window frames over the result order by ``_us`` (microseconds).  Times must be unique inside
+        a key (``time_values`` sees to that): a range frame also holds later rows of the same time.
         """
         reach = int(seconds * 1_000_000)
         us = F.unix_micros(time)
@@ -205,6 +206,29 @@ def lay_out(df: DataFrame, keys: list[str], order: list[str | Column],
     return Ordered(rows, cols, chunk_rows or CHUNK_ROWS)
 
 
+def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[str, Column, float]],
+                extra: DataFrame | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """Add values over the last ``seconds`` up to each row's time; rows of the same time count.
+
+    ``spec`` maps a name to (kind, value, seconds) with kind sum, min or max.  Rows of one (key,
+    time) are first reduced to one row, so even a huge group of equal times is one row of the
+    ordered frame; the values are then joined back.  ``extra`` holds keys and times (only) at which
+    the values are wanted instead of the rows of ``df``.
+    """
+    value = {n: f"_p_{n}" for n in spec}
+    rows = df.select(*keys, ts, *[v.alias(value[n]) for n, (_, v, _) in spec.items()])
+    at = df if extra is None else extra
+    if extra is not None:
+        rows = rows.unionByName(extra.select(*keys, ts), allowMissingColumns=True)
+    reduce_by = {"sum": F.sum, "min": F.min, "max": F.max}
+    points = rows.groupBy(*keys, ts).agg(*[reduce_by[k](value[n]).alias(value[n]) for n, (k, _, _) in spec.items()])
+    o = lay_out(points, keys, [ts], chunk_rows)
+    framed = o.chunked_by_time(ts, max(sec for *_, sec in spec.values())).select(
+        F.struct(*keys, ts).alias("_at"), "_own",
+        *[_over(k, F.col(value[n]), o.time_frame(sec)).alias(n) for n, (k, _, sec) in spec.items()])
+    return at.withColumn("_at", F.struct(*keys, ts)).join(framed.where("_own").drop("_own"), "_at", "left").drop("_at")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     chunk_rows: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key, exact, without gathering a key in one task.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.history import grid
-from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out
+from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
 from tickloom.operators.windows import div, last_rows, pct_change, rmean, rstd
 from tickloom.session import small_side
 
@@ -287,14 +287,12 @@ def volatility_forecast(bars: DataFrame, horizon: int, speed: float = 0.1) -> Da
 
 def rolling_trades(trades: DataFrame, key: str, days: int, chunk_rows: int | None = None) -> DataFrame:
     """Count, win rate, P&L and Sharpe of the trades closed in the last ``days`` days."""
-    seconds = days * 86400
-    o = lay_out(trades, [key], TRADE_ORDER, chunk_rows)
-    f = o.time_frame(seconds)
-    p = F.col("pnl")
-    rows = o.chunked_by_time("exit_ts", seconds).withColumns({
-        "n": F.count(p).over(f), "win_rate": F.avg((p > 0).cast("double")).over(f), "total": F.sum(p).over(f),
-        "sharpe": F.when(F.count(p).over(f) >= 2, F.try_divide(F.avg(p).over(f), F.stddev_samp(p).over(f)))})
-    return o.finish(rows)
+    p, span = F.col("pnl"), days * 86400
+    t = time_values(trades, [key], "exit_ts", {
+        "n": ("sum", F.lit(1), span), "_w": ("sum", (p > 0).cast("int"), span), "total": ("sum", p, span), "_ss": ("sum", p * p, span)}, chunk_rows=chunk_rows)
+    mean = F.col("total") / F.col("n")
+    std = F.sqrt(F.greatest((F.col("_ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
+    return t.withColumns({"win_rate": F.col("_w") / F.col("n"), "sharpe": F.when(F.col("n") >= 2, F.try_divide(mean, std))}).drop("_w", "_ss")
 
 
 def circuit_breaks(trades: DataFrame, key: str, day_loss: float, max_drawdown: float, mean_abs: float, chunk_rows: int | None = None) -> DataFrame:

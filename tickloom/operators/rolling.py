@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows as wn
-from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out
+from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
 from tickloom.session import small_side
 
 KEYS, ORDER = ["symbol"], ["ts", "seq"]
@@ -47,11 +47,8 @@ def rolling_agents(df: DataFrame, n: int, chunk_rows: int | None = None) -> Data
 
 def range_sums(df: DataFrame, seconds: list[int], chunk_rows: int | None = None) -> DataFrame:
     """Volume in the last s seconds, for each s."""
-    o = layout(df, chunk_rows)
-    rows = o.chunked_by_time("ts", max(seconds))
-    return o.finish(rows.select(
-        "symbol", "seq", "_own",
-        *[F.sum("quantity").over(o.time_frame(s)).alias(f"volume_{s}s") for s in seconds]))
+    spec = {f"volume_{s}s": ("sum", F.col("quantity"), s) for s in seconds}
+    return time_values(df, KEYS, "ts", spec, chunk_rows=chunk_rows).select("symbol", "seq", *spec)
 
 
 def shifts(df: DataFrame, ks: list[int], chunk_rows: int | None = None) -> DataFrame:

@@ -120,7 +120,7 @@ a AS (SELECT *, sum(CASE WHEN side = 'bid' THEN coalesce(rq, 0) ELSE 0 END) OVER
 SELECT k, seq, {r("(buy - sell) / (buy + sell + 1)")} AS ofi, {r("lo / (lo + hi + 1)")} AS at_bid_share, {r("hi / (lo + 1)")} AS aggressiveness FROM a""")
 def _(spark, sf):
     x = bk.book_trade_flow(v.quotes(spark, sf), v.trades_k(spark, sf), 7200)
-    return x.select("k", "seq", *[rd(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("ofi", "at_bid_share", "aggressiveness")])
+    return x.select("k", "seq", *[rd(c).alias(c) for c in ("ofi", "at_bid_share", "aggressiveness")])
 
 
 @query("b11_combined_books", f"""

@@ -124,9 +124,9 @@ SELECT t.k, t.seq, CAST(coalesce(sum(q.quantity) FILTER (q.side = 'bid'), 0) AS
  CAST(coalesce(sum(q.quantity) FILTER (q.side = 'ask'), 0) AS BIGINT) AS ask_volume, count(q.seq) AS updates
 FROM trades_k t LEFT JOIN quotes q ON q.k = t.k AND q.ts <= t.ts AND q.ts >= t.ts - INTERVAL 7200 SECONDS GROUP BY 1, 2""")
 def _(spark, sf):
-    q = F.col("_r.quantity")
+    q = F.col("quantity")
     return jo.recent(v.trades_k(spark, sf), v.quotes(spark, sf), ["k"], 7200, {
-        "bid_volume": F.when(F.col("_r.side") == "bid", q), "ask_volume": F.when(F.col("_r.side") == "ask", q),
+        "bid_volume": F.when(F.col("side") == "bid", q), "ask_volume": F.when(F.col("side") == "ask", q),
         "updates": F.lit(1).cast("long")}).select("k", "seq", "bid_volume", "ask_volume", "updates")
 
 

@@ -223,14 +223,14 @@ def _(spark, sf):
 b AS (SELECT *, greatest(0, least((wr * 1.5 - (1 - wr) * 1.0) / 1.5, 0.25)) AS k, CASE WHEN vol > 0.04 THEN 0.7 WHEN vol > 0.025 THEN 0.85 WHEN vol < 0.01 THEN 1.2 WHEN vol < 0.015 THEN 1.1 ELSE 1 END * CASE WHEN co > 0.8 THEN 0.6 WHEN co > 0.6 THEN 0.75 WHEN co > 0.4 THEN 0.9 ELSE 1 END
  * CASE regime WHEN 'range' THEN 0.95 WHEN 'undefined' THEN 0.8 ELSE 1.15 END * CASE WHEN c < 0.6 THEN 0.85 WHEN c > 0.8 THEN 1.05 ELSE 1 END * least(CASE WHEN c > 0.8 THEN 1.2 WHEN c > 0.7 THEN 1.1 WHEN c < 0.5 THEN 0.7 WHEN c < 0.6 THEN 0.85 ELSE 1 END, 1.5)
  * CASE WHEN dd > 0.1 THEN 0.5 WHEN dd > 0.05 THEN 0.7 WHEN dd > 0.02 THEN 0.85 ELSE 1 END AS mu FROM a)
-SELECT symbol, ts, {r("k", 9)} AS kelly, {r("greatest(0.1, least(mu, 2))", 9)} AS multiplier, {r("100000 * 0.02 * k / close * greatest(0.1, least(mu, 2))", 9)} AS size FROM b""")
+SELECT symbol, ts, {r("k", 9)} AS kelly, {r("greatest(0.1, least(mu, 2))", 12)} AS multiplier, {r("99991 * 0.02 * k / close * greatest(0.1, least(mu, 2))")} AS size FROM b""")
 def _(spark, sf):
     w = by_time("symbol")
     from tickloom.operators.windows import last_rows
     t = _in(spark, sf).withColumns({
         "volatility": rstd(F.col("ret"), w, 20), "correlation": rstd(F.col("close"), w, 20) / 100, "drawdown": 1 - F.col("close") / F.max("close").over(last_rows(w, 20)),
         "win_rate": 0.4 + (F.col("trades") % 5) / 20.0, "avg_win": F.lit(1.5), "avg_loss": F.lit(1.0)})
-    return sg.kelly_size(t, 100000.0, 0.02).select("symbol", "ts", *[rd(c, 9).alias(c) for c in ("kelly", "multiplier", "size")])
+    return sg.kelly_size(t, 99991.0, 0.02).select("symbol", "ts", *[rd(c, n).alias(c) for c, n in (("kelly", 9), ("multiplier", 12), ("size", 6))])
 
 
 @query("d17_blended_stops", LEVELS + f"""

@@ -13,6 +13,8 @@ from tickloom.operators import dedupe
 from tickloom.operators.cleaning import rename_aliases, sample_rows
 from tickloom.session import pin
 
+#: Text form of timestamps; the default of CSV and JSON writers would cut microseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # ---- reading -----------------------------------------------------------------
 
@@ -36,7 +38,7 @@ def between(df: DataFrame, ts: str, start: str | None, end: str | None) -> DataF
 
 def read_csv(spark: SparkSession, path: str, names: T.StructType, start: str | None = None, end: str | None = None) -> DataFrame:
     """CSV with a known schema, foreign column names mapped, optional time filter."""
-    return between(rename_aliases(spark.read.csv(path, header=True, schema=names), schema.ALIASES), "ts", start, end)
+    return between(rename_aliases(spark.read.csv(path, header=True, schema=names, timestampFormat=MICROS), schema.ALIASES), "ts", start, end)
 
 
 def read_tick_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +167,7 @@ def write_datasets(df: DataFrame, root: str) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, kind: str) -> None:
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("timestampFormat", MICROS)
     w.option("header", True).csv(path) if kind == "csv" else w.json(path)
 
 
