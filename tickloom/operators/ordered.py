@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.session import pin, small_side
 
-CHUNK_ROWS = 131_072
+MIN_CHUNK_ROWS, MAX_CHUNK_ROWS = 4_096, 262_144
 HELPERS = ("_key", "_rn", "_chunk", "_own")
 
 
@@ -74,9 +74,8 @@ class Ordered:
         us = F.unix_micros(time)
         own = self.rows.withColumn("_us", us).withColumn(
             "_home", F.floor((F.col("_rn") - 1) / F.lit(self.chunk_rows)))
-        spans = own.groupBy("_key", "_home").agg(
-            F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-        spans = pin(spans)
+        spans = pin(own.groupBy("_key", "_home").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi")))
+        n = spans.count()
         marks = spans.select("_key", "_home", F.col("_lo").alias("_x"), F.lit(0).alias("_kind")).unionByName(
             spans.select("_key", "_home", (F.col("_hi") + reach).alias("_x"), F.lit(1).alias("_kind")))
         by_x = Window.partitionBy("_key").orderBy("_x", "_kind", "_home")
@@ -87,9 +86,9 @@ class Ordered:
         following = spans.withColumn(
             "_next", F.lead("_lo").over(Window.partitionBy("_key").orderBy("_home"))
         ).select("_key", "_home", "_next").join(far, ["_key", "_home"])
-        needed = own.join(small_side(following), ["_key", "_home"]).where(
+        needed = own.join(small_side(following, rows=n), ["_key", "_home"]).where(
             F.col("_us") + reach >= F.col("_next"))
-        starts = small_side(spans.select("_key", F.col("_home").alias("_chunk"), "_lo"))
+        starts = small_side(spans.select("_key", F.col("_home").alias("_chunk"), "_lo"), rows=n)
         copies = (
             needed.withColumn("_chunk", F.explode(F.sequence(F.col("_home") + 1, F.col("_far"))))
             .join(starts, ["_key", "_chunk"])
@@ -138,6 +137,18 @@ class Ordered:
         spare = [f"_{p}_{n}" for n in spec for p in "vlc"]
         return out.drop("_ckey", "_cchunk", *spare)
 
+    def running_peak(self, df: DataFrame, value: Column, total: str, peak: str) -> DataFrame:
+        """Running sum and the highest running sum so far, in one pass; drops the halo."""
+        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        local = df.where("_own").withColumn("_lc", F.sum(value).over(upto)).withColumn("_lp", F.max("_lc").over(upto))
+        parts = local.groupBy("_key", "_chunk").agg(F.max_by("_lc", "_rn").alias("_s"), F.max("_lc").alias("_m"))
+        earlier = (Window.partitionBy("_key").orderBy("_chunk")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.withColumn("_sb", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
+        parts = parts.select("_key", "_chunk", "_sb", F.max(F.col("_sb") + F.col("_m")).over(earlier).alias("_pb"))
+        return local.join(parts, ["_key", "_chunk"]).withColumns({
+            total: F.col("_sb") + F.col("_lc"), peak: F.greatest("_pb", F.col("_sb") + F.col("_lp"))}).drop("_lc", "_lp", "_sb", "_pb")
+
     def finish(self, df: DataFrame, *keep: str | Column) -> DataFrame:
         """Own rows only, without the helper columns."""
         own = df.where("_own")
@@ -197,13 +208,20 @@ def lay_out(df: DataFrame, keys: list[str], order: list[str | Column],
     earlier = (Window.partitionBy("_key").orderBy("_seg")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = pin(per.select(
-        "_key", "_seg",
+        "_key", "_seg", "_cnt",
         (F.col("_first") - F.coalesce(F.sum("_cnt").over(earlier), F.lit(0))).alias("_base")))
+    n, total = offsets.agg(F.count(F.lit(1)), F.coalesce(F.sum("_cnt"), F.lit(0))).first()
     rows = (
-        placed.join(small_side(offsets), ["_key", "_seg"])
+        placed.join(small_side(offsets.drop("_cnt"), rows=n), ["_key", "_seg"])
         .withColumn("_rn", F.col("_pos") - F.col("_base") + 1)
         .select(*cols, "_key", "_rn"))
-    return Ordered(rows, cols, chunk_rows or CHUNK_ROWS)
+    return Ordered(rows, cols, chunk_rows or chunk_size(df.sparkSession, total))
+
+
+def chunk_size(spark: SparkSession, rows: int) -> int:
+    """About four chunks per shuffle task, inside fixed limits."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_CHUNK_ROWS, min(MAX_CHUNK_ROWS, rows // (4 * tasks)))
 
 
 def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[str, Column, float]],
@@ -239,15 +257,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).cast("long").alias("_w"))
     laid = lay_out(hist, keys, [value], chunk_rows)
-    cum = laid.running(laid.chunked(), _upto=("sum", F.col("_w")))
-    total = pin(hist.groupBy(*keys).agg(F.sum("_w").alias("_total")) if keys
-                else hist.agg(F.sum("_w").alias("_total")))
-    total = small_side(total)
-    if keys:
-        tk = total.select(F.struct(*keys).alias("_tkey"), "_total")
-        ranked = cum.join(small_side(tk), F.col("_key") == F.col("_tkey"))
-    else:
-        ranked = cum.crossJoin(total)
+    rows = laid.chunked()
+    whole = Window.partitionBy("_key")
+    parts = rows.groupBy("_key", "_chunk").agg(F.sum("_w").alias("_s"))
+    base = parts.select(
+        "_key", "_chunk", F.sum("_s").over(whole).alias("_total"),
+        F.coalesce(F.sum("_s").over(whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("_w").over(laid.window.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.withColumn("_local", upto).join(base, ["_key", "_chunk"]).withColumn("_upto", F.col("_before") + F.col("_local"))
     low = F.col("_upto") - F.col("_w")
     parts = []
     for name, p in probs.items():

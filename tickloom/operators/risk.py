@@ -99,8 +99,8 @@ def costs(bars: DataFrame, commission: float, ticks: float, tick_value: float, q
 def equity(trades: DataFrame, key: str, start: float, chunk_rows: int | None = None) -> tuple[Ordered, DataFrame]:
     """Running equity, its peak and drawdown per trade, in exit order."""
     o = lay_out(trades, [key], TRADE_ORDER, chunk_rows)
-    e = o.running(o.chunked(), _cum=("sum", F.col("pnl"))).withColumn("equity", F.lit(start) + F.col("_cum"))
-    e = o.running(e, peak=("max", F.col("equity")))
+    e = o.running_peak(o.chunked(), F.col("pnl"), "_cum", "_top").withColumns({
+        "equity": F.lit(start) + F.col("_cum"), "peak": F.lit(start) + F.col("_top")})
     return o, e.withColumns({"drawdown": F.col("equity") - F.col("peak"), "drawdown_pct": F.try_divide(F.col("equity") - F.col("peak"), F.col("peak"))})
 
 
@@ -306,8 +306,8 @@ def circuit_breaks(trades: DataFrame, key: str, day_loss: float, max_drawdown: f
     rows = o.chunked(before=10).withColumns({
         "_l5": F.when(F.count(p).over(w5) >= 5, F.max(p).over(w5) < 0), "_m10": F.when(F.count(p).over(w10) >= 10, F.avg(F.abs(p)).over(w10)),
         "_day": F.to_date("exit_ts"), "_newday": ~F.lag(F.to_date("exit_ts")).over(o.window).eqNullSafe(F.to_date("exit_ts"))})
-    e = o.running(rows, _cum=("sum", p))
-    e = o.running(e, _peak=("max", F.col("_cum")), _before=("last", F.when(F.col("_newday"), F.col("_cum") - p)))
+    e = o.running_peak(rows, p, "_cum", "_peak")
+    e = o.running(e, _before=("last", F.when(F.col("_newday"), F.col("_cum") - p)))
     reason = F.when(F.col("_cum") - F.col("_before") < -day_loss, "daily_loss").when(F.col("_cum") - F.col("_peak") < -max_drawdown, "drawdown").when(
         F.col("_l5"), "consecutive_losses").when(F.col("_m10") > mean_abs, "volatility")
     hit = e.withColumn("reason", reason).where("reason IS NOT NULL")

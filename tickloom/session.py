@@ -57,9 +57,10 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only after counting; beyond ``limit`` the join stays a shuffle join.
 
-    ``df`` should be pinned, or cheap to compute twice.
+    ``df`` should be pinned, or cheap to compute twice; ``rows`` spares the count when known.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    rows = df.limit(limit + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= limit else df
