@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out
 from tickloom.operators.windows import clip, rstd
-from tickloom.session import pin, small_side
+from tickloom.session import small_side
 
 
 def three_way(x: Column, low: Column, high: Column) -> Column:
@@ -165,7 +165,7 @@ def encode(df: DataFrame, col: str, chunk_rows: int | None = None) -> DataFrame:
     """Label codes 0.. in value order; numbered over all tasks, not in one."""
     o = lay_out(df.select(col).distinct(), [], [col], chunk_rows)
     codes = o.rows.select(F.col(col), (F.col("_rn") - 1).alias(f"{col}_code"))
-    return df.join(small_side(pin(codes)), col)
+    return df.join(small_side(codes), col)
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:

@@ -160,7 +160,7 @@ class Ordered:
 
     def with_size(self) -> DataFrame:
         """Rows with the row count of their key in ``_n``."""
-        return self.rows.join(small_side(pin(self.sizes())), "_key")
+        return self.rows.join(small_side(self.sizes()), "_key")
 
 
 def _total(kind: str, v: Column) -> Column:

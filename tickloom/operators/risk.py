@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.history import grid
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
 from tickloom.operators.windows import div, last_rows, pct_change, rmean, rstd
-from tickloom.session import small_side
+from tickloom.session import pin, small_side
 
 # Cost multipliers (commission, slippage, spread) per backtest mode.
 COST_MODES = [("simple", 1.0, 0.0, 0.0), ("realistic", 1.0, 1.0, 1.0),
@@ -107,7 +107,8 @@ def equity(trades: DataFrame, key: str, start: float, chunk_rows: int | None = N
 def drawdown_periods(trades: DataFrame, key: str, start: float, chunk_rows: int | None = None) -> DataFrame:
     """One row per stay below a peak: first and last exit, depth, number of trades, recovered or not."""
     o, e = equity(trades, key, start, chunk_rows)
-    e = o.running(e, period=("sum", (F.col("equity") >= F.col("peak")).cast("long")))
+    # pinned: the next pass reads the curve twice
+    e = o.running(pin(e), period=("sum", (F.col("equity") >= F.col("peak")).cast("long")))
     below = e.where(F.col("equity") < F.col("peak"))
     top = e.groupBy(key).agg(F.max("period").alias("_top"))
     return below.groupBy(key, "period").agg(
@@ -217,9 +218,12 @@ def excursions(trades: DataFrame, day_bars: DataFrame, levels: int = 13) -> Data
     """
     g = grid(day_bars.select("symbol", "ts", "high", "low"), 24 * 60)
     w = Window.partitionBy("symbol").orderBy("ts")
-    for k in range(levels):
-        f = w.rowsBetween(0, 2 ** k - 1)
-        g = g.withColumns({f"_h{k}": F.max("high").over(f), f"_l{k}": F.min("low").over(f)})
+    g = g.withColumns({"_h0": F.col("high"), "_l0": F.col("low")})
+    for k in range(1, levels):  # each level joins two neighbouring blocks of the level before
+        half = 2 ** (k - 1)
+        g = g.withColumns({
+            f"_h{k}": F.greatest(f"_h{k - 1}", F.lead(f"_h{k - 1}", half).over(w)),
+            f"_l{k}": F.least(f"_l{k - 1}", F.lead(f"_l{k - 1}", half).over(w))})
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ts", F.col(c).alias("v")))), lambda x: x.v)
     packed = g.groupBy("symbol").agg(
         F.min("ts").alias("_first"), F.count(F.lit(1)).alias("_days"),
@@ -241,7 +245,7 @@ def roll_up(fills: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     o = lay_out(fills, ["symbol"], ["ts", "seq"], chunk_rows)
     q = F.when(F.col("side") == "buy", 1).when(F.col("side") == "sell", -1).otherwise(0)
     rows = o.running(o.chunked(), net=("sum", q.cast("long")), cash=("sum", -q * F.col("price")))
-    rows = o.running(rows, trip=("sum", (F.col("net") == 0).cast("long")), realised=("last", F.when(F.col("net") == 0, F.col("cash"))))
+    rows = o.running(pin(rows), trip=("sum", (F.col("net") == 0).cast("long")), realised=("last", F.when(F.col("net") == 0, F.col("cash"))))
     return rows.withColumns({
         "trip": F.when(F.col("net") == 0, F.col("trip") - 1).otherwise(F.col("trip")), "realised": F.coalesce("realised", F.lit(0.0)),
         "value": F.col("cash") + F.col("net") * F.col("price"),
@@ -307,7 +311,7 @@ def circuit_breaks(trades: DataFrame, key: str, day_loss: float, max_drawdown: f
         "_l5": F.when(F.count(p).over(w5) >= 5, F.max(p).over(w5) < 0), "_m10": F.when(F.count(p).over(w10) >= 10, F.avg(F.abs(p)).over(w10)),
         "_day": F.to_date("exit_ts"), "_newday": ~F.lag(F.to_date("exit_ts")).over(o.window).eqNullSafe(F.to_date("exit_ts"))})
     e = o.running_peak(rows, p, "_cum", "_peak")
-    e = o.running(e, _before=("last", F.when(F.col("_newday"), F.col("_cum") - p)))
+    e = o.running(pin(e), _before=("last", F.when(F.col("_newday"), F.col("_cum") - p)))
     reason = F.when(F.col("_cum") - F.col("_before") < -day_loss, "daily_loss").when(F.col("_cum") - F.col("_peak") < -max_drawdown, "drawdown").when(
         F.col("_l5"), "consecutive_losses").when(F.col("_m10") > mean_abs, "volatility")
     hit = e.withColumn("reason", reason).where("reason IS NOT NULL")

@@ -131,21 +131,21 @@ def _(spark, sf):
 
 
 @query("j14_near_marked_rows", """
-SELECT symbol, seq FROM (SELECT symbol, seq, max(CASE WHEN seq % 211 = 0 THEN 1 ELSE 0 END) OVER
+SELECT symbol, seq FROM (SELECT symbol, seq, max(CASE WHEN price > 380 THEN 1 ELSE 0 END) OVER
  (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS m FROM ticks) WHERE m = 1""")
 def _(spark, sf):
-    return jo.near_marked(v.ticks(spark, sf), ["symbol"], ["ts", "seq"], F.col("seq") % 211 == 0, 25).select("symbol", "seq")
+    return jo.near_marked(v.ticks(spark, sf), ["symbol"], ["ts", "seq"], F.col("price") > 380, 25).select("symbol", "seq")
 
 
 @query("j15_q04_reconcile", f"""
-WITH t AS (SELECT symbol AS s, date_trunc('hour', ts) AS h, max(price) AS hi, min(price) AS lo, sum(quantity) AS vol FROM ticks WHERE seq % 50 <> 0 GROUP BY 1, 2),
+WITH t AS (SELECT symbol AS s, date_trunc('hour', ts) AS h, max(price) AS hi, min(price) AS lo, sum(quantity) AS vol FROM dirty_ticks WHERE price > 0 GROUP BY 1, 2),
 j AS (SELECT b.symbol, b.ts, t.s IS NOT NULL AS found, coalesce(abs(t.hi - b.high) / b.high <= 0.01 AND abs(t.lo - b.low) / b.low <= 0.01, false) AS price_ok,
  coalesce(abs(t.vol - b.volume) / b.volume <= 0.1, false) AS volume_ok FROM bars b LEFT JOIN t ON t.s = b.symbol AND t.h = b.ts)
 SELECT symbol, count(*) AS bars, CAST(sum(CAST(found AS INT)) AS BIGINT) AS matched, CAST(sum(CAST(price_ok AS INT)) AS BIGINT) AS price_ok,
  CAST(sum(CAST(volume_ok AS INT)) AS BIGINT) AS volume_ok, {r("sum(CASE WHEN price_ok AND volume_ok THEN 1 ELSE 0 END) / count(*)")} AS score FROM j GROUP BY 1""")
 def _(spark, sf):
     from tickloom.operators import quality
-    return quality.reconcile(v.ticks(spark, sf).where(F.col("seq") % 50 != 0), v.bars(spark, sf), "1 hour", 0.01, 0.1
+    return quality.reconcile(v.dirty_ticks(spark, sf).where("price > 0"), v.bars(spark, sf), "1 hour", 0.01, 0.1
                              ).withColumn("score", rd("score"))
 
 

@@ -21,6 +21,7 @@ def local_session(name: str = "tickloom", cores: str | None = None) -> SparkSess
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -60,7 +61,10 @@ def pin(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only after counting; beyond ``limit`` the join stays a shuffle join.
 
-    ``df`` should be pinned, or cheap to compute twice; ``rows`` spares the count when known.
+    The side is pinned first, so the tables behind it are read once for count and join together;
+    ``rows`` spares both when the number is known.
     """
-    rows = df.limit(limit + 1).count() if rows is None else rows
+    if rows is None:
+        df = pin(df)
+        rows = df.count()
     return F.broadcast(df) if rows <= limit else df

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tickloom import schema
 from tickloom.operators import dedupe
 from tickloom.operators.cleaning import rename_aliases, sample_rows
-from tickloom.session import pin
+from tickloom.session import pin, small_side
 
 #: Text form of timestamps; the default of CSV and JSON writers would cut microseconds.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -110,7 +110,7 @@ def merge_into(new: DataFrame, root: str, keys: list[str], order: list[str]) ->
     new = new.withColumn("date", F.to_date("ts"))
     try:
         old = spark.read.parquet(root)
-        old = old.join(F.broadcast(new.select("date").distinct()), "date", "left_semi").select(*new.columns)
+        old = old.join(small_side(new.select("date").distinct()), "date", "left_semi").select(*new.columns)
         both = old.unionByName(new)
     except Exception as e:  # the first merge finds no table
         if "PATH_NOT_FOUND" not in str(e):
