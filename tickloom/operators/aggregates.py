@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import exact_quantiles, lay_out, time_values
-from tickloom.operators.windows import div, last_rows, pct_change, rmean
+from tickloom.operators.windows import corr, div, last_rows, pct_change, rmean
 from tickloom.session import small_side
 
 
@@ -139,7 +139,7 @@ def monthly_returns(bars: DataFrame) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: list[str], threshold: float = 0.95) -> DataFrame:
     """All column pairs with their Pearson correlation, from one aggregation."""
     pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[corr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
                      for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(rows).alias("p")).select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import exact_quantiles, lay_out
-from tickloom.operators.windows import trend_slope
+from tickloom.operators.windows import corr, trend_slope
 from tickloom.session import small_side
 
 
@@ -72,7 +72,7 @@ def diversity(df: DataFrame, models: list[str], actual: str = "actual") -> DataF
     parts = []
     for i, (m1, m2) in enumerate(pairs):
         x, y, t = F.col(m1), F.col(m2), F.col(actual)
-        parts += [F.avg(_is(x != y)).alias(f"d{i}"), F.corr(m1, m2).alias(f"c{i}"),
+        parts += [F.avg(_is(x != y)).alias(f"d{i}"), corr(F.col(m1), F.col(m2)).alias(f"c{i}"),
                   F.sum(_is((x == t) & (y == t))).alias(f"a{i}"), F.sum(_is((x != t) & (y != t))).alias(f"b{i}"),
                   F.sum(_is((x == t) & (y != t))).alias(f"e{i}"), F.sum(_is((x != t) & (y == t))).alias(f"f{i}"),
                   (F.avg(_is(x == 1)) * F.avg(_is(y == 1)) + F.avg(_is(x == 0)) * F.avg(_is(y == 0))).alias(f"p{i}")]

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import last_rows, rmean, rstd
+from tickloom.operators.windows import corr, last_rows, rmean, rstd
 
 MAX_GRID_ROWS = 20_000_000
 
@@ -63,7 +63,7 @@ def volume_pattern(g: DataFrame, n: int, per_day: int, days: int = 7) -> DataFra
     for k in range(1, days + 1):
         past = F.col(f"_p{k}")
         ok = (F.count(past).over(f) >= n) & (F.stddev_pop("volume").over(f) > 0) & (F.stddev_pop(past).over(f) > 0)
-        g = g.withColumn(f"_c{k}", F.when(ok, F.corr("volume", past).over(f)))
+        g = g.withColumn(f"_c{k}", F.when(ok, corr(F.col("volume"), past, f)))
         corrs.append(F.col(f"_c{k}"))
     seen = _add([c.isNotNull().cast("int") for c in corrs])
     total = _add([F.coalesce(c, F.lit(0.0)) for c in corrs])

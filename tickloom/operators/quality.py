@@ -14,6 +14,7 @@ from tickloom.functions.columns import market_open, repaired_ohlc
 from tickloom.operators import dedupe
 from tickloom.operators.history import grid
 from tickloom.operators.ordered import exact_quantiles, lay_out
+from tickloom.operators.windows import corr
 from tickloom.session import small_side
 
 
@@ -232,7 +233,7 @@ def synthetic_signs(ticks: DataFrame, chunk_rows: int | None = None) -> DataFram
         (F.max("c") / F.sum("c")).alias("top_share"))
     base = t.groupBy("symbol").agg(
         (F.stddev_samp("quantity") / F.avg("quantity")).alias("volume_cv"), (F.stddev_samp("g") / F.avg("g")).alias("interval_cv"),
-        F.corr("price", "prev").alias("autocorr"))
+        corr(F.col("price"), F.col("prev")).alias("autocorr"))
     j = base.join(steps, "symbol").join(top, "symbol")
     return j.withColumn("signs", F.concat_ws(",", F.when(F.col("volume_cv") < 0.15, "even_volume"), F.when(
         F.col("unique_steps") < 0.7, "repeated_steps"), F.when(F.col("interval_cv") < 0.1, "even_intervals"), F.when(
@@ -262,7 +263,7 @@ def feature_report(df: DataFrame, cols: list[str], high: float = 0.95) -> DataFr
                   F.sum((F.abs(x) == float("inf")).cast("long")).alias(f"{c}_inf"), F.var_samp(ok).alias(f"{c}_var"),
                   (F.max(ok) == F.min(ok)).cast("int").alias(f"{c}_const")]
     pairs = list(combinations(cols, 2))
-    parts += [F.corr(a, b).alias(f"corr{i}") for i, (a, b) in enumerate(pairs)]
+    parts += [corr(F.col(a), F.col(b)).alias(f"corr{i}") for i, (a, b) in enumerate(pairs)]
     wide = df.agg(*parts)
     strong = lambda c: sum((F.coalesce((F.abs(f"corr{i}") > high).cast("int"), F.lit(0)) for i, p in enumerate(pairs) if c in p), F.lit(0))
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_nan").alias("nans"), F.col(f"{c}_inf").alias("infs"),
@@ -323,7 +324,7 @@ def diagnostics(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     for c in cols:
         parts += [(1 - F.count(c) / n).alias(f"{c}_null"), F.var_samp(c).alias(f"{c}_var"),
                   F.avg(F.abs(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")))).alias(f"{c}_z"),
-                  F.corr(c, target).alias(f"{c}_corr")]
+                  corr(F.col(c), F.col(target)).alias(f"{c}_corr")]
     wide = df.crossJoin(F.broadcast(first)).agg(*parts)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_null").alias("null_share"), F.col(f"{c}_var").alias("variance"),
                               F.col(f"{c}_z").alias("mean_abs_z"), F.col(f"{c}_corr").alias("target_corr")) for c in cols])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.history import grid
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
-from tickloom.operators.windows import div, last_rows, pct_change, rmean, rstd
+from tickloom.operators.windows import corr, div, last_rows, pct_change, rmean, rstd
 from tickloom.session import pin, small_side
 
 # Cost multipliers (commission, slippage, spread) per backtest mode.
@@ -263,7 +263,7 @@ def compare_runs(live: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame
     """Correlation of values and match rate of signals between two runs on common keys."""
     j = live.alias("l").join(test.alias("t"), keys)
     return j.groupBy(keys[0]).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("l.price", "t.price").alias("correlation"),
+        F.count(F.lit(1)).alias("n"), corr(F.col("l.price"), F.col("t.price")).alias("correlation"),
         F.avg((F.col("l.side") == F.col("t.side")).cast("double")).alias("match_rate"), F.avg(F.abs(F.col("l.price") - F.col("t.price"))).alias("mean_diff"))
 
 
@@ -277,7 +277,7 @@ def rolling_correlation(bars: DataFrame, n: int) -> DataFrame:
     a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("ret").alias("ra")), r.select(F.col("symbol").alias("b"), "ts", F.col("ret").alias("rb"))
     j = a.join(b, "ts").where("a < b")
     f = last_rows(Window.partitionBy("a", "b").orderBy("ts"), n)
-    return j.select("a", "b", "ts", F.when(F.count("ra").over(f) >= n, F.corr("ra", "rb").over(f)).alias("correlation"))
+    return j.select("a", "b", "ts", F.when(F.count("ra").over(f) >= n, corr(F.col("ra"), F.col("rb"), f)).alias("correlation"))
 
 
 def volatility_forecast(bars: DataFrame, horizon: int, speed: float = 0.1) -> DataFrame:

@@ -24,7 +24,7 @@ def rolling_stats(df: DataFrame, n: int, chunk_rows: int | None = None) -> DataF
             "symbol", "seq", "_own", wn.rmean(p, w, n).alias("mean"), wn.rstd(p, w, n).alias("std"),
             wn.rmin(p, w, n).alias("min"), wn.rmax(p, w, n).alias("max"), wn.rsum(p, w, n).alias("sum"),
             wn.rmedian(p, w, n).alias("median"), wn.percentile_rank(p, w, n).alias("rank"),
-            wn.roll(lambda c: F.corr(c, F.col("quantity")), p, w, n).alias("corr"),
+            F.when(F.count(p).over(o.last(n)) >= n, wn.corr(p, F.col("quantity"), o.last(n))).alias("corr"),
             wn.roll(F.var_pop, p, w, n).alias("turbulence")))
 
 
@@ -132,7 +132,7 @@ def randomness(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     rows = o.chunked(before=1).withColumn("_a", above).withColumn("_prev", F.lag("price").over(o.window))
     rows = rows.withColumn("_turn", (F.lag("_a").over(o.window) != F.col("_a")).cast("long"))
     return rows.where("_own").groupBy("symbol").agg(
-        (F.sum(F.coalesce("_turn", F.lit(0))) + 1).alias("runs"), F.corr("price", "_prev").alias("autocorr"))
+        (F.sum(F.coalesce("_turn", F.lit(0))) + 1).alias("runs"), wn.corr(F.col("price"), F.col("_prev")).alias("autocorr"))
 
 
 def crossings(df: DataFrame, fast: int, slow: int, chunk_rows: int | None = None) -> DataFrame:

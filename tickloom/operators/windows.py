@@ -97,3 +97,14 @@ def clip(x: Column, low: float | None = None, high: float | None = None) -> Colu
     if high is not None:
         y = F.least(y, F.lit(high))
     return F.when(x.isNotNull(), y)
+
+
+def corr(x: Column, y: Column, frame: WindowSpec | None = None) -> Column:
+    """Pearson correlation, as an aggregate or over a frame; null where a side is constant.
+
+    The built-in divides by zero there, which is an error in ANSI mode.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = [p.over(frame) if frame is not None else p for p in parts]
+    return F.try_divide(cov, sx * sy)
