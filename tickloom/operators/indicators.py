@@ -141,7 +141,7 @@ def adx(bars: DataFrame, n: int = 14) -> DataFrame:
         ("wa", "tr", "wilder", n), ("wp", "pw", "wilder", n), ("wm", "mw", "wilder", n),
         ("wdx", lambda p: _directional(p, "wp", "wm", "wa"), "expr", 0), ("adx_wilder", "wdx", "wilder_late", n)]
     out = smooth(b.select("symbol", "ts", "tr", "pe", "me", "pw", "mw", "adx_sma"), ["symbol"], "ts", steps)
-    x = F.col("adx")
+    x = F.round("adx", 9)  # a full 100 belongs to the last class
     return out.select(
         "symbol", "ts", "adx", (100 * F.col("ps") / F.col("a")).alias("plus_di"),
         (100 * F.col("ms") / F.col("a")).alias("minus_di"), "adx_sma", "adx_wilder",

@@ -95,7 +95,7 @@ d AS (SELECT *, 100 * ps / ta AS pdi, 100 * ms / ta AS mdi, CASE WHEN rn > 1 THE
 f AS (SELECT *, {es.ema("dx", 14, "(rn - 1)")} AS adx, {mean("sdx", 14)} AS adx_sma, {mean("wdx", 14, 1)} AS wseed FROM d),
 g AS (SELECT *, CASE WHEN rn <= 28 THEN wseed ELSE {es.ema("(CASE WHEN rn = 28 THEN wseed ELSE wdx END)", 0, "(rn - 27)", alpha=1 / 14)} END AS adx_wilder FROM f)
 SELECT symbol, ts, {r("adx")} AS adx, {r("pdi")} AS plus_di, {r("mdi")} AS minus_di, {r("adx_sma")} AS adx_sma, {r("adx_wilder")} AS adx_wilder,
- CASE WHEN adx <= 0 THEN NULL WHEN adx <= 25 THEN 'weak' WHEN adx <= 50 THEN 'moderate' WHEN adx <= 75 THEN 'strong' WHEN adx <= 100 THEN 'very_strong' END AS strength FROM g""")
+ CASE WHEN round(adx, 9) <= 0 THEN NULL WHEN round(adx, 9) <= 25 THEN 'weak' WHEN round(adx, 9) <= 50 THEN 'moderate' WHEN round(adx, 9) <= 75 THEN 'strong' WHEN round(adx, 9) <= 100 THEN 'very_strong' END AS strength FROM g""")
 def _(spark, sf):
     return out(ti.adx(v.bars(spark, sf)), ["adx", "plus_di", "minus_di", "adx_sma", "adx_wilder"], ["strength"])
 
