@@ -139,3 +139,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     value = _letters[data] * _power(int(place.max()) + 1)[place]
     value[gap] = 0
     return mix(np.add.reduceat(value, first)), counts
+
+
+def without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the only column of ``keys`` (distinct, from a checkpoint).
+
+    Rows that a Bloom bitmap of the keys shows not to be among them pass straight through; only the
+    others shuffle. A null key is never among them. Column names of ``docs`` are free.
+    """
+    name = keys.columns[0]
+    test = bloom_filter(keys, name, bloom_bits(keys.count()))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).withColumn("maybe", test(F.col("key")))
+    rest = rows.filter("maybe").join(keys.withColumnRenamed(name, "key"), "key", "left_anti")
+    return rows.filter(~F.col("maybe")).select("row.*").unionByName(rest.select("row.*"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, packing, secrets
+from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, packing, secrets, substring_dedup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,36 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(_table(spark, sf, "documents"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("text", 256).alias("clean_sha256"))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, source, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM d),
+b AS (SELECT line FROM l WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.LEAST_SITES}),
+k AS (SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
+  coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '') AS s FROM l LEFT JOIN b USING (line) GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(s) AS clean_sha256 FROM k
+"""
+
+
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    model = language_id.fit(_table(spark, sf, "documents"))
+    out = language_id.identify(language_id.page_rows(_table(spark, sf, "pages")), model)
+    return out.withColumnRenamed("id", "page_id").withColumn("page_id", F.col("page_id").cast("long"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf, "documents"))
+    return out.select("doc_id", "repeats.n_sentences", "repeats.n_removed", "repeats.first_docs", F.sha2("text", 256).alias("clean_sha256"))
+
+
+def op6_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(_table(spark, sf, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(_table(spark, sf, "documents")).drop("spans_list")
 
@@ -44,8 +75,9 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
-    return {"op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_language_id": op2_language_id, "op4_substring_dedup": op4_substring_dedup, "op6_nearest": op6_nearest,
+            "op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing}
 
 
 def oracles() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op9_exact_dedup": OP9_SQL}
