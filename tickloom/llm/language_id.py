@@ -21,6 +21,8 @@ WEIGHT = 60.0
 LEAN, PSEUDO = 8.0, 1.0
 #: Least posterior of an accepted language.
 SURE = 0.5
+#: Texts with fewer trigrams are not called noise.
+FEW = 20
 
 _fold = np.full(256, 32, np.uint8)  # all but letters is a space
 _fold[97:123] = _fold[65:91] = np.arange(97, 123)
@@ -40,19 +42,20 @@ class TextModel:
         return -float(np.log(self.logs.shape[1]))
 
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts of a column, and where each text's begin and end in them."""
+def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed trigrams of all texts of a column, where each text's begin and end in them, and its number of letters (bytes)."""
     data, offsets = text_buffers(column)
     data = _fold[data].astype(np.uint32)
+    letters = np.diff(np.concatenate([[0], np.cumsum(data != 32)])[offsets])
     if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), letters
     code = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
     inside = np.ones(len(data), bool)  # a trigram ends in its own text, and has no two spaces in front
     ends = offsets[1:][np.diff(offsets) > 0]
     inside[np.maximum(ends - 1, 0)] = inside[np.maximum(ends - 2, 0)] = False
     inside = inside[:-2] & ((code >> 8) != 0x2020)
     places = np.concatenate([[0], np.cumsum(inside)])
-    return ((code[inside] * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)).astype(np.int64), places[np.minimum(offsets, len(inside))]
+    return ((code[inside] * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)).astype(np.int64), places[np.minimum(offsets, len(inside))], letters
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", labelled: int = LABELLED) -> TextModel:
@@ -64,7 +67,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for part in slices(batches):
-            grams, places = trigrams(part.column(1))
+            grams, places, _ = trigrams(part.column(1))
             for i, lang in enumerate(part.column(0).to_pylist()):
                 counts.setdefault(lang, np.zeros(FEATURES, np.int64))
                 counts[lang] += np.bincount(grams[places[i]:places[i + 1]], minlength=FEATURES)
@@ -83,23 +86,24 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 
 
 def likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` (id, text, declared, suffix, host, site) with ``grams`` and, per language, the mean log likelihood of a trigram."""
+    """``rows`` without text, with ``grams``, the mean log likelihood of a trigram per language, and the ``best`` language's number."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=2 << 20):
-            grams, places = trigrams(part.column(1))
+            grams, places, letters = trigrams(part.column(1))
             n = np.diff(places)
             means = []
             for logs in shared.value.logs:
                 sums = np.concatenate([[0.0], np.cumsum(logs[grams])])
                 means.append((sums[places[1:]] - sums[places[:-1]]) / np.maximum(n, 1))
+            best = pa.array(np.argmax(means, axis=0).astype(np.int32), mask=n == 0)
             flat = pa.array(np.stack(means, 1).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(means)), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(n.astype(np.int64)), lists],
-                                             ["id", "declared", "suffix", "host", "site", "grams", "means"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(n.astype(np.int64)), pa.array(letters.astype(np.int64)), best, lists],
+                                             ["id", "declared", "suffix", "host", "site", "grams", "letters", "best", "means"])
     return rows.select("id", "text", "declared", "suffix", "host", "site").mapInArrow(
-        task, "id string, declared string, suffix string, host string, site string, grams long, means array<double>")
+        task, "id string, declared string, suffix string, host string, site string, grams long, letters long, best int, means array<double>")
 
 
 def _vector(columns: list[Column]) -> Column:
@@ -115,15 +119,11 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     the host's share of the language, which leans on its site's and that on the share in all rows. The tables
     behind the last three come from aggregations over all rows by their text's language. A missing
     declaration, suffix or host says nothing. Ties go to the first language in order. ``lang`` is
-    ``und`` and the row is not accepted when its text has no letters, or is less likely than noise in every
-    language, or no language reaches a posterior of ``SURE``. Repeated rows repeat; no rows give none.
+    ``und`` and the row is not accepted when its text has no letters, or has ``FEW`` trigrams or more and is
+    less likely than noise in every language, or no language reaches a posterior of ``SURE``. Repeated rows repeat; no rows give none.
     """
     langs = model.languages
-    known = [F.col("means")[i] for i in range(len(langs))]
-    top = F.greatest(*known) if len(known) > 1 else known[0]
-    scored = pin(likelihoods(rows, model)
-                 .withColumn("best", F.when(F.col("grams") > 0, F.call_function("array_position", F.col("means"), top) - 1))
-                 .withColumn("declared", F.lower(F.substring_index("declared", "-", 1))))
+    scored = pin(likelihoods(rows, model).withColumn("declared", F.lower(F.substring_index("declared", "-", 1))))
     votes = [F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(len(langs))]
     n = [F.col(f"n{i}") for i in range(len(langs))]
     hosts = pin(scored.filter(F.col("host").isNotNull()).groupBy("host").agg(F.max("site").alias("site"), F.count(F.lit(1)).alias("rows"), *votes))
@@ -154,13 +154,13 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     weight = F.least(F.col("grams").cast("double"), F.lit(WEIGHT))
     logs = [F.col("means")[i] * weight + F.coalesce("by_declared", nothing)[i] + F.coalesce("by_suffix", nothing)[i] + F.coalesce("prior", prior)[i]
             for i in range(len(langs))]
-    fused = fused.withColumn("logs", _vector(logs)).withColumn("most", F.array_max("logs"))
-    fused = fused.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))
+    top = F.array_max(F.transform("logs", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))
+    fused = fused.withColumn("logs", _vector(logs)).withColumn("top", top)
+    fused = fused.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top.x"))))
     name = F.array(*[F.lit(x) for x in langs])
-    accepted = (F.col("grams") > 0) & (top > model.floor) & (F.col("posterior") >= SURE)
-    return fused.select("id", "declared", "host", name[F.col("best").cast("int")].alias("text_lang"),
-                        F.when(accepted, F.element_at(name, F.call_function("array_position", F.col("logs"), F.col("most")).cast("int"))).otherwise("und").alias("lang"),
-                        "posterior", accepted.alias("accepted"))
+    accepted = (F.col("letters") > 0) & ((F.col("grams") < FEW) | (F.array_max("means") > model.floor)) & (F.col("posterior") >= SURE)
+    return fused.select("id", "declared", "host", F.get(name, F.col("best")).alias("text_lang"),
+                        F.when(accepted, F.get(name, -F.col("top.i"))).otherwise("und").alias("lang"), "posterior", accepted.alias("accepted"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
