@@ -22,7 +22,7 @@ LEAN, PSEUDO = 8.0, 1.0
 #: Least posterior of an accepted language.
 SURE = 0.5
 #: Texts with fewer trigrams are not called noise.
-FEW = 20
+FEW = 60
 
 _fold = np.full(256, 32, np.uint8)  # all but letters is a space
 _fold[97:123] = _fold[65:91] = np.arange(97, 123)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, packing, secrets, substring_dedup
+from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "repeats.n_sentences", "repeats.n_removed", "repeats.first_docs", F.sha2("text", 256).alias("clean_sha256"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf, "documents"), words=2)
+
+
 def op6_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(_table(spark, sf, "embeddings"))
 
@@ -75,7 +79,8 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_language_id": op2_language_id, "op4_substring_dedup": op4_substring_dedup, "op6_nearest": op6_nearest,
+    return {"op1_line_dedup": op1_line_dedup, "op2_language_id": op2_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup,
+            "op6_nearest": op6_nearest,
             "op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing}
 
 
