@@ -18,8 +18,8 @@ BANDS, ROWS = 32, 4
 WORDS, PERCENT = 5, 80
 #: Of 128 signature bytes, this many must agree; 5.5 standard deviations below what a similarity of 0.8 gives.
 AGREE = 78
-#: Members of a bucket that are compared in one task, in blocks against blocks.
-BLOCK = 1024
+#: Shingles of the members of a bucket in one block, which meets others in one group; members in a group, about.
+BLOCK, GROUP = 200_000, 1000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,19 +85,23 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
 
 
+def _sets(docs: DataFrame, ids: DataFrame, count: int, words: int) -> DataFrame:
+    """``id, s``: whole sets, made again from the texts, of the documents that pass a Bloom bitmap of ``ids``."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=2 << 20):
+            sets = [s.view(np.int64) for s in shingle_sets(part.column(1), words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+    test = bloom_filter(ids, "id", bloom_bits(count))
+    return _rows(docs).filter(F.col("doc_id").isNotNull() & test(F.col("doc_id"))).mapInArrow(task, "id long, s array<long>")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), from a checkpoint, those whose whole sets are similar enough.
 
-    Sets are made again from the texts, for documents that pass a Bloom bitmap of the pairs' ids.
     A document with many partners makes a large partition of a plain sort-merge join, which Spark can split.
     """
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=2 << 20):
-            sets = [s.astype(np.int64) for s in shingle_sets(part.column(1), words)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    test = bloom_filter(ids, "id", bloom_bits(2 * pairs.count()))
-    sets = _rows(docs).filter(F.col("doc_id").isNotNull() & test(F.col("doc_id"))).mapInArrow(task, "id long, s array<long>")
+    sets = _sets(docs, ids, 2 * pairs.count(), words)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     same = F.size(F.array_intersect("sa", "sb"))
@@ -132,34 +136,89 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of one bucket but of different components whose signatures agree: ``a, b``.
+def _crossing(docs: DataFrame, members: DataFrame, labels: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents of one bucket but of different components: ``a, b``, enough of them to join what is linked.
 
     Buckets within one component drop out. In the others, blocks of members meet blocks in tasks of
-    bounded size; only pairs of similar size and signature leave a task.
+    bounded size: once to see by signatures who has a partner, then, for those, with their whole sets.
+    A pair is looked at in its first common bucket, and not at all once links of the task join its components.
     """
-    marked = pin(members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
-    open_ = pin(marked.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
-                .filter(F.col("low") != F.col("high")).select("bucket", "rows"))
-    rows = hot_join(marked, open_, "bucket", "rows").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    by = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "sig")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, root, n, own = (table.column(c).to_numpy() for c in ("id", "root", "n", "own"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left = np.flatnonzero(own == table.column("i")[0].as_py())
-        right = np.flatnonzero(own == table.column("j")[0].as_py())
-        found = []
-        for x in left:
-            y = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x])) & (ids[right] != ids[x])]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= AGREE]
-            found += [np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])])]
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    marked = pin(members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root")))
+    open_ = pin(marked.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"),
+                                             F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter(F.col("low") != F.col("high")).select("bucket", "rows", "blocks"))
+    rows = hot_join(marked, open_, "bucket", "rows").join(reps.select(F.col("doc_id").alias("id"), "sig", "bands"), "id")
+    slots = max(1, int((open_.agg(F.sum("rows")).first()[0] or 0) // GROUP))
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "sig", "bands").withColumn(
+        "slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)).cast("int"))
+    kinds = "bucket long, i int, j int, own int, id long, root long, n long, sig binary, bands array<long>, slot int"
+    seen = pin(by.groupBy("slot").applyInArrow(lambda t: _Slot(t, percent).partners(t), kinds))
+    ids = seen.select("id").distinct()
+    full = seen.join(_sets(docs, ids, seen.count(), words), "id")
+    return full.groupBy("slot").applyInArrow(lambda t: _Slot(t, percent).links(t.column("s").combine_chunks()), "a long, b long").distinct()
+
+
+class _Slot:
+    """The blocks of one task, as arrays."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.percent = percent
+        self.bucket, self.i, self.j, self.own, self.id, self.root, self.n = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "id", "root", "n"))
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(self.id), -1)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(self.id), -1)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row with the rows of its block pair that may be linked to it, every pair from one side."""
+        order = np.lexsort((self.own, self.j, self.i, self.bucket))
+        change = np.flatnonzero((np.diff(self.bucket[order]) != 0) | (np.diff(self.i[order]) != 0) | (np.diff(self.j[order]) != 0)) + 1
+        for rows in np.split(order, change):
+            i, j = self.i[rows[0]], self.j[rows[0]]
+            left = rows[self.own[rows] == i]
+            right = rows[self.own[rows] == j]
+            for at, x in enumerate(left):
+                y = right[at + 1:] if i == j else right
+                y = y[self.root[y] != self.root[x]]
+                y = y[100 * np.minimum(self.n[y], self.n[x]) >= self.percent * np.maximum(self.n[y], self.n[x])]
+                if len(y):
+                    y = y[(self.sig[y] == self.sig[x]).sum(axis=1) >= AGREE]
+                if len(y):
+                    common = self.bands[y] == self.bands[x]
+                    y = y[self.bands[x][common.argmax(axis=1)] == self.bucket[x]]
+                if len(y):
+                    yield x, y
+
+    def partners(self, table: pa.Table) -> pa.Table:
+        met = np.zeros(len(self.id), bool)
+        for x, y in self.candidates():
+            met[x] = met[y] = True
+        return table.filter(pa.array(met))
+
+    def links(self, sets: pa.ListArray) -> pa.Table:
+        values, offsets = sets.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while (above := up.get(r, r)) != r:
+                up[r] = r = up.get(above, above)
+            return r
 
-    return by.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        found = []
+        for x, ys in self.candidates():
+            own = values[offsets[x]:offsets[x + 1]]
+            for at in range(0, len(ys), 64):
+                y = np.array([k for k in ys[at:at + 64] if top(int(self.root[k])) != top(int(self.root[x]))], int)
+                if not len(y):
+                    continue
+                parts = [values[offsets[k]:offsets[k + 1]] for k in y]
+                flat = np.concatenate(parts)
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                same = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]))
+                for k in y[100 * same >= self.percent * (len(own) + np.array([len(p) for p in parts]) - same)]:
+                    a, b = top(int(self.root[x])), top(int(self.root[k]))
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        found.append((int(self.id[x]), int(self.id[k])))
+        return pa.table([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -169,7 +228,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     space parts words; null text is empty) have a similarity of ``percent`` or more; a component's id is its
     smallest. Documents with equal sets form one class at once, by aggregation. Classes meet in buckets of equal bands:
     each is first confirmed against the pivot it shares most buckets with; then, of what the
-    components leave open, all pairs of different components in a bucket are confirmed. Every link rests on whole sets.
+    components leave open, pairs of different components in a bucket, until no link can join two more. Every link rests on whole sets.
     Texts without words are linked with nothing. Rows that repeat an id are one node with all their
     links. A null id has no component and is kept. No rows in, no rows out.
     """
@@ -187,12 +246,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     pairs = pin(best.select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b")))
     links = pin(confirm(docs, pairs, words, percent))
     labels = pin(components(links))
-    more = pin(_open_pairs(members.join(buckets.select("bucket"), "bucket", "left_semi"), labels, reps, percent))
-    known = labels.select("node", "root")
-    joined = pin(confirm(docs, more, words, percent))
-    if not joined.isEmpty():
-        crossing = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(joined)
-        labels = pin(components(crossing))
+    more = pin(_crossing(docs, members, labels, reps, words, percent))
+    if not more.isEmpty():
+        labels = pin(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("key", F.coalesce("root", "rep").alias("component_id"), "rows")
     out = hot_join(usable.select("doc_id", "key", "n"), pin(named), "key", "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = feats.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
