@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets, substring_dedup
+import corpus_pipeline
+from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, substring_dedup
+from tickloom.llm.tokens import vocabulary
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +18,6 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def vocabulary(name: str) -> str:
-    """The place of a public vocabulary file."""
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup.remove_boilerplate(_table(spark, sf, "documents"))
     return out.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("text", 256).alias("clean_sha256"))
@@ -43,6 +39,10 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnRenamed("id", "page_id").withColumn("page_id", F.col("page_id").cast("long"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, sf, "documents"))
     return out.select("doc_id", "repeats.n_sentences", "repeats.n_removed", "repeats.first_docs", F.sha2("text", 256).alias("clean_sha256"))
@@ -79,9 +79,9 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_language_id": op2_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup,
+    return {"op1_line_dedup": op1_line_dedup, "op2_language_id": op2_language_id, "op3_lm_scoring": op3_lm_scoring, "op4_substring_dedup": op4_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup,
             "op6_nearest": op6_nearest,
-            "op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing}
+            "op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -12,6 +12,12 @@ import pyarrow as pa
 CACHED = 400_000
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 class Cache(dict):
     """A mapping that computes what it lacks; of old entries only those used again stay."""
 
@@ -36,6 +42,7 @@ class WordIds:
     what ASCII white space parts, nor a letter and a full stop or comma behind it."""
 
     _of: dict[str, Cache] = {}
+    _sizes: dict[str, int] = {}
 
     def __init__(self, path: str):
         if path not in self._of:
@@ -49,8 +56,8 @@ class WordIds:
                 if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
                     return self._of[path][word[:-1]] + self._of[path][word[-1:]]
                 return np.array(tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            self._of[path] = Cache(compute)
-        self.cache = self._of[path]
+            self._of[path], self._sizes[path] = Cache(compute), tok.get_vocab_size(with_added_tokens=True)
+        self.cache, self.size = self._of[path], self._sizes[path]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         get = self.cache.__getitem__
