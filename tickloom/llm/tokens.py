@@ -60,10 +60,15 @@ class WordIds:
         self.cache, self.size = self._of[path], self._sizes[path]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts."""
         get = self.cache.__getitem__
-        return [b"".join(map(get, _lower(text).split())) for text in texts.cast(pa.binary()).to_pylist()]
+        return [b"".join(map(get, lower(text).split())) for text in texts.cast(pa.binary()).to_pylist()]
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without white space."""
+        return [self.cache[lower(w)] for w in words]
 
-def _lower(text: bytes) -> bytes:
+
+def lower(text: bytes) -> bytes:
     """Lower-cased, unless special tokens or combining marks (first bytes CC, CD) could make that differ from the tokenizer's order."""
     return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
