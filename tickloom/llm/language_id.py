@@ -21,6 +21,8 @@ WEIGHT = 60.0
 LEAN, PSEUDO = 8.0, 1.0
 #: Least posterior of an accepted language.
 SURE = 0.5
+#: Weight of the even distribution that is mixed with every language's trigrams.
+UNSEEN = 0.1
 #: Texts with fewer trigrams are not called noise.
 FEW = 60
 
@@ -38,8 +40,8 @@ class TextModel:
 
     @property
     def floor(self) -> float:
-        """Mean log likelihood of a trigram when all are equally likely; noise lies below."""
-        return -float(np.log(self.logs.shape[1]))
+        """Mean log likelihood of a trigram in a text of which the language shares next to nothing."""
+        return float(np.log(1.2 * UNSEEN / self.logs.shape[1]))
 
 
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,11 +80,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     found = (chosen.select(F.col(label).alias("lang"), F.col(text).alias("text")).mapInArrow(task, "lang string, gram long, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(found["lang"].unique()) or ["und"]
-    counts = np.full((len(languages), FEATURES), 0.1)
+    counts = np.zeros((len(languages), FEATURES))
     for i, lang in enumerate(languages):
         own = found[found["lang"] == lang]
         counts[i, own["gram"].to_numpy(int)] += own["n"].to_numpy(float)
-    return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
+    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
+    return TextModel(languages, np.log((1 - UNSEEN) * shares + UNSEEN / FEATURES))
 
 
 def likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -119,8 +122,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     the host's share of the language, which leans on its site's and that on the share in all rows. The tables
     behind the last three come from aggregations over all rows by their text's language. A missing
     declaration, suffix or host says nothing. Ties go to the first language in order. ``lang`` is
-    ``und`` and the row is not accepted when its text has no letters, or has ``FEW`` trigrams or more and is
-    less likely than noise in every language, or no language reaches a posterior of ``SURE``. Repeated rows repeat; no rows give none.
+    ``und`` and the row is not accepted when its text has no letters, or has ``FEW`` trigrams or more of which
+    next to none is known to any language, or no language reaches a posterior of ``SURE``. Repeated rows repeat; no rows give none.
     """
     langs = model.languages
     scored = pin(likelihoods(rows, model).withColumn("declared", F.lower(F.substring_index("declared", "-", 1))))
