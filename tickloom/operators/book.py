@@ -47,9 +47,14 @@ def depth(book: DataFrame) -> DataFrame:
            "micro_price": micro, "micro_deviation": micro - (pb + pa) / 2})
 
 
-def depth_analysis(book: DataFrame) -> DataFrame:
-    """Depth of ten levels, imbalance, depth-weighted mid and liquidity score."""
-    bid, ask = _sum(F.slice("bid_volumes", 1, 10)), _sum(F.slice("ask_volumes", 1, 10))
+def _levels(c: str, depth: int | None) -> Column:
+    """The first ``depth`` levels of a side, all by default."""
+    return F.slice(c, 1, depth) if depth else F.col(c)
+
+
+def depth_analysis(book: DataFrame, depth: int | None = None) -> DataFrame:
+    """Depth of ``depth`` levels (all by default), imbalance, depth-weighted mid and liquidity score."""
+    bid, ask = _sum(_levels("bid_volumes", depth)), _sum(_levels("ask_volumes", depth))
     pb, pa = F.element_at("bid_prices", 1), F.element_at("ask_prices", 1)
     bps = (pa - pb) / ((pa + pb) / 2) * 10000
     return book.withColumns({
@@ -58,12 +63,12 @@ def depth_analysis(book: DataFrame) -> DataFrame:
         "liquidity_score": F.least((bid + ask) / 1000, F.lit(1.0)) * 0.7 + F.greatest(F.lit(0.0), 1 - bps / 50) * 0.3})
 
 
-def major_levels(book: DataFrame, multiple: float = 2.0) -> DataFrame:
-    """One row per level whose volume exceeds ``multiple`` times the mean of its side."""
+def major_levels(book: DataFrame, multiple: float = 2.0, depth: int | None = None) -> DataFrame:
+    """One row per level, of the first ``depth`` (all by default), whose volume exceeds ``multiple`` times the mean of its side."""
     def side(s: str) -> DataFrame:
-        vols = F.slice(f"{s}_volumes", 1, 20)
+        vols = _levels(f"{s}_volumes", depth)
         lv = book.select("symbol", "seq", (_sum(vols) / F.size(vols)).alias("mean"),
-                         F.posexplode(F.arrays_zip(F.slice(f"{s}_prices", 1, 20).alias("price"), vols.alias("volume"))))
+                         F.posexplode(F.arrays_zip(_levels(f"{s}_prices", depth).alias("price"), vols.alias("volume"))))
         return lv.select("symbol", "seq", F.lit(s).alias("side"), (F.col("pos") + 1).alias("level"),
                          F.col("col.price").alias("price"), F.col("col.volume").alias("volume"),
                          F.try_divide("col.volume", "mean").alias("significance")
@@ -71,10 +76,10 @@ def major_levels(book: DataFrame, multiple: float = 2.0) -> DataFrame:
     return side("bid").unionByName(side("ask"))
 
 
-def liquidity_gaps(book: DataFrame, basis_points: float = 1.0) -> DataFrame:
+def liquidity_gaps(book: DataFrame, basis_points: float = 1.0, depth: int | None = None) -> DataFrame:
     """Number and widest size of price gaps above three times the expected step, per side."""
     def gaps(s: str) -> Column:
-        p = F.slice(f"{s}_prices", 1, 10)
+        p = _levels(f"{s}_prices", depth)
         steps = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.abs(a - b))
         return F.filter(steps, lambda g: g > F.element_at(p, 1) * (basis_points / 10000) * 3)
     return book.withColumns({f"{s}_gaps": F.size(gaps(s)) for s in ("bid", "ask")}
@@ -109,9 +114,9 @@ def book_patterns(book: DataFrame, n: int, long_n: int, chunk_rows: int | None =
     return o.finish(rows, "symbol", "seq", *cols)
 
 
-def liquidity_drop(book: DataFrame, n: int = 10, ratio: float = 0.7, chunk_rows: int | None = None) -> DataFrame:
+def liquidity_drop(book: DataFrame, n: int = 10, ratio: float = 0.7, chunk_rows: int | None = None, depth: int | None = None) -> DataFrame:
     """Snapshots whose score falls below ``ratio`` times the mean of the last n."""
-    scored = depth_analysis(book).select("symbol", "seq", "liquidity_score")
+    scored = depth_analysis(book, depth).select("symbol", "seq", "liquidity_score")
     o = lay_out(scored, ["symbol"], ["seq"], chunk_rows)
     rows = o.chunked(before=n).withColumn("mean_score", rmean(F.col("liquidity_score"), o.window, n))
     return o.finish(rows.withColumn("low_liquidity", F.coalesce(

@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.windows import corr, last_rows, rmean, rstd
 
-MAX_GRID_ROWS = 20_000_000
+#: Steps of a grid that one row is expanded to at once.
+GRID_BLOCK = 1024
 
 
 def grid(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """A row for every step between the first and last bar of a key; ``real`` marks given bars."""
-    span = bars.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
-    rows = (F.unix_seconds("_b") - F.unix_seconds("_a")) / (minutes * 60)
-    span = span.withColumn("_a", F.when(rows <= MAX_GRID_ROWS, F.col("_a")).otherwise(
-        F.raise_error(F.lit("time grid too long; use a wider step")).cast("timestamp")))
-    step = F.expr(f"INTERVAL {minutes} MINUTES")
-    all_ts = span.select(*keys, F.explode(F.sequence("_a", "_b", step)).alias("ts"))
+    """A row for every step between the first and last bar of a key; ``real`` marks given bars.
+
+    A key's span is cut into blocks of steps, which are spread before they are expanded, so a long
+    grid of one key is no single task's work.
+    """
+    step = minutes * 60_000_000
+    span = bars.groupBy(*keys).agg(F.unix_micros(F.min("ts")).alias("_a"), F.unix_micros(F.max("ts")).alias("_b"))
+    span = span.withColumn("_n", F.floor((F.col("_b") - F.col("_a")) / step).cast("long"))
+    blocks = span.select(*keys, "_a", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"), F.lit(GRID_BLOCK).cast("long"))).alias("_i")).repartition(*keys, "_i")
+    steps = blocks.select(*keys, "_a", F.explode(F.sequence("_i", F.least(F.col("_i") + GRID_BLOCK - 1, F.col("_n")))).alias("_i"))
+    all_ts = steps.select(*keys, F.timestamp_micros(F.col("_a") + F.col("_i") * step).alias("ts"))
     return all_ts.join(bars.withColumn("real", F.lit(1)), [*keys, "ts"], "left").withColumn("real", F.coalesce("real", F.lit(0)))
 
 

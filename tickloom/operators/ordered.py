@@ -233,6 +233,8 @@ def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[s
     ordered frame; the values are then joined back.  ``extra`` holds keys and times (only) at which
     the values are wanted instead of the rows of ``df``.
     """
+    if all(kind == "sum" for kind, *_ in spec.values()):
+        return _time_sums(df, keys, ts, spec, extra, chunk_rows)
     value = {n: f"_p_{n}" for n in spec}
     rows = df.select(*keys, ts, *[v.alias(value[n]) for n, (_, v, _) in spec.items()])
     at = df if extra is None else extra
@@ -247,6 +249,38 @@ def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[s
     return at.withColumn("_at", F.struct(*keys, ts)).join(framed.where("_own").drop("_own"), "_at", "left").drop("_at")
 
 
+def _time_sums(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[str, Column, float]],
+               extra: DataFrame | None, chunk_rows: int | None) -> DataFrame:
+    """Sums over the last ``seconds`` as a difference of running totals, linear in the rows for any window.
+
+    Each time is stacked with marks ``seconds`` before it, at which the total of strictly earlier
+    times is wanted; one running pass over that order gives both totals.  Fractions are summed as
+    decimals of ten places, so that differences are exact.
+    """
+    kinds = dict(df.select(*[v.alias(n) for n, (_, v, _) in spec.items()]).dtypes)
+    exact = lambda n, v: v.cast("decimal(28,10)") if kinds[n] in ("double", "float") else v
+    rows = df.select(*keys, ts, *[exact(n, v).alias(f"_p_{n}") for n, (_, v, _) in spec.items()])
+    at = df if extra is None else extra
+    if extra is not None:
+        rows = rows.unionByName(extra.select(*keys, ts), allowMissingColumns=True)
+    points = rows.groupBy(*keys, ts).agg(*[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in spec], *[F.count(f"_p_{n}").alias(f"_c_{n}") for n in spec])
+    reach = sorted({int(sec * 1_000_000) for *_, sec in spec.values()})
+    stops = F.array(F.lit(-1).cast("long"), *[F.lit(x).cast("long") for x in reach])  # -1: the point itself
+    stacked = points.withColumn("_s", F.explode(stops)).withColumn("_x", F.unix_micros(ts) - F.greatest("_s", F.lit(0)))
+    own = F.col("_s") == -1
+    stacked = stacked.select(*keys, ts, "_s", "_x", own.cast("int").alias("_own"),
+                             *[F.when(own, F.col(f"{p}{n}")).alias(f"{p}{n}") for n in spec for p in ("_p_", "_c_")])
+    o = lay_out(stacked, keys, ["_x", "_own", "_s"], chunk_rows)
+    totals = o.running(o.chunked(), **{f"_t{p}{n}": ("sum", F.col(f"{p}{n}")) for n in spec for p in ("_p_", "_c_")})
+    pick = lambda c, s: F.max(F.when(F.col("_s") == s, F.col(c)))
+    wanted = {n: int(sec * 1_000_000) for n, (*_, sec) in spec.items()}
+    framed = totals.groupBy(*keys, ts).agg(*[(F.coalesce(pick(f"_t{p}{n}", -1), F.lit(0)) - F.coalesce(pick(f"_t{p}{n}", wanted[n]), F.lit(0))).alias(f"{p}{n}")
+                                             for n in spec for p in ("_p_", "_c_")])
+    back = lambda n: F.col(f"_p_{n}").cast("double" if kinds[n] in ("double", "float") else "decimal(38,10)" if kinds[n].startswith("decimal") else "long")
+    framed = framed.select(F.struct(*keys, ts).alias("_at"), *[F.when(F.col(f"_c_{n}") > 0, back(n)).alias(n) for n in spec])
+    return at.withColumn("_at", F.struct(*keys, ts)).join(framed, "_at", "left").drop("_at")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     chunk_rows: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key, exact, without gathering a key in one task.

@@ -199,25 +199,40 @@ def null_report(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFra
 NEUTRAL = {"rsi": 50.0, "adx": 15.0, "momentum": 0.0, "volume": 0.0}
 
 
+# Parts of the names of ratio columns.
+RATIOS = ("ratio", "pct", "percent", "imbalance")
+
+
 def smart_fill(bars: DataFrame, cols: list[str]) -> DataFrame:
-    """Fill by kind of column: prices carried both ways, ratios interpolated at most five rows, others neutral."""
+    """Fill by kind of column: prices carried both ways, ratios interpolated at most five rows and then carried
+    forward and backward, others neutral.  Columns without any value stay null."""
     w = Window.partitionBy("symbol").orderBy("ts")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     out = bars.withColumn("_i", F.row_number().over(w))
     fills = {}
+    ratios = [c for c in cols if any(r in c for r in RATIOS) and not any(k in c for k in NEUTRAL)]
     for c in cols:
         x = F.col(c)
         p, n = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)
         neutral = [v for k, v in NEUTRAL.items() if k in c]
         if neutral:
             fills[c] = F.coalesce(x, F.lit(neutral[0]))
-        elif "ratio" in c:
+        elif c in ratios:
             at = F.when(x.isNotNull(), F.col("_i"))
             pi, ni = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
             fills[c] = F.when(x.isNotNull(), x).when(F.col("_i") - pi <= 5, p + (n - p) * (F.col("_i") - pi) / (ni - pi))
         else:
             fills[c] = F.coalesce(p, n)
-    return out.withColumns(fills).drop("_i")
+    out = out.withColumns(fills)
+    rest = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in ratios}
+    return (out.withColumns(rest) if rest else out).drop("_i")
+
+
+def zero_share(filled: DataFrame, cols: list[str], most: float = 0.3) -> DataFrame:
+    """Check after filling: share of zeros of each column and symbol, and whether it is above ``most``."""
+    long = filled.select("symbol", F.explode(F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "value"))
+    out = long.groupBy("symbol", "name").agg(F.avg((F.col("value") == 0).cast("double")).alias("zeros"))
+    return out.withColumn("suspicious", F.coalesce((F.col("zeros") > most).cast("int"), F.lit(0)))
 
 
 def synthetic_signs(ticks: DataFrame, chunk_rows: int | None = None) -> DataFrame:

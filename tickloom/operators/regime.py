@@ -65,7 +65,7 @@ def trend_flags(bars: DataFrame) -> DataFrame:
                           "volatility_class": F.when(F.col("ratio") <= 0.8, 0).when(F.col("ratio") <= 1.2, 1).otherwise(2)})
 
 
-def distribution(t: DataFrame, start: int, step: int) -> DataFrame:
+def distribution(t: DataFrame, start: int, step: int = 1) -> DataFrame:
     """Regime shares over every ``step``-th bar from bar ``start`` on, and the dominant one."""
     w = Window.partitionBy("symbol").orderBy("ts")
     s = t.withColumn("_i", F.row_number().over(w) - 1).where((F.col("_i") >= start) & ((F.col("_i") - start) % step == 0))

@@ -29,18 +29,18 @@ def cross_signal(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     return bars.withColumn("position", F.coalesce(F.signum(d), F.lit(0.0)).cast("int"))
 
 
-def outcomes(signals: DataFrame, sweep: list[tuple[float, float]], horizon: int, cost: float) -> DataFrame:
+def outcomes(signals: DataFrame, sweep: list[tuple[float, float]], cost: float, holding: int | None = None) -> DataFrame:
     """First barrier each signal meets in later bars of its day: stop, target, opposite signal, session end.
 
-    The later bars of a signal come from a forward frame of at most ``horizon`` bars, so no join and
-    no pairs; ``sweep`` lists (stop, target) fractions and is a literal.  Overlap of trades is not
-    resolved here.
+    The later bars of a signal come from a forward frame to the end of its (symbol, day), so no join
+    and no pairs; a day's bars, bounded by the clock, share a task.  ``holding`` closes a trade after
+    so many bars with the reason ``holding_limit``.  ``sweep`` lists (stop, target) fractions and is a
+    literal.  Overlap of trades is not resolved here.
     """
-    w = _w()
-    later = F.collect_list(F.struct("ts", "open", "high", "low", "close", "position")).over(w.rowsBetween(1, horizon))
-    s = signals.withColumn("_later", later).where("position <> 0")
-    day = F.to_date("ts")
-    s = s.withColumn("_later", F.filter("_later", lambda b: F.to_date(b.ts) == day)).where(F.size("_later") > 0)
+    day = Window.partitionBy("symbol", F.to_date("ts"))
+    frame = day.orderBy("ts").rowsBetween(1, holding or Window.unboundedFollowing)
+    later = F.collect_list(F.struct("ts", "open", "high", "low", "close", "position")).over(frame)
+    s = signals.withColumns({"_later": later, "_close": F.max("ts").over(day)}).where("position <> 0").where(F.size("_later") > 0)
     s = s.withColumn("sweep", F.explode(F.array(*[F.struct(F.lit(a).alias("stop"), F.lit(b).alias("target")) for a, b in sweep])))
     side = F.col("position")
     s = s.withColumn("entry", F.element_at("_later", 1).open * (1 + side * cost))
@@ -52,7 +52,8 @@ def outcomes(signals: DataFrame, sweep: list[tuple[float, float]], horizon: int,
         st, tg = F.col("_stop"), F.col("_target")
         hit_stop = F.when(side > 0, b.low <= st).otherwise(b.high >= st)
         hit_target = F.when(side > 0, b.high >= tg).otherwise(b.low <= tg)
-        reason = F.when(hit_stop, "stop").when(hit_target, "target").when(b.position == -side, "opposite").when(b.ts == F.col("_end"), "session_end")
+        reason = F.when(hit_stop, "stop").when(hit_target, "target").when(b.position == -side, "opposite").when(b.ts == F.col("_close"), "session_end").when(
+            b.ts == F.col("_end"), "holding_limit")
         price = F.when(reason == "stop", st).when(reason == "target", tg).otherwise(b.close)
         return F.struct(b.ts.alias("ts"), reason.alias("reason"), price.alias("price"))
 
@@ -209,35 +210,36 @@ def streaks(trades: DataFrame, key: str, chunk_rows: int | None = None) -> DataF
     return out.groupBy(key).agg(F.max(F.when(F.col("win") == 1, n)).alias("longest_wins"), F.max(F.when(F.col("win") == 0, n)).alias("longest_losses"))
 
 
-def excursions(trades: DataFrame, day_bars: DataFrame, levels: int = 13) -> DataFrame:
+def excursions(trades: DataFrame, day_bars: DataFrame) -> DataFrame:
     """Worst and best price of the key's daily bars during each trade.
 
     Daily bars per key are bounded by the calendar.  For each power of two the extremes of the
-    following 2^k days are kept per day, so two look-ups answer any holding period and trades are
-    never paired with days.  ``levels`` covers 2^(levels - 1) days.
+    following 2^k days are kept per day, as many powers as the longest series needs, so two
+    look-ups by (key, power, day) answer any holding period and trades are never paired with days.
     """
+    spans = pin(day_bars.groupBy("symbol").agg(F.to_date(F.min("ts")).alias("_first"), F.datediff(F.max("ts"), F.min("ts")).alias("_span")))
+    levels = int(spans.agg(F.max("_span")).first()[0] or 0).bit_length() + 1
     g = grid(day_bars.select("symbol", "ts", "high", "low"), 24 * 60)
     w = Window.partitionBy("symbol").orderBy("ts")
-    g = g.withColumns({"_h0": F.col("high"), "_l0": F.col("low")})
+    g = g.withColumns({"_h0": F.col("high"), "_l0": F.col("low"), "_day": F.row_number().over(w) - 1})
     for k in range(1, levels):  # each level joins two neighbouring blocks of the level before
         half = 2 ** (k - 1)
         g = g.withColumns({
             f"_h{k}": F.greatest(f"_h{k - 1}", F.lead(f"_h{k - 1}", half).over(w)),
             f"_l{k}": F.least(f"_l{k - 1}", F.lead(f"_l{k - 1}", half).over(w))})
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ts", F.col(c).alias("v")))), lambda x: x.v)
-    packed = g.groupBy("symbol").agg(
-        F.min("ts").alias("_first"), F.count(F.lit(1)).alias("_days"),
-        F.array(*[ordered(f"_h{k}") for k in range(levels)]).alias("_hi"), F.array(*[ordered(f"_l{k}") for k in range(levels)]).alias("_lo"))
-    t = trades.join(small_side(packed), F.col("regime") == F.col("symbol"), "left")
+    table = small_side(g.select("symbol", "_day", F.posexplode(F.array(*[F.struct(F.col(f"_h{k}").alias("h"), F.col(f"_l{k}").alias("l")) for k in range(levels)])).alias(
+        "_k", "_x")).select("symbol", "_k", "_day", "_x.h", "_x.l"))
+    t = trades.join(small_side(spans), F.col("regime") == F.col("symbol"), "left").drop("symbol")
     a = F.datediff("entry_ts", "_first") + (F.col("entry_ts") > F.date_trunc("day", "entry_ts")).cast("int")
-    t = t.withColumns({"_a": F.greatest(a, F.lit(0)), "_b": F.least(F.datediff("exit_ts", "_first"), (F.col("_days") - 1).cast("int"))})
+    t = t.withColumns({"_a": F.greatest(a, F.lit(0)), "_b": F.least(F.datediff("exit_ts", "_first"), F.col("_span"))})
     n = F.col("_b") - F.col("_a") + 1
-    k = F.floor(F.log2(n.cast("double"))).cast("int")
-    t = t.withColumn("_k", F.when(n >= 1, k))
-    second = F.col("_b") - F.expr("shiftleft(1, _k)") + 1
-    at = lambda table, i: F.get(F.get(table, F.col("_k")), i)
-    return t.withColumns({"high": F.greatest(at("_hi", F.col("_a")), at("_hi", second)), "low": F.least(at("_lo", F.col("_a")), at("_lo", second))}).drop(
-        "_hi", "_lo", "_first", "_days", "_a", "_b", "_k", "symbol")
+    t = t.withColumn("_k", F.when(n >= 1, F.floor(F.log2(n.cast("double"))).cast("int")))
+    t = t.withColumn("_second", F.col("_b") - F.expr("shiftleft(1, _k)") + 1)
+    for at, name in (("_a", "1"), ("_second", "2")):
+        side = table.select(F.col("symbol").alias("_s"), F.col("_k").alias("_kk"), F.col("_day").alias("_d"), F.col("h").alias(f"_h{name}"), F.col("l").alias(f"_l{name}"))
+        t = t.join(side, (t["regime"] == side["_s"]) & (t["_k"] == side["_kk"]) & (t[at] == side["_d"]), "left").drop("_s", "_kk", "_d")
+    return t.withColumns({"high": F.greatest("_h1", "_h2"), "low": F.least("_l1", "_l2")}).drop(
+        "_h1", "_l1", "_h2", "_l2", "_first", "_span", "_a", "_b", "_k", "_second")
 
 
 def roll_up(fills: DataFrame, chunk_rows: int | None = None) -> DataFrame:
@@ -267,17 +269,16 @@ def compare_runs(live: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame
         F.avg((F.col("l.side") == F.col("t.side")).cast("double")).alias("match_rate"), F.avg(F.abs(F.col("l.price") - F.col("t.price"))).alias("mean_diff"))
 
 
-def rolling_correlation(bars: DataFrame, n: int) -> DataFrame:
-    """Correlation of bar returns of every symbol pair over the last n common bars.
-
-    The result holds one row per pair and bar by definition.
-    """
+def rolling_correlation(bars: DataFrame, n: int, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Correlation of bar returns over the last n common bars, for the given ``pairs`` of symbols."""
     w = _w()
     r = bars.select("symbol", "ts", pct_change(F.col("close"), w).alias("ret")).where("ret IS NOT NULL")
-    a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("ret").alias("ra")), r.select(F.col("symbol").alias("b"), "ts", F.col("ret").alias("rb"))
-    j = a.join(b, "ts").where("a < b")
+    roles = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s")) for a, b in pairs for s in (a, b)])
+    own = r.withColumn("_p", F.explode(F.filter(roles, lambda p: p.s == F.col("symbol")))).select("_p.a", "_p.b", "ts", "symbol", "ret")
+    both = own.groupBy("a", "b", "ts").agg(*[F.max(F.when(F.col("symbol") == F.col(c), F.col("ret"))).alias(f"r{c}") for c in ("a", "b")]).where(
+        "ra IS NOT NULL AND rb IS NOT NULL")
     f = last_rows(Window.partitionBy("a", "b").orderBy("ts"), n)
-    return j.select("a", "b", "ts", F.when(F.count("ra").over(f) >= n, corr(F.col("ra"), F.col("rb"), f)).alias("correlation"))
+    return both.select("a", "b", "ts", F.when(F.count("ra").over(f) >= n, corr(F.col("ra"), F.col("rb"), f)).alias("correlation"))
 
 
 def volatility_forecast(bars: DataFrame, horizon: int, speed: float = 0.1) -> DataFrame:

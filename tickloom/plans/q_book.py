@@ -143,7 +143,7 @@ WITH a AS (SELECT *, list_sum(bid_volumes) AS b, list_sum(ask_volumes) AS s FROM
 SELECT symbol, seq, b AS bid_depth, s AS ask_depth, {r("coalesce((b - s) / nullif(b + s, 0), 0)")} AS depth_imbalance,
  {r("coalesce((bid_prices[1] * s + ask_prices[1] * b) / nullif(b + s, 0), (bid_prices[1] + ask_prices[1]) / 2)")} AS weighted_mid, {r(SCORE)} AS liquidity_score FROM a""")
 def _(spark, sf):
-    return bk.depth_analysis(v.book_l2(spark, sf)).select(
+    return bk.depth_analysis(v.book_l2(spark, sf), 10).select(
         "symbol", "seq", "bid_depth", "ask_depth", *[rd(c).alias(c) for c in ("depth_imbalance", "weighted_mid", "liquidity_score")])
 
 
@@ -152,14 +152,14 @@ WITH a AS (SELECT symbol, seq, 'bid' AS side, list_avg(bid_volumes) AS m, unnest
  UNION ALL SELECT symbol, seq, 'ask', list_avg(ask_volumes), unnest(range(1, 6)), unnest(ask_prices), unnest(ask_volumes) FROM book_l2)
 SELECT symbol, seq, side, level, price, volume, {r("volume / m")} AS significance FROM a WHERE volume / m > 1.7""")
 def _(spark, sf):
-    return bk.major_levels(v.book_l2(spark, sf), 1.7).withColumn("significance", rd("significance"))
+    return bk.major_levels(v.book_l2(spark, sf), 1.7, 20).withColumn("significance", rd("significance"))
 
 
 @query("b13_liquidity_gaps", f"""
 SELECT symbol, seq, len(list_filter([abs(bid_prices[i] - bid_prices[i + 1]) FOR i IN range(1, 5)], lambda g: g > bid_prices[1] * 0.0001 * 3)) AS bid_gaps,
  len(list_filter([abs(ask_prices[i] - ask_prices[i + 1]) FOR i IN range(1, 5)], lambda g: g > ask_prices[1] * 0.0001 * 3)) AS ask_gaps, 0.5::DOUBLE AS bid_widest, 0.5::DOUBLE AS ask_widest FROM book_l2""")
 def _(spark, sf):
-    return bk.liquidity_gaps(v.book_l2(spark, sf)).select("symbol", "seq", "bid_gaps", "ask_gaps", "bid_widest", "ask_widest")
+    return bk.liquidity_gaps(v.book_l2(spark, sf), depth=10).select("symbol", "seq", "bid_gaps", "ask_gaps", "bid_widest", "ask_widest")
 
 
 @query("b14_regular_prints", f"""
@@ -243,5 +243,5 @@ def _(spark, sf):
 WITH a AS (SELECT symbol, seq, {SCORE} AS sc FROM book_l2)
 SELECT symbol, seq, {r("sc")} AS liquidity_score, {r(mean("sc", 10, part=SP))} AS mean_score, {flag(f"sc < {mean('sc', 10, part=SP)} * 0.9")} AS low_liquidity FROM a""")
 def _(spark, sf):
-    return bk.liquidity_drop(v.book_l2(spark, sf), 10, 0.9).select(
+    return bk.liquidity_drop(v.book_l2(spark, sf), 10, 0.9, depth=10).select(
         "symbol", "seq", rd("liquidity_score").alias("liquidity_score"), rd("mean_score").alias("mean_score"), "low_liquidity")

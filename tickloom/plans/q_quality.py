@@ -141,13 +141,23 @@ def _(spark, sf):
 
 
 @query("q10_smart_fill", f"""
-WITH g AS (SELECT *, row_number() OVER {W} AS i FROM {GAPPY} z), f AS ({FILLS})
-SELECT symbol, ts, coalesce(cp, cn) AS close, {r("coalesce(volume, 0)")} AS volume, coalesce(rsi, 50) AS rsi, {r("CASE WHEN hl_ratio IS NOT NULL THEN hl_ratio WHEN i - hpi <= 5 THEN hp + (hn - hp) * (i - hpi) / (hni - hpi) END")} AS hl_ratio FROM f""")
+WITH g AS (SELECT *, row_number() OVER {W} AS i FROM {GAPPY} z), f AS ({FILLS}),
+h AS (SELECT *, CASE WHEN hl_ratio IS NOT NULL THEN hl_ratio WHEN i - hpi <= 5 THEN hp + (hn - hp) * (i - hpi) / (hni - hpi) END AS x FROM f)
+SELECT symbol, ts, coalesce(cp, cn) AS close, {r("coalesce(volume, 0)")} AS volume, coalesce(rsi, 50) AS rsi,
+ {r("coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS hl_ratio FROM h""")
 def _(spark, sf):
     return qa.smart_fill(_gappy(spark, sf), ["close", "volume", "rsi", "hl_ratio"]).select(
         "symbol", "ts", "close", rd("volume").alias("volume"), "rsi", rd("hl_ratio").alias("hl_ratio"))
 
 
+@query("q10_zero_share", f"""
+WITH f AS (SELECT symbol, coalesce(volume, 0)::DOUBLE AS volume, coalesce(rsi, 50)::DOUBLE AS rsi FROM {GAPPY} z),
+u AS (SELECT symbol, 'volume' AS name, volume AS x FROM f UNION ALL SELECT symbol, 'rsi', rsi FROM f)
+SELECT symbol, name, {r("avg(CASE WHEN x = 0 THEN 1 ELSE 0 END)")} AS zeros, {flag("avg(CASE WHEN x = 0 THEN 1 ELSE 0 END) > 0.3")} AS suspicious FROM u GROUP BY 1, 2""")
+def _(spark, sf):
+    return qa.zero_share(qa.smart_fill(_gappy(spark, sf), ["volume", "rsi"]), ["volume", "rsi"]).withColumn("zeros", rd("zeros"))
+
+
 @query("q11_synthetic_signs", f"""
 WITH a AS (SELECT *, round(price - lag(price) OVER ({TP}), 2) AS d, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({TP})) / 1e6 AS g, lag(price) OVER ({TP}) AS prev FROM ticks),
 b AS (SELECT symbol, stddev_samp(quantity) / avg(quantity) AS vc, stddev_samp(g) / avg(g) AS ic, corr(price, prev) AS ac, count(DISTINCT d) / count(d) AS us FROM a GROUP BY 1),

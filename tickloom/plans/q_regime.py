@@ -43,10 +43,10 @@ def _(spark, sf):
 
 
 @query("r06_regime_distribution", TREND + f"""
-, s AS (SELECT symbol, regime, count(*) AS n FROM g WHERE rn - 1 >= 50 AND (rn - 51) % 10 = 0 GROUP BY 1, 2)
+, s AS (SELECT symbol, regime, count(*) AS n FROM g WHERE rn - 1 >= 50 GROUP BY 1, 2)
 SELECT symbol, regime, n, {r("n / sum(n) OVER (PARTITION BY symbol)")} AS share, {flag("row_number() OVER (PARTITION BY symbol ORDER BY n DESC, regime DESC) = 1")} AS dominant FROM s""")
 def _(spark, sf):
-    return rg.distribution(rg.classify(rg.trend_inputs(v.bars(spark, sf))), 50, 10).withColumn("share", rd("share"))
+    return rg.distribution(rg.classify(rg.trend_inputs(v.bars(spark, sf))), 50).withColumn("share", rd("share"))
 
 
 @query("r07_probability_regime", f"""

@@ -21,7 +21,7 @@ def signals(spark, sf):
 OUT = f"""
 WITH {SIG}, p AS (SELECT * FROM (VALUES (0.05::DOUBLE, 0.1::DOUBLE), (0.2, 0.4)) t(stop, target)),
 j AS (SELECT s.symbol, s.ts, s.pos, p.stop, p.target, b.ts AS bts, b.high, b.low, b.close, b.open, b.pos AS bpos, row_number() OVER (PARTITION BY s.symbol, s.ts, p.stop ORDER BY b.ts) AS i,
- count(*) OVER (PARTITION BY s.symbol, s.ts, p.stop) AS n FROM sg s JOIN sg b ON s.symbol = b.symbol AND CAST(s.ts AS DATE) = CAST(b.ts AS DATE) AND b.rn > s.rn AND b.rn <= s.rn + 12, p WHERE s.pos <> 0),
+ count(*) OVER (PARTITION BY s.symbol, s.ts, p.stop) AS n FROM sg s JOIN sg b ON s.symbol = b.symbol AND CAST(s.ts AS DATE) = CAST(b.ts AS DATE) AND b.rn > s.rn, p WHERE s.pos <> 0),
 e AS (SELECT *, first_value(open) OVER (PARTITION BY symbol, ts, stop ORDER BY bts) * (1 + pos * 0.0005::DOUBLE) AS entry FROM j),
 k AS (SELECT *, entry * (1 - pos * stop) AS sp, entry * (1 + pos * target) AS tp FROM e),
 m AS (SELECT *, CASE WHEN (pos > 0 AND low <= sp) OR (pos < 0 AND high >= sp) THEN 'stop' WHEN (pos > 0 AND high >= tp) OR (pos < 0 AND low <= tp) THEN 'target' WHEN bpos = -pos THEN 'opposite' WHEN i = n THEN 'session_end' END AS reason FROM k),
@@ -31,12 +31,12 @@ f AS (SELECT *, CASE reason WHEN 'stop' THEN sp WHEN 'target' THEN tp ELSE close
 
 @query("k01_barrier_outcomes", OUT + f"SELECT symbol, ts, pos AS position, stop, target, {r('entry', 8)} AS entry, bts AS exit_ts, reason, {r('px', 8)} AS exit, {r('pos * (px / entry - 1) - 0.0005', 8)} AS ret FROM f")
 def _(spark, sf):
-    return rk.outcomes(signals(spark, sf), [(0.05, 0.1), (0.2, 0.4)], 12, 0.0005).withColumns({c: rd(c, 8) for c in ("entry", "exit", "ret")})
+    return rk.outcomes(signals(spark, sf), [(0.05, 0.1), (0.2, 0.4)], 0.0005).withColumns({c: rd(c, 8) for c in ("entry", "exit", "ret")})
 
 
 @query("k01_trades_per_day", OUT + f"SELECT symbol, ts, stop, reason, {r('pos * (px / entry - 1) - 0.0005')} AS ret FROM f QUALIFY row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE), stop ORDER BY ts) <= 3")
 def _(spark, sf):
-    return rk.per_day(rk.outcomes(signals(spark, sf), [(0.05, 0.1), (0.2, 0.4)], 12, 0.0005), 3).select("symbol", "ts", "stop", "reason", rd("ret").alias("ret"))
+    return rk.per_day(rk.outcomes(signals(spark, sf), [(0.05, 0.1), (0.2, 0.4)], 0.0005), 3).select("symbol", "ts", "stop", "reason", rd("ret").alias("ret"))
 
 
 @query("k02_strategy_returns", f"WITH {SIG} SELECT symbol, ts, pos AS position, {r('coalesce(' + lag('pos') + ' * ret, 0)')} AS ret FROM sg")
@@ -176,11 +176,14 @@ def _(spark, sf):
     return rk.compare_runs(v.source_a(spark, sf), v.source_b(spark, sf), ["symbol", "ts"]).withColumns({c: rd(c) for c in ("correlation", "match_rate", "mean_diff")})
 
 
+PAIRS = [("click", "view"), ("click", "purchase"), ("purchase", "view")]
+
+
 @query("k17_rolling_correlation", f"""
-WITH j AS (SELECT a.symbol AS a, b.symbol AS b, a.ts, a.ret AS ra, b.ret AS rb FROM barx a JOIN barx b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)
+WITH j AS (SELECT a.symbol AS a, b.symbol AS b, a.ts, a.ret AS ra, b.ret AS rb FROM barx a JOIN barx b ON a.ts = b.ts AND (a.symbol, b.symbol) IN (('click', 'view'), ('click', 'purchase'), ('purchase', 'view')) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)
 SELECT a, b, ts, {r("CASE WHEN count(*) OVER w >= 60 THEN corr(ra, rb) OVER w END")} AS correlation FROM j WINDOW w AS (PARTITION BY a, b ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def _(spark, sf):
-    return rk.rolling_correlation(v.bars(spark, sf), 60).withColumn("correlation", rd("correlation"))
+    return rk.rolling_correlation(v.bars(spark, sf), 60, PAIRS).withColumn("correlation", rd("correlation"))
 
 
 @query("k18_volatility_forecast", f"""

@@ -123,14 +123,15 @@ def _by_date(spark, sf):
 
 @query("s17_retention", f"SELECT {DAY} AS date, count(*) AS rows FROM ticks WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1")
 def _(spark, sf):
-    root = _by_date(spark, sf)
+    root = scratch_path(spark, "retention")
+    lk.write_lake(v.ticks(spark, sf), root, "trades")
     lk.drop_before(spark, root, "2024-01-20")
     return spark.read.parquet(root).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("s19_compaction", f"SELECT {DAY} AS date, count(*) AS rows, CAST(sum(quantity) AS BIGINT) AS quantity FROM ticks WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1")
 def _(spark, sf):
-    df = lk.compact(spark, _by_date(spark, sf), scratch_path(spark, "compact"), "2024-01-10", 2)
+    df = lk.compact(spark, _by_date(spark, sf), scratch_path(spark, "compact"), "2024-01-10", 200)
     return df.groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("quantity"))
 
 

@@ -44,9 +44,12 @@ def _(spark, sf):
     return jobs.all_candles(stream(spark, sf), "1 hour").select(*COLS.split(", "))
 
 
-@query("st03_late_rule", f"SELECT symbol, seq, {flag('seq % 2 = 1 AND epoch_us((SELECT max(ts) FROM ticks)) - epoch_us(ts) > 864000000000')} AS rejected FROM ticks")
-def _(spark, sf):
-    return jobs.late_split(stream(spark, sf).withColumn("live", F.col("seq") % 2 == 1), 864000).select("symbol", "seq", "rejected")
+for _name, _files in (("st03_late_rule", 1), ("st03_late_rule_batches", 5)):
+    def _late(spark, sf, files=_files):
+        t = v.ticks(spark, sf).withColumns({"arrival": F.col("seq") * 7919 % 10007, "live": F.col("seq") % 2 == 1})
+        s = jobs.source(spark, jobs.time_sliced(t, files, ["arrival", "seq"]), t.schema, 1)
+        return jobs.late_split(s, 864000, ["arrival", "seq"]).select("symbol", "seq", "rejected")
+    query(_name, f"SELECT symbol, seq, {flag('seq % 2 = 1 AND epoch_us(max(ts) OVER (ORDER BY seq * 7919 % 10007, seq)) - epoch_us(ts) > 864000000000')} AS rejected FROM ticks")(_late)
 
 
 @query("st04_sliding_ofi", f"""
@@ -95,11 +98,12 @@ def _(spark, sf):
     return jobs.refresh_features(stream(spark, sf, 3), "1 day", 4, feature).select("symbol", "ts", "close", rd("sma_3").alias("sma_3"))
 
 
-@query("st10_progress", "SELECT 3 AS batches, count(*) AS input_rows FROM ticks")
+@query("st10_progress", "SELECT 3::BIGINT AS batches, count(*) AS input_rows, 1 AS timed, 1 AS flows FROM ticks")
 def _(spark, sf):
-    out = scratch_path(spark, "progress")
-    q = jobs.drain_each(stream(spark, sf, 3), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    return spark.createDataFrame([jobs.progress(q)], "batches int, input_rows long")
+    out, log = scratch_path(spark, "progress"), scratch_path(spark, "progress-log")
+    jobs.drain_each(stream(spark, sf, 3), jobs.metered(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), log))
+    return jobs.progress(spark, log).select("batches", "input_rows", (F.col("longest_seconds") >= F.col("mean_seconds")).cast("int").alias("timed"),
+                                            (F.col("rows_per_second") > 0).cast("int").alias("flows"))
 
 
 @query("st11_catch_up_then_live", f"""

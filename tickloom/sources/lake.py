@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from tickloom import schema
 from tickloom.operators import dedupe
 from tickloom.operators.cleaning import rename_aliases, sample_rows
-from tickloom.session import pin, small_side
+from tickloom.session import small_side
 
 #: Text form of timestamps; the default of CSV and JSON writers would cut microseconds.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -104,22 +105,38 @@ def consolidate(df: DataFrame, root: str, by: str, order: list[str]) -> DataFram
     return df.sparkSession.read.parquet(root)
 
 
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def merge_into(new: DataFrame, root: str, keys: list[str], order: list[str]) -> None:
-    """Append to the lake, keeping the last row per key, rewriting only the dates that ``new`` touches."""
+    """Append to the lake, keeping the last row per key, rewriting only the dates that ``new`` touches.
+
+    The touched dates, a few days of a daily load, are collected and become a partition filter of
+    the read.  The new days are written to a hidden folder beside the old ones and then take their places.
+    """
     spark = new.sparkSession
+    fs, path = _files(spark, root)
     new = new.withColumn("date", F.to_date("ts"))
-    try:
-        old = spark.read.parquet(root)
-        old = old.join(small_side(new.select("date").distinct()), "date", "left_semi").select(*new.columns)
-        both = old.unionByName(new)
-    except Exception as e:  # the first merge finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    staged = f"{root.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    if fs.exists(path(root)):
+        days = [r.date for r in new.select("date").distinct().collect()]
+        both = touched(spark, root, days).select(*new.columns).unionByName(new)
+    else:
         both = new
-    # pinned, because the files being read are about to be replaced
-    merged = pin(dedupe.keep(both, keys, order, last=True))
-    merged.repartitionByRange("date", *keys).sortWithinPartitions(*keys).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("date").parquet(root)
+    dedupe.keep(both, keys, order, last=True).repartitionByRange("date", *keys).sortWithinPartitions(*keys).write.partitionBy("date").parquet(staged)
+    for st in fs.listStatus(path(staged)):
+        name = st.getPath().getName()
+        if name.startswith("date="):
+            fs.delete(path(f"{root}/{name}"), True)
+            fs.rename(st.getPath(), path(f"{root}/{name}"))
+    fs.delete(path(staged), True)
+
+
+def touched(spark: SparkSession, root: str, days: list) -> DataFrame:
+    """The lake's rows of the given dates; other folders are not read."""
+    return spark.read.parquet(root).where(F.col("date").isin(days))
 
 
 def training_ready(df: DataFrame) -> DataFrame:
@@ -138,23 +155,29 @@ def consolidation_window(df: DataFrame, day: str, period: str) -> DataFrame:
 
 
 def drop_before(spark: SparkSession, root: str, cutoff: str) -> list[str]:
-    """Retention: remove date folders before ``cutoff``; touches folder names, not data."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("date=") and name[5:] < cutoff:
-            fs.delete(st.getPath(), True)
-            gone.append(name[5:])
+    """Retention: remove date folders before ``cutoff`` at any depth of the layout; touches folder names, not data."""
+    fs, path = _files(spark, root)
+    gone, todo = [], [path(root)]
+    while todo:
+        for st in fs.listStatus(todo.pop()):
+            name = st.getPath().getName()
+            if not st.isDirectory() or "=" not in name:
+                continue
+            if not name.startswith("date="):
+                todo.append(st.getPath())
+            elif name[5:] < cutoff:
+                fs.delete(st.getPath(), True)
+                gone.append(name[5:])
     return sorted(gone)
 
 
-def compact(spark: SparkSession, source: str, target: str, before: str, files_per_day: int = 1, codec: str = "zstd") -> DataFrame:
-    """Rewrite old dates with fewer files and a stronger codec."""
+def compact(spark: SparkSession, source: str, target: str, before: str, rows_per_file: int = 5_000_000, codec: str = "zstd") -> DataFrame:
+    """Rewrite old dates with fewer files and a stronger codec; a large day is spread over several tasks and files."""
     old = spark.read.parquet(source).where(F.col("date") < F.lit(before).cast("date"))
-    salt = F.pmod(F.xxhash64(*[c for c in old.columns if c != "date"]), F.lit(files_per_day))
-    old.repartition(F.col("date"), salt).write.mode("overwrite").option("compression", codec).partitionBy("date").parquet(target)
+    days = small_side(old.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")))
+    salt = F.pmod(F.xxhash64(*[c for c in old.columns if c != "date"]), F.col("_files"))
+    (old.join(days, "date").withColumn("_salt", salt).repartition("date", "_salt").drop("_salt", "_files")
+     .write.mode("overwrite").option("compression", codec).partitionBy("date").parquet(target))
     return spark.read.parquet(target)
 
 

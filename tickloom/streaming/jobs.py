@@ -6,6 +6,7 @@ sink's table, which is how tests and registered queries compare a stream with it
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import bars as bar_ops
 from tickloom.operators.dedupe import latest
+from tickloom.operators.ordered import lay_out
 from tickloom.session import scratch_path
 
 LATE = "5 minutes"
@@ -56,13 +58,20 @@ def candles(ticks: DataFrame, width: str, late: str = LATE) -> DataFrame:
     return bar_ops.time_bars(ticks.withWatermark("ts", late), width)
 
 
-def all_candles(ticks: DataFrame, width: str) -> DataFrame:
-    """Candles including the open one: complete output, whose last batch replaces the table."""
+def all_candles(ticks: DataFrame, width: str, late: str = LATE) -> DataFrame:
+    """Candles including the open one: each batch appends the candles it changed, the watermark lets state
+    forget old ones, and a candle's latest version counts."""
     spark = ticks.sparkSession
     out = scratch_path(spark, "candles")
-    agg = bar_ops.time_bars(ticks, width)
-    drain_each(agg, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), "complete")
-    return latest_batch(spark, out)
+    agg = bar_ops.time_bars(ticks.withWatermark("ts", late), width)
+    drain_each(agg, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), "update")
+    return latest_version(spark.read.parquet(out), ["symbol", "ts"])
+
+
+def latest_version(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the highest batch for each key; a retried batch replaces its own folder."""
+    cols = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*keys, "r.*")
 
 
 def latest_batch(spark: SparkSession, out: str) -> DataFrame:
@@ -72,18 +81,33 @@ def latest_batch(spark: SparkSession, out: str) -> DataFrame:
     return df.where(F.col("batch") == last).drop("batch")
 
 
-def split_late(batch: DataFrame, seconds: int) -> DataFrame:
-    """Live rows older than ``seconds`` before the newest row of the batch are rejected; history is kept."""
-    newest = batch.agg(F.max("ts").alias("_now"))
-    age = (F.unix_micros("_now") - F.unix_micros("ts")) / 1e6
-    return batch.crossJoin(F.broadcast(newest)).withColumn(
-        "rejected", (F.col("live") & (age > seconds)).cast("int")).drop("_now")
+def split_late(batch: DataFrame, seconds: int, order: list[str], seen: int | None = None) -> tuple[DataFrame, int | None]:
+    """Live rows older than ``seconds`` before the newest row so far are rejected; history is kept.
 
+    ``seen`` is the newest time (microseconds) of earlier batches; the second result is that of all up to this one.
+    Rows are judged in order of arrival (``order``) inside a batch, so the split does not depend on how rows are batched.
+    """
+    parts = batch.withColumn("_us", F.unix_micros("ts"))
+    o = lay_out(parts, [], order)
+    rows = o.running(o.chunked(), _now=("max", F.col("_us")))
+    age = (F.greatest(F.col("_now"), F.lit(seen).cast("long")) - F.col("_us")) / 1e6
+    newest = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+    split = rows.withColumn("rejected", (F.col("live") & (age > seconds)).cast("int")).select(*batch.columns, "rejected")
+    return split, max((x for x in (seen, newest) if x is not None), default=None)
 
-def late_split(ticks: DataFrame, seconds: int) -> DataFrame:
+
+def late_split(ticks: DataFrame, seconds: int, order: list[str]) -> DataFrame:
+    """Rows with ``rejected``; the newest time so far is kept beside each batch, so a restarted stream goes on from it."""
     spark = ticks.sparkSession
-    out = scratch_path(spark, "late")
-    drain_each(ticks, lambda b, i: split_late(b, seconds).write.mode("overwrite").partitionBy("rejected").parquet(f"{out}/batch={i}"))
+    out, clock = scratch_path(spark, "late"), scratch_path(spark, "late-clock")
+
+    def step(batch: DataFrame, i: int) -> None:
+        seen = spark.read.parquet(clock).where(F.col("batch") == i - 1).select("newest").first()[0] if i else None
+        rows, newest = split_late(batch, seconds, order, seen)
+        rows.write.mode("overwrite").partitionBy("rejected").parquet(f"{out}/batch={i}")
+        spark.range(1).select(F.lit(newest).cast("long").alias("newest")).write.mode("overwrite").parquet(f"{clock}/batch={i}")
+
+    drain_each(ticks, step)
     return spark.read.parquet(out)
 
 
@@ -139,24 +163,27 @@ def decisions_with_fills(decisions: DataFrame, fills: DataFrame, within: str) ->
 
 
 def refresh_features(ticks: DataFrame, width: str, look_back: int, feature: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Per batch: rebuild the touched bars, read the tail of the touched keys, recompute, upsert."""
+    """Per batch: rebuild the touched bars, read the tail of the touched keys, recompute, upsert.
+
+    Ticks are stored by date; a batch reads only the dates from its earliest touched bar, less the look-back, on.
+    """
     spark = ticks.sparkSession
     store, out = scratch_path(spark, "refresh-ticks"), scratch_path(spark, "refresh-out")
     seconds = look_back * _seconds(width)
 
     def step(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={i}")
-        touched = batch.groupBy("symbol").agg((F.unix_seconds(F.min("ts")) - F.unix_seconds(F.min("ts")) % _seconds(width)).alias("_from"))
-        seen = spark.read.parquet(store).where(F.col("batch") <= i).drop("batch")
+        batch.withColumn("date", F.to_date("ts")).write.mode("overwrite").partitionBy("date").parquet(f"{store}/batch={i}")
+        start = F.unix_seconds(F.min("ts")) - F.unix_seconds(F.min("ts")) % _seconds(width)
+        touched = batch.groupBy("symbol").agg(start.alias("_from"))
+        first = batch.agg(F.to_date(F.timestamp_seconds(start - seconds))).first()[0]
+        seen = spark.read.parquet(store).where((F.col("batch") <= i) & (F.col("date") >= F.lit(first))).drop("batch", "date")
         tail = seen.join(touched, "symbol").where(F.unix_seconds("ts") >= F.col("_from") - seconds)
         fresh = feature(bar_ops.time_bars(tail.drop("_from"), width)).join(touched, "symbol").where(
             F.unix_seconds("ts") >= F.col("_from")).drop("_from")
         fresh.write.mode("overwrite").parquet(f"{out}/batch={i}")
 
     drain_each(ticks, step)
-    rows = spark.read.parquet(out)
-    cols = [c for c in rows.columns if c not in ("symbol", "ts", "batch")]
-    return rows.groupBy("symbol", "ts").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("symbol", "ts", "r.*")
+    return latest_version(spark.read.parquet(out), ["symbol", "ts"])
 
 
 def _seconds(width: str) -> int:
@@ -164,16 +191,37 @@ def _seconds(width: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def progress(q: StreamingQuery) -> tuple[int, int]:
-    """Batches with data and input rows of a finished query, from its progress reports."""
-    done = [p for p in q.recentProgress if p["numInputRows"] > 0]
-    return len(done), sum(p["numInputRows"] for p in done)
+def metered(step: Callable[[DataFrame, int], None], out: str) -> Callable[[DataFrame, int], None]:
+    """A batch step that also writes one row of metrics per batch (a retried batch replaces its row)."""
+    def run(batch: DataFrame, i: int) -> None:
+        began = time.time()
+        step(batch, i)
+        row = (batch.agg(F.count(F.lit(1)).alias("rows"))
+               .select(F.lit(i).cast("long").alias("number"), "rows", F.lit(time.time() - began).alias("seconds")))
+        row.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    return run
+
+
+def progress(spark: SparkSession, out: str) -> DataFrame:
+    """Batches with data, input rows, mean and longest batch time in seconds and rows per second, over all batches ever."""
+    done = spark.read.parquet(out).where("rows > 0")
+    return done.agg(F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("input_rows"), F.avg("seconds").alias("mean_seconds"),
+                    F.max("seconds").alias("longest_seconds"), F.try_divide(F.sum("rows"), F.sum("seconds")).alias("rows_per_second"))
 
 
 def time_sliced(df: DataFrame, n: int, order: list[str]) -> str:
-    """Write history as n files in time order, ready for replay; returns the folder."""
-    path = scratch_path(df.sparkSession, "replay")
+    """Write history as n files in time order, ready for replay; returns the folder.
+
+    A file stream takes the oldest file first, so the files' times are set one second apart in that order.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "replay")
     df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((st.getPath() for st in fs.listStatus(folder) if st.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, f in enumerate(files):
+        fs.setTimes(f, int(time.time() - 60 - len(files) + i) * 1000, -1)
     return path
 
 
