@@ -9,12 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import BROADCAST_ROWS
+
+#: Rows of an Arrow batch: texts can be long, and a batch is held several times on its way to Python.
+BATCH_ROWS = 1000
 #: A key is hot when it holds more than one of this many equal shares of all rows, so at most so many keys are hot.
 SHARES = 1000
 #: Bits of a Bloom bitmap: for each inserted value, and at most in all (32 MB, the bound of what is broadcast).
 BITS_PER_VALUE, MAX_BITS, HASHES = 16, 1 << 28, 3
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most ``BATCH_ROWS`` rows set for its session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def body(c: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(c), F.lit(""))
@@ -144,11 +154,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in the only column of ``keys`` (distinct, from a checkpoint).
 
-    Rows that a Bloom bitmap of the keys shows not to be among them pass straight through; only the
-    others shuffle. A null key is never among them. Column names of ``docs`` are free.
+    At most ``BROADCAST_ROWS`` keys are broadcast. With more, rows that a Bloom bitmap of the keys
+    shows not to be among them pass straight through and only the others shuffle. A null key is
+    never among them. Column names of ``docs`` are free.
     """
-    name = keys.columns[0]
-    test = bloom_filter(keys, name, bloom_bits(keys.count()))
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).withColumn("maybe", test(F.col("key")))
+    name, n = keys.columns[0], keys.count()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys.withColumnRenamed(name, "key")), "key", "left_anti").select("row.*")
+    test = bloom_filter(keys, name, bloom_bits(n))
+    rows = rows.withColumn("maybe", test(F.col("key")))
     rest = rows.filter("maybe").join(keys.withColumnRenamed(name, "key"), "key", "left_anti")
     return rows.filter(~F.col("maybe")).select("row.*").unionByName(rest.select("row.*"))

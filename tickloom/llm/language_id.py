@@ -93,7 +93,7 @@ def likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=2 << 20):
+        for part in slices(batches, limit=1 << 19):
             grams, places, letters = trigrams(part.column(1))
             n = np.diff(places)
             means = []

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, substring_dedup
+from tickloom.llm.common import small_batches
 from tickloom.llm.tokens import vocabulary
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
