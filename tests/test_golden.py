@@ -105,7 +105,7 @@ def test_first_barrier(spark):
     rows = [("x", T0 + dt.timedelta(minutes=i), o, h, l, c, 1 if i == 0 else 0) for i, (o, h, l, c) in enumerate(
         [(100.0, 100.0, 100.0, 100.0), (100.0, 101.0, 99.5, 100.0), (100.0, 103.0, 99.0, 102.0), (102.0, 110.0, 90.0, 100.0)])]
     s = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, position int")
-    got = {(r.stop, r.target): (r.reason, r.exit) for r in risk.outcomes(s, [(0.05, 0.02), (0.008, 0.5), (0.5, 0.5)], 10, 0.0).collect()}
+    got = {(r.stop, r.target): (r.reason, r.exit) for r in risk.outcomes(s, [(0.05, 0.02), (0.008, 0.5), (0.5, 0.5)], 0.0).collect()}
     assert got == {(0.05, 0.02): ("target", 102.0), (0.008, 0.5): ("stop", 99.2), (0.5, 0.5): ("session_end", 100.0)}
 
 

@@ -219,7 +219,9 @@ def lay_out(df: DataFrame, keys: list[str], order: list[str | Column],
 
 
 def chunk_size(spark: SparkSession, rows: int) -> int:
-    """About four chunks per shuffle task, inside fixed limits."""
+    """About four chunks per shuffle task, inside fixed limits; the setting ``tickloom.chunk.rows`` overrides it."""
+    if given := spark.conf.get("tickloom.chunk.rows", None):
+        return int(given)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(MIN_CHUNK_ROWS, min(MAX_CHUNK_ROWS, rows // (4 * tasks)))
 

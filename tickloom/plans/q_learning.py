@@ -184,9 +184,12 @@ def _(spark, sf):
     return ev.combined_ranking(s, {"mutual_information": 0.5, "chi_square": 0.2, "f_score": 0.3}, 2).withColumn("score", rd("score"))
 
 
-@query("m15_model_importances")
+@query("m15_model_importances", "SELECT unnest(['range', 'trades', 'volume']) AS feature, 1 AS in_range, 1 AS unit_sum, 1 AS lasso_given")
 def _(spark, sf):
-    return learn.importances(_labelled(spark, sf), FEATURES, "y")
+    i = learn.importances(_labelled(spark, sf), FEATURES, "y")
+    total = i.agg(F.sum("forest").alias("_all"))
+    return i.crossJoin(F.broadcast(total)).select("feature", F.col("forest").between(0, 1).cast("int").alias("in_range"),
+                                                  (F.abs(F.col("_all") - 1) < 1e-6).cast("int").alias("unit_sum"), (F.col("lasso") >= 0).cast("int").alias("lasso_given"))
 
 
 @query("m16_class_weights", f"SELECT side, count(*) AS n, {r('(SELECT count(*) FROM ticks) / (3 * count(*))')} AS weight FROM ticks GROUP BY 1")
@@ -203,27 +206,48 @@ def _training(spark, sf):
 
 
 INPUTS = ["ret", "vol", "vr", "imb"]
+#: Models learn from earlier rows and are scored on later ones.
+SPLIT = "2024-01-22"
+#: Rows of the label table: the tenth and later bars of a symbol but its last.
+TRAINED = f"""
+WITH a AS (SELECT symbol, ts, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n,
+ avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM bars),
+t AS (SELECT symbol, ts, CASE WHEN volume / m > 1 THEN 'busy' ELSE 'quiet' END AS regime FROM a WHERE rn >= {{first}} AND rn < n AND ts >= TIMESTAMP '{SPLIT}')
+"""
+
+
+def _split(t, ts="ts"):
+    late = F.col(ts) >= F.lit(SPLIT).cast("timestamp")
+    return t.where(~late), t.where(late)
+
+
+def _checked(scored, keys):
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("scored"), F.min(F.col("predicted").isin(0, 1, 2).cast("int")).alias("known_classes"))
 
 
-@query("m17_m27_regime_forests")
+@query("m17_m27_regime_forests", TRAINED.format(first=11) + "SELECT regime, count(*) AS scored, 1 AS known_classes FROM t GROUP BY 1")
 def _(spark, sf):
-    t = _training(spark, sf)
-    models = learn.per_regime(t, ["busy", "quiet"], INPUTS, "label")
-    a, b = (learn.score(models[x], t.where(F.col("regime") == x), ["symbol", "ts", "regime", "label"]) for x in ("busy", "quiet"))
-    return a.unionByName(b)
+    early, late = _split(_training(spark, sf))
+    models = learn.per_regime(early, ["busy", "quiet"], INPUTS, "label")
+    a, b = (learn.score(models[x], late.where(F.col("regime") == x), ["symbol", "ts", "regime", "label"]) for x in ("busy", "quiet"))
+    return _checked(a.unionByName(b), ["regime"])
 
 
-@query("m17_boosted_classes")
+@query("m17_boosted_classes", TRAINED.format(first=11) + "SELECT symbol, count(*) AS scored, 1 AS known_classes FROM t GROUP BY 1")
 def _(spark, sf):
-    t = _training(spark, sf)
-    return learn.score(learn.boosted(t, INPUTS, "label", rounds=3), t, ["symbol", "ts", "label"])
+    early, late = _split(_training(spark, sf))
+    return _checked(learn.score(learn.boosted(early, INPUTS, "label", rounds=3), late, ["symbol", "ts", "label"]), ["symbol"])
 
 
-@query("m17_m23_book_regressors")
+@query("m17_m23_book_regressors", "SELECT unnest(['forest', 'boosted']) AS model, 1 AS scored_all, 1 AS near_the_mean")
 def _(spark, sf):
-    t = ds.book_targets(tops(spark, sf), 21600, [0], 10).na.drop(subset=["spread_next"])
-    models = learn.regressors(t, ["spread", "imbalance", "depth"], "spread_next")
-    parts = [ev.regression(learn.score(m, t, ["k", "spread_next"]), ["k"], "spread_next", "predicted").withColumn("model", F.lit(n)) for n, m in models.items()]
+    early, late = _split(ds.book_targets(tops(spark, sf), 21600, [0], 10).na.drop(subset=["spread_next"]))
+    models = learn.regressors(early, ["spread", "imbalance", "depth"], "spread_next")
+    mean, rows = early.agg(F.avg("spread_next")).first()[0], late.count()
+    error = lambda c: F.sqrt(F.avg(F.pow(F.col("spread_next") - c, 2)))
+    parts = [learn.score(m, late, ["k", "spread_next"]).agg(
+        F.lit(n).alias("model"), (F.count(F.lit(1)) == rows).cast("int").alias("scored_all"),
+        (error(F.col("predicted")) <= 1.1 * error(F.lit(mean))).cast("int").alias("near_the_mean")) for n, m in models.items()]
     return parts[0].unionByName(parts[1])
 
 
