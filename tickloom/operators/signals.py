@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import lay_out
 from tickloom.operators.windows import div, last_rows, pct_change, rmean
 from tickloom.session import small_side
 
@@ -277,26 +278,31 @@ class AlertRule:
     severity: str
 
 
-def alerts(t: DataFrame, rules: list[AlertRule], cooldown: float) -> DataFrame:
+def alerts(t: DataFrame, rules: list[AlertRule], cooldown: float, chunk_rows: int | None = None) -> DataFrame:
     """Alerts of all rules; a rule stays silent for ``cooldown`` seconds after it fired for a key.
 
-    Which violation fires depends on the one before, so the violations of a (symbol, rule), bounded
-    by the bars of the symbol, run through one small scan.
+    Which violation fires depends on the one before, but the first after a gap longer than the
+    cooldown always does.  So the violations are cut at such gaps, by an ordered pass over chunks,
+    and each stretch jumps from fire to fire.  A rule that is broken without a gap is one stretch.
     """
     hit = F.array_compact(F.array(*[F.when(r.predicate, F.struct(
         F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(r.metric).cast("double").alias("value"))) for r in rules]))
     v = t.select("symbol", "ts", F.explode(hit).alias("r")).select("symbol", "ts", "r.*")
+    o = lay_out(v, ["symbol", "rule"], ["ts"], chunk_rows)
+    rows = o.chunked(before=1)
+    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(o.window)) / 1e6
+    cut = o.running(rows.withColumn("_new", F.coalesce((gap > cooldown).cast("long"), F.lit(1))), stretch=("sum", F.col("_new")))
 
     def fire(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        keep, last = [], None
-        for at in pdf["ts"]:
-            ok = last is None or (at - last).total_seconds() > cooldown
-            keep.append(ok)
-            last = at if ok else last
-        return pdf[keep]
-
-    return v.groupBy("symbol", "rule").applyInPandas(fire, v.schema)
+        pdf = pdf.sort_values("ts").reset_index(drop=True)
+        at = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
+        keep, i = [], 0
+        while i < len(at):
+            keep.append(i)
+            i = int(at.searchsorted(at[i] + int(cooldown * 1e6), "right"))
+        return pdf.iloc[keep][["symbol", "ts", "rule", "severity", "value"]]
+
+    return cut.select("symbol", "ts", "rule", "severity", "value", "stretch").groupBy("symbol", "rule", "stretch").applyInPandas(fire, v.schema)
 
 
 def kelly_size(t: DataFrame, capital: float, risk_per_trade: float) -> DataFrame:
