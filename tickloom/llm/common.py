@@ -15,7 +15,7 @@ from tickloom.session import BROADCAST_ROWS
 BATCH_ROWS = 1000
 #: A key is hot when it holds more than one of this many equal shares of all rows, so at most so many keys are hot.
 SHARES = 1000
-#: Bits of a Bloom bitmap: for each inserted value, and at most in all (32 MB, the bound of what is broadcast).
+#: Bits of a Bloom bitmap: for each inserted value, and at most in all (32 MB, the bound of what is broadcast); three hashes.
 BITS_PER_VALUE, MAX_BITS, HASHES = 16, 1 << 28, 3
 
 
@@ -71,14 +71,13 @@ def bloom_filter(values: DataFrame, column: str, bits: int, least: int = 1) -> C
 def bitmap_test(spark: SparkSession, packed: np.ndarray) -> Callable[[Column], Column]:
     shared, bits = spark.sparkContext.broadcast(packed), len(packed) * 8
 
-    @F.pandas_udf("boolean")
-    def inside(*positions):
-        bitmap, found = shared.value, True
-        for p in positions:
-            at = p.to_numpy(np.int64)
-            found = found & ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-        import pandas as pd
-        return pd.Series(found)
+    @F.arrow_udf("boolean")
+    def inside(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        found = np.ones(len(a), bool)
+        for p in (a, b, c):
+            at = p.to_numpy()
+            found &= ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        return pa.array(found)
 
     return lambda c: inside(*bloom_positions(c, bits))
 
@@ -95,6 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -183,8 +183,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
-    @F.pandas_udf("string")
-    def clean(texts):
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
         def one(text):
             if text is None:
                 return None
@@ -194,7 +194,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     parts += [text[at:start], mark]
                 at = max(at, end)
             return "".join(parts) + text[at:]
-        return texts.map(one)
+        return pa.array(map(one, texts.to_pylist()), pa.string())
 
     out = docs.select(F.struct("*").alias("row"), clean("text").alias("clean"))
     size = F.when(F.col("clean") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("clean")) if "n_chars" in docs.columns else None

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words in each of the two halves of a cache.
-CACHED = 250_000
+CACHED = 200_000
 
 
 def vocabulary(name: str) -> str:
