@@ -26,6 +26,15 @@ def size_class(q: Column) -> Column:
     return out.otherwise("whale")
 
 
+# Trade types of the tick files, and the flag of each.
+TRADE_TYPES = {"is_buyer": "AggressorBuyer", "is_seller": "AggressorSeller", "is_auction": "Auction", "is_rlp": "RLP"}
+
+
+def type_flags(trade_type: Column) -> dict[str, Column]:
+    """One 0/1 column per trade type; a missing or unknown type is none of them."""
+    return {name: F.coalesce((trade_type == value).cast("int"), F.lit(0)) for name, value in TRADE_TYPES.items()}
+
+
 def finite(c: Column) -> Column:
     """NaN and infinities become null."""
     d = c.cast("double")

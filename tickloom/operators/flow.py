@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.aggregates import top_values
-from tickloom.operators.joins import flag_members
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
 from tickloom.operators.scan import recurrence
 from tickloom.operators.windows import (
@@ -255,10 +254,11 @@ def agents(ticks: DataFrame, top: int, inner: int, n: int, chunk_rows: int | Non
 
     The top agents are a reference set (``top`` rows); pass training rows only to avoid look-ahead.
     """
-    t = flag_members(ticks, "buy_agent", top_values(ticks, "buy_agent", top), "top_buyer")
-    t = flag_members(t, "sell_agent", top_values(ticks, "sell_agent", top), "top_seller")
-    t = flag_members(t, "buy_agent", top_values(ticks, "buy_agent", inner), "inst_buyer")
-    t = flag_members(t, "sell_agent", top_values(ticks, "sell_agent", inner), "inst_seller")
+    t = ticks
+    for col, side in (("buy_agent", "buyer"), ("sell_agent", "seller")):  # the inner set is the head of the ranked outer one
+        ranked = top_values(ticks, col, max(top, inner)).withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n"), col)))
+        t = t.join(small_side(ranked.select(F.col(col).alias("_m"), "_rank")), F.col(col) == F.col("_m"), "left")
+        t = t.withColumns({f"{name}_{side}": F.coalesce((F.col("_rank") <= k).cast("int"), F.lit(0)) for name, k in (("top", top), ("inst", inner))}).drop("_m", "_rank")
     o = _layout(t, chunk_rows)
     w = o.window
     changed = lambda c: (~F.lag(c).over(w).eqNullSafe(F.col(c))).cast("int")

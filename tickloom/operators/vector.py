@@ -15,20 +15,23 @@ from tickloom.operators.windows import clip, div, last_rows, pct_change, rmean,
 from tickloom.session import small_side
 
 
+# The features in vector order.
+FEATURES = [
+    "volatility_10", "volatility_20", "volatility_50", "volatility_100", "volatility_ratio_10_20", "volatility_ratio_20_50",
+    "volatility_ratio_50_100", "volatility_ratio_100_200", "volatility_gk", "bb_position", "returns_1", "returns_2", "returns_5", "returns_10",
+    "returns_20", "returns_50", "returns_100", "log_returns_1", "log_returns_5", "log_returns_20", "order_flow_imbalance_10",
+    "order_flow_imbalance_20", "order_flow_imbalance_50", "order_flow_imbalance_100", "cumulative_signed_volume", "signed_volume",
+    "volume_weighted_return", "agent_turnover", "volume_ratio_20", "volume_ratio_50", "volume_ratio_100", "volume_zscore_20", "volume_zscore_50",
+    "volume_zscore_100", "trade_intensity", "trade_intensity_ratio", "ma_5_20_ratio", "ma_20_50_ratio", "momentum_5_20", "momentum_20_50", "sharpe_5",
+    "sharpe_20", "time_normalized", "rsi_14", "top_buyer_0_active", "top_buyer_1_active", "top_buyer_2_active", "top_buyer_3_active",
+    "top_buyer_4_active", "top_seller_0_active", "top_seller_1_active", "top_seller_2_active", "top_seller_3_active", "top_seller_4_active",
+    "top_buyers_count", "top_sellers_count", "buyer_changed", "seller_changed", "is_buyer_aggressor", "minute", "hour", "day_of_week",
+    "is_opening_30min", "is_closing_30min", "is_lunch_hour"]
+
+
 def names() -> list[str]:
     """Feature names in vector order."""
-    return (
-        [f"volatility_{n}" for n in (10, 20, 50, 100)]
-        + [f"volatility_ratio_{a}_{b}" for a, b in ((10, 20), (20, 50), (50, 100), (100, 200))] + ["volatility_gk", "bb_position"]
-        + [f"returns_{n}" for n in (1, 2, 5, 10, 20, 50, 100)] + [f"log_returns_{n}" for n in (1, 5, 20)]
-        + [f"order_flow_imbalance_{n}" for n in (10, 20, 50, 100)]
-        + ["cumulative_signed_volume", "signed_volume", "volume_weighted_return", "agent_turnover"]
-        + [f"volume_ratio_{n}" for n in (20, 50, 100)] + [f"volume_zscore_{n}" for n in (20, 50, 100)]
-        + ["trade_intensity", "trade_intensity_ratio", "ma_5_20_ratio", "ma_20_50_ratio", "momentum_5_20", "momentum_20_50",
-           "sharpe_5", "sharpe_20", "time_normalized", "rsi_14"]
-        + [f"top_{s}_{i}_active" for s in ("buyer", "seller") for i in range(5)] + ["top_buyers_count", "top_sellers_count"]
-        + ["buyer_changed", "seller_changed", "is_buyer_aggressor", "minute", "hour", "day_of_week",
-           "is_opening_30min", "is_closing_30min", "is_lunch_hour"])
+    return list(FEATURES)
 
 
 def _ranked(ticks: DataFrame, col: str, side: str) -> DataFrame:
@@ -84,6 +87,8 @@ def feature_vector(ticks: DataFrame, width: str) -> DataFrame:
     f |= {"buyer_changed": changed("_lb"), "seller_changed": changed("_ls"), "is_buyer_aggressor": (F.col("_side") == "buy").cast("double"),
           "minute": F.minute("ts").cast("double"), "hour": h.cast("double"), "day_of_week": F.weekday("ts").cast("double"),
           "is_opening_30min": m.between(540, 569).cast("double"), "is_closing_30min": m.between(1050, 1080).cast("double"), "is_lunch_hour": h.between(12, 13).cast("double")}
+    made = {*f, "top_buyers_count", "top_sellers_count", "agent_turnover", *(f"top_{s}_{i}_active" for s in ("buyer", "seller") for i in range(5))}
+    assert made == set(FEATURES), made ^ set(FEATURES)
     ready = names()
     out = b.withColumns(f).select("symbol", "ts", *[F.col(n).cast("double").alias(n) for n in ready])
     return out.withColumn("vector", F.array(*ready))

@@ -8,6 +8,7 @@ from tickloom.functions import columns as fc
 from tickloom.operators import cleaning as cl
 from tickloom.plans import views as v
 from tickloom.plans.registry import query, rd, rsql as r
+from tickloom.plans.winsql import flag
 
 
 @query("p01_date_range", """
@@ -116,6 +117,16 @@ def _(spark, sf):
                                      is_("auction"), fc.normal_side(words).alias("side"))
 
 
+TYPE = "CASE WHEN seq % 11 = 0 THEN 'RLP' WHEN seq % 13 = 0 THEN NULL WHEN side = 'buy' THEN 'AggressorBuyer' WHEN side = 'sell' THEN 'AggressorSeller' ELSE 'Auction' END"
+
+
+@query("p15_trade_type_flags", f"""
+SELECT seq, {flag("t = 'AggressorBuyer'")} AS is_buyer, {flag("t = 'AggressorSeller'")} AS is_seller, {flag("t = 'Auction'")} AS is_auction, {flag("t = 'RLP'")} AS is_rlp
+FROM (SELECT seq, {TYPE} AS t FROM ticks)""")
+def _(spark, sf):
+    return v.ticks(spark, sf).withColumns(fc.type_flags(F.expr(TYPE))).select("seq", *fc.TRADE_TYPES)
+
+
 @query("p17_fixed_bins", """
 SELECT seq, CASE WHEN quantity <= 5 THEN 0 WHEN quantity <= 10 THEN 1 WHEN quantity <= 20 THEN 2 WHEN quantity <= 50 THEN 3 ELSE 4 END AS bin FROM ticks""")
 def _(spark, sf):
