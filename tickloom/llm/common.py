@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete shuffles and checkpoints that no DataFrame uses; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def body(c: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(c), F.lit(""))

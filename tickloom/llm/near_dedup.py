@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bloom_bits, bloom_filter, body, hot_join, mix, slices, text_buffers, without, word_hashes
+from tickloom.llm.common import bloom_bits, bloom_filter, body, forget, hot_join, mix, slices, text_buffers, without, word_hashes
 from tickloom.session import pin
 
 #: Bands and rows of a band: two sets with similarity 0.8 share no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -131,6 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = pin(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = pin(stars(both, small=False))
         now = pin(stars(large, small=True))
+        forget(edges.sparkSession)
         if seen == (seen := state(now)):
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -246,9 +247,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     pairs = pin(best.select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b")))
     links = pin(confirm(docs, pairs, words, percent))
     labels = pin(components(links))
+    forget(docs.sparkSession)
     more = pin(_crossing(docs, members, labels, reps, words, percent))
     if not more.isEmpty():
         labels = pin(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    forget(docs.sparkSession)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("key", F.coalesce("root", "rep").alias("component_id"), "rows")
     out = hot_join(usable.select("doc_id", "key", "n"), pin(named), "key", "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = feats.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
