@@ -32,9 +32,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids, placed in full sequences."""
-    return packing.pack(small_batches(docs), vocabulary("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(small_batches(docs), vocabulary("word_bpe_49k.json"), with_ids=False, cached=PACK_WORDS)
 
 
+#: Words that a packing worker keeps, twice; few, because workers of earlier stages still hold memory.
+PACK_WORDS = 200_000
 STAGES = [("language", identify), ("exact", exact), ("near", near), ("secrets", redact), ("pack", pack)]
 #: Language models, MinHash groups and learned automata are no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import body, slices
-from tickloom.llm.tokens import WordIds
+from tickloom.llm.tokens import CACHED, WordIds
 from tickloom.session import pin
 
 #: Sequence lengths, shortest first; tokens of one optimiser step; tasks whose rests are packed together.
@@ -103,7 +103,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, with_ids: bool = True,
+         cached: int = CACHED) -> DataFrame:
     """Pack all documents; one row per piece: where it lies in its document and in its sequence.
 
     ``path`` names a tokenizer file. Every document's ids end with ``end_id``; null text is empty,
@@ -112,10 +113,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = T
     two. Tasks pack their own rows; what they cannot place (fewer tokens than the shortest tier each)
     meets in groups of ``TASKS_PER_REST`` tasks. A null id stays null; repeated rows are packed as
     often as they occur; no rows give no pieces. ``step_group`` numbers groups of sequences of one
-    length and ``STEP_TOKENS`` tokens. ``with_ids`` adds each piece's ids as little-endian 32-bit integers.
+    length and ``STEP_TOKENS`` tokens. A worker keeps ids of at most twice ``cached`` words. ``with_ids`` adds each piece's ids as little-endian 32-bit integers.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at = WordIds(path), TaskContext.get().partitionId()
+        words, at = WordIds(path, cached), TaskContext.get().partitionId()
         packer = Packer(at, tiers, with_ids)
         end = int(end_id).to_bytes(4, "little")
         for part in slices(batches):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words in each of the two halves of a cache.
-CACHED = 200_000
+CACHED = 400_000
 
 
 def vocabulary(name: str) -> str:
@@ -44,7 +44,7 @@ class WordIds:
     _of: dict[str, Cache] = {}
     _sizes: dict[str, int] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         if path not in self._of:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -56,8 +56,9 @@ class WordIds:
                 if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
                     return self._of[path][word[:-1]] + self._of[path][word[-1:]]
                 return np.array(tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            self._of[path], self._sizes[path] = Cache(compute), tok.get_vocab_size(with_added_tokens=True)
+            self._of[path], self._sizes[path] = Cache(compute, cached), tok.get_vocab_size(with_added_tokens=True)
         self.cache, self.size = self._of[path], self._sizes[path]
+        self.cache.limit = cached
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of whole texts."""
