@@ -220,3 +220,43 @@ def test_pipeline(spark, sample, sf):
 def test_registry():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+
+
+def every_run_removed(docs):
+    """Sentences by document (in the order of ``docs``) that a non-first place of any run covers, whatever its length."""
+    first, gone = {}, [set() for _ in docs]
+    for d, t in enumerate(docs):
+        w = [x.lower().split() for x in substring_dedup.sentences(t)]
+        k = [n for n, x in enumerate(w) if x]
+        for a in range(len(k)):
+            for b in range(a + 1, len(k) + 1):
+                n = sum(len(w[x]) for x in k[a:b])
+                if b - a >= 3 and n >= 25 or n >= 50:
+                    run = tuple(tuple(w[x]) for x in k[a:b])
+                    if first.setdefault(run, (d, a)) != (d, a):
+                        gone[d] |= set(range(k[a], k[b - 1] + 1))
+    return gone
+
+
+def sentence(name, n):
+    return " ".join(f"{name}{i}" for i in range(n)) + ". "
+
+
+def test_ends_of_passages(spark):
+    """The last sentences of a repeated passage go too, however short they are."""
+    tables = [[sentence(f"s{d}", 4) + "".join(sentence(n, k) for n, k in passage) + sentence(f"e{d}", 30) for d in range(2)]
+              for passage in ([("a", 30), ("b", 30), ("c", 8)], [("a", 20), ("b", 4), ("c", 4), ("d", 4)])]
+    rng = np.random.default_rng(4)
+    pool = [sentence(f"p{i}", int(n)) for i, n in enumerate(rng.integers(1, 30, 12))]
+    for _ in range(12):
+        tables.append(["".join("".join(pool[at:at + n]) if n > 1 else sentence(f"x{at}{d}", 5) for at, n in rng.integers((0, 1), (10, 9), (4, 2))) for d in range(3)])
+    rows, want = [], {}
+    for n, texts in enumerate(tables):
+        texts = [" ".join(f"t{n}{w}" for w in t.split()) for t in texts]  # tables share no words
+        rows += [(100 * n + d, t) for d, t in enumerate(texts)]
+        want |= {100 * n + d: g for d, g in enumerate(every_run_removed(texts)) if g}
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ends=True).collect()}
+    assert {i: r.repeats.n_removed for i, r in got.items()} == {i: len(g) for i, g in want.items()}
+    for i, g in want.items():
+        assert got[i].text == "".join(s for n, s in enumerate(substring_dedup.sentences(dict(rows)[i])) if n not in g).rstrip()
+    assert want[1] == {1, 2, 3} and want[101] == {1, 2, 3, 4}

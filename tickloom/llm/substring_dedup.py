@@ -23,31 +23,42 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s]
 
 
-def runs(parts: list[str]) -> list[tuple[int, int, int]]:
-    """``(first, end, hash)`` of the run that begins at each sentence, where the text is long enough for one.
+def runs(parts: list[str], ends: bool = True) -> list[tuple[int, int, int]]:
+    """``(first, end, hash)`` of the shortest runs that begin at each sentence and, with ``ends``, of those that end there.
 
-    A run is the shortest with ``SENTENCES`` sentences and ``WORDS`` words, or with ``LONG`` words. Case and white space do not count.
+    A run has ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words. Case and white space do not count. What is
+    longer than a run is one too: a sentence of a long one lies in the shortest from its start, or else ends a shortest within it.
     """
     words = [s.lower().split() for s in parts]
     kept = [i for i, w in enumerate(words) if w]  # sentences of white space alone are part of none
     digests = [hashlib.blake2b(" ".join(words[i]).encode("utf-8", "replace"), digest_size=8).digest() for i in kept]
     counts = [len(words[i]) for i in kept]
-    found, end, held = [], 0, 0
+
+    def enough(n: int, held: int) -> bool:
+        return n >= SENTENCES and held >= WORDS or held >= LONG
+
+    found, end, held = set(), 0, 0
     for first in range(len(kept)):
-        if end < first:
-            end, held = first, 0
-        while end < len(kept) and not (end - first >= SENTENCES and held >= WORDS or held >= LONG):
+        while end < len(kept) and not enough(end - first, held):
             held += counts[end]
             end += 1
-        if not (end - first >= SENTENCES and held >= WORDS or held >= LONG):
+        if not enough(end - first, held):
             break
-        found.append((first, end))
+        found.add((first, end))
         held -= counts[first]
-    # The shortest run from the next sentence can end no earlier, so the window only moves on.
-    return [(kept[a], kept[b - 1] + 1, int.from_bytes(hashlib.blake2b(b"".join(digests[a:b]), digest_size=8).digest(), "little", signed=True)) for a, b in found]
-
-
-def repeated(docs: DataFrame) -> DataFrame:
+    first, held = 0, 0
+    for end in range(1, len(kept) + 1 if ends else 0):
+        held += counts[end - 1]
+        while enough(end - first - 1, held - counts[first]):
+            held -= counts[first]
+            first += 1
+        if enough(end - first, held):
+            found.add((first, end))
+    # Neither end of a shortest run moves back when the other moves on, so both passes are linear.
+    return [(kept[a], kept[b - 1] + 1, int.from_bytes(hashlib.blake2b(b"".join(digests[a:b]), digest_size=8).digest(), "little", signed=True)) for a, b in sorted(found)]
+
+
+def repeated(docs: DataFrame, ends: bool = True) -> DataFrame:
     """Runs that occur more than once, but for their first place: ``doc_id, first, end, first_doc``.
 
     The first place is the one with the smallest id, then the earliest sentence; a null id comes
@@ -56,7 +67,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [(d, a, b, h) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for a, b, h in runs(sentences(t))]
+            rows = [(d, a, b, h) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for a, b, h in runs(sentences(t), ends)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "first", "end", "h"])
     places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(task, "doc_id long, first long, end long, h long")
     groups = pin(places.groupBy("h").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1))
@@ -73,15 +84,16 @@ def _strip(text: str, ranges: list) -> tuple[str, int, int]:
     return "".join(kept).rstrip() if gone else text, len(parts), len(gone & set(range(len(parts))))
 
 
-def remove_repeats(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, found: DataFrame | None = None, ends: bool = False) -> DataFrame:
     """The documents that hold a non-first repeated run, every column, with cleaned ``text`` and a struct
     ``repeats`` (n_sentences, n_removed, first_docs: ids of the documents where the runs came first).
 
     Null text is empty and has no runs. All other documents stay as they are and are not in the result:
     ``docs`` without them, with this result, is the whole cleaned table. Rows that repeat an id
-    are cleaned by the runs of all of them. Very long texts are read whole.
+    are cleaned by the runs of all of them. Very long texts are read whole. With ``ends``, every sentence of
+    every repeated run goes; without, only those of the shortest run from each sentence.
     """
-    found = repeated(docs) if found is None else found
+    found = repeated(docs, ends) if found is None else found
     ranges = pin(found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
                  .withColumnRenamed("doc_id", "k"))
     test = bloom_filter(ranges.filter("k is not null"), "k", bloom_bits(ranges.count()))
