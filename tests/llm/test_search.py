@@ -260,3 +260,14 @@ def test_ends_of_passages(spark):
     for i, g in want.items():
         assert got[i].text == "".join(s for n, s in enumerate(substring_dedup.sentences(dict(rows)[i])) if n not in g).rstrip()
     assert want[1] == {1, 2, 3} and want[101] == {1, 2, 3, 4}
+
+
+def test_passages_of_rows_with_one_id(spark):
+    """Rows with a null or repeated id are documents of their own; of equal rows all but one are emptied."""
+    shared, clean = sentence("a", 30) + sentence("b", 30), sentence("c", 30) + sentence("d", 30) + "End."
+    rows = [(None, sentence("x", 3) + shared), (None, shared + "Own."), (None, clean), (7, "Seven. " + sentence("e", 60)), (7, sentence("e", 60) + "Other."),
+            (7, sentence("f", 60) + "Kept."), (8, "Eight " + sentence("g", 60)), (8, "Eight " + sentence("g", 60)), (8, "Eight " + sentence("g", 60))]
+    got = Counter((r.doc_id, r.text, r.repeats.n_removed, tuple(r.repeats.first_docs)) for r in substring_dedup.remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ends=True).collect())
+    one = [Counter({(None, t, 2, ()): 1, (7, u, 1, (7,)): 1, (8, "", 1, (8,)): 2}) for t in (sentence("x", 3).rstrip(), "Own.") for u in ("Seven.", "Other.")]
+    assert got in one

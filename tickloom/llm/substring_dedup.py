@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import bloom_bits, bloom_filter, body, hot_join, slices
@@ -58,22 +58,42 @@ def runs(parts: list[str], ends: bool = True) -> list[tuple[int, int, int]]:
     return [(kept[a], kept[b - 1] + 1, int.from_bytes(hashlib.blake2b(b"".join(digests[a:b]), digest_size=8).digest(), "little", signed=True)) for a, b in sorted(found)]
 
 
-def repeated(docs: DataFrame, ends: bool = True) -> DataFrame:
-    """Runs that occur more than once, but for their first place: ``doc_id, first, end, first_doc``.
+def _key() -> Column:
+    """What rows with equal id and text share; a null id is before all others."""
+    return F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(body()).alias("b"))
 
-    The first place is the one with the smallest id, then the earliest sentence; a null id comes
-    before all others. Every run's hash is counted with map-side partials; of the places, only those
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """Keys of more than one row."""
+    return pin(docs.groupBy(_key().alias("k")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("k"))
+
+
+def repeated(docs: DataFrame, ends: bool = True, copies: DataFrame | None = None) -> DataFrame:
+    """Runs that occur more than once, but for their first place: ``k, copy, first, end, first_doc``.
+
+    ``k`` is the key of a document's rows; of rows with one key, one has ``copy`` 0 and all others 1. The
+    first place of a run is the one with the smallest id, then the smallest hash of the text, then the earliest sentence; a null id
+    comes before all others. Every run's hash is counted with map-side partials; of the places, only those
     that pass a Bloom bitmap of the repeated hashes shuffle.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [(d, a, b, h) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for a, b, h in runs(sentences(t), ends)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "first", "end", "h"])
-    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(task, "doc_id long, first long, end long, h long")
-    groups = pin(places.groupBy("h").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1))
-    met = pin(places.filter(bloom_filter(groups, "h", bloom_bits(groups.count()))(F.col("h"))))
-    joined = hot_join(met, groups, "h", "rows")
-    return pin(joined.filter(~F.struct("doc_id", "first").eqNullSafe(F.col("origin"))).select("doc_id", "first", "end", F.col("origin.doc_id").alias("first_doc")))
+            keys = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
+            rows = [(*k, a, b, h) for k, t in zip(keys, part.column(3).to_pylist(), strict=True) for a, b, h in runs(sentences(t), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.bool_()] + [pa.int64()] * 5)],
+                                             ["named", "id", "b", "first", "end", "h"])
+    places = docs.select(_key().alias("k"), body().alias("text")).select("k.*", "text").mapInArrow(task, "named boolean, id long, b long, first long, end long, h long")
+    hashes = pin(places.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("h"))
+    met = pin(places.filter(bloom_filter(hashes, "h", bloom_bits(hashes.count()))(F.col("h"))))
+    place = F.struct("named", "id", "b", "first")
+    origins = pin(met.groupBy("h").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    joined = hot_join(met, origins, "h", "rows").select(
+        F.struct("named", "id", "b").alias("k"), "first", "end", F.when(F.col("origin.named"), F.col("origin.id")).alias("first_doc"), (place == F.col("origin")).alias("own"))
+    out = joined.filter("not own").select("k", F.lit(0).alias("copy"), "first", "end", "first_doc")
+    copies = _copies(docs) if copies is None else copies
+    if not copies.isEmpty():  # whatever a copy holds came first in the row it repeats, or before that
+        out = out.unionByName(joined.select("k", F.lit(1).alias("copy"), "first", "end", "first_doc").distinct().join(copies, "k", "left_semi"))
+    return pin(out)
 
 
 def _strip(text: str, ranges: list) -> tuple[str, int, int]:
@@ -84,28 +104,47 @@ def _strip(text: str, ranges: list) -> tuple[str, int, int]:
     return "".join(kept).rstrip() if gone else text, len(parts), len(gone & set(range(len(parts))))
 
 
-def remove_repeats(docs: DataFrame, found: DataFrame | None = None, ends: bool = False) -> DataFrame:
+def _numbered(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``row, k`` of every row; ``k`` ends with ``copy``: 0 for one row of each key, 1 for the others. Only rows that may be copies shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("k"))
+    n = copies.count()
+    if not n:
+        return rows.select("row", F.struct("k.*", F.lit(0).alias("copy")).alias("k"))
+    rows = rows.withColumn("maybe", bloom_filter(copies, "k", bloom_bits(n))(F.col("k")))
+    some = pin(rows.filter("maybe").select("row", "k", F.monotonically_increasing_id().alias("n")))
+    leads = pin(some.groupBy("k").agg(F.min("n").alias("lead"), F.count(F.lit(1)).alias("rows")))
+    both = hot_join(some, leads, "k", "rows").select("row", "k", (F.col("n") > F.col("lead")).cast("int").alias("copy"))
+    return rows.filter(~F.col("maybe")).select("row", "k", F.lit(0).alias("copy")).unionByName(both).select("row", F.struct("k.*", "copy").alias("k"))
+
+
+def remove_repeats(docs: DataFrame, ends: bool = False) -> DataFrame:
     """The documents that hold a non-first repeated run, every column, with cleaned ``text`` and a struct
     ``repeats`` (n_sentences, n_removed, first_docs: ids of the documents where the runs came first).
 
     Null text is empty and has no runs. All other documents stay as they are and are not in the result:
-    ``docs`` without them, with this result, is the whole cleaned table. Rows that repeat an id
-    are cleaned by the runs of all of them. Very long texts are read whole. With ``ends``, every sentence of
+    ``docs`` without them, with this result, is the whole cleaned table. Rows that repeat an id are documents of
+    their own, also those with a null id (which ``first_docs`` cannot name); of rows with equal id and text one is the
+    first. Very long texts are read whole. With ``ends``, every sentence of
     every repeated run goes; without, only those of the shortest run from each sentence.
     """
-    found = repeated(docs, ends) if found is None else found
-    ranges = pin(found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-                 .withColumnRenamed("doc_id", "k"))
-    test = bloom_filter(ranges.filter("k is not null"), "k", bloom_bits(ranges.count()))
-    rows = docs.select(F.struct("*").alias("row"), body().alias("text"), F.col("doc_id").cast("long").alias("key"))
-    rows = rows.filter(test(F.coalesce("key", F.lit(0))) | F.col("key").isNull()).join(ranges, F.col("key").eqNullSafe(F.col("k")))
+    copies = _copies(docs)
+    found = repeated(docs, ends, copies).select(F.struct("k.*", "copy").alias("k"), "first", "end", "first_doc")
+    ranges = pin(found.groupBy("k").agg(F.collect_set(F.struct("first", "end")).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")))
+    test = bloom_filter(ranges, "k", bloom_bits(ranges.count()))
+    rows = _numbered(docs, copies).filter(test(F.col("k")))
+    if copies.isEmpty():
+        rows = rows.join(ranges, "k")
+    else:  # a key can have very many rows
+        rows = pin(rows)
+        weights = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+        rows = hot_join(rows, pin(ranges.join(weights, "k")), "k", "rows")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def strip(texts, lists):
         import pandas as pd
         return pd.DataFrame([_strip(t, [(r["first"], r["end"]) for r in rs]) for t, rs in zip(texts, lists, strict=True)], columns=["text", "n_sentences", "n_removed"])
 
-    done = rows.withColumn("s", strip("text", "ranges"))
+    done = rows.withColumn("s", strip(body("row.text"), "ranges"))
     names = [c for c in docs.columns if c != "repeats"]
     return done.select(*[F.col("s.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names],
                        F.struct("s.n_sentences", "s.n_removed", "first_docs").alias("repeats"))
