@@ -271,3 +271,16 @@ def test_passages_of_rows_with_one_id(spark):
         spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ends=True).collect())
     one = [Counter({(None, t, 2, ()): 1, (7, u, 1, (7,)): 1, (8, "", 1, (8,)): 2}) for t in (sentence("x", 3).rstrip(), "Own.") for u in ("Seven.", "Other.")]
     assert got in one
+
+
+def test_passages_give_every_document(spark, docs, empty, sf):
+    assert substring_dedup.clean(empty).count() == 0
+    for table in (docs, docs.filter("doc_id != 11")):
+        rows = substring_dedup.clean(table).collect()
+        assert Counter((r.doc_id, r.lang) for r in rows) == Counter((r.doc_id, r.lang) for r in table.collect())
+        before = {r.doc_id: r.text or "" for r in table.collect()}
+        for r in rows:
+            parts = substring_dedup.sentences(before[r.doc_id])
+            assert r.repeats.n_sentences == len(parts) and (r.repeats.n_removed or (r.text, r.repeats.first_docs) == (before[r.doc_id], []))
+        assert {r.doc_id for r in rows if r.repeats.n_removed} >= {1, 2, 3}
+    assert entry.queries()["op4_substring_dedup"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()

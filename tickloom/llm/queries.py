@@ -45,7 +45,7 @@ def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(_table(spark, sf, "documents"), ends=True)
+    out = substring_dedup.clean(_table(spark, sf, "documents"))
     return out.select("doc_id", "repeats.n_sentences", "repeats.n_removed", "repeats.first_docs", F.sha2("text", 256).alias("clean_sha256"))
 
 

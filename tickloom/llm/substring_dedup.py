@@ -118,33 +118,44 @@ def _numbered(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, ends: bool = False) -> DataFrame:
-    """The documents that hold a non-first repeated run, every column, with cleaned ``text`` and a struct
-    ``repeats`` (n_sentences, n_removed, first_docs: ids of the documents where the runs came first).
+    """Of ``clean``, the documents that hold a non-first repeated run; without ``ends`` only the shortest run from each sentence counts."""
+    return clean(docs, ends).filter("repeats.n_removed > 0")
 
-    Null text is empty and has no runs. All other documents stay as they are and are not in the result:
-    ``docs`` without them, with this result, is the whole cleaned table. Rows that repeat an id are documents of
+
+def clean(docs: DataFrame, ends: bool = True) -> DataFrame:
+    """All rows and columns of ``docs`` with cleaned ``text``, and a struct ``repeats`` (n_sentences, n_removed,
+    first_docs: ids of the documents where the removed runs came first).
+
+    Every sentence of every repeated run goes, but for the run's first place. Null text is empty and has no runs.
+    Rows that repeat an id are documents of
     their own, also those with a null id (which ``first_docs`` cannot name); of rows with equal id and text one is the
-    first. Very long texts are read whole. With ``ends``, every sentence of
-    every repeated run goes; without, only those of the shortest run from each sentence.
+    first. Very long texts are read whole. Texts without such runs do not shuffle. No rows in, none out.
     """
     copies = _copies(docs)
     found = repeated(docs, ends, copies).select(F.struct("k.*", "copy").alias("k"), "first", "end", "first_doc")
     ranges = pin(found.groupBy("k").agg(F.collect_set(F.struct("first", "end")).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")))
     test = bloom_filter(ranges, "k", bloom_bits(ranges.count()))
-    rows = _numbered(docs, copies).filter(test(F.col("k")))
+    rows = _numbered(docs, copies).withColumn("maybe", test(F.col("k")))
+    some = rows.filter("maybe").drop("maybe")
     if copies.isEmpty():
-        rows = rows.join(ranges, "k")
+        some = some.join(ranges, "k", "left")
     else:  # a key can have very many rows
-        rows = pin(rows)
-        weights = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
-        rows = hot_join(rows, pin(ranges.join(weights, "k")), "k", "rows")
+        some = pin(some)
+        weights = some.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+        some = hot_join(some, pin(weights.join(ranges, "k", "left")), "k", "rows")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def strip(texts, lists):
         import pandas as pd
-        return pd.DataFrame([_strip(t, [(r["first"], r["end"]) for r in rs]) for t, rs in zip(texts, lists, strict=True)], columns=["text", "n_sentences", "n_removed"])
+        return pd.DataFrame([_strip(t, [(r["first"], r["end"]) for r in rs] if rs is not None else []) for t, rs in zip(texts, lists, strict=True)], columns=["text", "n_sentences", "n_removed"])
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(sentences(t)) for t in texts.to_pylist()], pa.int64())
 
-    done = rows.withColumn("s", strip(body("row.text"), "ranges"))
+    none = F.array().cast("array<long>")
+    done = some.withColumn("s", strip(body("row.text"), "ranges")).select("row", "s.text", "s.n_sentences", "s.n_removed", F.coalesce("first_docs", none).alias("first_docs"))
+    rest = rows.filter(~F.col("maybe")).select("row", body("row.text").alias("text"), count(body("row.text")).alias("n_sentences"), F.lit(0).cast("long").alias("n_removed"), none.alias("first_docs"))
     names = [c for c in docs.columns if c != "repeats"]
-    return done.select(*[F.col("s.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names],
-                       F.struct("s.n_sentences", "s.n_removed", "first_docs").alias("repeats"))
+    return done.unionByName(rest).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names],
+                                         F.struct("n_sentences", "n_removed", "first_docs").alias("repeats"))
