@@ -172,3 +172,24 @@ def test_lines(docs, empty, spark):
         got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(many, least=least).collect()}
         for r in many.collect():
             assert got[r.doc_id] == "\n".join(x for x in r.text.split("\n") if not x or len(sites[x]) < least)
+
+
+def test_candidates_behind_marks_and_around_base_spans(spark):
+    """Values behind names and paths, and tokens that hold a base span, are found; each kind has a sample of its own."""
+    rnd = random.Random(3)
+    make = lambda: "xkq_" + "".join(rnd.choice("GHJKLMNPQRSTUVWXYZ") for _ in range(24))
+    automata = {"assign": secrets.Automaton([make() for _ in range(400)])}
+    hits = lambda text: [text[s:e] for s, k, e, _ in secrets.all_spans(text, automata) if k == "like_assign"]
+    for before, after in (("auth=", ""), ("client_key=", "."), ("see https://host.example/a/b/", ""), ("v1.", ""), ("host/", "/rest"), ("id=", "=x"), ("deadbeefdeadbeef", "."), ("x=deadbeefdeadbeef", "")):
+        value = make()
+        assert hits(f"left {before}{value}{after} right") == [value], before
+    assert hits("left https://internationalisation.example/considerations/thoroughness right") == []
+    hexes = {"access": secrets.Automaton(["Zz" + "0123456789abcdef"[i:] + "0123456789abcdef"[:i] + "Q" for i in range(16)] * 9)}
+    assert ("like_access", 5, 24) in [(k, s, e) for s, k, e, _ in secrets.all_spans("left Zz0123456789abcdefQ right", hexes)]
+    rows = [("token = " + make(),) for _ in range(3)] + [(hashlib.md5(str(i).encode()).hexdigest(),) for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string")
+    assert set(secrets.learn(docs, labelled=5)) == {"assign", "hex"} and secrets.learn(docs, labelled=5)["assign"].count[0]["x"] == 3
+    for value in ("0123456789", "", "Zz0", "AKIA.." * 9):  # the shared tails are the plain sums
+        for a in (automata["assign"], hexes["access"]):
+            memo, classes = {}, secrets.symbols("...." + value)[4:]
+            assert all(a.tail(value, i, classes, memo) == a.score(value[i:]) for i in reversed(range(len(value) + 1)))

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import body, slices
+from tickloom.session import pin
 
 # The base patterns, and the least lengths of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex")
-#: Candidates: runs that a credential may consist of, with two digits at least.
-RUN, DIGITS = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), re.compile(r"[0-9].*?[0-9]", re.DOTALL)
-#: Labelled values that are fitted, at most; confidence of a merge; share of labelled values below the score that is asked for.
+#: Candidates: runs that a credential may consist of, and what begins or ends at a mark inside one.
+RUN, MARK = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), re.compile(r"[=/.]")
+#: Labelled values of a kind that are fitted, at most; confidence of a merge; share of labelled values below the score that is asked for.
 LABELLED, ALPHA, BELOW = 3000, 0.05, 0.02
 #: Characters at the front of a value that keep their identity; later ones count by class.
 PREFIX = 4
@@ -114,38 +115,96 @@ class Automaton:
 
     def score(self, value: str) -> float:
         """Mean log2 likelihood of a symbol, the end counted as one; minus infinity for what the automaton cannot make."""
-        at, total = 0, 0.0
-        for c in symbols(value):
+        return self.tail(value, 0, symbols("." * PREFIX + value)[PREFIX:], {})
+
+    def tail(self, value: str, start: int, classes: str, memo: dict[tuple[int, int], float]) -> float:
+        """The score of ``value[start:]``. ``classes`` are the symbols of later characters; ``memo`` keeps what follows a
+        state at a place, so that all tails of a value take one pass for each state."""
+        at, total, place, path = 0, 0.0, start, []
+        for c in symbols(value[start:start + PREFIX]):
             if c not in self.logs[at]:
                 return -math.inf
             total += self.logs[at][c]
             at = self.next[at][c]
-        return (total + self.logs[at].get("", -math.inf)) / (len(value) + 1)
+            place += 1
+        while (rest := memo.get((at, place))) is None:
+            c = classes[place:place + 1]  # "" at the end
+            if not c or c not in self.logs[at]:
+                rest = -math.inf if c else self.logs[at].get("", -math.inf)
+                break
+            path.append((at, place, self.logs[at][c]))
+            at, place = self.next[at][c], place + 1
+        for state, before, log in reversed(path):
+            rest += log
+            memo[state, before] = rest
+        return (total + rest) / (len(value) - start + 1)
+
+
+def _found(value: str, automata: dict[str, Automaton], whole: bool = False) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of what the automata score as high as their own examples, from the left: the value, what is behind
+    a mark in it, and the parts between marks. ``whole``: only the value itself."""
+    least = min((LEAST[k] for k in automata), default=0)
+    classes, memos, out, done = symbols("." * PREFIX + value)[PREFIX:], {k: {} for k in automata}, [], 0
+    marks = [] if whole else [m.start() for m in MARK.finditer(value)]
+    for start, stop in zip([0, *(m + 1 for m in marks)], [*marks, len(value)], strict=True):
+        if start < done or len(value) - start < least:
+            continue
+        over = [(a.tail(value, start, classes, memos[k]) - a.least, len(value), k) for k, a in automata.items() if len(value) - start >= LEAST[k]]
+        if max(over, default=(-1,))[0] < 0 and stop < len(value) and not whole:
+            over = [(a.score(value[start:stop]) - a.least, stop, k) for k, a in automata.items() if stop - start >= LEAST[k]]
+        margin, end, kind = max(over, key=lambda o: o[0], default=(-1, 0, ""))
+        if margin >= 0:
+            out.append((start, end, kind))
+            done = end
+    return out
 
 
 def all_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int, str, int, str]]:
-    """The base spans, and candidates apart from them that an automaton scores as high as its own examples, named like_<kind>."""
+    """The base spans, and candidates that an automaton scores as high as its own examples, named like_<kind>.
+
+    Candidates are whole runs, what stands behind or between marks in them, and what base spans leave of a run. A run
+    with a base span that is no assignment is also scored as a whole.
+    """
     found = base_spans(text)
-    more = []
+    more, first = [], 0
+    ordered = sorted(((s, e, k) for s, k, e, _ in found), key=lambda s: s[1])
     for run in RUN.finditer(text):
-        if DIGITS.search(run[0]) and not any(s < run.end() and run.start() < e for s, _, e, _ in found):
-            value = run[0].rstrip(".")
-            kind = max(automata, key=lambda k: automata[k].score(value) - automata[k].least, default=None)
-            if kind and automata[kind].score(value) >= automata[kind].least:
-                more.append((run.start(), f"like_{kind}", run.start() + len(value), value))
+        begin, end = run.start(), run.start() + len(run[0].rstrip("."))
+        while first < len(ordered) and ordered[first][1] <= begin:
+            first += 1
+        inside, n = [], first
+        while n < len(ordered) and ordered[n][1] <= run.end():  # no base span goes on behind the run it ends in
+            inside.append(ordered[n])
+            n += 1
+        holds = [(begin, end)]
+        if inside:
+            if all(k != "assign" for _, _, k in inside) and (begin, end) not in [(s, e) for s, e, _ in inside]:
+                hits = _found(text[begin:end], automata, whole=True)
+                if hits:
+                    more.append((begin, f"like_{hits[0][2]}", end, text[begin:end]))
+                    continue
+            holds, at = [], begin
+            for s, e, _ in sorted(inside):
+                holds.append((at, s))
+                at = max(at, e)
+            holds.append((at, end))
+        for a, b in holds:
+            if b > a:
+                more += [(a + s, f"like_{kind}", a + e, text[a + s:a + e]) for s, e, kind in _found(text[a:b], automata)]
     return sorted(found + more, key=lambda s: (s[0], s[1].startswith("like_"), KINDS.index(s[1].removeprefix("like_"))))
 
 
 def learn(docs: DataFrame, labelled: int = LABELLED) -> dict[str, Automaton]:
-    """One automaton for each kind with labelled values: at most ``labelled`` distinct ones of all texts, by hash order."""
+    """One automaton for each kind with labelled values: at most ``labelled`` distinct ones of the kind in all texts, by hash order."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = {(kind, value) for text in part.column(0).to_pylist() for _, kind, _, value in base_spans(text) if len(value) <= 256}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
     values = docs.select(body().alias("text")).mapInArrow(task, "kind string, value string").distinct()
-    by_kind = defaultdict(list)
-    for r in values.orderBy(F.xxhash64("kind", "value"), "kind", "value").limit(labelled).collect():
-        by_kind[r.kind].append(r.value)
+    by_kind = {}
+    values = pin(values)
+    for kind in KINDS:
+        by_kind[kind] = [r.value for r in values.filter(F.col("kind") == kind).orderBy(F.xxhash64("kind", "value"), "value").limit(labelled).collect()]
     return {kind: Automaton(by_kind[kind]) for kind in KINDS if by_kind[kind]}
 
 
