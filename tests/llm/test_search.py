@@ -284,3 +284,23 @@ def test_passages_give_every_document(spark, docs, empty, sf):
             assert r.repeats.n_sentences == len(parts) and (r.repeats.n_removed or (r.text, r.repeats.first_docs) == (before[r.doc_id], []))
         assert {r.doc_id for r in rows if r.repeats.n_removed} >= {1, 2, 3}
     assert entry.queries()["op4_substring_dedup"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_slots_of_a_large_open_bucket_are_bounded(spark, monkeypatch):
+    """One component of many members meets a single stranger: no copies inside it, and no slot far beyond its size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 400)
+    monkeypatch.setattr(near_dedup, "GROUP", 20)
+    reps = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(b"s").alias("sig"), F.array(F.lit(1).cast("long")).alias("bands"))
+    members = lambda roots: spark.createDataFrame([(5, i, 40, r) for i, r in enumerate(roots)], "bucket long, id long, n long, root long")
+    rows = near_dedup._dealt(members([0] * 599 + [599]), reps).select("i", "j", "own", "id", "root", "slot").collect()
+    assert len(rows) == 599 + 1 + 60 and max(Counter(r.slot for r in rows).values()) <= 120
+    roots = [0] * 60 + list(range(60, 100))
+    rows = near_dedup._dealt(members(roots), reps).select("i", "j", "own", "id", "slot").collect()
+    assert max(Counter(r.slot for r in rows).values()) <= 120
+    groups, met = defaultdict(list), Counter()
+    for r in rows:
+        groups[r.i, r.j].append(r)
+    for (i, j), part in groups.items():
+        left, right = ([r.id for r in part if r.own == b] for b in (i, j))
+        met.update(tuple(sorted((a, b))) for a in left for b in right if i != j or a < b)
+    assert all(met[a, b] == (1 if roots[a] != roots[b] else 0) for a in range(100) for b in range(a + 1, 100))

@@ -137,6 +137,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _dealt(marked: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of buckets with several components, once for each pair of blocks they meet in: ``bucket, i, j, own, id, root, n, sig, bands, slot``.
+
+    The members of a bucket's largest component have blocks of their own, which meet only the blocks of the others.
+    A slot has about ``GROUP`` rows, or one pair of blocks.
+    """
+    open_ = pin(marked.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+                .filter(F.col("low") != F.col("high")).select("bucket", "rows"))
+    met = pin(hot_join(marked, open_, "bucket", "rows").drop("rows"))
+    sizes = met.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    shape = sizes.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "root", "n")).alias("most"))
+    shape = pin(shape.select("bucket", "rows", F.col("most.root").alias("big"), F.col("most.rows").alias("within"),
+                             F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("inner")))
+    copies = shape.agg(F.sum((F.col("rows") - F.col("within")) * (F.col("outer") + F.col("inner")) + F.col("within") * F.col("outer"))).first()[0] or 0
+    slots = max(1, int(copies // GROUP))
+    rows = hot_join(met, shape, "bucket", "rows").join(reps.select(F.col("doc_id").alias("id"), "sig", "bands"), "id")
+    apart, at = F.col("root") != F.col("big"), F.xxhash64("id", "bucket")
+    cut = rows.withColumn("own", F.when(apart, F.pmod(at, F.col("outer"))).otherwise(F.col("outer") + F.pmod(at, F.col("inner"))).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(apart, F.col("inner")).otherwise(0))))
+    return cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "sig", "bands").withColumn(
+        "slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)).cast("int"))
+
+
 def _crossing(docs: DataFrame, members: DataFrame, labels: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between documents of one bucket but of different components: ``a, b``, enough of them to join what is linked.
 
@@ -145,13 +168,7 @@ def _crossing(docs: DataFrame, members: DataFrame, labels: DataFrame, reps: Data
     A pair is looked at in its first common bucket, and not at all once links of the task join its components.
     """
     marked = pin(members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root")))
-    open_ = pin(marked.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"),
-                                             F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter(F.col("low") != F.col("high")).select("bucket", "rows", "blocks"))
-    rows = hot_join(marked, open_, "bucket", "rows").join(reps.select(F.col("doc_id").alias("id"), "sig", "bands"), "id")
-    slots = max(1, int((open_.agg(F.sum("rows")).first()[0] or 0) // GROUP))
-    cut = rows.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    by = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "sig", "bands").withColumn(
-        "slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)).cast("int"))
+    by = _dealt(marked, reps)
     kinds = "bucket long, i int, j int, own int, id long, root long, n long, sig binary, bands array<long>, slot int"
     seen = pin(by.groupBy("slot").applyInArrow(lambda t: _Slot(t, percent).partners(t), kinds))
     ids = seen.select("id").distinct()
