@@ -31,8 +31,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids, placed in full sequences."""
-    return packing.pack(small_batches(docs), vocabulary("word_bpe_49k.json"), with_ids=False, cached=PACK_WORDS)
+    """Pieces of the documents' ids, placed in full sequences, with the ids themselves."""
+    return packing.pack(small_batches(docs), vocabulary("word_bpe_49k.json"), with_ids=True, cached=PACK_WORDS)
 
 
 #: Words that a packing worker keeps, twice; few, because workers of earlier stages still hold memory.

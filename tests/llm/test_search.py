@@ -304,3 +304,8 @@ def test_slots_of_a_large_open_bucket_are_bounded(spark, monkeypatch):
         left, right = ([r.id for r in part if r.own == b] for b in (i, j))
         met.update(tuple(sorted((a, b))) for a in left for b in right if i != j or a < b)
     assert all(met[a, b] == (1 if roots[a] != roots[b] else 0) for a in range(100) for b in range(a + 1, 100))
+
+
+def test_pipeline_writes_token_ids(spark, docs, sf):
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
