@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import ann, bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, substring_dedup
+from tickloom.llm import ann, bpe, exact_dedup, gnat, language_id, line_dedup, lm_score, near_dedup, packing, secrets, spelling, substring_dedup, warc
 from tickloom.llm.common import small_batches
 from tickloom.llm.tokens import vocabulary
+from tickloom.session import scratch_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -79,11 +80,51 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf, "pages"), path)
+    return warc.page_records(spark, path)
+
+
+# Base 32 of a digest: every five bits lie within two hexadecimal digits.
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS s, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead FROM pages),
+d AS (SELECT page_id, strlen(s) AS payload_bytes, sha1(s) AS h, lead FROM p)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+    (('0x' || substr(h, (1 + (5 * i) // 4)::BIGINT, 2))::INTEGER >> (3 - (5 * i) % 4)::INTEGER) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to FROM d
+"""
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return gnat.mine(_table(spark, sf, "embeddings"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Builder]:
     return {"op1_line_dedup": op1_line_dedup, "op2_language_id": op2_language_id, "op3_lm_scoring": op3_lm_scoring, "op4_substring_dedup": op4_substring_dedup, "op5_minhash_dedup": op5_minhash_dedup,
             "op6_nearest": op6_nearest,
-            "op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
+            "op7_secret_scan": op7_secret_scan, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_packing": op10_packing,
+            "op11_warc": op11_warc, "op12_spelling": op12_spelling, "op13_hard_negatives": op13_hard_negatives, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_warc": OP11_SQL, "op13_hard_negatives": OP13_SQL}
