@@ -1,7 +1,7 @@
 """Technical indicators over bars.
 
 Bars are bounded by the clock per symbol, so one exchange by symbol serves every window of a call.
-Recurrences (EMA, Wilder) run in one Arrow pass per symbol.
+Recurrences (EMA, Wilder) are scans of affine maps over chunks of rows.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
     W, _, _, _, _, _ = _bar()
     m = smooth(bars.select("symbol", "ts", "close"), ["symbol"], "ts", [
         ("_f", "close", "ema", fast), ("_s", "close", "ema", slow),
-        ("macd", lambda p: p["_f"] - p["_s"], "expr", 0), ("macd_signal", "macd", "ema", signal)])
+        ("macd", F.col("_f") - F.col("_s"), "expr", 0), ("macd_signal", "macd", "ema", signal)])
     h = F.round(F.col("macd") - F.col("macd_signal"), 9)
     m = m.withColumn("macd_hist", h)
     before = F.lag("macd_hist").over(W)
@@ -111,10 +111,9 @@ def atr(bars: DataFrame) -> DataFrame:
     return b.withColumn("atr_pct", F.col("atr") / C * 100)
 
 
-def _directional(p, plus, minus, smooth_range):
-    up, down = 100 * p[plus] / p[smooth_range], 100 * p[minus] / p[smooth_range]
-    total = (up + down).replace(0, np.nan)
-    return 100 * (up - down).abs() / total
+def _directional(plus: str, minus: str, smooth_range: str) -> Column:
+    up, down = (100 * F.try_divide(F.col(c), F.col(smooth_range)) for c in (plus, minus))
+    return 100 * F.try_divide(F.abs(up - down), up + down)
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -136,10 +135,10 @@ def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     b = b.withColumn("adx_sma", rmean(F.col("dx_sma"), W, n))
     steps = [
         ("a", "tr", "ema", n), ("ps", "pe", "ema", n), ("ms", "me", "ema", n),
-        ("dx", lambda p: _directional(p, "ps", "ms", "a").fillna(0).where(p["ps"].notna()), "expr", 0),
-        ("adx", "dx", "ema", n),
         ("wa", "tr", "wilder", n), ("wp", "pw", "wilder", n), ("wm", "mw", "wilder", n),
-        ("wdx", lambda p: _directional(p, "wp", "wm", "wa"), "expr", 0), ("adx_wilder", "wdx", "wilder_late", n)]
+        ("dx", F.when(F.col("ps").isNotNull(), F.coalesce(_directional("ps", "ms", "a"), F.lit(0.0))), "expr", 0),
+        ("wdx", _directional("wp", "wm", "wa"), "expr", 0),
+        ("adx", "dx", "ema", n), ("adx_wilder", "wdx", "wilder_late", n)]
     out = smooth(b.select("symbol", "ts", "tr", "pe", "me", "pw", "mw", "adx_sma"), ["symbol"], "ts", steps)
     x = F.round("adx", 9)  # a full 100 belongs to the last class
     return out.select(
@@ -289,7 +288,7 @@ def composite_flags(bars: DataFrame) -> DataFrame:
         "rsi": rsi_from(rmean(F.col("gain"), W, 14), rmean(F.col("loss"), W, 14)), "vol": rstd(F.col("ret"), W, 20)})
     b = smooth(b.select("symbol", "ts", "close", "rsi", "vol"), ["symbol"], "ts", [
         *[(f"e{s}", "close", "ema", s) for s in (9, 12, 20, 26, 50)],
-        ("m", lambda p: p["e12"] - p["e26"], "expr", 0), ("sg", "m", "ema", 9)])
+        ("m", F.col("e12") - F.col("e26"), "expr", 0), ("sg", "m", "ema", 9)])
     above = lambda a, c: (F.round(a, 9) > F.round(c, 9)).cast("int")
     cross = F.when(F.round(F.col("m") - F.col("sg"), 9) > 0, 1).otherwise(-1)
     b = b.withColumn("macd_cross", cross)

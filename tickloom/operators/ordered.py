@@ -33,6 +33,13 @@ class Ordered:
     rows: DataFrame
     columns: tuple[str, ...]
     chunk_rows: int
+    #: Rows of the longest key, where known.
+    longest: int | None = None
+
+    @property
+    def single(self) -> bool:
+        """Every key is one chunk, so nothing needs to be carried from chunk to chunk."""
+        return self.longest is not None and self.longest <= self.chunk_rows
 
     @property
     def window(self) -> WindowSpec:
@@ -111,6 +118,12 @@ class Ordered:
         own = df.where("_own")
         for name, (_, value) in spec.items():
             own = own.withColumn(f"_v_{name}", value)
+        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        frames = {"before": self.window.rowsBetween(Window.unboundedPreceding, -1),
+                  "next": self.window.rowsBetween(0, Window.unboundedFollowing)}
+        if self.single:
+            return own.select("*", *[_over(kind, F.col(f"_v_{n}"), frames.get(kind, upto)).alias(n)
+                                     for n, (kind, _) in spec.items()]).drop(*[f"_v_{n}" for n in spec])
         totals = []
         for name, (kind, _) in spec.items():
             v = F.col(f"_v_{name}")
@@ -123,9 +136,6 @@ class Ordered:
             F.col("_key").alias("_ckey"), F.col("_chunk").alias("_cchunk"),
             *[_over(kind, F.col(f"_t_{n}"), later if kind == "next" else earlier).alias(f"_c_{n}")
               for n, (kind, _) in spec.items()])
-        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
-        frames = {"before": self.window.rowsBetween(Window.unboundedPreceding, -1),
-                  "next": self.window.rowsBetween(0, Window.unboundedFollowing)}
         local = own.select("*", *[
             _over(kind, F.col(f"_v_{n}"), frames.get(kind, upto)).alias(f"_l_{n}")
             for n, (kind, _) in spec.items()])
@@ -207,15 +217,14 @@ def lay_out(df: DataFrame, keys: list[str], order: list[str | Column],
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     earlier = (Window.partitionBy("_key").orderBy("_seg")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = pin(per.select(
-        "_key", "_seg", "_cnt",
-        (F.col("_first") - F.coalesce(F.sum("_cnt").over(earlier), F.lit(0))).alias("_base")))
-    n, total = offsets.agg(F.count(F.lit(1)), F.coalesce(F.sum("_cnt"), F.lit(0))).first()
+    offsets = pin(per.withColumn("_passed", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0))).select(
+        "_key", "_seg", "_cnt", (F.col("_passed") + F.col("_cnt")).alias("_upto"), (F.col("_first") - F.col("_passed")).alias("_base")))
+    n, total, longest = offsets.agg(F.count(F.lit(1)), F.coalesce(F.sum("_cnt"), F.lit(0)), F.coalesce(F.max("_upto"), F.lit(0))).first()
     rows = (
-        placed.join(small_side(offsets.drop("_cnt"), rows=n), ["_key", "_seg"])
+        placed.join(small_side(offsets.drop("_cnt", "_upto"), rows=n), ["_key", "_seg"])
         .withColumn("_rn", F.col("_pos") - F.col("_base") + 1)
         .select(*cols, "_key", "_rn"))
-    return Ordered(rows, cols, chunk_rows or chunk_size(df.sparkSession, total))
+    return Ordered(rows, cols, chunk_rows or chunk_size(df.sparkSession, total), longest)
 
 
 def chunk_size(spark: SparkSession, rows: int) -> int:
