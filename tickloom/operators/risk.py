@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.history import grid
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
+from tickloom.operators.passage import barriers
 from tickloom.operators.windows import corr, div, last_rows, pct_change, rmean, rstd
 from tickloom.session import pin, small_side
 
@@ -29,39 +30,24 @@ def cross_signal(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     return bars.withColumn("position", F.coalesce(F.signum(d), F.lit(0.0)).cast("int"))
 
 
-def outcomes(signals: DataFrame, sweep: list[tuple[float, float]], cost: float, holding: int | None = None) -> DataFrame:
+def outcomes(signals: DataFrame, sweep: list[tuple[float, float]], cost: float, holding: int | None = None,
+             chunk_rows: int | None = None) -> DataFrame:
     """First barrier each signal meets in later bars of its day: stop, target, opposite signal, session end.
 
-    The later bars of a signal come from a forward frame to the end of its (symbol, day), so no join
-    and no pairs; a day's bars, bounded by the clock, share a task.  ``holding`` closes a trade after
-    so many bars with the reason ``holding_limit``.  ``sweep`` lists (stop, target) fractions and is a
-    literal.  Overlap of trades is not resolved here.
+    A trade enters at the next bar's open.  ``holding`` closes it after so many bars with the reason
+    ``holding_limit``.  ``sweep`` lists (stop, target) fractions and is a literal.  Overlap of trades
+    is not resolved here.  Bars of a day are ordered in chunks; searches walk down block extremes
+    (``passage``), so neither a signal nor a task holds the bars of a day.
     """
-    day = Window.partitionBy("symbol", F.to_date("ts"))
-    frame = day.orderBy("ts").rowsBetween(1, holding or Window.unboundedFollowing)
-    later = F.collect_list(F.struct("ts", "open", "high", "low", "close", "position")).over(frame)
-    s = signals.withColumns({"_later": later, "_close": F.max("ts").over(day)}).where("position <> 0").where(F.size("_later") > 0)
-    s = s.withColumn("sweep", F.explode(F.array(*[F.struct(F.lit(a).alias("stop"), F.lit(b).alias("target")) for a, b in sweep])))
+    day = signals.withColumn("_day", F.to_date("ts"))
+    o = lay_out(day.select("symbol", "_day", "ts", "open", "high", "low", "close", "position"), ["symbol", "_day"], ["ts"], chunk_rows)
     side = F.col("position")
-    s = s.withColumn("entry", F.element_at("_later", 1).open * (1 + side * cost))
-    entry, end = F.col("entry"), F.element_at("_later", -1).ts
-    stop, target = entry * (1 - side * F.col("sweep.stop")), entry * (1 + side * F.col("sweep.target"))
-    s = s.withColumns({"_stop": stop, "_target": target, "_end": end})
-
-    def meets(b: Column) -> Column:
-        st, tg = F.col("_stop"), F.col("_target")
-        hit_stop = F.when(side > 0, b.low <= st).otherwise(b.high >= st)
-        hit_target = F.when(side > 0, b.high >= tg).otherwise(b.low <= tg)
-        reason = F.when(hit_stop, "stop").when(hit_target, "target").when(b.position == -side, "opposite").when(b.ts == F.col("_close"), "session_end").when(
-            b.ts == F.col("_end"), "holding_limit")
-        price = F.when(reason == "stop", st).when(reason == "target", tg).otherwise(b.close)
-        return F.struct(b.ts.alias("ts"), reason.alias("reason"), price.alias("price"))
-
-    first = F.element_at(F.filter(F.transform("_later", meets), lambda x: x.reason.isNotNull()), 1)
-    s = s.withColumn("_x", first)
-    return s.select("symbol", "ts", "position", F.col("sweep.stop").alias("stop"), F.col("sweep.target").alias("target"), "entry",
-                    F.col("_x.ts").alias("exit_ts"), F.col("_x.reason").alias("reason"), F.col("_x.price").alias("exit"),
-                    (side * (F.col("_x.price") / entry - 1) - cost).alias("ret"))
+    entry = F.when(side != 0, F.lead("open").over(o.window) * (1 + side * cost))
+    rows = o.chunked(after=1).withColumn("entry", entry).where("_own").drop("_own", "_chunk")
+    rows = rows.join(small_side(o.sizes()), "_key").withColumn("entry", F.when(F.col("_rn") < F.col("_n"), F.col("entry")))
+    s = barriers(Ordered(rows, tuple(rows.columns), o.chunk_rows, o.longest), sweep, holding)
+    return s.select("symbol", "ts", "position", "stop", "target", "entry", "exit_ts", "reason", "exit",
+                    (side * (F.col("exit") / F.col("entry") - 1) - cost).alias("ret"))
 
 
 def per_day(trades: DataFrame, n: int) -> DataFrame:
