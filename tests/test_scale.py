@@ -28,6 +28,23 @@ def test_alerts_by_stretches(spark):
     assert sorted((r.symbol, r.ts) for r in got) == sorted(want)
 
 
+def test_alerts_of_one_unbroken_stretch(spark):
+    """A rule broken at every row, hundreds of chunks; cooldowns below, at and far beyond a chunk's span; equal times at chunk edges; a null key."""
+    from tickloom.operators.signals import AlertRule, alerts
+    t0 = dt.datetime(2024, 1, 1)
+    for cooldown in (3, 20, 95):
+        rows = [("a", t0 + dt.timedelta(seconds=i * 2 - i % 3), float(i % 7)) for i in range(700)] + [(None, t0 + dt.timedelta(seconds=i // 4), 1.0) for i in range(90)]
+        want = []
+        for key in ("a", None):
+            last = None
+            for at, x in sorted((at, x) for k, at, x in rows if k == key):
+                if last is None or (at - last).total_seconds() > cooldown:
+                    want.append((key, at, x))
+                    last = at
+        got = alerts(spark.createDataFrame(rows, "symbol string, ts timestamp, x double"), [AlertRule("r", "x", F.col("x") >= 0, "low")], cooldown, chunk_rows=6)
+        assert sorted(((r.symbol, r.ts, r.value) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_grid_and_retention(spark, tmp_path):
     """A grid beyond the old limit plans and counts; retention works below symbol and type folders; a merge prunes by date."""
     from tickloom.operators.history import grid

@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.ordered import lay_out
 from tickloom.operators.windows import div, last_rows, pct_change, rmean
-from tickloom.session import small_side
+from tickloom.session import pin, small_side
 
 # Weights and limits of the scoring rules.
 GATE = {"direction": 0.3, "magnitude": 0.0001, "confidence": 0.6}
@@ -281,28 +283,89 @@ class AlertRule:
 def alerts(t: DataFrame, rules: list[AlertRule], cooldown: float, chunk_rows: int | None = None) -> DataFrame:
     """Alerts of all rules; a rule stays silent for ``cooldown`` seconds after it fired for a key.
 
-    Which violation fires depends on the one before, but the first after a gap longer than the
-    cooldown always does.  So the violations are cut at such gaps, by an ordered pass over chunks,
-    and each stretch jumps from fire to fire.  A rule that is broken without a gap is one stretch.
+    Which violation fires depends on the one before: the first one later than its time plus the cooldown.  Of
+    equal times the smallest value fires.  See ``_jumps`` for rows beyond one chunk.
     """
     hit = F.array_compact(F.array(*[F.when(r.predicate, F.struct(
         F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(r.metric).cast("double").alias("value"))) for r in rules]))
     v = t.select("symbol", "ts", F.explode(hit).alias("r")).select("symbol", "ts", "r.*")
-    o = lay_out(v, ["symbol", "rule"], ["ts"], chunk_rows)
-    rows = o.chunked(before=1)
-    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(o.window)) / 1e6
-    cut = o.running(rows.withColumn("_new", F.coalesce((gap > cooldown).cast("long"), F.lit(1))), stretch=("sum", F.col("_new")))
-
-    def fire(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        at = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
-        keep, i = [], 0
+    o = lay_out(v, ["symbol", "rule"], ["ts", "value"], chunk_rows)
+    rows = o.chunked().withColumn("_us", F.unix_micros("ts")).drop("_own")
+    wait = int(cooldown * 1e6)
+    reached = rows.withColumn("_after", F.lit(BEFORE_ALL)) if o.single else rows.join(
+        _jumps(rows, wait, o.chunk_rows).withColumnsRenamed({"_key": "_jkey", "_chunk": "_jchunk"}),
+        (F.col("_key") == F.col("_jkey")) & (F.col("_chunk") == F.col("_jchunk"))).drop("_jkey", "_jchunk")
+    fields = ["symbol", "ts", "rule", "severity", "value"]
+
+    def fire(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_rn")
+        at, keep = group.column("_us").to_numpy(), []
+        i = int(at.searchsorted(group.column("_after")[0].as_py(), "right"))
         while i < len(at):
             keep.append(i)
-            i = int(at.searchsorted(at[i] + int(cooldown * 1e6), "right"))
-        return pdf.iloc[keep][["symbol", "ts", "rule", "severity", "value"]]
+            i = int(at.searchsorted(at[i] + wait, "right"))
+        return group.select(fields).take(pa.array(keep, pa.int64()))
 
-    return cut.select("symbol", "ts", "rule", "severity", "value", "stretch").groupBy("symbol", "rule", "stretch").applyInPandas(fire, v.schema)
+    return reached.groupBy("_key", "_chunk").applyInArrow(fire, reached.select(*fields).schema).select(*v.columns)
+
+
+#: A time before all others, in microseconds.
+BEFORE_ALL = -(1 << 62)
+
+
+def _jumps(rows: DataFrame, wait: int, chunk_rows: int) -> DataFrame:
+    """``_key, _chunk, _after``: the chunks in which something fires, and the time after which their first violation fires.
+
+    In a chunk every violation leads, from fire to fire, to a last one, whose time plus the cooldown is the
+    chunk's exit.  Each distinct exit enters the first chunk with a later violation; an entry is a node, and its
+    chunk tells by which exit it is left.  What the first node of a key reaches is found by doubling jumps, so an
+    unbroken stretch over any number of chunks takes a logarithm of rounds and no group of its own.
+    """
+    def exits(at: np.ndarray) -> np.ndarray:
+        following = at.searchsorted(at + wait, "right")
+        last = np.arange(len(at))
+        for i in range(len(at) - 1, -1, -1):
+            if following[i] < len(at):
+                last[i] = last[following[i]]
+        return at[last] + wait
+
+    def leave(group: pa.Table) -> pa.Table:
+        out = np.unique(exits(np.sort(group.column("_us").to_numpy())))
+        return pa.table([pa.concat_arrays([group.column("_key").combine_chunks().slice(0, 1)]).take(pa.array(np.zeros(len(out), int))),
+                         pa.array(np.full(len(out), group.column("_chunk")[0].as_py())), pa.array(out)], names=["_key", "_chunk", "_exit"])
+
+    kind = T.StructType([rows.schema["_key"], T.StructField("_chunk", T.LongType()), T.StructField("_exit", T.LongType())])
+    times = rows.select("_key", "_chunk", "_us")
+    left = pin(times.groupBy("_key", "_chunk").applyInArrow(leave, kind))
+    # The first chunk with a later violation: exits and the chunks' last times in one order, and the next chunk carried back.
+    ends = pin(times.groupBy("_key", "_chunk").agg(F.max("_us").alias("_x")))
+    none = F.lit(None).cast("long")
+    stacked = ends.select("_key", "_x", F.lit(0).alias("_mark"), none.alias("_from"), F.col("_chunk").alias("_to")).unionByName(
+        left.select("_key", F.col("_exit").alias("_x"), F.lit(1).alias("_mark"), F.col("_chunk").alias("_from"), none.alias("_to")))
+    o = lay_out(stacked.withColumnRenamed("_key", "_k"), ["_k"], ["_x", "_mark", "_from", "_to"], chunk_rows)
+    nodes = pin(o.running(o.chunked(), _next=("next", F.col("_to"))).where("_mark = 1 AND _next IS NOT NULL").select(
+        F.col("_k").alias("_key"), F.col("_next").alias("_chunk"), F.col("_x").alias("_after")).distinct().unionByName(
+        ends.groupBy("_key").agg(F.min("_chunk").alias("_chunk")).withColumn("_after", F.lit(BEFORE_ALL))))
+    both = nodes.withColumnsRenamed({"_key": "_nkey", "_chunk": "_nchunk"})
+
+    def enter(n: pa.Table, x: pa.Table) -> pa.Table:
+        at = np.sort(x.column("_us").to_numpy())
+        first = at.searchsorted(n.column("_after").to_numpy(), "right")  # a node enters a chunk that has a later violation
+        return n.append_column("_exit", pa.array(exits(at)[first]))
+
+    node = T.StructType([*both.schema.fields, T.StructField("_exit", T.LongType())])
+    led = both.groupBy("_nkey", "_nchunk").cogroup(times.groupBy("_key", "_chunk")).applyInArrow(enter, node).select(
+        F.struct("_nkey", "_nchunk", "_after").alias("_node"), F.struct("_nkey", "_exit").alias("_by"))
+    # An exit's time tells its node within the key: the chunk it enters depends on nothing else.
+    named = nodes.select(F.struct(F.col("_key").alias("_nkey"), F.col("_after").alias("_exit")).alias("_by"), F.struct(
+        F.col("_key").alias("_nkey"), F.col("_chunk").alias("_nchunk"), "_after").alias("_goal"))
+    jump = pin(led.join(named, "_by").select("_node", "_goal"))
+    reached = pin(nodes.where(F.col("_after") == BEFORE_ALL).select(F.struct(F.col("_key").alias("_nkey"), F.col("_chunk").alias("_nchunk"), "_after").alias("_node")))
+    while jump.limit(1).count():
+        reached = pin(reached.unionByName(reached.join(jump, "_node").select(F.col("_goal").alias("_node"))).distinct())
+        onward = jump.select(F.col("_node").alias("_goal"), F.col("_goal").alias("_far"))
+        jump = pin(jump.join(onward, "_goal").select("_node", F.col("_far").alias("_goal")))
+    return reached.select(F.col("_node._nkey").alias("_key"), F.col("_node._nchunk").alias("_chunk"), F.col("_node._after").alias("_after"))
 
 
 def kelly_size(t: DataFrame, capital: float, risk_per_trade: float) -> DataFrame:
