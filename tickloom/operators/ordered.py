@@ -6,7 +6,7 @@ by (keys, order), numbered per key, and cut into chunks of a fixed number of row
 
 * frames of a bounded number of rows get the neighbouring rows as copies ("halo") from the
   adjacent chunk,
-* frames of a bounded time get the copies that lie within that time,
+* frames of a bounded time are differences of running totals (sums) or folds of row ranges (extremes),
 * unbounded frames are finished with a carry: one row per chunk, combined over earlier chunks.
 
 Every chunk is an independent task-sized group, and the results equal those of the plain window.
@@ -71,43 +71,6 @@ class Ordered:
             .drop("_home")
         )
 
-    def chunked_by_time(self, time: str, seconds: float) -> DataFrame:
-        """Rows in chunks, each with the earlier rows at most ``seconds`` before its first row.
-
-        Window frames over the result order by ``_us`` (microseconds).  Times must be unique inside
-        a key (``time_values`` sees to that): a range frame also holds later rows of the same time.
-        """
-        reach = int(seconds * 1_000_000)
-        us = F.unix_micros(time)
-        own = self.rows.withColumn("_us", us).withColumn(
-            "_home", F.floor((F.col("_rn") - 1) / F.lit(self.chunk_rows)))
-        spans = pin(own.groupBy("_key", "_home").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi")))
-        n = spans.count()
-        marks = spans.select("_key", "_home", F.col("_lo").alias("_x"), F.lit(0).alias("_kind")).unionByName(
-            spans.select("_key", "_home", (F.col("_hi") + reach).alias("_x"), F.lit(1).alias("_kind")))
-        by_x = Window.partitionBy("_key").orderBy("_x", "_kind", "_home")
-        far = (
-            marks.withColumn("_far", F.max(F.when(F.col("_kind") == 0, F.col("_home"))).over(
-                by_x.rowsBetween(Window.unboundedPreceding, 0)))
-            .where("_kind = 1").select("_key", "_home", "_far"))
-        following = spans.withColumn(
-            "_next", F.lead("_lo").over(Window.partitionBy("_key").orderBy("_home"))
-        ).select("_key", "_home", "_next").join(far, ["_key", "_home"])
-        needed = own.join(small_side(following, rows=n), ["_key", "_home"]).where(
-            F.col("_us") + reach >= F.col("_next"))
-        starts = small_side(spans.select("_key", F.col("_home").alias("_chunk"), "_lo"), rows=n)
-        copies = (
-            needed.withColumn("_chunk", F.explode(F.sequence(F.col("_home") + 1, F.col("_far"))))
-            .join(starts, ["_key", "_chunk"])
-            .where(F.col("_us") + reach >= F.col("_lo"))
-            .withColumn("_own", F.lit(False))
-            .drop("_home", "_next", "_far", "_lo"))
-        return own.withColumnRenamed("_home", "_chunk").withColumn("_own", F.lit(True)).unionByName(copies)
-
-    def time_frame(self, seconds: float) -> WindowSpec:
-        return (Window.partitionBy("_key", "_chunk").orderBy("_us")
-                .rangeBetween(-int(seconds * 1_000_000), 0))
-
     def running(self, df: DataFrame, **spec: tuple[str, Column]) -> DataFrame:
         """Add unbounded-preceding values to chunked rows; drops the halo.
 
@@ -162,7 +125,7 @@ class Ordered:
     def finish(self, df: DataFrame, *keep: str | Column) -> DataFrame:
         """Own rows only, without the helper columns."""
         own = df.where("_own")
-        return own.select(*keep) if keep else own.drop(*HELPERS, "_us")
+        return own.select(*keep) if keep else own.drop(*HELPERS)
 
     def sizes(self) -> DataFrame:
         """Row count per key, as ``_key`` and ``_n``."""
@@ -241,23 +204,28 @@ def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[s
 
     ``spec`` maps a name to (kind, value, seconds) with kind sum, min or max.  Rows of one (key,
     time) are first reduced to one row, so even a huge group of equal times is one row of the
-    ordered frame; the values are then joined back.  ``extra`` holds keys and times (only) at which
+    ordered frame; the values are then joined back.  Neither kind copies rows; extremes are taken in double precision.  ``extra`` holds keys and times (only) at which
     the values are wanted instead of the rows of ``df``.
     """
-    if all(kind == "sum" for kind, *_ in spec.values()):
-        return _time_sums(df, keys, ts, spec, extra, chunk_rows)
-    value = {n: f"_p_{n}" for n in spec}
-    rows = df.select(*keys, ts, *[v.alias(value[n]) for n, (_, v, _) in spec.items()])
+    from tickloom.operators.rangefold import GREATEST, LEAST, range_folds
+
+    sums = {n: x for n, x in spec.items() if x[0] == "sum"}
+    ends = {n: x for n, x in spec.items() if x[0] != "sum"}
     at = df if extra is None else extra
+    out = _time_sums(df, keys, ts, sums, extra, chunk_rows) if sums else at
+    if not ends:
+        return out
+    kinds = dict(df.select(*[v.alias(n) for n, (_, v, _) in ends.items()]).dtypes)
+    rows = df.select(*keys, ts, *[v.alias(f"_p_{n}") for n, (_, v, _) in ends.items()])
     if extra is not None:
         rows = rows.unionByName(extra.select(*keys, ts), allowMissingColumns=True)
-    reduce_by = {"sum": F.sum, "min": F.min, "max": F.max}
-    points = rows.groupBy(*keys, ts).agg(*[reduce_by[k](value[n]).alias(value[n]) for n, (k, _, _) in spec.items()])
-    o = lay_out(points, keys, [ts], chunk_rows)
-    framed = o.chunked_by_time(ts, max(sec for *_, sec in spec.values())).select(
-        F.struct(*keys, ts).alias("_at"), "_own",
-        *[_over(k, F.col(value[n]), o.time_frame(sec)).alias(n) for n, (k, _, sec) in spec.items()])
-    return at.withColumn("_at", F.struct(*keys, ts)).join(framed.where("_own").drop("_own"), "_at", "left").drop("_at")
+    points = pin(rows.groupBy(*keys, ts).agg(*[(F.min if k == "min" else F.max)(f"_p_{n}").alias(f"_p_{n}") for n, (k, _, _) in ends.items()]))
+    reach = sorted({float(sec) for *_, sec in ends.values()})
+    points = _time_sums(points, keys, ts, {f"_c_{i}": ("sum", F.lit(1), sec) for i, sec in enumerate(reach)}, None, chunk_rows)
+    folded = range_folds(lay_out(points, keys, [ts], chunk_rows), {
+        n: (F.col("_rn") - F.col(f"_c_{reach.index(float(sec))}") + 1, F.col(f"_p_{n}").cast("double"), LEAST if k == "min" else GREATEST) for n, (k, _, sec) in ends.items()})
+    folded = folded.select(F.struct(*keys, ts).alias("_at"), *[F.col(n).cast(kinds[n]).alias(n) for n in ends])
+    return out.withColumn("_at", F.struct(*keys, ts)).join(folded, "_at", "left").drop("_at")
 
 
 def _time_sums(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[str, Column, float]],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.history import grid
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
 from tickloom.operators.passage import barriers
+from tickloom.operators.rangefold import DRAWDOWN, range_folds
 from tickloom.operators.windows import corr, div, last_rows, pct_change, rmean, rstd
 from tickloom.session import pin, small_side
 
@@ -276,11 +277,23 @@ def volatility_forecast(bars: DataFrame, horizon: int, speed: float = 0.1) -> Da
     return b.withColumn("forecast", (F.col("current") + speed * (F.col("_long") - F.col("current"))) * math.sqrt(horizon / 1440))
 
 
-def rolling_trades(trades: DataFrame, key: str, days: int, chunk_rows: int | None = None) -> DataFrame:
-    """Count, win rate, P&L and Sharpe of the trades closed in the last ``days`` days."""
-    p, span = F.col("pnl"), days * 86400
+def rolling_trades(trades: DataFrame, key: str, seconds: float, chunk_rows: int | None = None) -> DataFrame:
+    """Count, win rate, P&L, Sharpe and maximum drawdown of the trades closed in the last ``seconds``.
+
+    The drawdown is the largest fall of the running P&L of the window's trades, in closing order, from a
+    high to a later value; trades closed at the same time are all in the window.
+    """
+    p = F.col("pnl")
     t = time_values(trades, [key], "exit_ts", {
-        "n": ("sum", F.lit(1), span), "_w": ("sum", (p > 0).cast("int"), span), "total": ("sum", p, span), "_ss": ("sum", p * p, span)}, chunk_rows=chunk_rows)
+        "n": ("sum", F.lit(1), seconds), "_w": ("sum", (p > 0).cast("int"), seconds), "total": ("sum", p, seconds), "_ss": ("sum", p * p, seconds)}, chunk_rows=chunk_rows)
+    o = lay_out(t, [key], TRADE_ORDER, chunk_rows)
+    same = F.struct("_key", "exit_ts")
+    last = o.rows.groupBy(same.alias("_at")).agg(F.max("_rn").alias("_last"))
+    rows = o.rows.withColumn("_at", same).join(last, "_at").drop("_at")
+    first = F.when(F.col("_rn") == F.col("_last"), F.col("_last") - F.col("n") + 1)
+    folded = range_folds(Ordered(rows, tuple(rows.columns), o.chunk_rows, o.longest), {"_dd": (first, p, DRAWDOWN)})
+    folded = pin(folded.withColumn("_at", same))
+    t = folded.drop("_dd").join(folded.where("_rn = _last").select("_at", F.col("_dd").alias("max_drawdown")), "_at").drop("_at", "_key", "_rn", "_last")
     mean = F.col("total") / F.col("n")
     std = F.sqrt(F.greatest((F.col("_ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
     return t.withColumns({"win_rate": F.col("_w") / F.col("n"), "sharpe": F.when(F.col("n") >= 2, F.try_divide(mean, std))}).drop("_w", "_ss")

@@ -193,11 +193,40 @@ def _(spark, sf):
     return rk.volatility_forecast(v.bars(spark, sf), 60).select("symbol", "ts", rd("forecast").alias("forecast"))
 
 
-@query("k19_rolling_trades", f"""
-SELECT regime, trade_id, leg, exit_ts, {r("pnl", 4)} AS pnl, count(*) OVER w AS n, {r("avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER w")} AS win_rate, {r("sum(pnl) OVER w", 4)} AS total,
- {r("CASE WHEN count(*) OVER w >= 2 THEN avg(pnl) OVER w / stddev_samp(pnl) OVER w END")} AS sharpe FROM closed_trades WINDOW w AS (PARTITION BY regime ORDER BY exit_ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
+def rolling_sql(interval: str) -> str:
+    """Window metrics; the drawdown from the trades of each window as a list, its running totals and their running highs."""
+    return f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY exit_ts, trade_id, leg, quantity, pnl) AS rn FROM closed_trades),
+s AS (SELECT *, sum(pnl) OVER (PARTITION BY regime ORDER BY rn ROWS UNBOUNDED PRECEDING) AS cum FROM o),
+w AS (SELECT regime, trade_id, leg, exit_ts, rn, pnl, count(*) OVER w AS n, avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER w AS win_rate, sum(pnl) OVER w AS total,
+ CASE WHEN count(*) OVER w >= 2 THEN avg(pnl) OVER w / nullif(stddev_samp(pnl) OVER w, 0) END AS sharpe, max(rn) OVER w AS hi FROM s
+ WINDOW w AS (PARTITION BY regime ORDER BY exit_ts RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW)),
+x AS (SELECT w.regime, w.hi, w.n, s.rn, s.cum, max(s.cum) OVER (PARTITION BY w.regime, w.hi ORDER BY s.rn ROWS UNBOUNDED PRECEDING) AS peak
+ FROM (SELECT DISTINCT regime, hi, n FROM w) w JOIN s ON s.regime = w.regime AND s.rn BETWEEN w.hi - w.n + 1 AND w.hi),
+d AS (SELECT regime, hi, max(peak - cum) AS dd FROM x GROUP BY 1, 2)
+SELECT regime, trade_id, leg, exit_ts, {r("pnl", 4)} AS pnl, n, {r("win_rate")} AS win_rate, {r("total", 4)} AS total, {r("sharpe")} AS sharpe, {r("dd", 4)} AS max_drawdown
+FROM w JOIN d USING (regime, hi)"""
+
+
+def rolling(spark, sf, seconds):
+    t = rk.rolling_trades(v.closed_trades(spark, sf), "regime", seconds)
+    return t.select("regime", "trade_id", "leg", "exit_ts", rd("pnl", 4).alias("pnl"), "n", rd("win_rate").alias("win_rate"), rd("total", 4).alias("total"),
+                    rd("sharpe").alias("sharpe"), rd("max_drawdown", 4).alias("max_drawdown"))
+
+
+@query("k19_rolling_trades", rolling_sql("30 DAYS"))
+def _(spark, sf):
+    return rolling(spark, sf, 30 * 86400)
+
+
+@query("k19_rolling_hour", rolling_sql("1 HOUR"))
+def _(spark, sf):
+    return rolling(spark, sf, 3600)
+
+
+@query("k19_rolling_day", rolling_sql("1 DAY"))
 def _(spark, sf):
-    return rk.rolling_trades(v.closed_trades(spark, sf), "regime", 30).select("regime", "trade_id", "leg", "exit_ts", rd("pnl", 4).alias("pnl"), "n", rd("win_rate").alias("win_rate"), rd("total", 4).alias("total"), rd("sharpe").alias("sharpe"))
+    return rolling(spark, sf, 86400)
 
 
 @query("d16_trailing_stops", f"""
