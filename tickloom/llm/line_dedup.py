@@ -10,6 +10,8 @@ from tickloom.session import pin
 
 #: Sites from which on a line is boilerplate; precision of the sketches; relative distance below which sites are counted exactly.
 LEAST_SITES, SKETCH_BITS, NEAR = 8, 12, 0.15
+#: Boilerplate lines that the plan may hold as a set of hashes; with more of them, places of lines and rows meet by joins.
+IN_PLAN = 10_000
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -25,12 +27,14 @@ def _key() -> Column:
 def boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES) -> DataFrame:
     """Lines found on ``least`` sites or more: ``line`` (its hash and length) and ``rows``, the number of its places.
 
-    Sketches of sites are merged by aggregation, per task and then per line. Lines whose estimate
+    Places are counted first: a line with fewer of them than ``least`` needs no sketch. Sketches of
+    sites are merged by aggregation, per task and then per line. Lines whose estimate
     is within ``NEAR`` of the limit are decided by exact distinct counts. A null site is no site.
     """
     lines = _lines(docs, site)
-    sketched = pin(lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.count(F.lit(1)).alias("rows"))
-                   .filter(F.col("sites") >= least * (1 - NEAR)))
+    often = pin(lines.groupBy("line").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least))
+    sketched = pin(hot_join(lines, often, "line", "rows").groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.count(F.lit(1)).alias("rows")).filter(F.col("sites") >= least * (1 - NEAR)))
     near = sketched.filter(F.col("sites") <= least * (1 + NEAR))
     pairs = pin(hot_join(lines, near.select("line", "rows"), "line", "rows").groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")))
     exact = pairs.groupBy("line").agg(F.count("site").alias("sites"), F.sum("n").alias("rows")).filter(F.col("sites") >= least)
@@ -41,14 +45,20 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST
     """All rows and columns of ``docs`` with cleaned ``text``, and ``n_lines`` and ``n_removed`` in a struct ``lines``.
 
     Blank lines are kept and never removed. Null text is empty: one blank line. Rows with equal id
-    and text are cleaned alike; a null id is as good as another. No rows in, none out.
+    and text are cleaned alike; a null id is as good as another. A very long text is cleaned whole, in
+    its row. No rows in, none out. Other columns may have any name but ``lines``, which is replaced.
     """
-    hits = hot_join(_lines(docs, site), boilerplate(docs, site, least), "line", "rows").select("k", "i")
-    removed = hits.groupBy("k").agg(F.collect_set("i").alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), body().alias("text"), _key().alias("k")).join(removed, "k", "left")
-    split = F.split("text", "\n")
-    clean = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i)), "\n")
-    done = rows.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean).alias("text"),
-                       F.struct(F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")).alias("lines"))
+    found = boilerplate(docs, site, least)
+    split, rows = F.split("text", "\n"), docs.select(F.struct("*").alias("row"), body().alias("text"), _key().alias("k"))
+    if found.count() <= IN_PLAN:  # a checked bound: every row is cleaned where it is
+        gone = [r.h for r in found.select("line.h").collect()]
+        clean = F.filter(split, lambda line: (F.trim(line) == "") | ~F.xxhash64(line).isin(gone)) if gone else split
+        done = rows.withColumn("kept", clean).select("row", F.array_join("kept", "\n").alias("text"), F.size(split).alias("n"), (F.size(split) - F.size("kept")).alias("m"))
+    else:
+        hits = hot_join(_lines(docs, site), found, "line", "rows").select("k", "i")
+        rows = rows.join(hits.groupBy("k").agg(F.collect_set("i").alias("gone")), "k", "left")
+        clean = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i)), "\n")
+        done = rows.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean).alias("text"), F.size(split).alias("n"), F.coalesce(F.size("gone"), F.lit(0)).alias("m"))
+    done = done.select("row", "text", F.struct(F.col("n").cast("long").alias("n_lines"), F.col("m").cast("long").alias("n_removed")).alias("lines"))
     names = [c for c in docs.columns if c != "lines"]
     return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "lines")
