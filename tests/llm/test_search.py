@@ -81,6 +81,11 @@ def test_components(spark):
     assert got == {i: top(i) for a, b in edges if a != b for i in (a, b)}
 
 
+def is_run(parts):
+    n = sum(map(len, parts))
+    return (len(parts) >= 3 and n >= 20 or n >= 30) and len({w for p in parts for w in p}) >= 12
+
+
 def plain_removed(rows):
     first, places = {}, defaultdict(list)
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
@@ -89,8 +94,7 @@ def plain_removed(rows):
         k = [n for n, x in enumerate(w) if x]
         for a in range(len(k)):
             for b in range(a + 1, len(k) + 1):
-                n = sum(len(w[x]) for x in k[a:b])
-                if b - a >= 3 and n >= 25 or n >= 50:
+                if is_run([w[x] for x in k[a:b]]):
                     run = tuple(tuple(w[x]) for x in k[a:b])
                     if run in first:
                         places[i].append((k[a], k[b - 1] + 1))
@@ -219,7 +223,7 @@ def test_pipeline(spark, sample, sf):
 
 def test_registry():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 def every_run_removed(docs):
@@ -230,8 +234,7 @@ def every_run_removed(docs):
         k = [n for n, x in enumerate(w) if x]
         for a in range(len(k)):
             for b in range(a + 1, len(k) + 1):
-                n = sum(len(w[x]) for x in k[a:b])
-                if b - a >= 3 and n >= 25 or n >= 50:
+                if is_run([w[x] for x in k[a:b]]):
                     run = tuple(tuple(w[x]) for x in k[a:b])
                     if first.setdefault(run, (d, a)) != (d, a):
                         gone[d] |= set(range(k[a], k[b - 1] + 1))
@@ -262,6 +265,17 @@ def test_ends_of_passages(spark):
     assert want[1] == {1, 2, 3} and want[101] == {1, 2, 3, 4}
 
 
+def test_runs_are_cut_at_clauses_and_need_different_words(spark):
+    """A passage glued to other text at both ends goes but for its outer clauses' remains; repeated shouting stays; long dull stretches are linear."""
+    inner = ", ".join(" ".join(f"w{i}{j}" for j in range(9)) for i in range(6))
+    rows = [(d, f"Text {d} begins and then, {inner}, and ends otherwise {d} here.") for d in (1, 2)] + [(3, "THE!! AND!! OF!! " * 40), (4, "THE!! AND!! OF!! " * 40)]
+    got = {r.doc_id: r for r in substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].text == "Text 2 begins and then, and ends otherwise 2 here." and got[1].text == rows[0][1]
+    assert got[3].repeats.n_removed == got[4].repeats.n_removed == 0
+    dull = ["no. "] * 200_000 + [f"{w}. " for w in "abcdefghijklmn"]
+    assert len(substring_dedup.runs(dull)) >= 200_000
+
+
 def test_passages_of_rows_with_one_id(spark):
     """Rows with a null or repeated id are documents of their own; of equal rows all but one are emptied."""
     shared, clean = sentence("a", 30) + sentence("b", 30), sentence("c", 30) + sentence("d", 30) + "End."

@@ -26,6 +26,8 @@ RUN, MARK = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), re.compile(r"[=/.]")
 LABELLED, ALPHA, BELOW = 3000, 0.05, 0.02
 #: Characters at the front of a value that keep their identity; later ones count by class.
 PREFIX = 4
+#: Characters of the texts that are held as Python strings at a time.
+SLICE = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, str]]:
@@ -242,18 +244,27 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
+    def one(text: str) -> str:
+        at, parts = 0, []
+        for start, _, end, _ in all_spans(text, shared.value):
+            if start >= at:
+                parts += [text[at:start], mark]
+            at = max(at, end)
+        return "".join(parts) + text[at:]
+
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        def one(text):
-            if text is None:
-                return None
-            at, parts = 0, []
-            for start, _, end, _ in all_spans(text, shared.value):
-                if start >= at:
-                    parts += [text[at:start], mark]
-                at = max(at, end)
-            return "".join(parts) + text[at:]
-        return pa.array(map(one, texts.to_pylist()), pa.string())
+        done, held, size = [], [], 0
+        for i in range(len(texts)):  # a text at a time; of many, only the Arrow form is kept
+            text = texts[i].as_py()
+            held.append(None if text is None else one(text))
+            size += len(text or "")
+            if size > SLICE:
+                done.append(pa.array(held, pa.string()))
+                held, size = [], 0
+        out = pa.concat_arrays([*done, pa.array(held, pa.string())])
+        pa.default_memory_pool().release_unused()
+        return out
 
     out = docs.select(F.struct("*").alias("row"), clean("text").alias("clean"))
     size = F.when(F.col("clean") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("clean")) if "n_chars" in docs.columns else None

@@ -13,49 +13,86 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import bloom_bits, bloom_filter, body, hot_join, slices
 from tickloom.session import pin
 
-#: A run has this many sentences and words at least, or as many words as ``LONG`` in fewer sentences.
-SENTENCES, WORDS, LONG = 3, 25, 50
-#: A sentence with the white space behind it; a line feed ends one too. Together they give the text.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|\n\s*|[.!?]+|$)")
+#: A run has this many sentences and words at least, or as many words as ``LONG`` in fewer sentences; and this many different words.
+SENTENCES, WORDS, LONG, DIFFERENT = 3, 20, 30, 12
+#: A sentence, or a part of one up to a comma, colon or semicolon, with the white space behind it; a line feed ends one too.
+#: Together they give the text. Parts are cut at commas so that a passage put into other text is not glued to it.
+SENTENCE = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:]+(?=\s|$)\s*|\n\s*|[.!?,;:]+|$)")
+
+
+#: Base and modulus of the polynomial hash of a run, of which 64 bits are kept.
+STEP, PRIME, MASK = 0x9E3779B97F4A7C15F39C, (1 << 89) - 1, (1 << 64) - 1
 
 
 def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s]
 
 
+class _Window:
+    """Words and different words of the sentences between two ends that only move on."""
+
+    def __init__(self, words: list[list[str]]):
+        self.words, self.first, self.end, self.held, self.seen = words, 0, 0, 0, {}
+
+    def enough(self) -> bool:
+        return (self.held >= LONG or self.held >= WORDS and self.end - self.first >= SENTENCES) and len(self.seen) >= DIFFERENT
+
+    def take(self) -> None:
+        for w in self.words[self.end]:
+            self.seen[w] = self.seen.get(w, 0) + 1
+        self.held += len(self.words[self.end])
+        self.end += 1
+
+    def drop(self) -> None:
+        for w in self.words[self.first]:
+            n = self.seen[w] - 1
+            if n:
+                self.seen[w] = n
+            else:
+                del self.seen[w]
+        self.held -= len(self.words[self.first])
+        self.first += 1
+
+
 def runs(parts: list[str], ends: bool = True) -> list[tuple[int, int, int]]:
     """``(first, end, hash)`` of the shortest runs that begin at each sentence and, with ``ends``, of those that end there.
 
-    A run has ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words. Case and white space do not count. What is
-    longer than a run is one too: a sentence of a long one lies in the shortest from its start, or else ends a shortest within it.
+    A run has ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words, and ``DIFFERENT`` different ones. Case and white space do
+    not count. What is longer than a run is one too: a sentence of a long one lies in the shortest from its start, or
+    else ends a shortest within it.
     """
     words = [s.lower().split() for s in parts]
     kept = [i for i, w in enumerate(words) if w]  # sentences of white space alone are part of none
-    digests = [hashlib.blake2b(" ".join(words[i]).encode("utf-8", "replace"), digest_size=8).digest() for i in kept]
-    counts = [len(words[i]) for i in kept]
-
-    def enough(n: int, held: int) -> bool:
-        return n >= SENTENCES and held >= WORDS or held >= LONG
-
-    found, end, held = set(), 0, 0
-    for first in range(len(kept)):
-        while end < len(kept) and not enough(end - first, held):
-            held += counts[end]
-            end += 1
-        if not enough(end - first, held):
+    words = [words[i] for i in kept]
+    if sum(map(len, words)) < WORDS:
+        return []
+    if not words:
+        return []
+    ahead, powers = [0], [1]  # polynomial hashes of what is before each sentence, so that any run's hash is one step
+    for w in words:
+        digest = int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        ahead.append((ahead[-1] * STEP + digest + 1) % PRIME)
+        powers.append(powers[-1] * STEP % PRIME)
+    found, window = [], _Window(words)
+    while True:  # the shortest run from a sentence ends no earlier than that from the one before
+        while window.end < len(words) and not window.enough():
+            window.take()
+        if not window.enough():
             break
-        found.add((first, end))
-        held -= counts[first]
-    first, held = 0, 0
-    for end in range(1, len(kept) + 1 if ends else 0):
-        held += counts[end - 1]
-        while enough(end - first - 1, held - counts[first]):
-            held -= counts[first]
-            first += 1
-        if enough(end - first, held):
-            found.add((first, end))
-    # Neither end of a shortest run moves back when the other moves on, so both passes are linear.
-    return [(kept[a], kept[b - 1] + 1, int.from_bytes(hashlib.blake2b(b"".join(digests[a:b]), digest_size=8).digest(), "little", signed=True)) for a, b in sorted(found)]
+        found.append((window.first, window.end))
+        window.drop()
+    if ends and found:  # the shortest run to an end begins at the last sentence whose own shortest run is over by then
+        last = {end: first for first, end in found}
+        at, both = 0, set(found)
+        for end in range(found[0][1], len(words) + 1):
+            at = last.get(end, at)
+            both.add((at, end))
+        found = sorted(both)
+
+    def hashed(a: int, b: int) -> int:
+        return (((ahead[b] - ahead[a] * powers[b - a]) % PRIME & MASK) ^ 1 << 63) - (1 << 63)
+
+    return [(kept[a], kept[b - 1] + 1, hashed(a, b)) for a, b in found]
 
 
 def _key() -> Column:
