@@ -299,6 +299,22 @@ def rolling_trades(trades: DataFrame, key: str, seconds: float, chunk_rows: int
     return t.withColumns({"win_rate": F.col("_w") / F.col("n"), "sharpe": F.when(F.col("n") >= 2, F.try_divide(mean, std))}).drop("_w", "_ss")
 
 
+def excursion_statistics(trades: DataFrame) -> DataFrame:
+    """Of the adverse and the favourable excursions of trades: number, mean, largest, and exact quartiles.
+
+    Needs side (long or short), entry_price, and the lowest and highest price during each trade (``excursions``).
+    Excursions of the wrong sign don't count; without any, a kind has no row.
+    """
+    long = F.col("side") == "long"
+    down, up = F.col("low") - F.col("entry_price"), F.col("high") - F.col("entry_price")
+    both = trades.select(F.explode(F.array(
+        F.struct(F.lit("mae").alias("kind"), (-F.when(long, down).otherwise(-up)).alias("size")),
+        F.struct(F.lit("mfe").alias("kind"), F.when(long, up).otherwise(-down).alias("size")))).alias("x")).select("x.*").where("size > 0")
+    both = pin(both)
+    whole = both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), F.max("size").alias("largest"))
+    return whole.join(exact_quantiles(both, ["kind"], "size", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "kind")
+
+
 def circuit_breaks(trades: DataFrame, key: str, day_loss: float, max_drawdown: float, mean_abs: float, chunk_rows: int | None = None) -> DataFrame:
     """First breach per day: daily loss, drawdown, five losses in a row, large mean move of ten trades.
 

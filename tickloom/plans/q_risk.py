@@ -159,6 +159,18 @@ def _(spark, sf):
     return rk.excursions(v.closed_trades(spark, sf), v.day_bars(spark, sf)).select("regime", "trade_id", "leg", "entry_ts", "exit_ts", "low", "high")
 
 
+@query("k11_excursion_quartiles", f"""
+WITH t AS (SELECT DISTINCT regime, entry_ts, exit_ts FROM closed_trades), m AS (SELECT regime AS rg, entry_ts AS et, exit_ts AS xt, min(low) AS low, max(high) AS high FROM t JOIN day_bars b ON b.symbol = regime AND b.ts BETWEEN entry_ts AND exit_ts GROUP BY 1, 2, 3),
+e AS (SELECT side, low - open AS down, high - open AS up FROM closed_trades JOIN m ON rg = regime AND et = entry_ts AND xt = exit_ts JOIN (SELECT symbol, ts, open FROM day_bars) d ON d.symbol = regime AND d.ts = entry_ts),
+x AS (SELECT 'mae' AS kind, CASE side WHEN 'long' THEN -down ELSE up END AS size FROM e UNION ALL SELECT 'mfe', CASE side WHEN 'long' THEN up ELSE -down END FROM e)
+SELECT kind, count(*) AS n, {r("avg(size)", 4)} AS mean, {r("max(size)", 4)} AS largest, {r("quantile_cont(size, 0.25)", 4)} AS p25, {r("quantile_cont(size, 0.5)", 4)} AS p50, {r("quantile_cont(size, 0.75)", 4)} AS p75 FROM x WHERE size > 0 GROUP BY 1""")
+def _(spark, sf):
+    days = v.day_bars(spark, sf)
+    opens = days.select(F.col("symbol").alias("regime"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"))
+    t = rk.excursion_statistics(rk.excursions(v.closed_trades(spark, sf), days).join(opens, ["regime", "entry_ts"]))
+    return t.select("kind", "n", *[rd(c, 4).alias(c) for c in ("mean", "largest", "p25", "p50", "p75")])
+
+
 TP = "PARTITION BY symbol ORDER BY ts, seq"
 
 
