@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows as wn
-from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
+from tickloom.operators.ordered import HELPERS, Ordered, exact_quantiles, lay_out, time_values
+from tickloom.operators.sliding import add_sliding
 from tickloom.session import small_side
 
 KEYS, ORDER = ["symbol"], ["ts", "seq"]
@@ -17,32 +18,35 @@ def layout(df: DataFrame, chunk_rows: int | None = None) -> Ordered:
 
 
 def rolling_stats(df: DataFrame, n: int, chunk_rows: int | None = None) -> DataFrame:
+    """Moments, extremes, median and rank of the last n rows; null until n prices are there."""
     o = layout(df, chunk_rows)
     w, p = o.window, F.col("price")
-    return o.finish(
-        o.chunked(before=n - 1).select(
-            "symbol", "seq", "_own", wn.rmean(p, w, n).alias("mean"), wn.rstd(p, w, n).alias("std"),
-            wn.rmin(p, w, n).alias("min"), wn.rmax(p, w, n).alias("max"), wn.rsum(p, w, n).alias("sum"),
-            wn.rmedian(p, w, n).alias("median"), wn.percentile_rank(p, w, n).alias("rank"),
-            F.when(F.count(p).over(o.last(n)) >= n, wn.corr(p, F.col("quantity"), o.last(n))).alias("corr"),
-            wn.roll(F.var_pop, p, w, n).alias("turbulence")))
+    rows = o.chunked(before=n - 1).select(
+        "symbol", "seq", "price", *HELPERS, wn.rmean(p, w, n).alias("mean"), wn.rstd(p, w, n).alias("std"),
+        wn.rmin(p, w, n).alias("min"), wn.rmax(p, w, n).alias("max"), wn.rsum(p, w, n).alias("sum"),
+        F.when(F.count(p).over(o.last(n)) >= n, wn.corr(p, F.col("quantity"), o.last(n))).alias("corr"),
+        wn.roll(F.var_pop, p, w, n).alias("turbulence"))
+    return order_stats(o, rows, "price", n).drop("price")
+
+
+def order_stats(o: Ordered, rows: DataFrame, col: str, n: int) -> DataFrame:
+    """Median and rank of ``col`` over the last n rows, logarithmic in n; needs n - 1 rows before each chunk."""
+    return o.finish(add_sliding(rows, {"median": ("median", col, 1 - n, 0, n), "rank": ("rank", col, 1 - n, 0, n)}))
 
 
 def rolling_agents(df: DataFrame, n: int, chunk_rows: int | None = None) -> DataFrame:
-    """Distinct agents (frame with the current row) and concentration (frame before it)."""
+    """Distinct agents (frame with the current row) and concentration (frame before it), logarithmic in n."""
     o = layout(df, chunk_rows)
-    with_row, before = o.last(n), o.frame(-n, -1)
+    before = o.frame(-n, -1)
     full = F.count(F.lit(1)).over(before) >= n
     q = F.col("quantity").cast("double")
-    return o.finish(
-        o.chunked(before=n).select(
-            "symbol", "seq", "_own",
-            wn.distinct_in(F.col("buy_agent"), with_row).alias("buyers"),
-            wn.distinct_in(F.col("sell_agent"), with_row).alias("sellers"),
-            F.when(full, wn.concentration(F.col("buy_agent"), before)).alias("buyer_hhi"),
-            F.when(full, wn.top_share(F.col("buy_agent"), before)).alias("top_buyer_share"),
-            F.when(full, F.sum(q * q).over(before) / (F.sum(q).over(before) * F.sum(q).over(before))).alias("volume_hhi"),
-            F.when(full, F.try_divide(F.stddev_samp(q).over(before), F.avg(q).over(before))).alias("volume_cv")))
+    rows = o.chunked(before=n).select(
+        "symbol", "seq", "buy_agent", "sell_agent", *HELPERS,
+        F.when(full, F.sum(q * q).over(before) / (F.sum(q).over(before) * F.sum(q).over(before))).alias("volume_hhi"),
+        F.when(full, F.try_divide(F.stddev_samp(q).over(before), F.avg(q).over(before))).alias("volume_cv"))
+    return o.finish(add_sliding(rows, {
+        "buyers": ("distinct", "buy_agent", 1 - n, 0, 0), "sellers": ("distinct", "sell_agent", 1 - n, 0, 0),
+        "buyer_hhi": ("hhi", "buy_agent", -n, -1, n), "top_buyer_share": ("top_share", "buy_agent", -n, -1, n)})).drop("buy_agent", "sell_agent")
 
 
 def range_sums(df: DataFrame, seconds: list[int], chunk_rows: int | None = None) -> DataFrame:

@@ -53,7 +53,10 @@ def pct_change(x: Column, w: WindowSpec, k: int = 1) -> Column:
 
 
 def percentile_rank(x: Column, w: WindowSpec, n: int) -> Column:
-    """Average-rank percentile of the current value among the last n (ties share their rank)."""
+    """Average-rank percentile of the current value among the last n (ties share their rank).
+
+    Every row looks at n values: for bars and short frames; ``sliding`` takes the logarithm of n.
+    """
     frame = last_rows(w, n)
     seen = F.collect_list(x).over(frame)
     less = F.size(F.filter(seen, lambda v: v < x))
@@ -62,24 +65,10 @@ def percentile_rank(x: Column, w: WindowSpec, n: int) -> Column:
 
 
 def distinct_in(x: Column, frame: WindowSpec) -> Column:
+    """Distinct values of short frames; ``sliding`` counts those of long ones."""
     return F.size(F.collect_set(x).over(frame)).cast("long")
 
 
-def concentration(x: Column, frame: WindowSpec) -> Column:
-    """Herfindahl index of the values in the frame: sum of squared shares."""
-    seen = F.collect_list(x).over(frame)
-    n = F.size(seen)
-    counts = F.transform(F.array_distinct(seen), lambda a: F.size(F.filter(seen, lambda v: v == a)))
-    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c / n) * (c / n)))
-
-
-def top_share(x: Column, frame: WindowSpec) -> Column:
-    """Share of the most frequent value in the frame."""
-    seen = F.collect_list(x).over(frame)
-    counts = F.transform(F.array_distinct(seen), lambda a: F.size(F.filter(seen, lambda v: v == a)))
-    return F.when(F.size(seen) > 0, F.array_max(counts) / F.size(seen))
-
-
 def trend_slope(y: Column, position: Column, frame: WindowSpec, n: int) -> Column:
     """Least-squares slope against the row position; needs n rows."""
     return F.when(F.count(y).over(frame) >= n, F.regr_slope(y, position).over(frame))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import dedupe, rolling as ro, scan
+from tickloom.operators.ordered import HELPERS
 from tickloom.operators.windows import by_time
 from tickloom.plans import emasql
 from tickloom.plans import views as v
@@ -48,6 +49,16 @@ def _(spark, sf):
         {c: rd(c) for c in ("buyer_hhi", "top_buyer_share", "volume_hhi", "volume_cv")})
 
 
+@query("w02_w03_long_window", f"""
+SELECT symbol, seq, {r(full(1000, "quantile_cont(price, 0.5) OVER w"))} AS median,
+ {r(full(1000, "(len(list_filter(l, lambda x: x < price)) + (len(list_filter(l, lambda x: x = price)) + 1) / 2.0) / len(l)"))} AS rank
+FROM (SELECT *, list(price) OVER {frame(999)} AS l FROM ticks) WINDOW w AS {frame(999)}""")
+def _(spark, sf):
+    o = ro.layout(v.ticks(spark, sf))
+    rows = o.chunked(before=999).select("symbol", "seq", "price", *HELPERS)
+    return ro.order_stats(o, rows, "price", 1000).select("symbol", "seq", rd("median").alias("median"), rd("rank").alias("rank"))
+
+
 @query("w07_time_range_sums", """
 SELECT symbol, seq, CAST(sum(quantity) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS volume_3600s,
  CAST(sum(quantity) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 21600 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS volume_21600s
