@@ -255,6 +255,27 @@ def synthetic_signs(ticks: DataFrame, chunk_rows: int | None = None) -> DataFram
         F.col("top_share") > 0.2, "dominant_value"), F.when(F.abs("autocorr") > 0.95, "autocorrelated")))
 
 
+def bar_signs(bars: DataFrame, least_cv: float = 0.001, off: float = 0.3) -> DataFrame:
+    """Two more signs, over bars: spreads that hardly vary, and volumes whose runs above and below the median are not random.
+
+    Spreads are (high - low) / close where positive; without any there is no such sign.  A random series of n bars has
+    about n / 2 runs (a bar at the median counts as below); with more than 10 bars, a number further than the share ``off`` from
+    that is a sign.  Null volumes are left out of the runs.
+    """
+    held = bars.where(F.col("volume").isNotNull())
+    med = held.groupBy("symbol").agg(F.percentile("volume", 0.5).alias("_med"))
+    w = Window.partitionBy("symbol").orderBy("ts")
+    rows = held.join(small_side(med), "symbol").withColumn("_above", F.col("volume") > F.col("_med"))
+    turned = rows.withColumn("_turn", F.coalesce((F.lag("_above").over(w) != F.col("_above")).cast("long"), F.lit(0)))
+    runs = turned.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), (F.sum("_turn") + 1).alias("runs"))
+    spread = F.try_divide(F.col("high") - F.col("low"), F.col("close"))
+    cv = bars.withColumn("_s", F.when(spread > 0, spread)).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("bars"), F.try_divide(F.stddev_samp("_s"), F.avg("_s")).alias("spread_cv"))
+    j = cv.join(runs, "symbol", "left").withColumn("runs_off", F.try_divide(F.abs(F.col("runs") - F.col("_n") / 2), F.col("_n") / 2))
+    return j.withColumn("signs", F.concat_ws(",", F.when(F.col("spread_cv") < least_cv, "even_spread"), F.when(
+        (F.col("_n") > 10) & (F.col("runs_off") > off), "volume_runs"))).drop("_n")
+
+
 def constant_runs(ticks: DataFrame, value: Column, chunk_rows: int | None = None) -> DataFrame:
     """Longest run of one value, as share of the rows; zero and null counts."""
     o = lay_out(ticks.withColumn("_x", value), ["symbol"], ["ts", "seq"], chunk_rows)

@@ -168,6 +168,18 @@ def _(spark, sf):
     return qa.synthetic_signs(v.ticks(spark, sf)).select("symbol", "signs", *[rd(c).alias(c) for c in ("volume_cv", "interval_cv", "autocorr", "unique_steps", "top_share")])
 
 
+@query("q11_bar_signs", f"""
+WITH m AS (SELECT symbol AS s, median(volume) AS med FROM bars GROUP BY 1),
+a AS (SELECT bars.*, volume > med AS above, (high - low) / close AS sp FROM bars JOIN m ON symbol = s),
+b AS (SELECT *, CASE WHEN above <> lag(above) OVER (PARTITION BY symbol ORDER BY ts) THEN 1 ELSE 0 END AS turn FROM a),
+c AS (SELECT symbol, count(*) AS bars, sum(turn) + 1 AS runs, stddev_samp(CASE WHEN sp > 0 THEN sp END) / avg(CASE WHEN sp > 0 THEN sp END) AS cv FROM b GROUP BY 1),
+d AS (SELECT *, abs(runs - bars / 2) / (bars / 2) AS o FROM c)
+SELECT symbol, bars, CAST(runs AS BIGINT) AS runs, {r("cv")} AS spread_cv, {r("o")} AS runs_off,
+ concat_ws(',', CASE WHEN cv < 0.001 THEN 'even_spread' END, CASE WHEN bars > 10 AND o > 0.3 THEN 'volume_runs' END) AS signs FROM d""")
+def _(spark, sf):
+    return qa.bar_signs(v.bars(spark, sf)).withColumns({"spread_cv": rd("spread_cv"), "runs_off": rd("runs_off")})
+
+
 @query("q12_constant_runs", f"""
 WITH a AS (SELECT *, CASE WHEN side = 'auction' THEN NULL WHEN quantity > 50 THEN 1 ELSE 0 END AS x FROM ticks), b AS (SELECT *, sum(ch) OVER ({TP}) AS run FROM (SELECT *, CASE WHEN x IS DISTINCT FROM lag(x) OVER ({TP}) OR row_number() OVER ({TP}) = 1 THEN 1 ELSE 0 END AS ch FROM a)),
 c AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY ts, seq) AS l FROM b)

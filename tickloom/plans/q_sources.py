@@ -9,7 +9,7 @@ from tickloom.operators import dataset as ds, quality as qa, rolling as ro
 from tickloom.plans import views as v
 from tickloom.plans.registry import query, rd, rsql as r
 from tickloom.session import scratch_path
-from tickloom.sources import catalog as ct, lake as lk
+from tickloom.sources import catalog as ct, lake as lk, mixed, published as pb
 
 DAY = "CAST(ts AS DATE)"
 
@@ -36,6 +36,15 @@ def _(spark, sf):
     return lk.read_csv(spark, path, names, "2024-01-10", "2024-01-20")
 
 
+@query("s03_mixed_headers", "SELECT symbol, ts, seq, price, quantity FROM ticks WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def _(spark, sf):
+    root, t = scratch_path(spark, "mixed"), v.ticks(spark, sf)
+    lk.export(t.where("seq % 3 = 0").select("symbol", F.col("ts").alias("Date"), "seq", "price", "quantity"), f"{root}/a", "csv")
+    lk.export(t.where("seq % 3 = 1").select(F.col("quantity").alias("qty"), F.col("price").alias("preco"), "seq", F.col("ts").alias("datetime"), F.col("symbol").alias("ticker")), f"{root}/b", "csv")
+    lk.export(t.where("seq % 3 = 2").select("seq", "side", F.col("ts").alias("time"), "price", "quantity", "symbol"), f"{root}/c", "csv")
+    return mixed.read_csv(spark, [root], schema._struct(symbol="s", ts="t", seq="l", price="d", quantity="l"), "2024-01-10", "2024-01-20")
+
+
 @query("s04_tick_csv", """
 SELECT date_trunc('second', ts) AS ts, price, quantity::DOUBLE AS qty, CAST(buy_agent AS VARCHAR) AS buy_agent, CASE side WHEN 'buy' THEN 'AggressorBuyer' WHEN 'sell' THEN 'AggressorSeller' ELSE 'Auction' END AS trade_type FROM ticks""")
 def _(spark, sf):
@@ -89,9 +98,9 @@ def _(spark, sf):
 SELECT symbol, ts, seq, price FROM (SELECT * FROM source_a UNION ALL SELECT * FROM source_b) QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY seq DESC, price DESC) = 1""")
 def _(spark, sf):
     root = scratch_path(spark, "merge")
-    lk.merge_into(v.source_a(spark, sf), root, ["symbol", "ts"], ["seq", "price"])
-    lk.merge_into(v.source_b(spark, sf), root, ["symbol", "ts"], ["seq", "price"])
-    return spark.read.parquet(root).select("symbol", "ts", "seq", "price")
+    for part in (v.source_a(spark, sf), v.source_b(spark, sf)):
+        pb.merge(part.withColumn("date", F.to_date("ts")), root, "date", ["symbol", "ts"], ["seq", "price"])
+    return pb.read(spark, root).select("symbol", "ts", "seq", "price")
 
 
 @query("s12_training_ready", "SELECT DISTINCT symbol, seq, price, extract(hour FROM ts) AS hour, extract(minute FROM ts) AS minute, extract(second FROM ts)::BIGINT AS second FROM dirty_ticks")
@@ -174,10 +183,10 @@ def _(spark, sf):
 @query("s25_daily_lake_dedupe", f"SELECT {DAY} AS date, count(DISTINCT ts) AS rows FROM dirty_ticks GROUP BY 1")
 def _(spark, sf):
     root = scratch_path(spark, "daily")
-    t = v.dirty_ticks(spark, sf)
-    lk.merge_into(t.where("copy = 0"), root, ["ts"], ["seq", "copy"])
-    lk.merge_into(t.where("copy = 1"), root, ["ts"], ["seq", "copy"])
-    return spark.read.parquet(root).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    t = v.dirty_ticks(spark, sf).withColumn("date", F.to_date("ts"))
+    pb.merge(t.where("copy = 0"), root, "date", ["ts"], ["seq", "copy"])
+    pb.merge(t.where("copy = 1"), root, "date", ["ts"], ["seq", "copy"])
+    return pb.read(spark, root).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 WINDOWS = {"daily": ("2024-01-17", "CAST(ts AS DATE) = DATE '2024-01-17'"), "weekly": ("2024-01-19", "CAST(ts AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-19'"),

@@ -114,10 +114,13 @@ def merge_into(new: DataFrame, root: str, keys: list[str], order: list[str]) ->
     """Append to the lake, keeping the last row per key, rewriting only the dates that ``new`` touches.
 
     The touched dates, a few days of a daily load, are collected and become a partition filter of
-    the read.  The new days are written to a hidden folder beside the old ones and then take their places.
+    the read.  The new days are written to a hidden folder beside the old ones, which are moved aside and
+    deleted only when their successors are in place; the next merge puts back what a lost one left aside.
+    ``published`` has tables without that moment between two renames.
     """
     spark = new.sparkSession
     fs, path = _files(spark, root)
+    _recover(fs, path, root)
     new = new.withColumn("date", F.to_date("ts"))
     staged = f"{root.rstrip('/')}/.staging-{uuid.uuid4().hex}"
     if fs.exists(path(root)):
@@ -129,11 +132,29 @@ def merge_into(new: DataFrame, root: str, keys: list[str], order: list[str]) ->
     for st in fs.listStatus(path(staged)):
         name = st.getPath().getName()
         if name.startswith("date="):
-            fs.delete(path(f"{root}/{name}"), True)
-            fs.rename(st.getPath(), path(f"{root}/{name}"))
+            aside = path(f"{root}/.old-{name}")
+            if fs.exists(path(f"{root}/{name}")):
+                fs.rename(path(f"{root}/{name}"), aside)
+            _swap_in(fs, st.getPath(), path(f"{root}/{name}"))
+            fs.delete(aside, True)
     fs.delete(path(staged), True)
 
 
+def _swap_in(fs, new, live) -> None:
+    if not fs.rename(new, live):
+        raise OSError(f"{live} could not be put in place")
+
+
+def _recover(fs, path, root: str) -> None:
+    """Days that a lost merge had moved aside come back, unless their successor is there."""
+    for st in fs.globStatus(path(f"{root}/.old-date=*")) or []:
+        live = path(f"{root}/{st.getPath().getName()[5:]}")
+        if fs.exists(live):
+            fs.delete(st.getPath(), True)
+        else:
+            fs.rename(st.getPath(), live)
+
+
 def touched(spark: SparkSession, root: str, days: list) -> DataFrame:
     """The lake's rows of the given dates; other folders are not read."""
     return spark.read.parquet(root).where(F.col("date").isin(days))

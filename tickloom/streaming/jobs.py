@@ -18,8 +18,11 @@ from tickloom.operators import bars as bar_ops
 from tickloom.operators.dedupe import latest
 from tickloom.operators.ordered import lay_out
 from tickloom.session import scratch_path
+from tickloom.sources import published
 
 LATE = "5 minutes"
+#: Seconds for which superseded versions of a stream's table stay readable.
+GRACE = 3600.0
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -58,27 +61,31 @@ def candles(ticks: DataFrame, width: str, late: str = LATE) -> DataFrame:
     return bar_ops.time_bars(ticks.withWatermark("ts", late), width)
 
 
-def all_candles(ticks: DataFrame, width: str, late: str = LATE) -> DataFrame:
-    """Candles including the open one: each batch appends the candles it changed, the watermark lets state
-    forget old ones, and a candle's latest version counts."""
+def all_candles(ticks: DataFrame, width: str, late: str = LATE, out: str | None = None, log: str | None = None, grace: float = GRACE) -> DataFrame:
+    """Candles including the open one: each batch upserts the candles it changed, day by day, into a published
+    table; the watermark lets state forget old ones.  ``out`` and ``log`` are where a restarted stream goes on."""
     spark = ticks.sparkSession
-    out = scratch_path(spark, "candles")
+    out = out or scratch_path(spark, "candles")
     agg = bar_ops.time_bars(ticks.withWatermark("ts", late), width)
-    drain_each(agg, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), "update")
-    return latest_version(spark.read.parquet(out), ["symbol", "ts"])
+    drain_each(agg, lambda b, i: _upsert(b, i, out, grace), "update", log)
+    return published.read(spark, out).drop("batch", "date")
 
 
-def latest_version(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of the highest batch for each key; a retried batch replaces its own folder."""
-    cols = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*keys, "r.*")
+def _upsert(batch: DataFrame, i: int, out: str, grace: float) -> None:
+    """Rows of later batches take the place of earlier ones with the same symbol and time; a repeated batch changes nothing."""
+    done = published.last_tag(batch.sparkSession, out)
+    if done is None or done < i:
+        rows = batch.withColumns({"batch": F.lit(i).cast("long"), "date": F.to_date("ts")})
+        published.merge(rows, out, "date", ["symbol", "ts"], ["batch"], tag=i)
+        published.vacuum(batch.sparkSession, out, grace=grace)
 
 
-def latest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """The version with the highest batch number; every version is whole, so a retry is harmless."""
-    df = spark.read.parquet(out)
-    last = df.agg(F.max("batch")).first()[0]
-    return df.where(F.col("batch") == last).drop("batch")
+def _keep(batch: DataFrame, i: int, out: str, rows: Callable[[], DataFrame], grace: float) -> None:
+    """Publish ``rows`` as the whole state after batch i, unless that was done before."""
+    done = published.last_tag(batch.sparkSession, out)
+    if done is None or done < i:
+        published.publish(rows(), out, tag=i)
+        published.vacuum(batch.sparkSession, out, grace=grace)
 
 
 def split_late(batch: DataFrame, seconds: int, order: list[str], seen: int | None = None) -> tuple[DataFrame, int | None]:
@@ -120,32 +127,35 @@ def sliding_ofi(ticks: DataFrame, width: str, slide: str, late: str = LATE) -> D
         (F.col("buy") - F.col("sell")).cast("double"), (F.col("buy") + F.col("sell")).cast("double")), F.lit(0.0)).alias("ofi"))
 
 
-def running_state(ticks: DataFrame) -> DataFrame:
+def running_state(ticks: DataFrame, out: str | None = None, log: str | None = None, grace: float = GRACE) -> DataFrame:
     """Cumulative delta and latest values per key, as a running aggregate (map-side partials, so a
     hot key costs a few rows per task)."""
     spark = ticks.sparkSession
-    out = scratch_path(spark, "state")
+    out = out or scratch_path(spark, "state")
     q, at = F.col("quantity"), F.struct("ts", "seq")
     agg = ticks.groupBy("symbol").agg(
         F.sum(F.when(F.col("side") == "buy", q).when(F.col("side") == "sell", -q).otherwise(0)).alias("cvd"),
         F.count(F.lit(1)).alias("trades"), F.max_by("price", at).alias("last_price"), F.max("ts").alias("last_ts"))
-    drain_each(agg, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), "complete")
-    return latest_batch(spark, out)
+    drain_each(agg, lambda b, i: _keep(b, i, out, lambda: b, grace), "complete", log)
+    return published.read(spark, out)
 
 
-def ring_buffer(ticks: DataFrame, n: int) -> DataFrame:
+def ring_buffer(ticks: DataFrame, n: int, out: str | None = None, log: str | None = None, grace: float = GRACE) -> DataFrame:
     """The last n rows per key: each batch keeps its own last n, joins the kept rows, trims again."""
     spark = ticks.sparkSession
-    out = scratch_path(spark, "ring")
+    out = out or scratch_path(spark, "ring")
 
     def step(batch: DataFrame, i: int) -> None:
-        rows = latest(batch, ["symbol"], ["ts", "seq"], n)
-        if i > 0:
-            rows = latest(rows.unionByName(spark.read.parquet(f"{out}/batch={i - 1}")), ["symbol"], ["ts", "seq"], n)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        def rows() -> DataFrame:
+            own = latest(batch, ["symbol"], ["ts", "seq"], n)
+            if published.last_tag(spark, out) is None:
+                return own
+            return latest(own.unionByName(published.read(batch.sparkSession, out)), ["symbol"], ["ts", "seq"], n)
 
-    drain_each(ticks, step)
-    return latest_batch(spark, out)
+        _keep(batch, i, out, rows, grace)
+
+    drain_each(ticks, step, checkpoint=log)
+    return published.read(spark, out)
 
 
 def coordinated(signals: DataFrame, width: str, minimum: int, late: str = LATE) -> DataFrame:
@@ -162,7 +172,7 @@ def decisions_with_fills(decisions: DataFrame, fills: DataFrame, within: str) ->
     return d.join(f, on).select("d.id", "d.decided", "f.filled", "f.quantity", "f.price")
 
 
-def refresh_features(ticks: DataFrame, width: str, look_back: int, feature: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def refresh_features(ticks: DataFrame, width: str, look_back: int, feature: Callable[[DataFrame], DataFrame], grace: float = GRACE) -> DataFrame:
     """Per batch: rebuild the touched bars, read the tail of the touched keys, recompute, upsert.
 
     Ticks are stored by date; a batch reads only the dates from its earliest touched bar, less the look-back, on.
@@ -180,10 +190,10 @@ def refresh_features(ticks: DataFrame, width: str, look_back: int, feature: Call
         tail = seen.join(touched, "symbol").where(F.unix_seconds("ts") >= F.col("_from") - seconds)
         fresh = feature(bar_ops.time_bars(tail.drop("_from"), width)).join(touched, "symbol").where(
             F.unix_seconds("ts") >= F.col("_from")).drop("_from")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        _upsert(fresh, i, out, grace)
 
     drain_each(ticks, step)
-    return latest_version(spark.read.parquet(out), ["symbol", "ts"])
+    return published.read(spark, out).drop("batch", "date")
 
 
 def _seconds(width: str) -> int:
