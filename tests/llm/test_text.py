@@ -198,3 +198,21 @@ def test_candidates_behind_marks_and_around_base_spans(spark):
         for a in (automata["assign"], hexes["access"]):
             memo, classes = {}, secrets.symbols("...." + value)[4:]
             assert all(a.tail(value, i, classes, memo) == a.score(value[i:]) for i in reversed(range(len(value) + 1)))
+
+
+def test_short_candidates_and_long_texts(spark):
+    """Values of 12 to 15 characters without a name in front are scored too; a text of one run of 200,000 characters ends soon."""
+    import random
+    import time
+    rnd = random.Random(5)
+    make = lambda n: "xkq_" + "".join(rnd.choice("0123456789") for _ in range(n - 4))
+    automata = {"assign": secrets.Automaton([make(rnd.choice([12, 13, 14, 15])) for _ in range(400)])}
+    for n in (12, 13, 15):
+        value = make(n)
+        assert [(s, e) for s, k, e, _ in secrets.all_spans(f"left {value} right", automata) if k == "like_assign"] == [(5, 5 + n)]
+    assert not secrets.all_spans("left xkq_1234567 right understanding", automata)
+    t = time.time()
+    assert not secrets.all_spans("q" * 200_000, automata) and secrets.all_spans("0" * 200_000, automata)[0][:3] == (0, "hex", 200_000)
+    assert time.time() - t < 20
+    docs = spark.createDataFrame([(1, f"say {make(13)} or token={'t' * 300}", 1, 2)], "doc_id long, text string, spans long, row long")
+    assert secrets.scan(docs, automata).first().spans.startswith("like_assign:4:17,assign:21:") and secrets.learn(docs) == {}

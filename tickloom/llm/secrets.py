@@ -21,10 +21,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex")
-#: Candidates: runs that a credential may consist of, and what begins or ends at a mark inside one.
-RUN, MARK = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), re.compile(r"[=/.]")
+#: Candidates: runs that a credential may consist of, as long as the shortest kind, and what begins or ends at a mark inside one.
+RUN, MARK = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(LEAST.values())), re.compile(r"[=/.]")
 #: Labelled values of a kind that are fitted, at most; confidence of a merge; share of labelled values below the score that is asked for.
 LABELLED, ALPHA, BELOW = 3000, 0.05, 0.02
+#: Characters of the longest value that an automaton is fitted on.
+LONGEST = 256
 #: Characters at the front of a value that keep their identity; later ones count by class.
 PREFIX = 4
 #: Characters of the texts that are held as Python strings at a time.
@@ -198,10 +200,13 @@ def all_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int, str,
 
 
 def learn(docs: DataFrame, labelled: int = LABELLED) -> dict[str, Automaton]:
-    """One automaton for each kind with labelled values: at most ``labelled`` distinct ones of the kind in all texts, by hash order."""
+    """One automaton for each kind with labelled values: at most ``labelled`` distinct ones of the kind in all texts, by hash order.
+
+    Values over ``LONGEST`` characters are no examples (their spans are found all the same); so the driver gets a bounded sample.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = {(kind, value) for text in part.column(0).to_pylist() for _, kind, _, value in base_spans(text) if len(value) <= 256}
+            rows = {(kind, value) for text in part.column(0).to_pylist() for _, kind, _, value in base_spans(text) if len(value) <= LONGEST}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
     values = docs.select(body().alias("text")).mapInArrow(task, "kind string, value string").distinct()
     by_kind = {}
@@ -216,7 +221,8 @@ def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None) -> DataF
 
     Positions are code points of the whole text, the end exclusive; ``spans_list`` holds kind, start
     and end. Null text is empty: no spans, and the digest of nothing. A null id stays null, repeated
-    rows repeat, other columns are not read. Without labelled values nothing is added to the base spans.
+    rows repeat, other columns are not read, so their names cannot clash. A very long text is scanned whole, with or
+    without white space, in time linear in its length for each state. Without labelled values nothing is added to the base spans.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs) if automata is None else automata)
 
