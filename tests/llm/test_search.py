@@ -323,3 +323,13 @@ def test_slots_of_a_large_open_bucket_are_bounded(spark, monkeypatch):
 def test_pipeline_writes_token_ids(spark, docs, sf):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+
+
+def test_rare_languages_are_learnt(spark):
+    """Of 20,003 labelled rows 3 are in a language of their own; all three are examples, and a null label is none."""
+    common = spark.range(20_000).select("id", F.lit("the house and the garden are behind the hill").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(-i, "zzyx qoph wuzz zzyx qoph", "zz") for i in range(1, 4)] + [(-9, "abc", None), (-10, None, "yy")], "id long, text string, lang string")
+    model = language_id.fit(common.unionByName(rare), key="id", labelled=200)
+    assert model.languages == ["en", "zz"]
+    rows = spark.createDataFrame([("a", "zzyx wuzz qoph"), ("b", "the garden")], "id string, text string").select("*", *[F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host", "site")])
+    assert {r.id: r.text_lang for r in language_id.identify(rows, model).collect()} == {"a": "zz", "b": "en"}

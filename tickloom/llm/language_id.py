@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from tickloom.session import pin
 
 #: Labelled rows that the text model is fitted on (in expectation; chosen by a hash of the row), and its hashed trigrams.
 LABELLED, FEATURES = 6000, 1 << 14
+#: Labels that can be languages, at most.
+LANGUAGES = 256
 #: A text weighs as much as this many trigrams at most, for neighbouring trigrams are no independent evidence.
 WEIGHT = 60.0
 #: Pseudo-counts with which a host leans on its site, a site on all rows; and for declared languages and suffixes.
@@ -61,10 +64,17 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", labelled: int = LABELLED) -> TextModel:
-    """Naive Bayes over about ``labelled`` labelled rows; executors count, the driver gets one row per language and trigram."""
-    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, labelled / max(rows.count(), 1))
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    """Naive Bayes over about ``labelled`` labelled rows; executors count, the driver gets one row per language and trigram.
+
+    Every language gets an equal part of that number, and all of its rows if it has fewer, so a rare language is not missed;
+    of more than ``LANGUAGES`` labels the most frequent ones are languages (ties: the first in order).
+    """
+    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(label).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(1 << 20)).alias("place"))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    part = labelled / max(len(sizes), 1)
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], math.ceil(min(1.0, part / r["count"]) * (1 << 20))) for r in sizes], "lang string, bound long")
+    chosen = rows.join(F.broadcast(bounds), "lang").filter("place < bound")  # at most LANGUAGES rows are broadcast
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -77,7 +87,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
 
-    found = (chosen.select(F.col(label).alias("lang"), F.col(text).alias("text")).mapInArrow(task, "lang string, gram long, n long")
+    found = (chosen.select("lang", "text").mapInArrow(task, "lang string, gram long, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(found["lang"].unique()) or ["und"]
     counts = np.zeros((len(languages), FEATURES))
