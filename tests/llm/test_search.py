@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tickloom.llm import ann, language_id, lm_score, near_dedup, packing, substring_dedup
-from tickloom.llm.tokens import vocabulary
+from tickloom.llm.tokens import WordIds, vocabulary
 
 
 def shingles(text, k):
@@ -186,20 +186,80 @@ def test_scores(sample, empty, docs):
         got = lm_score.score(table, path).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
         assert all(np.isfinite(r.score) and r.score < 0 for r in got)
+        ids = WordIds(path)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_ids) for r in got) == sorted(
+            (-1 if i is None else i, 1 + sum(len(ids.cache[w]) // 4 for w in ws)) for i, ws in rows)
     assert lm_score.score(empty, path).count() == 0
 
 
-def test_attention_is_causal_and_sums_to_one():
+def test_unseen_texts_are_likelier_by_the_model(spark, sf):
+    path = vocabulary("word_bpe_49k.json")
+
+    def means(size, **p):
+        docs = spark.read.parquet(sf.replace("0.001", size) + "/documents.parquet")
+        return lm_score.score(docs, path, **p).filter("held_out").agg(F.avg("score"), F.avg("base_score")).first()
+    assert means("0.01", share=4)[0] > means("0.01", rounds=0)[0]  # than without attention that has learnt
+    got = means("0.1")
+    assert got[0] > got[1]  # and than by counts of words, from some thousand texts on
+
+
+def plain_log10(model, ids):
+    """One id at a time: attention over what its window holds of the ids before it."""
+    w, out, before = model.weights, [], [len(model.entry) - 1, *ids[:-1]]
+    for at, target in enumerate(ids):
+        first = max(0, at - at % lm_score.STEP - lm_score.BEHIND)
+        e = w["E"][model.entry[before[first:at + 1]]]
+        s = (e[-1] @ w["Q"]) @ (e @ w["K"]).T + w["R"][np.arange(at - first, -1, -1)]
+        s = np.exp(s - s.max())
+        logits = model.bigram[model.entry[before[at]]] + (e[-1] + s @ (e @ w["V"]) / s.sum()) @ w["O"]
+        share = model.share[model.mark[before[at]]]
+        assert np.isclose(np.exp(share[model.kind == model.kind[target]]).sum(), 1, atol=1e-4)
+        out.append((logits[model.kind[target]] - np.log(np.exp(logits).sum()) + share[target]) / np.log(10))
+    return np.array(out)
+
+
+def test_attention_is_causal_sums_to_one_and_learns():
     rng = np.random.default_rng(0)
-    counts = rng.integers(1, 50, (90, lm_score.TOPICS)).astype(float)
-    ids, lengths = rng.integers(0, 90, 400), np.array([150, 250])
-    model = lm_score._model(counts, 59, ids, lengths)
-    base = model.log10(ids, lengths)[0]
+    lengths = np.array([150, 1, 17, 250, 16])
+    ids = np.cumsum(rng.integers(1, 3, lengths.sum())) % 150  # what follows depends on what was before
+    counts = np.bincount(ids, minlength=200).astype(float)
+    ranked = np.bincount(lm_score.following(ids, lengths, lm_score.marks(counts)), minlength=200 * (lm_score.SINGLE + 1)).reshape(-1, 200)
+    model = lm_score.Model.start(counts, lm_score.groups(ranked[:lm_score.SINGLE].T.astype(float)))
+    classes = model.bigram.shape[1]
+    model.follow(np.bincount(model.inputs(ids, lengths) * classes + model.kind[ids], minlength=model.bigram.size).reshape(-1, classes).astype(float),
+                 np.bincount(lm_score.following(ids, lengths, model.mark), minlength=model.share.size).reshape(-1, 200).astype(float))
+    before = model.log10(ids, lengths).sum()
+    trainer = lm_score.Trainer(model)
+    for _ in range(30):
+        trainer.learn(ids, lengths, 1, 0)
+    got = model.log10(ids, lengths)
+    assert got.sum() > before
+    ends = np.cumsum(lengths)
+    assert np.allclose(got, np.concatenate([plain_log10(model, ids[e - n:e]) for e, n in zip(ends, lengths, strict=True)]), atol=1e-4)
     changed = ids.copy()
-    changed[60] = (ids[60] + 1) % 90
-    assert np.allclose(base[:60], model.log10(changed, lengths)[0][:60], atol=1e-5) and np.allclose(base[150:], model.log10(changed, lengths)[0][150:], atol=1e-5)
-    total = sum(10 ** model.log10(np.append(ids[:40], x), np.array([41]))[0][-1] for x in range(90))
-    assert abs(total - 1) < 1e-3
+    changed[60] = (ids[60] + 1) % 200
+    other = model.log10(changed, lengths)
+    assert np.allclose(got[:60], other[:60], atol=1e-5) and np.allclose(got[150:], other[150:], atol=1e-5) and not np.allclose(got[61:70], other[61:70], atol=1e-5)
+    assert abs(sum(10 ** model.log10(np.append(ids[:40], x), np.array([41]))[-1] for x in range(200)) - 1) < 1e-3
+    every = np.sort(np.concatenate([lm_score.windows(lengths, 3, f)[0][:, lm_score.BEHIND:][lm_score.windows(lengths, 3, f)[2]] for f in range(3)]))
+    assert (every == np.arange(lengths.sum())).all()
+
+
+def test_gradients_agree_with_differences():
+    rng = np.random.default_rng(1)
+    lengths, ids = np.array([40, 9]), rng.integers(0, 120, 49)
+    model = lm_score.Model.start(np.bincount(ids, minlength=120).astype(float), np.arange(120) % lm_score.GROUPS)
+    model.weights = {n: a.astype(np.float64) + (rng.standard_normal(a.shape) * 0.1 if n in "RO" else 0) for n, a in model.weights.items()}
+    loss = lambda: -(model.log10(ids, lengths) * np.log(10) - model.share[0][ids]).mean()
+    start, moved = {n: a.copy() for n, a in model.weights.items()}, lm_score.Trainer(model)
+    moved.learn(ids, lengths, 1, 0)  # one step: the first moment is a tenth of the gradient
+    for n, a in start.items():
+        model.weights = {m: b.copy() for m, b in start.items()}
+        i = np.unravel_index(np.abs(moved.m[n]).argmax(), a.shape)
+        model.weights[n][i] = a[i] + 1e-3
+        up = loss()
+        model.weights[n][i] = a[i] - 1e-3
+        assert np.isclose((up - loss()) / 2e-3, moved.m[n][i] * 10, rtol=0.05, atol=1e-4), n
 
 
 def test_pipeline(spark, sample, sf):
