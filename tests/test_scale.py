@@ -71,3 +71,15 @@ def test_time_sums_do_not_copy_rows(spark):
     assert abs(out[-1].s - sum(i * 0.1 for i in range(2000))) < 1e-6 and out[0].s == 0.0
     short = time_values(t, ["symbol"], "ts", {"s": ("sum", F.col("v"), 120.0)}, chunk_rows=64).orderBy("ts").collect()
     assert [round(r.s, 6) for r in short] == [round(sum(j * 0.1 for j in range(max(0, i - 2), i + 1)), 6) for i in range(2000)]
+
+
+def test_fills_from_behind_read_each_row_once(spark):
+    """No frame from a row to the end, which Spark reads anew for every row; a long gap, no value behind, a null key, one chunk or many."""
+    from tickloom.operators.rolling import filled
+    rows = [(k, i, None if i % 50 or i > 900 else float(i)) for k, n in (("a", 1000), (None, 40)) for i in range(n)]
+    t = spark.createDataFrame(rows, "symbol string, seq long, x double").withColumn("ts", F.timestamp_seconds("seq"))
+    for chunk in (32, 5000):
+        out = filled(t, "x", 1, chunk)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        want = {(k, i): float(-(-i // 50) * 50) if -(-i // 50) * 50 <= min(n - 1, 900) else None for k, n in (("a", 1000), (None, 40)) for i in range(n)}
+        assert {(r.symbol, r.seq): r.bfill for r in out.collect()} == want

@@ -83,7 +83,7 @@ class Ordered:
             own = own.withColumn(f"_v_{name}", value)
         upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
         frames = {"before": self.window.rowsBetween(Window.unboundedPreceding, -1),
-                  "next": self.window.rowsBetween(0, Window.unboundedFollowing)}
+                  "next": Window.partitionBy("_key", "_chunk").orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)}
         if self.single:
             return own.select("*", *[_over(kind, F.col(f"_v_{n}"), frames.get(kind, upto)).alias(n)
                                      for n, (kind, _) in spec.items()]).drop(*[f"_v_{n}" for n in spec])
@@ -93,8 +93,8 @@ class Ordered:
             totals.append(_total(kind, v).alias(f"_t_{name}"))
         earlier = (Window.partitionBy("_key").orderBy("_chunk")
                    .rowsBetween(Window.unboundedPreceding, -1))
-        later = (Window.partitionBy("_key").orderBy("_chunk")
-                 .rowsBetween(1, Window.unboundedFollowing))
+        later = (Window.partitionBy("_key").orderBy(F.desc("_chunk"))
+                 .rowsBetween(Window.unboundedPreceding, -1))
         carry = own.groupBy("_key", "_chunk").agg(*totals).select(
             F.col("_key").alias("_ckey"), F.col("_chunk").alias("_cchunk"),
             *[_over(kind, F.col(f"_t_{n}"), later if kind == "next" else earlier).alias(f"_c_{n}")
@@ -145,9 +145,7 @@ def _total(kind: str, v: Column) -> Column:
 
 
 def _over(kind: str, v: Column, w: WindowSpec) -> Column:
-    if kind == "next":
-        return F.first(v, ignorenulls=True).over(w)
-    if kind in ("last", "before"):
+    if kind in ("last", "before", "next"):  # frames of "next" run backwards: Spark reads a frame to the end anew for every row
         return F.last(v, ignorenulls=True).over(w)
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](v).over(w)
 
