@@ -147,10 +147,10 @@ def continuity_score(ticks: DataFrame, seconds: float, chunk_rows: int | None =
 def regular_grid(bars: DataFrame, minutes: int) -> DataFrame:
     """Full time grid with carried and with linearly interpolated closes."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     g = grid(bars.select("symbol", "ts", "close"), minutes)
     at = F.when(F.col("close").isNotNull(), F.struct(F.col("close").alias("v"), F.unix_seconds("ts").alias("t")))
-    g = g.withColumns({"_p": F.last(at, ignorenulls=True).over(back), "_n": F.first(at, ignorenulls=True).over(ahead)})
+    g = g.withColumns({"_p": F.last(at, ignorenulls=True).over(back), "_n": F.last(at, ignorenulls=True).over(ahead)})
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.unix_seconds("ts") - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
     return g.select("symbol", "ts", "real", F.col("_p.v").alias("carried"),
                     F.when(F.col("close").isNotNull(), F.col("close")).otherwise(line).alias("interpolated"))
@@ -163,12 +163,12 @@ STRATEGIES = ("ffill", "bfill", "interpolate", "zero", "drop")
 def handle_nulls(bars: DataFrame, plan: dict[str, str]) -> DataFrame:
     """Fill (or drop on) nulls of bar columns, each by its own strategy."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     out, drops = bars.withColumn("_i", F.row_number().over(w)), []
     cols = {}
     for c, how in plan.items():
         x = F.col(c)
-        p, n = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)
+        p, n = F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)
         if how == "ffill":
             cols[c] = p
         elif how == "bfill":
@@ -177,7 +177,7 @@ def handle_nulls(bars: DataFrame, plan: dict[str, str]) -> DataFrame:
             cols[c] = F.coalesce(x, F.lit(0))
         elif how == "interpolate":
             at = F.when(x.isNotNull(), F.col("_i"))
-            pi, ni = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+            pi, ni = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(ahead)
             cols[c] = F.coalesce(x, p + (n - p) * (F.col("_i") - pi) / (ni - pi), p)
         elif how == "drop":
             drops.append(c)
@@ -207,24 +207,24 @@ def smart_fill(bars: DataFrame, cols: list[str]) -> DataFrame:
     """Fill by kind of column: prices carried both ways, ratios interpolated at most five rows and then carried
     forward and backward, others neutral.  Columns without any value stay null."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     out = bars.withColumn("_i", F.row_number().over(w))
     fills = {}
     ratios = [c for c in cols if any(r in c for r in RATIOS) and not any(k in c for k in NEUTRAL)]
     for c in cols:
         x = F.col(c)
-        p, n = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)
+        p, n = F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)
         neutral = [v for k, v in NEUTRAL.items() if k in c]
         if neutral:
             fills[c] = F.coalesce(x, F.lit(neutral[0]))
         elif c in ratios:
             at = F.when(x.isNotNull(), F.col("_i"))
-            pi, ni = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+            pi, ni = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(ahead)
             fills[c] = F.when(x.isNotNull(), x).when(F.col("_i") - pi <= 5, p + (n - p) * (F.col("_i") - pi) / (ni - pi))
         else:
             fills[c] = F.coalesce(p, n)
     out = out.withColumns(fills)
-    rest = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in ratios}
+    rest = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)) for c in ratios}
     return (out.withColumns(rest) if rest else out).drop("_i")
 
 
