@@ -83,3 +83,19 @@ def test_fills_from_behind_read_each_row_once(spark):
         assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
         want = {(k, i): float(-(-i // 50) * 50) if -(-i // 50) * 50 <= min(n - 1, 900) else None for k, n in (("a", 1000), (None, 40)) for i in range(n)}
         assert {(r.symbol, r.seq): r.bfill for r in out.collect()} == want
+
+
+def test_windows_of_one_value_share_its_running_total(spark):
+    """Three windows of two values carry two totals and two counts through the order; the oldest time behind a mark, in chunks of 7."""
+    import re
+
+    from tickloom.operators import flow
+    from tickloom.operators.ordered import time_values
+    t = spark.range(300).select(F.when(F.col("id") % 3 == 0, "a").alias("symbol"), F.timestamp_seconds((F.col("id") / 4).cast("long") * 11).alias("ts"), F.col("id").alias("seq"),
+                                F.when(F.col("id") % 5 > 0, F.col("id")).alias("quantity"), F.when(F.col("id") % 2 == 0, "buy").otherwise("sell").alias("side"))
+    plan = flow.ofi_time(t, [20, 60, 200], 7)._jdf.queryExecution().toString()
+    assert len(set(re.findall(r"_t_p_\w+(?=#)", plan))) == 2
+    rows = t.collect()
+    for r in time_values(t, ["symbol"], "ts", {"o": ("oldest", F.col("quantity"), 60)}, chunk_rows=7).collect():
+        seen = [x.ts for x in rows if x.symbol == r.symbol and x.quantity is not None and 0 <= (r.ts - x.ts).total_seconds() <= 60]
+        assert r.o == (min(seen) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 if seen else r.o is None

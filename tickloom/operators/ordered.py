@@ -200,15 +200,16 @@ def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[s
                 extra: DataFrame | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Add values over the last ``seconds`` up to each row's time; rows of the same time count.
 
-    ``spec`` maps a name to (kind, value, seconds) with kind sum, min or max.  Rows of one (key,
+    ``spec`` maps a name to (kind, value, seconds) with kind sum, min, max or oldest (the earliest time,
+    in microseconds, of a row whose value is known).  Rows of one (key,
     time) are first reduced to one row, so even a huge group of equal times is one row of the
     ordered frame; the values are then joined back.  Neither kind copies rows; extremes are taken in double precision.  ``extra`` holds keys and times (only) at which
     the values are wanted instead of the rows of ``df``.
     """
     from tickloom.operators.rangefold import GREATEST, LEAST, range_folds
 
-    sums = {n: x for n, x in spec.items() if x[0] == "sum"}
-    ends = {n: x for n, x in spec.items() if x[0] != "sum"}
+    sums = {n: x for n, x in spec.items() if x[0] in ("sum", "oldest")}
+    ends = {n: x for n, x in spec.items() if x[0] in ("min", "max")}
     at = df if extra is None else extra
     out = _time_sums(df, keys, ts, sums, extra, chunk_rows) if sums else at
     if not ends:
@@ -219,7 +220,8 @@ def time_values(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[s
         rows = rows.unionByName(extra.select(*keys, ts), allowMissingColumns=True)
     points = pin(rows.groupBy(*keys, ts).agg(*[(F.min if k == "min" else F.max)(f"_p_{n}").alias(f"_p_{n}") for n, (k, _, _) in ends.items()]))
     reach = sorted({float(sec) for *_, sec in ends.values()})
-    points = _time_sums(points, keys, ts, {f"_c_{i}": ("sum", F.lit(1), sec) for i, sec in enumerate(reach)}, None, chunk_rows)
+    one = F.lit(1)
+    points = _time_sums(points, keys, ts, {f"_c_{i}": ("sum", one, sec) for i, sec in enumerate(reach)}, None, chunk_rows)
     folded = range_folds(lay_out(points, keys, [ts], chunk_rows), {
         n: (F.col("_rn") - F.col(f"_c_{reach.index(float(sec))}") + 1, F.col(f"_p_{n}").cast("double"), LEAST if k == "min" else GREATEST) for n, (k, _, sec) in ends.items()})
     folded = folded.select(F.struct(*keys, ts).alias("_at"), *[F.col(n).cast(kinds[n]).alias(n) for n in ends])
@@ -231,29 +233,36 @@ def _time_sums(df: DataFrame, keys: list[str], ts: str, spec: dict[str, tuple[st
     """Sums over the last ``seconds`` as a difference of running totals, linear in the rows for any window.
 
     Each time is stacked with marks ``seconds`` before it, at which the total of strictly earlier
-    times is wanted; one running pass over that order gives both totals.  Fractions are summed as
-    decimals of ten places, so that differences are exact.
+    times is wanted; one running pass over that order gives both totals, and the oldest time behind a mark.
+    Windows that share a value (the same object) share its total.  Fractions are summed as decimals of
+    ten places, so that differences are exact.
     """
     kinds = dict(df.select(*[v.alias(n) for n, (_, v, _) in spec.items()]).dtypes)
     exact = lambda n, v: v.cast("decimal(28,10)") if kinds[n] in ("double", "float") else v
-    rows = df.select(*keys, ts, *[exact(n, v).alias(f"_p_{n}") for n, (_, v, _) in spec.items()])
+    ids = list(dict.fromkeys(id(v) for _, v, _ in spec.values()))
+    number = {n: ids.index(id(v)) for n, (_, v, _) in spec.items()}
+    values = {number[n]: exact(n, v) for n, (_, v, _) in spec.items()}
+    rows = df.select(*keys, ts, *[v.alias(f"_p_{k}") for k, v in values.items()])
     at = df if extra is None else extra
     if extra is not None:
         rows = rows.unionByName(extra.select(*keys, ts), allowMissingColumns=True)
-    points = rows.groupBy(*keys, ts).agg(*[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in spec], *[F.count(f"_p_{n}").alias(f"_c_{n}") for n in spec])
+    points = rows.groupBy(*keys, ts).agg(*[F.sum(f"_p_{k}").alias(f"_p_{k}") for k in values], *[F.count(f"_p_{k}").alias(f"_c_{k}") for k in values])
     reach = sorted({int(sec * 1_000_000) for *_, sec in spec.values()})
     stops = F.array(F.lit(-1).cast("long"), *[F.lit(x).cast("long") for x in reach])  # -1: the point itself
     stacked = points.withColumn("_s", F.explode(stops)).withColumn("_x", F.unix_micros(ts) - F.greatest("_s", F.lit(0)))
     own = F.col("_s") == -1
     stacked = stacked.select(*keys, ts, "_s", "_x", own.cast("int").alias("_own"),
-                             *[F.when(own, F.col(f"{p}{n}")).alias(f"{p}{n}") for n in spec for p in ("_p_", "_c_")])
+                             *[F.when(own, F.col(f"{p}{k}")).alias(f"{p}{k}") for k in values for p in ("_p_", "_c_")])
     o = lay_out(stacked, keys, ["_x", "_own", "_s"], chunk_rows)
-    totals = o.running(o.chunked(), **{f"_t{p}{n}": ("sum", F.col(f"{p}{n}")) for n in spec for p in ("_p_", "_c_")})
+    oldest = sorted({number[n] for n, (kind, *_) in spec.items() if kind == "oldest"})
+    totals = o.running(o.chunked(), **{f"_t{p}{k}": ("sum", F.col(f"{p}{k}")) for k in values for p in ("_p_", "_c_")},
+                       **{f"_o_{k}": ("next", F.when(F.col(f"_c_{k}") > 0, F.col("_x"))) for k in oldest})
     pick = lambda c, s: F.max(F.when(F.col("_s") == s, F.col(c)))
     wanted = {n: int(sec * 1_000_000) for n, (*_, sec) in spec.items()}
-    framed = totals.groupBy(*keys, ts).agg(*[(F.coalesce(pick(f"_t{p}{n}", -1), F.lit(0)) - F.coalesce(pick(f"_t{p}{n}", wanted[n]), F.lit(0))).alias(f"{p}{n}")
-                                             for n in spec for p in ("_p_", "_c_")])
-    back = lambda n: F.col(f"_p_{n}").cast("double" if kinds[n] in ("double", "float") else "decimal(38,10)" if kinds[n].startswith("decimal") else "long")
+    framed = totals.groupBy(*keys, ts).agg(*[(F.coalesce(pick(f"_t{p}{number[n]}", -1), F.lit(0)) - F.coalesce(pick(f"_t{p}{number[n]}", wanted[n]), F.lit(0))).alias(f"{p}{n}")
+                                             for n in spec for p in ("_p_", "_c_")], *[pick(f"_o_{number[n]}", wanted[n]).alias(f"_o_{n}") for n, x in spec.items() if x[0] == "oldest"])
+    back = lambda n: F.col(f"_o_{n}") if spec[n][0] == "oldest" else F.col(f"_p_{n}").cast(
+        "double" if kinds[n] in ("double", "float") else "decimal(38,10)" if kinds[n].startswith("decimal") else "long")
     framed = framed.select(F.struct(*keys, ts).alias("_at"), *[F.when(F.col(f"_c_{n}") > 0, back(n)).alias(n) for n in spec])
     return at.withColumn("_at", F.struct(*keys, ts)).join(framed, "_at", "left").drop("_at")
 

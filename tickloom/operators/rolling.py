@@ -51,7 +51,8 @@ def rolling_agents(df: DataFrame, n: int, chunk_rows: int | None = None) -> Data
 
 def range_sums(df: DataFrame, seconds: list[int], chunk_rows: int | None = None) -> DataFrame:
     """Volume in the last s seconds, for each s."""
-    spec = {f"volume_{s}s": ("sum", F.col("quantity"), s) for s in seconds}
+    q = F.col("quantity")
+    spec = {f"volume_{s}s": ("sum", q, s) for s in seconds}
     return time_values(df, KEYS, "ts", spec, chunk_rows=chunk_rows).select("symbol", "seq", *spec)
 
 
