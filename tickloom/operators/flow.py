@@ -10,7 +10,7 @@ from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_v
 from tickloom.operators.scan import recurrence
 from tickloom.operators.windows import (
     clip, distinct_in, div, last_rows, pct_change, percentile_rank, rmean, rmedian, rstd, rsum)
-from tickloom.session import small_side
+from tickloom.session import pin, small_side
 
 # Base confidence of the footprint patterns.
 FOOTPRINT_BASE = {"p_reversal": 0.7, "b_reversal": 0.65, "exhaustion": 0.75,
@@ -40,7 +40,8 @@ def _balance(buy: Column, sell: Column) -> Column:
 def ofi_time(ticks: DataFrame, seconds: list[int], chunk_rows: int | None = None) -> DataFrame:
     """Order-flow imbalance of the last s seconds, for each s."""
     q = F.col("quantity")
-    spec = {f"_{n}{s}": ("sum", part(q), s) for s in seconds for n, part in (("b", _buy), ("s", _sell))}
+    parts = {"b": _buy(q), "s": _sell(q)}
+    spec = {f"_{n}{s}": ("sum", part, s) for s in seconds for n, part in parts.items()}
     t = time_values(ticks, ["symbol"], "ts", spec, chunk_rows=chunk_rows)
     return t.select("symbol", "seq", *[_balance(F.col(f"_b{s}"), F.col(f"_s{s}")).alias(f"ofi_{s}s") for s in seconds])
 
@@ -119,8 +120,8 @@ def intensity(ticks: DataFrame, n: int, long_n: int, chunk_rows: int | None = No
 def tape_speed(ticks: DataFrame, short: int, long: int, chunk_rows: int | None = None) -> DataFrame:
     """Trades and volume per second and share of large trades in two time windows, with patterns."""
     q, one, us = F.col("quantity"), F.lit(1), F.unix_micros("ts")
-    spec = {f"_{n}{s}": (k, x, s) for s in (short, long) for n, k, x in (("n", "sum", one), ("q", "sum", q), ("t", "min", us))}
-    t = time_values(ticks, ["symbol"], "ts", spec, chunk_rows=chunk_rows)
+    spec = {f"_{n}{s}": (k, x, s) for s in (short, long) for n, k, x in (("n", "sum", one), ("q", "sum", q), ("t", "oldest", one))}
+    t = pin(time_values(ticks, ["symbol"], "ts", spec, chunk_rows=chunk_rows))
     t = t.withColumns({f"_big{s}": (q > 2 * F.col(f"_q{s}") / F.col(f"_n{s}")).cast("int") for s in (short, long)})
     t = time_values(t, ["symbol"], "ts", {f"_k{s}": ("sum", F.col(f"_big{s}"), s) for s in (short, long)}, chunk_rows=chunk_rows)
     zero = lambda x: F.coalesce(x, F.lit(0.0))
