@@ -99,3 +99,13 @@ def test_windows_of_one_value_share_its_running_total(spark):
     for r in time_values(t, ["symbol"], "ts", {"o": ("oldest", F.col("quantity"), 60)}, chunk_rows=7).collect():
         seen = [x.ts for x in rows if x.symbol == r.symbol and x.quantity is not None and 0 <= (r.ts - x.ts).total_seconds() <= 60]
         assert r.o == (min(seen) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 if seen else r.o is None
+
+
+def test_replay_of_one_batch_is_many_files(spark):
+    """A batch of 1000 rows in files of 100 rows about, still one batch, in order."""
+    from tickloom.streaming import jobs
+    t = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("seq"), (F.col("id") % 2 == 1).alias("live"))
+    batches = []
+    jobs.drain_each(jobs.replay(t, 1, ["seq"], rows=100), lambda b, i: batches.append((b.count(), b.select(F.input_file_name()).distinct().count())))
+    assert batches == [(1000, 10)]
+    assert jobs.late_split(jobs.replay(t.withColumn("ts", F.timestamp_seconds(F.lit(5000) - F.col("seq"))), 4, ["seq"], rows=100), 400, ["seq"]).where("rejected = 1").count() == 300

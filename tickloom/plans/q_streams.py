@@ -17,7 +17,7 @@ def stream(spark, sf, files=None):
     """The events table as a stream of ticks; as ``files`` time-ordered files when given."""
     t = v.ticks(spark, sf)
     if files:
-        return jobs.source(spark, jobs.time_sliced(t, files, ["ts", "seq"]), t.schema, 1)
+        return jobs.replay(t, files, ["ts", "seq"])
     raw = spark.read.parquet(f"{sf}/events.parquet").schema
     e = spark.readStream.schema(raw).parquet(f"{sf}/events*.parquet")
     return _ticks(e.withColumn("ts", F.col("ts").cast("timestamp")))
@@ -47,7 +47,7 @@ def _(spark, sf):
 for _name, _files in (("st03_late_rule", 1), ("st03_late_rule_batches", 5)):
     def _late(spark, sf, files=_files):
         t = v.ticks(spark, sf).withColumns({"arrival": F.col("seq") * 7919 % 10007, "live": F.col("seq") % 2 == 1})
-        s = jobs.source(spark, jobs.time_sliced(t, files, ["arrival", "seq"]), t.schema, 1)
+        s = jobs.replay(t, files, ["arrival", "seq"])
         return jobs.late_split(s, 864000, ["arrival", "seq"]).select("symbol", "seq", "rejected")
     query(_name, f"SELECT symbol, seq, {flag('seq % 2 = 1 AND epoch_us(max(ts) OVER (ORDER BY seq * 7919 % 10007, seq)) - epoch_us(ts) > 864000000000')} AS rejected FROM ticks")(_late)
 

@@ -23,6 +23,8 @@ from tickloom.sources import published
 LATE = "5 minutes"
 #: Seconds for which superseded versions of a stream's table stay readable.
 GRACE = 3600.0
+#: Rows of a file of replayed history.
+SLICE_ROWS = 500_000
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -219,14 +221,14 @@ def progress(spark: SparkSession, out: str) -> DataFrame:
                     F.max("seconds").alias("longest_seconds"), F.try_divide(F.sum("rows"), F.sum("seconds")).alias("rows_per_second"))
 
 
-def time_sliced(df: DataFrame, n: int, order: list[str]) -> str:
-    """Write history as n files in time order, ready for replay; returns the folder.
+def time_sliced(df: DataFrame, n: int, order: list[str], files: int = 1) -> str:
+    """Write history as n slices in time order, each of at most ``files`` files, ready for replay; returns the folder.
 
     A file stream takes the oldest file first, so the files' times are set one second apart in that order.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "replay")
-    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(path)
+    df.repartitionByRange(n * files, *order).sortWithinPartitions(*order).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     files = sorted((st.getPath() for st in fs.listStatus(folder) if st.getPath().getName().startswith("part-")), key=lambda p: p.getName())
@@ -235,6 +237,12 @@ def time_sliced(df: DataFrame, n: int, order: list[str]) -> str:
     return path
 
 
+def replay(df: DataFrame, n: int, order: list[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """History as a stream of n batches in time order; no task writes or reads much more than ``rows`` rows, however long a batch is."""
+    files = max(1, -(-df.count() // (n * rows)))
+    return source(df.sparkSession, time_sliced(df, n, order, files), df.schema, files)
+
+
 def catch_up(spark: SparkSession, history: DataFrame, live: DataFrame, out: str) -> None:
     """Back-fill first, then the live rows through the same checkpoint, so nothing is read twice."""
     inbox, log = scratch_path(spark, "inbox"), scratch_path(spark, "catch-up-log")
