@@ -109,3 +109,14 @@ def test_replay_of_one_batch_is_many_files(spark):
     jobs.drain_each(jobs.replay(t, 1, ["seq"], rows=100), lambda b, i: batches.append((b.count(), b.select(F.input_file_name()).distinct().count())))
     assert batches == [(1000, 10)]
     assert jobs.late_split(jobs.replay(t.withColumn("ts", F.timestamp_seconds(F.lit(5000) - F.col("seq"))), 4, ["seq"], rows=100), 400, ["seq"]).where("rejected = 1").count() == 300
+
+
+def test_rolling_trades_fold_times_not_trades(spark, monkeypatch):
+    """Trades of one time are one run of the folds and one row of the final look-up."""
+    from tickloom.operators import risk
+    seen, folds = [], risk.range_folds
+    monkeypatch.setattr(risk, "range_folds", lambda o, w: (seen.append(o.rows.count()), folds(o, w))[1])
+    t = spark.range(900).select(F.lit("r").alias("regime"), F.timestamp_seconds((F.col("id") % 9) * 600).alias("exit_ts"), F.col("id").alias("trade_id"), F.lit(1).alias("leg"),
+                                F.lit(1.0).alias("quantity"), F.when(F.col("id") % 10 > 0, F.col("id") % 7 - 3.0).alias("pnl"))
+    out = risk.rolling_trades(t, "regime", 1200, 5000).collect()
+    assert seen == [9] and len(out) == 900 and max(r.n for r in out) == 300

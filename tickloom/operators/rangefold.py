@@ -62,16 +62,17 @@ def fold_runs(values: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, fold: Fo
     return out
 
 
-def range_folds(o: Ordered, windows: dict[str, tuple[Column, Column, Fold]]) -> DataFrame:
+def range_folds(o: Ordered, windows: dict[str, tuple[Column, Column | list[Column], Fold]]) -> DataFrame:
     """``o.rows`` with, for each name, the fold of ``value`` over the rows from number ``first`` of the key to the row itself.
 
     ``windows`` maps a name to (first, value, fold); a null ``first`` gives null, as does a window without known values.
+    A value may also be the list of a fold's parts, where rows are runs that were folded before.
     """
     names, folds = list(windows), [w[2] for w in windows.values()]
     rows = o.chunked().drop("_own")
     columns = o.rows.columns
     for i, (first, value, fold) in enumerate(windows.values()):
-        rows = rows.withColumns({f"_f{i}": first.cast("long"), **{f"_p{i}_{j}": c.cast("double") for j, c in enumerate(fold.leaf(value.cast("double")))}})
+        rows = rows.withColumns({f"_f{i}": first.cast("long"), **{f"_p{i}_{j}": c.cast("double") for j, c in enumerate(value if isinstance(value, list) else fold.leaf(value.cast("double")))}})
     parts = [(i, j) for i, f in enumerate(folds) for j in range(len(f.empty))]
     schema = T.StructType([*rows.schema.fields, *[T.StructField(f"_e{i}_{j}", T.DoubleType()) for i, j in parts]])
     single = o.single

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.history import grid
 from tickloom.operators.ordered import Ordered, exact_quantiles, lay_out, time_values
@@ -283,20 +284,32 @@ def rolling_trades(trades: DataFrame, key: str, seconds: float, chunk_rows: int
     The drawdown is the largest fall of the running P&L of the window's trades, in closing order, from a
     high to a later value; trades closed at the same time are all in the window.
     """
-    p = F.col("pnl")
-    t = time_values(trades, [key], "exit_ts", {
-        "n": ("sum", F.lit(1), seconds), "_w": ("sum", (p > 0).cast("int"), seconds), "total": ("sum", p, seconds), "_ss": ("sum", p * p, seconds)}, chunk_rows=chunk_rows)
-    o = lay_out(t, [key], TRADE_ORDER, chunk_rows)
-    same = F.struct("_key", "exit_ts")
-    last = o.rows.groupBy(same.alias("_at")).agg(F.max("_rn").alias("_last"))
-    rows = o.rows.withColumn("_at", same).join(last, "_at").drop("_at")
-    first = F.when(F.col("_rn") == F.col("_last"), F.col("_last") - F.col("n") + 1)
-    folded = range_folds(Ordered(rows, tuple(rows.columns), o.chunk_rows, o.longest), {"_dd": (first, p, DRAWDOWN)})
-    folded = pin(folded.withColumn("_at", same))
-    t = folded.drop("_dd").join(folded.where("_rn = _last").select("_at", F.col("_dd").alias("max_drawdown")), "_at").drop("_at", "_key", "_rn", "_last")
+    o = lay_out(trades, [key], TRADE_ORDER, chunk_rows)
+    p, at = F.col("pnl"), Window.partitionBy("_key", "_chunk", "exit_ts").orderBy("_rn")
+    fraction = isinstance(trades.schema["pnl"].dataType, (T.DoubleType, T.FloatType))
+    exact = lambda x: x.cast("decimal(28,10)") if fraction else x
+    known = F.nanvl(p.cast("double"), F.lit(None))
+    rows = o.chunked().select(F.col(key), "exit_ts", "pnl", "_key", "_chunk", "_rn")
+    rows = rows.withColumn("_cum", F.sum(known).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_peak", F.max("_cum").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row per time and chunk: what its trades add, and their running P&L folded as a run
+    runs = pin(rows.groupBy(key, "exit_ts", F.col("_chunk").alias("_run")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((p > 0).cast("int")).alias("_w"), F.sum(exact(p)).alias("_p"), F.sum(exact(p * p)).alias("_pp"),
+        F.sum(known).alias("_total"), F.max("_cum").alias("_high"), F.min("_cum").alias("_low"), F.max(F.col("_peak") - F.col("_cum")).alias("_fall")))
+    sums = {"_runs": F.lit(1), "n": F.col("_n"), "win": F.col("_w"), "total": F.col("_p"), "_ss": F.col("_pp")}
+    times = time_values(runs, [key], "exit_ts", {n: ("sum", c, seconds) for n, c in sums.items()}, chunk_rows=chunk_rows)
+    laid = lay_out(times, [key], ["exit_ts", "_run"], chunk_rows)
+    later = F.lead("exit_ts").over(laid.window)
+    ends = laid.finish(laid.chunked(after=1).withColumn("_last", ~later.eqNullSafe(F.col("exit_ts"))), *laid.rows.columns, "_last")
+    parts = [F.coalesce(F.col(c), F.lit(e)) for c, e in zip(("_total", "_high", "_low", "_fall"), DRAWDOWN.empty, strict=True)]
+    first = F.when(F.col("_last"), F.col("_rn") - F.col("_runs") + 1)
+    folded = range_folds(Ordered(ends, tuple(ends.columns), laid.chunk_rows, laid.longest), {"max_drawdown": (first, parts, DRAWDOWN)})
+    number = lambda c: F.col(c).cast("double") if fraction else F.col(c)
+    folded = folded.where("_last").select(F.struct("_key", "exit_ts").alias("_at"), "n", "win", number("total").alias("total"), number("_ss").alias("_ss"), "max_drawdown")
+    t = o.rows.withColumn("_at", F.struct("_key", "exit_ts")).join(small_side(folded), "_at").drop("_at", "_key", "_rn")
     mean = F.col("total") / F.col("n")
     std = F.sqrt(F.greatest((F.col("_ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
-    return t.withColumns({"win_rate": F.col("_w") / F.col("n"), "sharpe": F.when(F.col("n") >= 2, F.try_divide(mean, std))}).drop("_w", "_ss")
+    return t.withColumns({"win_rate": F.col("win") / F.col("n"), "sharpe": F.when(F.col("n") >= 2, F.try_divide(mean, std))}).drop("win", "_ss")
 
 
 def excursion_statistics(trades: DataFrame) -> DataFrame:
