@@ -245,6 +245,15 @@ def test_attention_is_causal_sums_to_one_and_learns():
     assert (every == np.arange(lengths.sum())).all()
 
 
+def test_every_window_is_learnt_from():
+    """The rounds of a fit take each window of every training text once, none twice."""
+    assert lm_score.SHARE == lm_score.ROUNDS
+    lengths = np.array([40, 1, 333, 16, 5])
+    rounds = [lm_score.windows(lengths, lm_score.SHARE, number) for number in range(lm_score.ROUNDS)]
+    seen = np.sort(np.concatenate([place[:, lm_score.BEHIND:][scored] for place, _, scored in rounds]))
+    assert (seen == np.arange(lengths.sum())).all()
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
     lengths, ids = np.array([40, 9]), rng.integers(0, 120, 49)

@@ -19,8 +19,10 @@ from tickloom.session import pin
 STEP, BEHIND = 16, 8
 #: Width; ids that are classes of their own; groups of the rarer ids by what they follow, and classes of each; ids that are inputs of their own (others share one per class).
 WIDTH, SINGLE, GROUPS, BANDS, OWN = 16, 64, 8, 8, 4096
-#: Each round learns from one window in ``SHARE`` of all training windows, in every task, and averages the tasks' weights.
-SHARE, ROUNDS, BATCH, RATE = 24, 2, 128, 0.02
+#: Each round learns from one window in ``SHARE`` of all training windows, in every task, and averages the tasks' weights;
+#: as many rounds as that, so that every window is learnt from once.
+SHARE = ROUNDS = 2
+BATCH, RATE = 512, 0.02
 #: Frequent words whose counts are broadcast, at most; the others meet their counts by a join.
 FREQUENT = 1 << 17
 
@@ -227,30 +229,42 @@ class Trainer:
 
     def step(self, x: np.ndarray, kind: np.ndarray, scored: np.ndarray) -> None:
         at, x, shape = *np.unique(x, return_inverse=True), x.shape
-        x, w, tables = x.reshape(shape), self.model.weights, self.model.tables(at)
-        q, k, v = tables.q[:, :-1], tables.k[:, :-1], tables.v
-        s, a, logits = self.model.forward(x, tables)
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        np.put_along_axis(p, kind[:, :, None], np.take_along_axis(p, kind[:, :, None], 2) - 1, 2)
-        p *= (scored / np.float32(scored.sum()))[:, :, None]
-        own, e = x[:, BEHIND:], w["E"][at]
-        dh = p @ w["O"].T
-        ds = dh @ v[x].transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        dq, dk, dv = ds @ k[x], ds.transpose(0, 2, 1) @ q[own], s.transpose(0, 2, 1) @ dh
+        x, w, tables, total = x.reshape(shape), self.model.weights, self.model.tables(at), scored.sum()
+        q, k, v, e = (np.ascontiguousarray(t) for t in (tables.q[:, :-1], tables.k[:, :-1], tables.v, w["E"][at]))
         rows = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"O": rows(e[own] + a).T @ rows(p), "Q": rows(e[own]).T @ rows(dq), "K": rows(e[x]).T @ rows(dk), "V": rows(e[x]).T @ rows(dv),
-             "R": np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), minlength=len(w["R"])).astype(np.float32)}
-        de = np.zeros((len(at), WIDTH), np.float32)
-        np.add.at(de, own.ravel(), rows(dh + dq @ w["Q"].T))
-        np.add.at(de, x.ravel(), rows(dk @ w["K"].T + dv @ w["V"].T))
+        g, moved, dr = {n: np.zeros_like(w[n]) for n in "OQKV"}, np.empty((*shape, WIDTH), e.dtype), 0
+        for b in range(0, len(x), 64):  # few windows, so that all they need stays in a processor's cache
+            inputs, here = x[b:b + 64], scored[b:b + 64].ravel()
+            own = inputs[:, BEHIND:]
+            s, a, logits = self.model.forward(inputs, tables)
+            p = rows(logits)
+            if not tables.small:
+                p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p *= (here / (p.sum(axis=1) * total))[:, None].astype(p.dtype)
+            p[_ROW[:len(p)], kind[b:b + 64].ravel()] -= (here / total).astype(p.dtype)
+            dh = (p @ w["O"].T).reshape(a.shape)
+            ds = dh @ v.take(inputs, 0).transpose(0, 2, 1)
+            ds -= (ds * s).sum(axis=2, keepdims=True)
+            ds *= s
+            dq, dk, dv = ds @ k.take(inputs, 0), ds.transpose(0, 2, 1) @ q.take(own, 0), s.transpose(0, 2, 1) @ dh
+            mine, all_of = e.take(own, 0), e.take(inputs, 0)
+            for n, d in (("O", rows(mine + a).T @ p), ("Q", rows(mine).T @ rows(dq)), ("K", rows(all_of).T @ rows(dk)), ("V", rows(all_of).T @ rows(dv))):
+                g[n] += d
+            dr = dr + ds.sum(axis=0)
+            part = moved[b:b + 64]
+            np.matmul(dk, w["K"].T, out=part)
+            part += dv @ w["V"].T
+            part[:, BEHIND:] += dh + dq @ w["Q"].T
+        g["R"] = np.bincount(_DISTANCE.ravel(), dr.ravel(), minlength=len(w["R"])).astype(np.float32)
+        cells = x[:, :, None] * WIDTH + np.arange(WIDTH)
+        de = np.bincount(cells.ravel(), moved.ravel(), minlength=len(at) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
         self.steps += 1
         for n, d in (*g.items(), ("E", de)):  # only embeddings that occur are moved
             i = at if n == "E" else slice(None)
-            self.m[n][i] = 0.9 * self.m[n][i] + 0.1 * d
-            self.v[n][i] = 0.99 * self.v[n][i] + 0.01 * d * d
-            w[n][i] -= np.float32(RATE / 4 if n != "E" else RATE) * (self.m[n][i] / (1 - 0.9 ** self.steps)) / (np.sqrt(self.v[n][i] / (1 - 0.99 ** self.steps)) + 1e-7)
+            m = self.m[n][i] = 0.9 * self.m[n][i] + 0.1 * d
+            v = self.v[n][i] = 0.99 * self.v[n][i] + 0.01 * d * d
+            w[n][i] -= np.float32(RATE / 4 if n != "E" else RATE) * (m / (1 - 0.9 ** self.steps)) / (np.sqrt(v / (1 - 0.99 ** self.steps)) + 1e-7)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -325,10 +339,11 @@ def _tally(texts: DataFrame, size: int, cells, kind: type) -> np.ndarray:
 
 
 def train(texts: DataFrame, size: int, kind: type, share: int = SHARE, rounds: int = ROUNDS) -> Model:
-    """Fit a model on the ``ids`` of all rows: counts of ids and of pairs over all of them, weights over windows that grow with them.
+    """Fit a model on the ``ids`` of all rows: counts of ids and of pairs and weights over all of them.
 
     In every round each task starts from the same weights and learns from one window in ``share`` of
-    its rows, another one in each round; the weights are averaged by windows, as rows that Spark sums.
+    its rows, another one in each round, so that ``share`` rounds take every window once; the weights
+    are averaged by windows, as rows that Spark sums.
     """
     sc = texts.sparkSession.sparkContext
     counts = _tally(texts, size, lambda ids, lengths: ids, kind)
@@ -369,8 +384,8 @@ def score(docs: DataFrame, path: str, share: int = SHARE, rounds: int = ROUNDS)
 
     ``score`` is the attention model's log10 probability of the text's ``n_ids`` subword ids (A-Z
     lower-cased) and its end; ``base_score`` that of its words and one end by smoothed counts.
-    All counts come from all texts but the held-out ones, the attention weights from one window in
-    ``share`` of them in each of ``rounds``. Null text is empty: the end alone. A null id is read
+    All counts come from all texts but the held-out ones, and so do the attention weights: from one window in
+    ``share`` of them in each of ``rounds``, by default from every window once. Null text is empty: the end alone. A null id is read
     as an empty one and learnt from. Repeated rows are counted and returned as often as they occur.
     Very long texts, with or without white space, are scored whole, in windows. Without training
     texts every word is unknown and all ids are alike. Other columns are not read, so their names are free.
