@@ -216,3 +216,34 @@ def test_short_candidates_and_long_texts(spark):
     assert time.time() - t < 20
     docs = spark.createDataFrame([(1, f"say {make(13)} or token={'t' * 300}", 1, 2)], "doc_id long, text string, spans long, row long")
     assert secrets.scan(docs, automata).first().spans.startswith("like_assign:4:17,assign:21:") and secrets.learn(docs) == {}
+
+
+def test_words_of_letters_take_the_model_alone(monkeypatch):
+    """The same ids as whole encoding, without a call of it."""
+    import random
+
+    import tokenizers
+    from tickloom.llm.tokens import WordIds, vocabulary
+    path, rnd = vocabulary("word_bpe_49k.json"), random.Random(3)
+    whole, calls = tokenizers.Tokenizer.from_file(path), []
+    monkeypatch.setattr(WordIds, "_of", {})
+    words = ["".join(rnd.choices("etaoinshrdlucmfwypvbgkjqxz", k=rnd.randint(1, 30))) for _ in range(3000)] + ["a", "zz", "the", "s", "ve"]
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode(self, *args, **kwargs):
+            calls.append(args)
+            return self.tok.encode(*args, **kwargs)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda p: Counted(whole))}))
+    ids = WordIds(path)
+    for w in words:
+        assert np.frombuffer(ids.cache[w.encode()], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids
+    assert not calls
+    for w in ("it's", "caf\u00e9", "x1", "end.", "a$$", "<|endoftext|>"):
+        assert np.frombuffer(ids.words([w.encode()])[0], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids
