@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Words that a packing worker keeps, twice; few, because workers of earlier stages still hold memory.
-PACK_WORDS = 200_000
+PACK_WORDS = 50_000
 STAGES = [("language", identify), ("exact", exact), ("near", near), ("secrets", redact), ("pack", pack)]
 #: Language models, MinHash groups and learned automata are no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
