@@ -271,6 +271,33 @@ def test_gradients_agree_with_differences():
         assert np.isclose((up - loss()) / 2e-3, moved.m[n][i] * 10, rtol=0.05, atol=1e-4), n
 
 
+def test_scores_too_large_for_exp():
+    """Large weights, in some windows only, give what one id at a time gives."""
+    rng = np.random.default_rng(5)
+    lengths, ids = np.array([70, 9]), rng.integers(0, 120, 79)
+    model = lm_score.Model.start(np.bincount(ids, minlength=120).astype(float), np.arange(120) % lm_score.GROUPS)
+    start = model.weights
+    for scale in (1, 4):
+        model.weights = {n: a.astype(np.float64) * (scale if n == "E" else 1) + (scale * rng.standard_normal(a.shape) if n in "KO" else 0) for n, a in start.items()}
+        got = model.log10(ids, lengths)
+        want = np.concatenate([plain_log10(model, ids[e - n:e]) for e, n in zip(np.cumsum(lengths), lengths, strict=True)])
+        assert np.isfinite(got).all() and np.allclose(got, want, atol=1e-3, rtol=1e-4)
+        trainer = lm_score.Trainer(lm_score.replace(model, weights={n: a.copy() for n, a in model.weights.items()}))
+        trainer.learn(ids, lengths, 1, 0)
+        assert all(np.isfinite(a).all() for a in trainer.model.weights.values())
+
+
+def test_words_are_pieced_without_the_whole_tokenizer():
+    """Accented letters and the marks behind a word are pieces, which are encoded once, and as the library does."""
+    from tokenizers import Tokenizer
+    path = vocabulary("word_bpe_49k.json")
+    ids, tok = WordIds(path), Tokenizer.from_file(path)
+    words = ["caf\u00e9***", "\u00e9t\u00e9,", "stra\u00dfe", "it's", "l'\u00e9t\u00e9.", "a,b", "x'", "\u00f7a", "\u00c9a", "e\u0301!", "don't,!!", "a<|", "ab1,", "z_z", "(q)"]
+    for w in words:
+        assert np.frombuffer(ids.cache[w.encode()], "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids, w
+    assert {b"***", "caf\u00e9".encode()} <= set(ids.cache) | set(ids.cache.old)
+
+
 def test_pipeline(spark, sample, sf):
     docs, seen = sample, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ WIDTH, SINGLE, GROUPS, BANDS, OWN = 16, 64, 8, 8, 4096
 #: as many rounds as that, so that every window is learnt from once.
 SHARE = ROUNDS = 2
 BATCH, RATE = 512, 0.02
+#: Windows that are computed at once: few, so that all they need stays in a processor's cache.
+BLOCK = 64
 #: Frequent words whose counts are broadcast, at most; the others meet their counts by a join.
 FREQUENT = 1 << 17
 
 # Distance of a key behind a query (0 for the query's own input), and what a query may not see.
 _BEHIND = (np.arange(STEP)[:, None] + BEHIND) - np.arange(STEP + BEHIND)[None, :]
-_ROW, _ONE = np.arange(64 * STEP), np.ones(SINGLE + GROUPS * BANDS, np.float32)
+_ROW, _ONE = np.arange(BLOCK * STEP), np.ones(SINGLE + GROUPS * BANDS, np.float32)
 _DISTANCE, _HIDDEN = np.maximum(_BEHIND, 0), np.where(_BEHIND >= 0, 0, -1e4).astype(np.float32)
 
 
@@ -94,14 +97,33 @@ def following(ids: np.ndarray, lengths: np.ndarray, mark: np.ndarray) -> np.ndar
 
 @dataclass
 class Tables:
-    """Per input its query, key, value and logits, and the bias of each pair of places. The last column of keys hides what is not there."""
+    """Per input its embedding and a one behind it, and what its query's score of a key is by the key's embedding; the bias of each pair of places."""
 
+    e: np.ndarray
     q: np.ndarray
-    k: np.ndarray
-    v: np.ndarray
-    direct: np.ndarray
     bias: np.ndarray
-    small: bool  # no score or logit can be too large for exp, by the vectors' lengths
+
+
+@dataclass
+class Seen:
+    """A batch of windows after attention: the inputs' embeddings, their queries, unscaled weights and one over their sums, what they gather."""
+
+    e: np.ndarray
+    q: np.ndarray
+    s: np.ndarray
+    r: np.ndarray
+    z: np.ndarray
+
+
+def _fits(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials are so far from overflow and underflow that nothing need be taken off the exponents."""
+    return bool(1e-26 < sums.min() and sums.max() < 1e26)
+
+
+@lru_cache(4)
+def _room(classes: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Space for the logits of a batch, for a summand of them, and for gradients of scores beside weights: used by one batch after the other."""
+    return *(np.empty((BLOCK * STEP, classes), kind) for _ in "ab"), np.empty((BLOCK, 2 * STEP, STEP + BEHIND), kind)
 
 
 @dataclass
@@ -153,31 +175,53 @@ class Model:
         """Per id the input that stands for the id before it; before a text's first comes its end, the last id of the vocabulary."""
         return self.entry[before(ids, lengths, len(self.entry) - 1)]
 
-    def tables(self, of: np.ndarray | None = None) -> Tables:
-        """Tables of all inputs, or of some (sorted)."""
-        w, of = self.weights, np.arange(len(self.bigram)) if of is None else of
-        e = w["E"][of]
-        q, k = (np.concatenate([e @ w[n], np.ones((len(e), 1), np.float32)], axis=1) for n in "QK")
-        k[:, -1] = np.where(of == len(self.bigram) - 1, -1e4, 0)
-        v, direct = e @ w["V"], e @ w["O"] + self.bigram[of]
-        longest = lambda a, axis: float(np.sqrt((a * a).sum(axis=axis)).max())
-        scores = longest(q[:, :-1], 1) * longest(k[:, :-1], 1) + float(np.abs(w["R"]).max())
-        logits = float(direct.max()) + longest(v, 1) * longest(w["O"], 0)
-        return Tables(q, k, v, direct, w["R"][_DISTANCE] + _HIDDEN, max(scores, logits) < 60)
-
-    def forward(self, x: np.ndarray, t: Tables) -> tuple[np.ndarray, ...]:
-        """Attention weights, what they gather, and the logits of the next class, for a batch of windows."""
-        own = x[:, BEHIND:]
-        s = t.q.take(own, 0, mode="clip") @ t.k.take(x, 0, mode="clip").transpose(0, 2, 1)
-        s += t.bias
-        if not t.small:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        a = s @ t.v.take(x, 0, mode="clip")
-        logits = t.direct.take(own, 0, mode="clip")
-        logits += (a.reshape(-1, WIDTH) @ self.weights["O"]).reshape(logits.shape)
-        return s, a, logits
+    def tables(self) -> Tables:
+        """Tables of all inputs."""
+        w = self.weights
+        e = w["E"]
+        return Tables(np.concatenate([e, np.ones((len(e), 1), e.dtype)], axis=1), e @ (w["Q"] @ w["K"].T), w["R"][_DISTANCE] + _HIDDEN)
+
+    def attend(self, x: np.ndarray, first: np.ndarray, t: Tables) -> Seen:
+        """Attention in at most ``BLOCK`` windows; ``first``: those that begin a text.
+
+        Queries, keys and values are products with the embeddings, which alone are gathered: a score is a query's
+        table row times a key's embedding, and values are taken from the mean of embeddings. The result lasts until the next call.
+        """
+        own, room = x[:, BEHIND:], _room(self.bigram.shape[1], t.e.dtype)
+        e, q, s = t.e.take(x, 0, mode="clip"), t.q.take(own, 0, mode="clip"), room[2][:len(x), STEP:]
+        for less in (False, True):
+            np.matmul(q, e[:, :, :-1].transpose(0, 2, 1), out=s)
+            s += t.bias
+            s[first, :, :BEHIND] = -1e4
+            if less:
+                s -= s.max(axis=2, keepdims=True)
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(s, out=s)
+                z = (s @ e).reshape(-1, WIDTH + 1)
+            if _fits(z[:, -1]):
+                break
+        r = 1 / z[:, -1:]
+        return Seen(e, q, s, r, z[:, :-1] * r)
+
+    def odds(self, own: np.ndarray, h: np.ndarray, out: np.ndarray, direct: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Odds of the next class, their sums, and the logits of ``kind``: a logit is from a row of ``direct`` for the own input, and ``h`` times ``out``.
+
+        The odds last until the next call.
+        """
+        room, rows, hit = _room(direct.shape[1], direct.dtype), _ROW[:len(h)], None
+        for less in (False, True):
+            p = np.matmul(h, out, out=room[0][:len(h)])
+            p += direct.take(own.ravel(), 0, mode="clip", out=room[1][:len(h)])
+            if less:
+                p -= p.max(axis=1, keepdims=True)
+            if kind is not None:
+                hit = p[rows, kind]
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(p, out=p)
+                sums = p @ _ONE[:p.shape[1]].astype(p.dtype, copy=False)
+            if _fits(sums):
+                break
+        return p, sums, hit
 
     def log10(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Per id log10 of its probability given the ids before it in its window; every id is scored once."""
@@ -186,16 +230,11 @@ class Model:
             place, there, scored = windows(lengths)
             inputs, kind, tables = self.inputs(ids, lengths), self.kind[ids], self.tables()
             x = np.where(there, inputs[place], len(self.bigram) - 1)
-            each = np.empty(scored.shape, np.float32)
-            for at in range(0, len(place), 64):  # few windows, so that all they need stays in a processor's cache
-                logits = self.forward(x[at:at + 64], tables)[2].reshape(-1, self.bigram.shape[1])
-                hit = logits[_ROW[:len(logits)], kind[place[at:at + 64, BEHIND:].ravel()]]
-                if not tables.small:
-                    most = logits.max(axis=1)
-                    logits -= most[:, None]
-                    hit -= most
-                np.exp(logits, out=logits)
-                each[at:at + 64] = (hit - np.log(logits @ _ONE[:logits.shape[1]])).reshape(-1, STEP)
+            each, direct, out_of = np.empty(scored.shape, np.float32), self.bigram + self.weights["E"] @ self.weights["O"], self.weights["V"] @ self.weights["O"]
+            for at in range(0, len(place), BLOCK):
+                own = x[at:at + BLOCK]
+                _, sums, hit = self.odds(own[:, BEHIND:], self.attend(own, ~there[at:at + BLOCK, 0], tables).z, out_of, direct, kind[place[at:at + BLOCK, BEHIND:].ravel()])
+                each[at:at + BLOCK] = (hit - np.log(sums)).reshape(-1, STEP)
             out[place[:, BEHIND:][scored]] += each[scored]
         return out / np.log(10)
 
@@ -224,41 +263,46 @@ class Trainer:
         x, kind = np.where(there, self.model.inputs(ids, lengths)[place], len(self.model.bigram) - 1), self.model.kind[ids][place[:, BEHIND:]]
         mixed = np.random.default_rng(len(place)).permutation(len(place))
         for b in np.array_split(mixed, -(-len(mixed) // BATCH)):
-            self.step(x[b], kind[b], scored[b])
+            self.step(x[b], ~there[b, 0], kind[b], scored[b])
         self.seen += len(place)
 
-    def step(self, x: np.ndarray, kind: np.ndarray, scored: np.ndarray) -> None:
-        at, x, shape = *np.unique(x, return_inverse=True), x.shape
-        x, w, tables, total = x.reshape(shape), self.model.weights, self.model.tables(at), scored.sum()
-        q, k, v, e = (np.ascontiguousarray(t) for t in (tables.q[:, :-1], tables.k[:, :-1], tables.v, w["E"][at]))
-        rows = lambda t: t.reshape(-1, t.shape[-1])
-        g, moved, dr = {n: np.zeros_like(w[n]) for n in "OQKV"}, np.empty((*shape, WIDTH), e.dtype), 0
-        for b in range(0, len(x), 64):  # few windows, so that all they need stays in a processor's cache
-            inputs, here = x[b:b + 64], scored[b:b + 64].ravel()
-            own = inputs[:, BEHIND:]
-            s, a, logits = self.model.forward(inputs, tables)
-            p = rows(logits)
-            if not tables.small:
-                p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p *= (here / (p.sum(axis=1) * total))[:, None].astype(p.dtype)
-            p[_ROW[:len(p)], kind[b:b + 64].ravel()] -= (here / total).astype(p.dtype)
-            dh = (p @ w["O"].T).reshape(a.shape)
-            ds = dh @ v.take(inputs, 0).transpose(0, 2, 1)
-            ds -= (ds * s).sum(axis=2, keepdims=True)
-            ds *= s
-            dq, dk, dv = ds @ k.take(inputs, 0), ds.transpose(0, 2, 1) @ q.take(own, 0), s.transpose(0, 2, 1) @ dh
-            mine, all_of = e.take(own, 0), e.take(inputs, 0)
-            for n, d in (("O", rows(mine + a).T @ p), ("Q", rows(mine).T @ rows(dq)), ("K", rows(all_of).T @ rows(dk)), ("V", rows(all_of).T @ rows(dv))):
-                g[n] += d
+    def step(self, x: np.ndarray, first: np.ndarray, kind: np.ndarray, scored: np.ndarray) -> None:
+        w, tables, total = self.model.weights, self.model.tables(), scored.sum()
+        room, both = _room(self.model.bigram.shape[1], tables.e.dtype)[2], w["K"] @ w["Q"].T
+        bigram = self.model.bigram.astype(tables.e.dtype, copy=False)
+        g, pair, moved, dr = {n: np.zeros_like(w[n]) for n in "OV"}, np.zeros_like(w["Q"]), np.empty((*x.shape, WIDTH), tables.e.dtype), 0
+        for b in range(0, len(x), BLOCK):
+            inputs = x[b:b + BLOCK]
+            n, t = len(inputs), self.model.attend(inputs, first[b:b + BLOCK], tables)
+            h, ds = t.z @ w["V"], room[:n, :STEP]
+            h += t.e[:, BEHIND:, :-1].reshape(-1, WIDTH)
+            p, sums, _ = self.model.odds(inputs[:, BEHIND:], h, w["O"], bigram)
+            p[_ROW[:len(p)], kind[b:b + BLOCK].ravel()] -= sums  # times the row's weight this is the gradient
+            weight = (scored[b:b + BLOCK].ravel() / (sums * total)).astype(p.dtype)[:, None]
+            dh = p @ w["O"].T
+            dh *= weight
+            g["O"] += (p.T @ (h * weight)).T
+            g["V"] += t.z.T @ dh
+            y = np.empty((len(p), WIDTH + 1), p.dtype)  # with the mean over a query's keys, which the ones behind the embeddings take off
+            y[:, :-1] = dh @ w["V"].T
+            y[:, -1] = -np.einsum("ij,ij->i", y[:, :-1], t.z)
+            y *= t.r
+            y = y.reshape(n, STEP, WIDTH + 1)
+            np.matmul(y, t.e.transpose(0, 2, 1), out=ds)
+            ds *= t.s
+            u = (ds @ t.e[:, :, :-1]).reshape(-1, WIDTH)
+            pair += t.e[:, BEHIND:, :-1].reshape(-1, WIDTH).T @ u
             dr = dr + ds.sum(axis=0)
-            part = moved[b:b + 64]
-            np.matmul(dk, w["K"].T, out=part)
-            part += dv @ w["V"].T
-            part[:, BEHIND:] += dh + dq @ w["Q"].T
+            part = np.matmul(room[:n].transpose(0, 2, 1), np.concatenate([t.q, y[:, :, :-1]], axis=1), out=moved[b:b + BLOCK])
+            dh += u @ both
+            part[:, BEHIND:] += dh.reshape(n, STEP, WIDTH)
+        g["Q"], g["K"] = pair @ w["K"], pair.T @ w["Q"]
         g["R"] = np.bincount(_DISTANCE.ravel(), dr.ravel(), minlength=len(w["R"])).astype(np.float32)
-        cells = x[:, :, None] * WIDTH + np.arange(WIDTH)
-        de = np.bincount(cells.ravel(), moved.ravel(), minlength=len(at) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        inputs = x.ravel().astype(np.uint16 if len(w["E"]) <= 1 << 16 else np.int64)
+        order = np.argsort(inputs, kind="stable")
+        inputs = inputs[order]
+        begin = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+        at, de = inputs[begin], np.add.reduceat(moved.reshape(-1, WIDTH).take(order, 0), begin, axis=0)
         self.steps += 1
         for n, d in (*g.items(), ("E", de)):  # only embeddings that occur are moved
             i = at if n == "E" else slice(None)
@@ -351,9 +395,9 @@ def train(texts: DataFrame, size: int, kind: type, share: int = SHARE, rounds: i
     ranked = _tally(texts, size * (SINGLE + 1), lambda ids, lengths: following(ids, lengths, ranks.value), kind)
     model = Model.start(counts, groups(ranked.reshape(-1, size)[:SINGLE].T))
     classes, shared = model.bigram.shape[1], sc.broadcast(model)
-    pairs = _tally(texts, model.bigram.size, lambda ids, lengths: shared.value.inputs(ids, lengths) * classes + shared.value.kind[ids], kind)
-    marked = _tally(texts, model.share.size, lambda ids, lengths: following(ids, lengths, shared.value.mark), kind)
-    model.follow(pairs.reshape(-1, classes), marked.reshape(-1, size))
+    both = _tally(texts, model.bigram.size + model.share.size, lambda ids, lengths: np.concatenate([
+        shared.value.inputs(ids, lengths) * classes + shared.value.kind[ids], shared.value.bigram.size + following(ids, lengths, shared.value.mark)]), kind)
+    model.follow(both[:model.bigram.size].reshape(-1, classes), both[model.bigram.size:].reshape(-1, size))
 
     def rounded(shared, number: int):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

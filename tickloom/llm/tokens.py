@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,11 @@ import pyarrow as pa
 
 #: Words in each of the two halves of a cache.
 CACHED = 400_000
-LETTERS = re.compile(rb"[a-z]+")
+#: Small letters of one and two bytes, which no tokenizer's lower-casing or composing changes.
+SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+#: Marks that may end a word; an apostrophe may belong to the letters behind it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str) -> str:
@@ -54,13 +59,23 @@ class WordIds:
             tok.no_truncation()
             tok.no_padding()
 
-            model, letters = tok.model, "abcdefghijklmnopqrstuvwxyz"
-            plain = (tok.normalizer is None or tok.normalizer.normalize_str(letters) == letters) and (
-                tok.pre_tokenizer is None or [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(letters)] == [letters])
+            model, added = tok.model, [t.content.lower() for t in tok.get_added_tokens_decoder().values()]
+            pieces = (lambda t: [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(t)]) if tok.pre_tokenizer else (lambda t: [t])
+            shown = {c: "".join(pieces(c)) for c in SMALL}  # a letter as the model's alphabet spells it
+            plain = (tok.normalizer is None or tok.normalizer.normalize_str(SMALL) == SMALL) and pieces(SMALL) == ["".join(shown.values())] and not any(
+                set(t) <= set(SMALL) for t in added)
+            marks = [c for c in MARKS if not any(c in t for t in added)] if plain else []
+            apart = [c for c in marks if [pieces("z" + c), pieces("z" + c + c)] == [["z", *pieces(c)], ["z", *pieces(c + c)]]
+                     and (tok.normalizer is None or tok.normalizer.normalize_str("z" + c) == "z" + c)]
+            spelt, split = str.maketrans(shown), re.compile(b"(" + LETTERS + b")([" + re.escape("".join(apart)).encode() + b"]*)" if apart else b"(" + LETTERS + b")()").fullmatch
 
             def compute(word: bytes) -> bytes:
-                if plain and LETTERS.fullmatch(word):  # one piece that nothing changes: the model alone, a third of the time
-                    return np.array([x.id for x in model.tokenize(word.decode())], "<u4").tobytes()
+                found = split(word) if plain else None
+                if found:
+                    if found[2]:  # letters and marks are pieces of their own
+                        return self._of[path][found[1]] + self._of[path][found[2]]
+                    text = word.decode()  # one piece that nothing changes: the model alone, a third of the time
+                    return array("I", [x.id for x in model.tokenize(text if text.isascii() else text.translate(spelt))]).tobytes()
                 if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
                     return self._of[path][word[:-1]] + self._of[path][word[-1:]]
                 return np.array(tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
