@@ -298,6 +298,21 @@ def test_words_are_pieced_without_the_whole_tokenizer():
     assert {b"***", "caf\u00e9".encode()} <= set(ids.cache) | set(ids.cache.old)
 
 
+def test_each_text_is_cut_once_for_its_runs(spark, monkeypatch):
+    """A pass for the hashes and one for the places share one cutting; runs of many texts are those of each."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(f"{chr(97 + int(n))}{int(m)}{'.' if m % 3 else ''} " for n, m in rng.integers(0, 26, (int(k), 2))) for k in rng.integers(0, 90, 40)]
+    texts += ["", " \n ", "one two " * 40 + "three four five six seven eight nine ten eleven twelve. " * 2, texts[5] + texts[9], texts[9] + texts[5]]
+    parts = [substring_dedup.sentences(t) for t in texts]
+    for ends in (True, False):
+        text, *found = substring_dedup.runs_of(parts, ends)
+        assert [(n, *r) for n, p in enumerate(parts) for r in substring_dedup.runs(p, ends)] == list(zip(text.tolist(), *(x.tolist() for x in found), strict=True))
+    plans, pin = [], substring_dedup.pin
+    monkeypatch.setattr(substring_dedup, "pin", lambda df: plans.append(df._jdf.queryExecution().toString()) or pin(df))
+    substring_dedup.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert sum("MapInArrow" in p for p in plans) == 1
+
+
 def test_pipeline(spark, sample, sf):
     docs, seen = sample, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:

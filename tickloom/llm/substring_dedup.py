@@ -6,11 +6,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bloom_bits, bloom_filter, body, hot_join, slices
+from tickloom.llm.common import BASE, MIX_A, bloom_bits, bloom_filter, body, hot_join, mix, slices
 from tickloom.session import pin
 
 #: A run has this many sentences and words at least, or as many words as ``LONG`` in fewer sentences; and this many different words.
@@ -20,8 +21,8 @@ SENTENCES, WORDS, LONG, DIFFERENT = 3, 20, 30, 12
 SENTENCE = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:]+(?=\s|$)\s*|\n\s*|[.!?,;:]+|$)")
 
 
-#: Base and modulus of the polynomial hash of a run, of which 64 bits are kept.
-STEP, PRIME, MASK = 0x9E3779B97F4A7C15F39C, (1 << 89) - 1, (1 << 64) - 1
+#: Odd bases of the two polynomial hashes of a run.
+BASES = BASE, MIX_A
 
 
 def sentences(text: str) -> list[str]:
@@ -54,45 +55,72 @@ class _Window:
         self.first += 1
 
 
-def runs(parts: list[str], ends: bool = True) -> list[tuple[int, int, int]]:
-    """``(first, end, hash)`` of the shortest runs that begin at each sentence and, with ``ends``, of those that end there.
-
-    A run has ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words, and ``DIFFERENT`` different ones. Case and white space do
-    not count. What is longer than a run is one too: a sentence of a long one lies in the shortest from its start, or
-    else ends a shortest within it.
-    """
-    words = [s.lower().split() for s in parts]
-    kept = [i for i, w in enumerate(words) if w]  # sentences of white space alone are part of none
-    words = [words[i] for i in kept]
-    if sum(map(len, words)) < WORDS:
-        return []
-    if not words:
-        return []
-    ahead, powers = [0], [1]  # polynomial hashes of what is before each sentence, so that any run's hash is one step
-    for w in words:
-        digest = int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        ahead.append((ahead[-1] * STEP + digest + 1) % PRIME)
-        powers.append(powers[-1] * STEP % PRIME)
-    found, window = [], _Window(words)
+def _shortest(words: list[list[str]]) -> list[int]:
+    """Ends of the shortest runs from each sentence, as far as there are any."""
+    out, window = [], _Window(words)
     while True:  # the shortest run from a sentence ends no earlier than that from the one before
         while window.end < len(words) and not window.enough():
             window.take()
         if not window.enough():
-            break
-        found.append((window.first, window.end))
+            return out
+        out.append(window.end)
         window.drop()
-    if ends and found:  # the shortest run to an end begins at the last sentence whose own shortest run is over by then
-        last = {end: first for first, end in found}
-        at, both = 0, set(found)
-        for end in range(found[0][1], len(words) + 1):
-            at = last.get(end, at)
-            both.add((at, end))
-        found = sorted(both)
 
-    def hashed(a: int, b: int) -> int:
-        return (((ahead[b] - ahead[a] * powers[b - a]) % PRIME & MASK) ^ 1 << 63) - (1 << 63)
 
-    return [(kept[a], kept[b - 1] + 1, hashed(a, b)) for a, b in found]
+def _polynomials(digests: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``digests`` between two places, wherever a run stands: sums times powers of a base, less by the powers before it."""
+    out = np.zeros(len(first), np.uint64)
+    with np.errstate(over="ignore"):
+        for n, base in enumerate(BASES):
+            powers, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(digests), x, np.uint64)]), dtype=np.uint64)
+                            for x in (base, np.uint64(pow(int(base), -1, 1 << 64))))
+            ahead = np.concatenate([[np.uint64(0)], np.cumsum(digests * powers[:-1], dtype=np.uint64)])
+            out = mix(out + np.uint64(n) + (ahead[end] - ahead[first]) * back[first])
+    return out.view(np.int64)
+
+
+def runs_of(texts: list[list[str]], ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text, first sentence, end and hash of the shortest runs of texts that begin at each sentence and, with ``ends``, of those that end there.
+
+    A run has ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG`` words, and ``DIFFERENT`` different ones. Case and white space do
+    not count. What is longer than a run is one too: a sentence of a long one lies in the shortest from its start, or
+    else ends a shortest within it. Runs are in the order of texts, firsts and ends.
+    """
+    text, kept, size, digests, words = [], [], [], [], []
+    for n, parts in enumerate(texts):
+        for i, s in enumerate(parts):
+            own = s.lower().split()
+            if own:  # sentences of white space alone are part of none
+                text.append(n)
+                kept.append(i)
+                size.append(len(own))
+                words += own
+                digests.append(hashlib.blake2b(" ".join(own).encode("utf-8", "replace"), digest_size=8).digest())
+    text, kept, held = np.array(text, np.int64), np.array(kept, np.int64), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    over = np.searchsorted(text, text, "right")  # where each sentence's text is over
+    end = np.minimum(np.searchsorted(held, held[:-1] + LONG), np.maximum(np.searchsorted(held, held[:-1] + WORDS), np.arange(len(text)) + SENTENCES))
+    whole = end <= over
+    at = np.flatnonzero(whole)
+    dull = [n for n, a, b in zip(text[at].tolist(), held[at].tolist(), held[end[at]].tolist(), strict=True) if len(set(words[a:b])) < DIFFERENT]
+    for n in sorted(set(dull)):  # texts where some run must be longer to have enough different words
+        lo, hi = np.searchsorted(text, [n, n + 1]).tolist()
+        found = _shortest([words[a:b] for a, b in zip(held[lo:hi].tolist(), held[lo + 1:hi + 1].tolist(), strict=True)])
+        whole[lo:hi] = np.arange(hi - lo) < len(found)
+        end[lo:lo + len(found)] = np.array(found, np.int64) + lo
+    first = np.flatnonzero(whole)
+    end = end[first]
+    if ends and len(first):  # the shortest run to an end begins at the last sentence whose own shortest run is over by then
+        to = np.arange(1, len(text) + 1)
+        last = np.searchsorted(end, to, "right") - 1
+        some = (last >= 0) & (text[first[last]] == text)
+        pairs = np.unique(np.concatenate([first << 32 | end, first[last[some]] << 32 | to[some]]))
+        first, end = pairs >> 32, pairs & 0xFFFFFFFF
+    return text[first], kept[first], kept[end - 1] + 1, _polynomials(np.frombuffer(b"".join(digests), "<u8"), first, end)
+
+
+def runs(parts: list[str], ends: bool = True) -> list[tuple[int, int, int]]:
+    """``(first, end, hash)`` of the runs of one text, see ``runs_of``."""
+    return list(zip(*(x.tolist() for x in runs_of([parts], ends)[1:]), strict=True))
 
 
 def _key() -> Column:
@@ -111,16 +139,18 @@ def repeated(docs: DataFrame, ends: bool = True, copies: DataFrame | None = None
     ``k`` is the key of a document's rows; of rows with one key, one has ``copy`` 0 and all others 1. The
     first place of a run is the one with the smallest id, then the smallest hash of the text, then the earliest sentence; a null id
     comes before all others. Every run's hash is counted with map-side partials; of the places, only those
-    that pass a Bloom bitmap of the repeated hashes shuffle.
+    that pass a Bloom bitmap of the repeated hashes shuffle. A row per document, with the arrays of its runs, is checkpointed for the two passes.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            keys = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
-            rows = [(*k, a, b, h) for k, t in zip(keys, part.column(3).to_pylist(), strict=True) for a, b, h in runs(sentences(t), ends)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.bool_()] + [pa.int64()] * 5)],
+            text, *found = runs_of([sentences(t) for t in part.column(3).to_pylist()], ends)
+            at = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.ListArray.from_arrays(at, pa.array(x.astype(t))) for x, t in zip(found, (np.int32, np.int32, np.int64), strict=True)]],
                                              ["named", "id", "b", "first", "end", "h"])
-    places = docs.select(_key().alias("k"), body().alias("text")).select("k.*", "text").mapInArrow(task, "named boolean, id long, b long, first long, end long, h long")
-    hashes = pin(places.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("h"))
+    texts = pin(docs.select(_key().alias("k"), body().alias("text")).select("k.*", "text").mapInArrow(
+        task, "named boolean, id long, b long, first array<int>, end array<int>, h array<long>"))  # each text is cut and hashed once
+    places = texts.select("named", "id", "b", F.inline(F.arrays_zip("first", "end", "h")))
+    hashes = pin(texts.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("h"))
     met = pin(places.filter(bloom_filter(hashes, "h", bloom_bits(hashes.count()))(F.col("h"))))
     place = F.struct("named", "id", "b", "first")
     origins = pin(met.groupBy("h").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
