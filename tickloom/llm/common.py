@@ -127,6 +127,7 @@ _letters = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 _letters[65:91] = _letters[97:123]  # A-Z count as a-z
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
+_letters[_space] = 0
 _powers = np.ones(4096, np.uint64)
 
 
@@ -143,19 +144,24 @@ _power(4096)
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lower-cased, parted by ASCII white space), and each text's number of words."""
+    return word_places(data, offsets)[:2]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and where each word begins."""
     gap = _space[data]
-    starts_text = np.zeros(len(data) + 1, bool)
-    starts_text[offsets[:-1]] = True
-    before = np.concatenate([[True], gap[:-1]]) if len(data) else gap
-    first = np.flatnonzero(~gap & (before | starts_text[:-1]))
-    counts = np.searchsorted(first, offsets[1:]) - np.searchsorted(first, offsets[:-1])
+    starts = np.empty(len(data) + 1, bool)
+    starts[0], starts[1:] = True, gap
+    starts[offsets[:-1]] = True
+    first = np.flatnonzero(starts[:-1] & ~gap)
+    counts = np.diff(np.searchsorted(first, offsets))
     if not len(first):
-        return np.zeros(0, np.uint64), counts
-    place = np.arange(len(data)) - np.repeat(first, np.diff(np.append(first, len(data)))) if first[0] == 0 else \
-        np.concatenate([np.zeros(first[0], np.int64), np.arange(first[0], len(data)) - np.repeat(first, np.diff(np.append(first, len(data))))])
-    value = _letters[data] * _power(int(place.max()) + 1)[place]
-    value[gap] = 0
-    return mix(np.add.reduceat(value, first)), counts
+        return np.zeros(0, np.uint64), counts, first
+    place = np.arange(first[0], len(data), dtype=np.int32)
+    place -= np.repeat(first.astype(np.int32), np.diff(np.append(first, len(data))))
+    value = _letters.take(data[first[0]:])
+    value *= _power(int(place.max()) + 1).take(place)
+    return mix(np.add.reduceat(value, first - first[0])), counts, first
 
 
 def without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import body, slices, text_buffers, word_hashes
-from tickloom.llm.tokens import WordIds
+from tickloom.llm.common import body, slices, text_buffers, word_places
+from tickloom.llm.tokens import WordIds, WordTable
 from tickloom.session import pin
 
 #: Scored ids of a window, and ids of context in front of them.
@@ -24,15 +24,18 @@ WIDTH, SINGLE, GROUPS, BANDS, OWN = 16, 64, 8, 8, 4096
 #: as many rounds as that, so that every window is learnt from once.
 SHARE = ROUNDS = 2
 BATCH, RATE = 512, 0.02
-#: Windows that are computed at once: few, so that all they need stays in a processor's cache.
-BLOCK = 64
+#: Windows whose attention is computed at once: few, so that all it needs stays in a processor's cache. Classes are computed for
+#: ``PART`` ids at once: products of these, ``WIDTH`` and the classes are below a million, as so small ones are not copied before they are multiplied.
+BLOCK, PART = 64, 342
 #: Frequent words whose counts are broadcast, at most; the others meet their counts by a join.
 FREQUENT = 1 << 17
 
 # Distance of a key behind a query (0 for the query's own input), and what a query may not see.
 _BEHIND = (np.arange(STEP)[:, None] + BEHIND) - np.arange(STEP + BEHIND)[None, :]
-_ROW, _ONE = np.arange(BLOCK * STEP), np.ones(SINGLE + GROUPS * BANDS, np.float32)
-_DISTANCE, _HIDDEN = np.maximum(_BEHIND, 0), np.where(_BEHIND >= 0, 0, -1e4).astype(np.float32)
+_ROW, _ONE = np.arange(PART), np.ones(SINGLE + GROUPS * BANDS, np.float32)
+_DISTANCE, _SEEN = np.maximum(_BEHIND, 0), _BEHIND >= 0
+#: Scores and logits are kept times this, as powers of 2 take half the time of powers of e.
+_LOG2E = np.float32(1 / np.log(2))
 
 
 def windows(lengths: np.ndarray, share: int = 1, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,33 +100,42 @@ def following(ids: np.ndarray, lengths: np.ndarray, mark: np.ndarray) -> np.ndar
 
 @dataclass
 class Tables:
-    """Per input its embedding and a one behind it, and what its query's score of a key is by the key's embedding; the bias of each pair of places."""
+    """The inputs' embeddings, what turns one into its query of keys' embeddings, and factors of the weights of a batch's pairs by their distance, 0 for keys behind the query."""
 
     e: np.ndarray
-    q: np.ndarray
-    bias: np.ndarray
+    turn: np.ndarray
+    near: np.ndarray
 
 
 @dataclass
 class Seen:
-    """A batch of windows after attention: the inputs' embeddings, their queries, unscaled weights and one over their sums, what they gather."""
+    """A batch of windows after attention: embeddings of the inputs, the same turned above ones, and of queries alone; queries, unscaled weights, one over their sums in ``WIDTH`` columns, what they gather."""
 
     e: np.ndarray
+    below: np.ndarray
+    own: np.ndarray
     q: np.ndarray
     s: np.ndarray
     r: np.ndarray
     z: np.ndarray
 
 
-def _fits(sums: np.ndarray) -> bool:
-    """Whether sums of exponentials are so far from overflow and underflow that nothing need be taken off the exponents."""
-    return bool(1e-26 < sums.min() and sums.max() < 1e26)
+def _wide(x: np.ndarray) -> np.ndarray:
+    """Each number ``WIDTH`` times, side by side."""
+    return x.repeat(WIDTH).reshape(-1, WIDTH)
+
+
+def _fits(sums: np.ndarray, r: np.ndarray) -> bool:
+    """Whether sums of exponentials, and one over them, are so far from overflow that nothing need be taken off the exponents."""
+    return bool(sums @ sums < 1e36 and r @ r < 1e36)
 
 
 @lru_cache(4)
-def _room(classes: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Space for the logits of a batch, for a summand of them, and for gradients of scores beside weights: used by one batch after the other."""
-    return *(np.empty((BLOCK * STEP, classes), kind) for _ in "ab"), np.empty((BLOCK, 2 * STEP, STEP + BEHIND), kind)
+def _room(classes: int, kind: np.dtype) -> tuple[np.ndarray, ...]:
+    """Space for logits, for a summand of them, for scores, for their gradients, for turned embeddings above ones
+    and for gradients by what a query gathers: used by one batch after the other."""
+    return (*(np.empty((PART, classes), kind) for _ in "ab"), *(np.empty((BLOCK, STEP, STEP + BEHIND), kind) for _ in "ab"),
+            np.ones((BLOCK, WIDTH + 1, STEP + BEHIND), kind), np.empty((BLOCK * STEP, WIDTH + 1), kind))
 
 
 @dataclass
@@ -178,65 +190,76 @@ class Model:
     def tables(self) -> Tables:
         """Tables of all inputs."""
         w = self.weights
-        e = w["E"]
-        return Tables(np.concatenate([e, np.ones((len(e), 1), e.dtype)], axis=1), e @ (w["Q"] @ w["K"].T), w["R"][_DISTANCE] + _HIDDEN)
+        near = np.exp2(w["R"] * _LOG2E)[_DISTANCE] * _SEEN
+        return Tables(w["E"], w["Q"] @ w["K"].T * _LOG2E, np.repeat(near[None], BLOCK, axis=0))
 
     def attend(self, x: np.ndarray, first: np.ndarray, t: Tables) -> Seen:
         """Attention in at most ``BLOCK`` windows; ``first``: those that begin a text.
 
-        Queries, keys and values are products with the embeddings, which alone are gathered: a score is a query's
-        table row times a key's embedding, and values are taken from the mean of embeddings. The result lasts until the next call.
+        Queries, keys and values are products with the embeddings, which alone are gathered: a score is a query's turned
+        embedding times a key's, and values are taken from the mean of embeddings. The result lasts until the next call.
         """
-        own, room = x[:, BEHIND:], _room(self.bigram.shape[1], t.e.dtype)
-        e, q, s = t.e.take(x, 0, mode="clip"), t.q.take(own, 0, mode="clip"), room[2][:len(x), STEP:]
+        room, e, first = _room(self.bigram.shape[1], t.e.dtype), t.e.take(x, 0, mode="clip"), first.nonzero()[0]
+        s, below, own = room[2][:len(x)], room[4][:len(x)], e[:, BEHIND:].reshape(-1, WIDTH)
+        below[:, :-1] = e.transpose(0, 2, 1)
+        q = (own @ t.turn).reshape(len(x), STEP, WIDTH)
         for less in (False, True):
-            np.matmul(q, e[:, :, :-1].transpose(0, 2, 1), out=s)
-            s += t.bias
-            s[first, :, :BEHIND] = -1e4
-            if less:
+            np.matmul(q, below[:, :-1], out=s)
+            if less:  # the largest of those that are seen
+                s += np.log2(t.near[0], out=np.full_like(t.near[0], -np.inf), where=_SEEN)
+                s[first, :, :BEHIND] = -np.inf
                 s -= s.max(axis=2, keepdims=True)
-            with np.errstate(over="ignore", invalid="ignore"):
-                np.exp(s, out=s)
-                z = (s @ e).reshape(-1, WIDTH + 1)
-            if _fits(z[:, -1]):
+            np.exp2(s, out=s)
+            if not less:
+                s *= t.near[:len(x)]
+                if len(first):
+                    s[first, :, :BEHIND] = 0
+            sums = s.reshape(-1, STEP + BEHIND) @ _ONE[:STEP + BEHIND].astype(s.dtype, copy=False)
+            r = 1 / sums
+            if _fits(sums, r):
                 break
-        r = 1 / z[:, -1:]
-        return Seen(e, q, s, r, z[:, :-1] * r)
+        z, r = (s @ e).reshape(-1, WIDTH), _wide(r)
+        z *= r
+        return Seen(e, below, own, q, s, r, z)
 
-    def odds(self, own: np.ndarray, h: np.ndarray, out: np.ndarray, direct: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Odds of the next class, their sums, and the logits of ``kind``: a logit is from a row of ``direct`` for the own input, and ``h`` times ``out``.
+    def odds(self, own: np.ndarray, h: np.ndarray, out: np.ndarray, direct: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Odds of the next class for at most ``PART`` ids, their sums, one over them, and the logits of ``kind``: a logit is from a row of ``direct`` for the own input, and ``h`` times ``out``.
 
-        The odds last until the next call.
+        Logits are of base 2, so ``direct`` and ``out`` come times ``_LOG2E``. The odds last until the next call.
         """
-        room, rows, hit = _room(direct.shape[1], direct.dtype), _ROW[:len(h)], None
+        room, hit = _room(direct.shape[1], direct.dtype), None
         for less in (False, True):
             p = np.matmul(h, out, out=room[0][:len(h)])
-            p += direct.take(own.ravel(), 0, mode="clip", out=room[1][:len(h)])
+            p += direct.take(own, 0, mode="clip", out=room[1][:len(h)])
             if less:
                 p -= p.max(axis=1, keepdims=True)
             if kind is not None:
-                hit = p[rows, kind]
-            with np.errstate(over="ignore", invalid="ignore"):
-                np.exp(p, out=p)
-                sums = p @ _ONE[:p.shape[1]].astype(p.dtype, copy=False)
-            if _fits(sums):
+                hit = p[_ROW[:len(h)], kind]
+            np.exp2(p, out=p)
+            sums = p @ _ONE[:p.shape[1]].astype(p.dtype, copy=False)
+            r = 1 / sums
+            if _fits(sums, r):
                 break
-        return p, sums, hit
+        return p, sums, r, hit
 
     def log10(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Per id log10 of its probability given the ids before it in its window; every id is scored once."""
-        out = self.share[self.mark[before(ids, lengths, len(self.mark) - 1)], ids].astype(np.float64) if len(ids) else np.zeros(0)
-        if len(ids):
-            place, there, scored = windows(lengths)
-            inputs, kind, tables = self.inputs(ids, lengths), self.kind[ids], self.tables()
-            x = np.where(there, inputs[place], len(self.bigram) - 1)
-            each, direct, out_of = np.empty(scored.shape, np.float32), self.bigram + self.weights["E"] @ self.weights["O"], self.weights["V"] @ self.weights["O"]
-            for at in range(0, len(place), BLOCK):
-                own = x[at:at + BLOCK]
-                _, sums, hit = self.odds(own[:, BEHIND:], self.attend(own, ~there[at:at + BLOCK, 0], tables).z, out_of, direct, kind[place[at:at + BLOCK, BEHIND:].ravel()])
-                each[at:at + BLOCK] = (hit - np.log(sums)).reshape(-1, STEP)
-            out[place[:, BEHIND:][scored]] += each[scored]
-        return out / np.log(10)
+        if not len(ids):
+            return np.zeros(0)
+        out = self.share[self.mark[before(ids, lengths, len(self.mark) - 1)], ids] / np.log(10)
+        place, there, scored = windows(lengths)
+        inputs, kind, tables, w = self.inputs(ids, lengths), self.kind[ids], self.tables(), self.weights
+        x, kind, begins = np.where(there, inputs[place], len(self.bigram) - 1), kind[place[:, BEHIND:]].ravel(), ~there[:, 0]
+        each, direct, out_of = np.empty(scored.size, tables.e.dtype), (self.bigram + w["E"] @ w["O"]) * _LOG2E, w["V"] @ w["O"] * _LOG2E
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for b in range(0, len(x), BLOCK):
+                z, own = self.attend(x[b:b + BLOCK], begins[b:b + BLOCK], tables).z, x[b:b + BLOCK, BEHIND:].ravel()
+                for c in range(0, len(z), PART):
+                    at = slice(b * STEP + c, b * STEP + min(c + PART, len(z)))
+                    _, sums, _, hit = self.odds(own[c:c + PART], z[c:c + PART], out_of, direct, kind[at])
+                    each[at] = hit - np.log2(sums)
+        out += each[scored.ravel()] * np.log10(2)  # in the order of the ids
+        return out
 
     def flat(self) -> np.ndarray:
         """The weights as rows of ``WIDTH`` numbers."""
@@ -254,6 +277,7 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.model, self.seen, self.steps = model, 0, 0
+        self.direct = model.bigram.astype(model.weights["E"].dtype) * _LOG2E
         self.m, self.v = ({n: np.zeros_like(a) for n, a in model.weights.items()} for _ in "mv")
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray, share: int, first: int) -> None:
@@ -267,42 +291,50 @@ class Trainer:
         self.seen += len(place)
 
     def step(self, x: np.ndarray, first: np.ndarray, kind: np.ndarray, scored: np.ndarray) -> None:
-        w, tables, total = self.model.weights, self.model.tables(), scored.sum()
-        room, both = _room(self.model.bigram.shape[1], tables.e.dtype)[2], w["K"] @ w["Q"].T
-        bigram = self.model.bigram.astype(tables.e.dtype, copy=False)
+        w, tables, classes = self.model.weights, self.model.tables(), self.direct.shape[1]
+        room, both, into, back, turned = _room(classes, tables.e.dtype), w["K"] @ w["Q"].T, w["O"] * _LOG2E, np.ascontiguousarray(w["O"].T), np.ascontiguousarray(w["V"].T)
+        each, kind = (scored / scored.sum()).astype(tables.e.dtype).ravel(), kind.ravel()
         g, pair, moved, dr = {n: np.zeros_like(w[n]) for n in "OV"}, np.zeros_like(w["Q"]), np.empty((*x.shape, WIDTH), tables.e.dtype), 0
-        for b in range(0, len(x), BLOCK):
-            inputs = x[b:b + BLOCK]
-            n, t = len(inputs), self.model.attend(inputs, first[b:b + BLOCK], tables)
-            h, ds = t.z @ w["V"], room[:n, :STEP]
-            h += t.e[:, BEHIND:, :-1].reshape(-1, WIDTH)
-            p, sums, _ = self.model.odds(inputs[:, BEHIND:], h, w["O"], bigram)
-            p[_ROW[:len(p)], kind[b:b + BLOCK].ravel()] -= sums  # times the row's weight this is the gradient
-            weight = (scored[b:b + BLOCK].ravel() / (sums * total)).astype(p.dtype)[:, None]
-            dh = p @ w["O"].T
-            dh *= weight
-            g["O"] += (p.T @ (h * weight)).T
-            g["V"] += t.z.T @ dh
-            y = np.empty((len(p), WIDTH + 1), p.dtype)  # with the mean over a query's keys, which the ones behind the embeddings take off
-            y[:, :-1] = dh @ w["V"].T
-            y[:, -1] = -np.einsum("ij,ij->i", y[:, :-1], t.z)
-            y *= t.r
-            y = y.reshape(n, STEP, WIDTH + 1)
-            np.matmul(y, t.e.transpose(0, 2, 1), out=ds)
-            ds *= t.s
-            u = (ds @ t.e[:, :, :-1]).reshape(-1, WIDTH)
-            pair += t.e[:, BEHIND:, :-1].reshape(-1, WIDTH).T @ u
-            dr = dr + ds.sum(axis=0)
-            part = np.matmul(room[:n].transpose(0, 2, 1), np.concatenate([t.q, y[:, :, :-1]], axis=1), out=moved[b:b + BLOCK])
-            dh += u @ both
-            part[:, BEHIND:] += dh.reshape(n, STEP, WIDTH)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for b in range(0, len(x), BLOCK):
+                inputs = x[b:b + BLOCK]
+                n, t, own = len(inputs), self.model.attend(inputs, first[b:b + BLOCK], tables), inputs[:, BEHIND:].ravel()
+                h, ds, y, dh = t.z @ w["V"], room[3][:n], room[5][:n * STEP], np.empty_like(t.z)
+                h += t.own
+                for c in range(0, len(h), PART):
+                    part, at = slice(c, min(c + PART, len(h))), slice(b * STEP + c, b * STEP + min(c + PART, len(h)))
+                    p, sums, r, _ = self.model.odds(own[part], h[part], into, self.direct)
+                    flat, hit = p.reshape(-1), _ROW[:len(p)] * classes + kind[at]
+                    flat[hit] = flat.take(hit) - sums  # times the row's weight this is the gradient
+                    weight = _wide(each[at] * r)
+                    np.matmul(p, back, out=dh[part])
+                    dh[part] *= weight
+                    weight *= h[part]
+                    g["O"] += weight.T @ p
+                g["V"] += t.z.T @ dh
+                v = dh @ turned
+                v *= t.r
+                y[:, :-1] = v  # with the mean over a query's keys, which the ones below the embeddings take off
+                v *= t.z
+                np.negative(v @ _ONE[:WIDTH].astype(v.dtype, copy=False), out=y[:, -1])
+                y = y.reshape(n, STEP, WIDTH + 1)
+                np.matmul(y, t.below, out=ds)
+                ds *= t.s
+                u = (ds @ t.e).reshape(-1, WIDTH)
+                pair += t.own.T @ u
+                dr = dr + np.add.reduce(ds.reshape(n, -1), axis=0)
+                part = np.matmul(ds.transpose(0, 2, 1), np.divide(t.q, _LOG2E, out=t.q), out=moved[b:b + BLOCK])
+                part += t.s.transpose(0, 2, 1) @ y[:, :, :-1]
+                dh += u @ both
+                part[:, BEHIND:] += dh.reshape(n, STEP, WIDTH)
         g["Q"], g["K"] = pair @ w["K"], pair.T @ w["Q"]
         g["R"] = np.bincount(_DISTANCE.ravel(), dr.ravel(), minlength=len(w["R"])).astype(np.float32)
         inputs = x.ravel().astype(np.uint16 if len(w["E"]) <= 1 << 16 else np.int64)
         order = np.argsort(inputs, kind="stable")
         inputs = inputs[order]
         begin = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
-        at, de = inputs[begin], np.add.reduceat(moved.reshape(-1, WIDTH).take(order, 0), begin, axis=0)
+        pairs = moved.reshape(-1, WIDTH).view(np.result_type(moved, 1j))  # two numbers are added as one complex number, in half the time
+        at, de = inputs[begin], np.add.reduceat(pairs.take(order, 0), begin, axis=0).view(moved.dtype)
         self.steps += 1
         for n, d in (*g.items(), ("E", de)):  # only embeddings that occur are moved
             i = at if n == "E" else slice(None)
@@ -316,12 +348,17 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _hashes(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a column's texts, and the words of each; in blocks that stay in a processor's cache."""
+def _hashes(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a column's texts, the words of each, and where in the column's bytes each word begins; in blocks that stay in a processor's cache."""
+    found, base = [], 0
     with np.errstate(over="ignore"):
-        found = [word_hashes(*text_buffers(block.column(0))) for block in slices(iter([part.select([at])]), part.schema.names[at], 1 << 18)]
-    h, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h.view(np.int64), n
+        for block in slices(iter([part.select([at])]), part.schema.names[at], 1 << 17):
+            data, offsets = text_buffers(block.column(0))
+            h, n, first = word_places(data, offsets)
+            found.append((h, n, first + base))
+            base += len(data)
+    h, n, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h.view(np.int64), n, first
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -334,33 +371,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return out.groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def encode_texts(column: pa.Array, tokens: WordIds, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, a place of each, and the number of its distinct one for each hash."""
+    order = np.argsort(h)  # any place does, so it need not be stable, which would take several times as long
+    ranked = h[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), ranked[1:] != ranked[:-1]]))
+    inverse = np.empty(len(h), np.int32)
+    inverse[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(h))))
+    return ranked[begin], order[begin], inverse
+
+
+def encode_texts(column: pa.Array, table: WordTable, counts: np.ndarray, first: np.ndarray, distinct: np.ndarray, place: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a column, A-Z lower-cased, each with its end, and the length of each.
 
-    ``h`` are the hashes of the texts' words, ``counts`` the words of each: a word is encoded once for the whole column.
+    ``counts`` are the words of each text, ``first`` where each word begins in the column's bytes, ``distinct`` the different hashes
+    of words, ``place`` the number of a word for each of these, ``inverse`` that of its distinct one for each word.
     """
-    distinct, place, inverse = np.unique(h, return_index=True, return_inverse=True)
-    order, before = np.argsort(place), np.cumsum(counts) - counts
-    found = np.searchsorted(place[order], np.append(before, len(h)))
-    words: list[bytes] = []
-    for text, at, a, b in zip(column.cast(pa.binary()).to_pylist(), before.tolist(), found[:-1].tolist(), found[1:].tolist(), strict=True):
-        if b > a:
-            own = text.lower().split()
-            words += [own[i - at] for i in place[order[a:b]].tolist()]
-    coded = [tokens.cache[w] for w in words]
-    size = np.empty(len(distinct), np.int64)
-    size[order] = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    begin = np.empty(len(distinct), np.int64)
-    begin[order] = np.cumsum(size[order]) - size[order]
-    n = size[inverse]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    lengths = ends[before + counts] - ends[before] + 1
-    target = ends[:-1] + np.repeat(np.arange(len(counts)), counts)  # one end behind each earlier text
-    within = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-    out = np.full(int(lengths.sum()), tokens.size - 1, np.uint16 if tokens.size <= 1 << 16 else np.uint32)
-    out[np.repeat(target, n) + within] = flat[np.repeat(begin[inverse], n) + within]
-    return out, lengths
+    def words(which: np.ndarray) -> list[bytes]:
+        data = text_buffers(column)[0].tobytes()
+        limit = np.append(first, len(data))  # a word ends before the next one, at white space at the latest
+        return [data[a:b].split(None, 1)[0].lower() for a, b in zip(first[place[which]].tolist(), limit[place[which] + 1].tolist(), strict=True)]
+
+    begin, size, flat = table.find(distinct, words)
+    begin, size = np.append(begin, 0), np.append(size, np.int32(1))
+    word = np.full(len(inverse) + len(counts), len(distinct), np.int32)  # with an end behind each text
+    word[np.arange(len(inverse)) + np.repeat(np.arange(len(counts)), counts)] = inverse
+    n = size[word]
+    after = np.cumsum(n)
+    lengths = np.diff(after[np.cumsum(counts) + np.arange(len(counts))], prepend=0)
+    return flat.take(np.repeat(begin[word] - after + n, n) + np.arange(n.sum())), lengths
 
 
 def _ids(part: pa.RecordBatch, at: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -454,20 +493,24 @@ def score(docs: DataFrame, path: str, share: int = SHARE, rounds: int = ROUNDS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = frequent.value
-        tokens, row, part_id = WordIds(path), 0, TaskContext.get().partitionId()
+        table, row, part_id = WordTable.of(path), 0, TaskContext.get().partitionId()
         logs = np.log10(count + 1.0)
         for part in slices(batches, limit=4 << 20):
-            h, n = _hashes(part, 1)
+            h, n, first = _hashes(part, 1)
+            distinct, place, inverse = distinct_words(h)
             text = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-            ids, lengths = encode_texts(part.column(1), tokens, h, n)
-            base = np.bincount(text[hit], logs[at[hit]], minlength=len(n)) if hit.any() else np.zeros(len(n))
-            rare = np.concatenate([[0], np.cumsum(np.bincount(text[~hit], minlength=len(n)))]).astype(np.int32)
+            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+            hit = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
+            own = np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(distinct))
+            ids, lengths = encode_texts(part.column(1), table, n, first, distinct, place, inverse)
+            met = hit[inverse]
+            seen = np.bincount(text[met], minlength=len(n))
+            base = np.bincount(text, own[inverse], minlength=len(n)) if len(h) else np.zeros(len(n))
+            rare = np.concatenate([[0], np.cumsum(n - seen)]).astype(np.int32)
             places = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64) * ids.itemsize
             yield pa.RecordBatch.from_arrays(
                 [pa.array((part_id << 40) + row + np.arange(len(n))), part.column(0), part.column(2), pa.array(n.astype(np.int64)),
-                 pa.array(np.bincount(text[hit], minlength=len(n)).astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~hit])),
+                 pa.array(seen.astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~met])),
                  pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(ids)])],
                 ["row", "doc_id", "held_out", "n", "seen", "base", "rare", "ids"])
             row += len(n)

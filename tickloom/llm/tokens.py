@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Words in each of the two halves of a cache.
 CACHED = 400_000
+#: Words that a table of hashes holds: about 30 bytes each.
+HASHED = 1 << 20
 #: Small letters of one and two bytes, which no tokenizer's lower-casing or composing changes.
 SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
@@ -93,6 +95,50 @@ class WordIds:
         return [self.cache[lower(w)] for w in words]
 
 
+class WordTable:
+    """Ids of words by their 64-bit hashes, in arrays; of more than ``limit`` words the half that was used last stays. The end is the first id."""
+
+    _of: dict[str, WordTable] = {}
+
+    def __init__(self, tokens: WordIds, limit: int = HASHED):
+        self.tokens, self.limit, self.now = tokens, limit, 0
+        self.flat = np.array([tokens.size - 1], np.uint16 if tokens.size <= 1 << 16 else np.uint32)
+        self.h, self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    @classmethod
+    def of(cls, path: str) -> WordTable:
+        """The table of this process, with few words in the cache beside it."""
+        if path not in cls._of:
+            cls._of[path] = cls(WordIds(path, CACHED // 4))
+        return cls._of[path]
+
+    def find(self, h: np.ndarray, words: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of the sorted hashes begin, how many they are, and all ids; ``words`` gives the words of numbered hashes, lower-cased."""
+        at = np.searchsorted(self.h, h)
+        new = np.ones(len(h), bool) if not len(self.h) else self.h[np.minimum(at, len(self.h) - 1)] != h
+        if new.any():
+            coded = [self.tokens.cache[w] for w in words(np.flatnonzero(new))]
+            size = np.fromiter(map(len, coded), np.int32, len(coded)) >> 2
+            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), "<u4").astype(self.flat.dtype)])
+            self.h, self.begin, self.size, self.used = (
+                np.insert(a, at[new], b) for a, b in ((self.h, h[new]), (self.begin, begin), (self.size, size), (self.used, self.now)))
+            at = np.searchsorted(self.h, h)
+        self.now += 1
+        self.used[at] = self.now
+        found = self.begin[at], self.size[at], self.flat
+        if len(self.h) > self.limit:
+            self._shrink()
+        return found
+
+    def _shrink(self) -> None:
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:self.limit // 2])
+        begin, size = self.begin[kept], self.size[kept]
+        after = np.cumsum(size, dtype=np.int64)
+        self.flat = np.concatenate([self.flat[:1], self.flat[np.repeat(begin - after + size, size) + np.arange(size.sum())]])
+        self.h, self.begin, self.size, self.used = self.h[kept], 1 + after - size, size, self.used[kept]
+
+
 def lower(text: bytes) -> bytes:
     """Lower-cased, unless special tokens or combining marks (first bytes CC, CD) could make that differ from the tokenizer's order."""
     return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
