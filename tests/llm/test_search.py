@@ -302,16 +302,17 @@ def test_words_are_pieced_without_the_whole_tokenizer():
 def test_words_known_by_their_hashes_are_not_encoded_again():
     """Columns are encoded as word by word, also when a table lets words go; a known word is never looked up by its letters."""
     tokens = WordIds(vocabulary("word_bpe_49k.json"))
-    columns = [pa.array(t) for t in (["One fish", "", " \t", "two fish, (Red) fish ", "\u00c9t\u00e9 e\u0301"], [""], ["two\x0bone", "z" * 5000 + " q"], ["fish q", "ONE two"])]
+    columns = [pa.array(t) for t in (["One fish", "", " \t", "two fish, (Red) fish ", "\u00c9t\u00e9 e\u0301"], [""], ["two\x0bone", "z" * 5000 + " q " + " ".join("y" * n for n in range(1, 80))], ["fish q", "ONE two"])]
     for limit in (1 << 20, 6):
         table = WordTable(tokens, limit)
         for n, column in enumerate(columns):
             if n == 3 and limit > 6:
                 table.tokens = None  # all words of the last column were in earlier ones
-            h, counts, first = lm_score._hashes(pa.RecordBatch.from_arrays([column], ["text"]), 0)
+            h, counts, first, end = lm_score._hashes(pa.RecordBatch.from_arrays([column], ["text"]), 0)
+            assert len(set(h.tolist())) == len({w for t in column.to_pylist() for w in t.encode().lower().split()})
             distinct, place, inverse = lm_score.distinct_words(h)
-            assert (distinct[inverse] == h).all() and (h[place] == distinct).all() and (np.diff(distinct) > 0).all()
-            ids, lengths = lm_score.encode_texts(column, table, counts, first, distinct, place, inverse)
+            assert (distinct[inverse] == h).all() and (h[place] == distinct).all() and (distinct[1:] > distinct[:-1]).all()
+            ids, lengths = lm_score.encode_texts(column, table, counts, first, end, distinct, place, inverse)
             want = [[*np.frombuffer(b"".join(tokens.cache[w.lower()] for w in t.encode().split()), "<u4").tolist(), tokens.size - 1] for t in column.to_pylist()]
             assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
             assert len(table.h) <= limit

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import body, slices, text_buffers, word_places
+from tickloom.llm.common import BASE, MIX_A, MIX_B, body, mix, slices, text_buffers
 from tickloom.llm.tokens import WordIds, WordTable
 from tickloom.session import pin
 
@@ -28,7 +29,11 @@ BATCH, RATE = 512, 0.02
 #: ``PART`` ids at once: products of these, ``WIDTH`` and the classes are below a million, as so small ones are not copied before they are multiplied.
 BLOCK, PART = 64, 342
 #: Frequent words whose counts are broadcast, at most; the others meet their counts by a join.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
+#: Words (not distinct) that are counted at once.
+COUNTED = 1 << 21
+#: Longer words are hashed one by one.
+LONG = 64
 
 # Distance of a key behind a query (0 for the query's own input), and what a query may not see.
 _BEHIND = (np.arange(STEP)[:, None] + BEHIND) - np.arange(STEP + BEHIND)[None, :]
@@ -336,11 +341,22 @@ class Trainer:
         pairs = moved.reshape(-1, WIDTH).view(np.result_type(moved, 1j))  # two numbers are added as one complex number, in half the time
         at, de = inputs[begin], np.add.reduceat(pairs.take(order, 0), begin, axis=0).view(moved.dtype)
         self.steps += 1
+        a, b = 1 / (1 - 0.9 ** self.steps), 1 / (1 - 0.99 ** self.steps)
         for n, d in (*g.items(), ("E", de)):  # only embeddings that occur are moved
             i = at if n == "E" else slice(None)
-            m = self.m[n][i] = 0.9 * self.m[n][i] + 0.1 * d
-            v = self.v[n][i] = 0.99 * self.v[n][i] + 0.01 * d * d
-            w[n][i] -= np.float32(RATE / 4 if n != "E" else RATE) * (m / (1 - 0.9 ** self.steps)) / (np.sqrt(v / (1 - 0.99 ** self.steps)) + 1e-7)
+            m, v = self.m[n][i], self.v[n][i]
+            m *= 0.9
+            m += 0.1 * d
+            d = d * d
+            d *= 0.01
+            v *= 0.99
+            v += d
+            self.m[n][i], self.v[n][i] = m, v
+            np.sqrt(np.multiply(v, b, out=d), out=d)
+            d += 1e-7
+            np.divide(m, d, out=d)
+            d *= a * (RATE / 4 if n != "E" else RATE)
+            w[n][i] -= d
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -348,25 +364,57 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _hashes(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a column's texts, the words of each, and where in the column's bytes each word begins; in blocks that stay in a processor's cache."""
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased, parted by ASCII white space) by eight bytes at a time, each text's number of words, and where each word begins and ends."""
+    gap = (data == 32) | ((data - np.uint8(9)) < 5)
+    edge = np.empty(len(data) + 1, bool)
+    edge[0], edge[1:] = True, gap
+    edge[offsets[:-1]] = True
+    first = np.flatnonzero(edge[:-1] & ~gap)
+    edge[:-1], edge[-1] = gap, True
+    edge[offsets[:-1]] = True
+    end = np.flatnonzero(edge[1:] & ~gap) + 1
+    n, raw = end - first, data.tobytes().lower() + bytes(8)
+    eight = np.ndarray(len(data) + 1, np.uint64, raw, strides=(1,))
+    h = mix((eight[first] & _MASKS[np.minimum(n, 8)]) + n.astype(np.uint64) * BASE)
+    more, at = np.flatnonzero(n > 8), 8
+    while len(more) and at < LONG:
+        h[more] = mix(h[more] * MIX_B + (eight[first[more] + at] & _MASKS[np.minimum(n[more] - at, 8)]) + MIX_A)
+        at += 8
+        more = more[n[more] > at]
+    for i in more.tolist():
+        h[i] = int.from_bytes(blake2b(raw[first[i]:end[i]], digest_size=8).digest(), "little")
+    return h.view(np.int64), np.diff(np.searchsorted(first, offsets)), first, end
+
+
+def _hashes(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words_of`` a column, in blocks that stay in a processor's cache."""
     found, base = [], 0
-    with np.errstate(over="ignore"):
-        for block in slices(iter([part.select([at])]), part.schema.names[at], 1 << 17):
-            data, offsets = text_buffers(block.column(0))
-            h, n, first = word_places(data, offsets)
-            found.append((h, n, first + base))
-            base += len(data)
-    h, n, first = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h.view(np.int64), n, first
+    for block in slices(iter([part.select([at])]), part.schema.names[at], 1 << 18):
+        data, offsets = text_buffers(block.column(0))
+        h, n, first, end = words_of(data, offsets)
+        found.append((h, n, first + base, end + base))
+        base += len(data)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``h, c``: hash and count of every word of the training texts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=8 << 20):
-            distinct, n = np.unique(_hashes(part, 0)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["h", "c"])
+        def counted() -> pa.RecordBatch:
+            distinct, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["h", "c"])
+        held: list[np.ndarray] = []
+        for part in slices(batches):
+            held.append(_hashes(part, 0)[0])
+            if sum(map(len, held)) >= COUNTED:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
     out = docs.filter(~held_out()).select(body().alias("text")).mapInArrow(task, "h long, c long")
     return out.groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -381,16 +429,16 @@ def distinct_words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[begin], order[begin], inverse
 
 
-def encode_texts(column: pa.Array, table: WordTable, counts: np.ndarray, first: np.ndarray, distinct: np.ndarray, place: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(column: pa.Array, table: WordTable, counts: np.ndarray, first: np.ndarray, end: np.ndarray, distinct: np.ndarray, place: np.ndarray,
+                 inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a column, A-Z lower-cased, each with its end, and the length of each.
 
-    ``counts`` are the words of each text, ``first`` where each word begins in the column's bytes, ``distinct`` the different hashes
-    of words, ``place`` the number of a word for each of these, ``inverse`` that of its distinct one for each word.
+    ``counts`` are the words of each text, ``first`` and ``end`` where each word begins and ends in the column's bytes, ``distinct`` the different
+    hashes of words, ``place`` the number of a word for each of these, ``inverse`` that of its distinct one for each word.
     """
     def words(which: np.ndarray) -> list[bytes]:
-        data = text_buffers(column)[0].tobytes()
-        limit = np.append(first, len(data))  # a word ends before the next one, at white space at the latest
-        return [data[a:b].split(None, 1)[0].lower() for a, b in zip(first[place[which]].tolist(), limit[place[which] + 1].tolist(), strict=True)]
+        data, at = text_buffers(column)[0].tobytes().lower(), place[which]
+        return [data[a:b] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
 
     begin, size, flat = table.find(distinct, words)
     begin, size = np.append(begin, 0), np.append(size, np.int32(1))
@@ -412,7 +460,11 @@ def _tally(texts: DataFrame, size: int, cells, kind: type) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for part in slices(batches, "ids", limit=4 << 20):
-            total += np.bincount(cells(*_ids(part, 0, kind)), minlength=size)
+            found = cells(*_ids(part, 0, kind))
+            if len(found) < size:  # rather than a whole table of counts for each slice
+                np.add.at(total, found, np.int64(1))
+            else:
+                total += np.bincount(found, minlength=size)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(total[i])], ["i", "n"])
     out = np.zeros(size)
@@ -488,21 +540,21 @@ def score(docs: DataFrame, path: str, share: int = SHARE, rounds: int = ROUNDS)
             break
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n_train, distinct = (total[0] or 0) + ends, total[1] + (ends > 0)
-    often = counts.filter(F.col("c") >= least).toPandas().sort_values("h")
-    frequent = sc.broadcast((often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64)))
+    often = counts.filter(F.col("c") >= least).toArrow().sort_by("h")
+    frequent = sc.broadcast((often.column("h").to_numpy(), often.column("c").to_numpy()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = frequent.value
         table, row, part_id = WordTable.of(path), 0, TaskContext.get().partitionId()
         logs = np.log10(count + 1.0)
         for part in slices(batches, limit=4 << 20):
-            h, n, first = _hashes(part, 1)
+            h, n, first, end = _hashes(part, 1)
             distinct, place, inverse = distinct_words(h)
             text = np.repeat(np.arange(len(n)), n)
             at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
             hit = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
             own = np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(distinct))
-            ids, lengths = encode_texts(part.column(1), table, n, first, distinct, place, inverse)
+            ids, lengths = encode_texts(part.column(1), table, n, first, end, distinct, place, inverse)
             met = hit[inverse]
             seen = np.bincount(text[met], minlength=len(n))
             base = np.bincount(text, own[inverse], minlength=len(n)) if len(h) else np.zeros(len(n))

@@ -103,13 +103,13 @@ class WordTable:
     def __init__(self, tokens: WordIds, limit: int = HASHED):
         self.tokens, self.limit, self.now = tokens, limit, 0
         self.flat = np.array([tokens.size - 1], np.uint16 if tokens.size <= 1 << 16 else np.uint32)
-        self.h, self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.h, self.rows = np.zeros(0, np.int64), np.zeros((0, 3), np.int32)  # where its ids begin, how many they are, when it was used
 
     @classmethod
     def of(cls, path: str) -> WordTable:
         """The table of this process, with few words in the cache beside it."""
         if path not in cls._of:
-            cls._of[path] = cls(WordIds(path, CACHED // 4))
+            cls._of[path] = cls(WordIds(path, CACHED // 2))
         return cls._of[path]
 
     def find(self, h: np.ndarray, words: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,24 +119,24 @@ class WordTable:
         if new.any():
             coded = [self.tokens.cache[w] for w in words(np.flatnonzero(new))]
             size = np.fromiter(map(len, coded), np.int32, len(coded)) >> 2
-            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+            rows = np.stack([len(self.flat) + np.cumsum(size, dtype=np.int32) - size, size, np.zeros_like(size)], axis=1)
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), "<u4").astype(self.flat.dtype)])
-            self.h, self.begin, self.size, self.used = (
-                np.insert(a, at[new], b) for a, b in ((self.h, h[new]), (self.begin, begin), (self.size, size), (self.used, self.now)))
-            at = np.searchsorted(self.h, h)
+            self.h, self.rows = np.insert(self.h, at[new], h[new]), np.insert(self.rows, at[new], rows, axis=0)
+            at += np.cumsum(new) - new
         self.now += 1
-        self.used[at] = self.now
-        found = self.begin[at], self.size[at], self.flat
+        self.rows[at, 2] = self.now
+        found, flat = self.rows[at], self.flat
         if len(self.h) > self.limit:
             self._shrink()
-        return found
+        return found[:, 0], found[:, 1], flat
 
     def _shrink(self) -> None:
-        kept = np.sort(np.argsort(-self.used, kind="stable")[:self.limit // 2])
-        begin, size = self.begin[kept], self.size[kept]
-        after = np.cumsum(size, dtype=np.int64)
+        kept = np.sort(np.argsort(-self.rows[:, 2], kind="stable")[:self.limit // 2])
+        self.h, self.rows = self.h[kept], self.rows[kept]
+        begin, size = self.rows[:, 0].copy(), self.rows[:, 1]
+        after = np.cumsum(size)
         self.flat = np.concatenate([self.flat[:1], self.flat[np.repeat(begin - after + size, size) + np.arange(size.sum())]])
-        self.h, self.begin, self.size, self.used = self.h[kept], 1 + after - size, size, self.used[kept]
+        self.rows[:, 0] = 1 + after - size
 
 
 def lower(text: bytes) -> bytes:
